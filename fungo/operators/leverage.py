@@ -7,21 +7,16 @@ from pyspark.sql import functions as F
 
 from fungo import config as C
 from fungo.functions import scalars as S
-from fungo.operators.prefix import Order, running
+from fungo.operators.prefix import id_order, running
 
 STATE = ["late", "is_top", "outs_before", "diff"]
 
 
-def turn_order(turn: str) -> Order:
-    return Order((turn,), F.floor(F.col(turn) / 4096).cast("bigint"),
-                 F.floor(F.col(turn) / 64).cast("bigint"))
-
-
 def state_before(plays: DataFrame, keys: list[str], turn: str, half: list[str],
                  outs: str, scores: dict[str, str]) -> DataFrame:
     """State before each play: scores of the previous play, and the last
     non-zero out count since the half changed, at most two."""
-    order = turn_order(turn)
+    order = id_order(turn, chunk=64)
     marked = plays.withColumn("_half", F.struct(*half))
     marked = running(marked, keys, order, lasts={
         "_was": F.col("_half"),

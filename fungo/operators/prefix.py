@@ -22,23 +22,23 @@ DAY_CHUNK = 4096
 
 @dataclass(frozen=True)
 class Order:
-    """A total order and two expressions that never decrease along it."""
+    """A total order and two SQL expressions that never decrease along it."""
 
     by: Sequence[str]
-    coarse: Column
-    fine: Column
+    coarse: str
+    fine: str
 
 
 def day_order(date: str, ident: str, *ties: str, chunk: int = DAY_CHUNK) -> Order:
     """Order by day, then id; parts are days and id ranges inside a day."""
-    return Order((date, ident, *ties), F.datediff(F.col(date), F.lit("1970-01-01")),
-                 F.floor(F.col(ident) / chunk).cast("bigint"))
+    return Order((date, ident, *ties), f"datediff(`{date}`, DATE'1970-01-01')",
+                 f"cast(floor(`{ident}` / {chunk}) as bigint)")
 
 
 def id_order(ident: str, *ties: str, chunk: int = DAY_CHUNK) -> Order:
     """Order by a non-negative id alone; parts are wide and narrow id ranges."""
-    return Order((ident, *ties), F.floor(F.col(ident) / (chunk * 64)).cast("bigint"),
-                 F.floor(F.col(ident) / chunk).cast("bigint"))
+    return Order((ident, *ties), f"cast(floor(`{ident}` / {chunk * 64}) as bigint)",
+                 f"cast(floor(`{ident}` / {chunk}) as bigint)")
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Order,
@@ -57,7 +57,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Order,
     parts = [*keys, "_coarse", "_fine"]
     order_at = F.struct(*[F.col(c) for c in order.by])
 
-    rows = df.withColumns({"_coarse": order.coarse, "_fine": order.fine,
+    rows = df.withColumns({"_coarse": F.expr(order.coarse), "_fine": F.expr(order.fine),
                            **{f"_v_{n}": c for n, c in sums.items()},
                            **{f"_v_{n}": c for n, c in lasts.items()},
                            **{f"_v_{n}": c for n, (c, _) in trailing.items()}})

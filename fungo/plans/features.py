@@ -221,17 +221,12 @@ def build_features(games: DataFrame, parks: DataFrame, weather: DataFrame | None
     sky = ("temp_c", "pressure_hpa", "humidity_pct", "wind_out_to_center_ms", "wind_left_to_right_ms",
            "precip_mm", "roof_category")
     if weather is not None:
-        one = weather.groupBy("game_pk").agg(F.last(F.struct(*sky)).alias("w")).select("game_pk", "w.*")
+        one = weather.groupBy("game_pk").agg(F.max(F.struct(*sky)).alias("w")).select("game_pk", "w.*")
         out = out.join(one, "game_pk", "left")
     else:
         out = out.withColumns({k: F.lit(None).cast("string" if k == "roof_category" else "double") for k in sky})
 
-    table = games
-    if league is None:
-        elo = elo_ratings(table)
-    else:
-        elo = elo_ratings(table, league)
-    return _final(out.join(elo, "game_pk"))
+    return _final(out.join(elo_ratings(games, league), "game_pk"))
 
 
 def _final(f: DataFrame) -> DataFrame:
