@@ -158,7 +158,7 @@ def oriented(gap: Column, home_value: Column) -> Column:
 def outcome(market: Column, side: Column, point: Column, home: Column, away: Column) -> Column:
     """win, loss or push of one wager; null for an unknown market."""
     margin, total = home - away, home + away
-    lean = (F.when(market == "h2h", F.when(margin > 0, 1).otherwise(-1))
+    lean = (F.when(market == "h2h", F.when(margin > 0, 1).when(margin <= 0, -1))
             .when(market == "spreads", F.signum(margin + point))
             .when(market == "totals", F.signum(total - point)))
     mine = F.when(side == "home", lean).otherwise(-lean)

@@ -147,16 +147,20 @@ def permutation_test(df: DataFrame, keys: Sequence[str], stratum: str, group: st
 
     # Centre on the mean of the rows that count, as the spread is shift free.
     totals = sizes.groupBy(*keys, "_g").agg(F.sum("_n").alias("_w"))
-    bounds = sizes.select(*block, "_g", "_to", "_size", F.explode(F.sequence(
-        F.lit(0), F.floor((F.col("_size") - 1) / CHUNK).cast("bigint"))).alias("_chunk"))
+    # Fresh names, as both sides of the cogroup come from the same rows.
+    spot = [f"_b{i}" for i in range(len(block))]
+    bounds = sizes.select(
+        *[F.col(k).alias(b) for k, b in zip(block, spot)], F.col("_g").alias("_label"), "_to", "_size",
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_size") - 1) / CHUNK).cast("bigint")))
+        .alias("_part"))
     mean = base.groupBy(*keys).agg(F.avg("_v").alias("_mean"))
     spots = (spots.join(mean, keys) if keys else spots.withColumn("_mean", mean.scalar())).select(
         *block, "_chunk", "_pos", (F.col("_v") - F.col("_mean")).alias("_v"))
 
-    kernel = _shuffled_sums([*block, "_chunk"], keys, draws, seed)
+    kernel = _shuffled_sums(keys, draws, seed)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}"
                        for f in base.select(*keys, "_g").schema.fields)
-    null = (spots.groupBy(*block, "_chunk").cogroup(bounds.groupBy(*block, "_chunk"))
+    null = (spots.groupBy(*block, "_chunk").cogroup(bounds.groupBy(*spot, "_part"))
             .applyInPandas(kernel, f"{schema}, _d int, _s double")
             .groupBy(*keys, "_g", "_d").agg(F.sum("_s").alias("_s")))
     kept = totals.where(F.col("_w") >= min_rows)
@@ -199,12 +203,12 @@ def permuted(pos: np.ndarray, size: int, draw: int, seed: int) -> np.ndarray:
     return x
 
 
-def _shuffled_sums(block, keys, draws, seed):
+def _shuffled_sums(keys, draws, seed):
     def kernel(rows: pd.DataFrame, bounds: pd.DataFrame) -> pd.DataFrame:
         if rows.empty:
             return pd.DataFrame({**{k: [] for k in keys}, "_g": [], "_d": [], "_s": []})
         bounds = bounds.sort_values("_to")
-        ends, labels = bounds["_to"].to_numpy(), bounds["_g"].to_numpy()
+        ends, labels = bounds["_to"].to_numpy(), bounds["_label"].to_numpy()
         size = int(bounds["_size"].iloc[0])
         pos, v = rows["_pos"].to_numpy(), rows["_v"].to_numpy()
         out = []
