@@ -8,7 +8,7 @@ from fungo import config as C
 from fungo.checks.base import query, table
 from fungo.functions import scalars as S
 from fungo.operators import dedup, elo
-from fungo.operators.prefix import day_order, position, running
+from fungo.operators.prefix import day_order, last_n_before, position, running
 from fungo.plans import features
 
 c = F.col
@@ -35,7 +35,7 @@ FROM s LEFT JOIN r ON r.who = s.who AND r.season = s.season AND r.at = s.games""
 def pit_entity_state(spark, d):
     rows = running(played_orders(spark, d), ["who", "season"], ORDER, sums={
         "games": c("played").cast("bigint"), "total": F.when(c("played"), c("cents"))})
-    rows = features.rolling_before(rows, ["who", "season"], c("played"), C.FORM_GAMES, {"recent": c("cents")}, "games")
+    rows = last_n_before(rows, ["who", "season"], "games", C.FORM_GAMES, {"recent": F.when(c("played"), c("cents"))})
     return rows.select("id", "games", F.round(S.shrunk(c("total"), c("games"), C.PRIOR_RUNS, C.PRIOR_TEAM_GAMES), 3).alias("shrunk"),
                        F.round(F.coalesce("recent", F.lit(C.PRIOR_RUNS)), 3).alias("recent"))
 

@@ -32,20 +32,21 @@ class Order:
 def day_order(date: str, ident: str, *ties: str, chunk: int = DAY_CHUNK) -> Order:
     """Order by day, then id; parts are days and id ranges inside a day."""
     return Order((date, ident, *ties), f"datediff(`{date}`, DATE'1970-01-01')",
-                 f"cast(floor(`{ident}` / {chunk}) as bigint)")
+                 f"`{ident}` div {chunk}")
 
 
 def id_order(ident: str, *ties: str, chunk: int = DAY_CHUNK) -> Order:
     """Order by a non-negative id alone; parts are wide and narrow id ranges."""
-    return Order((ident, *ties), f"cast(floor(`{ident}` / {chunk * 64}) as bigint)",
-                 f"cast(floor(`{ident}` / {chunk}) as bigint)")
+    return Order((ident, *ties), f"`{ident}` div {chunk * 64}",
+                 f"`{ident}` div {chunk}")
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Order,
             sums: Mapping[str, Column] | None = None,
             lasts: Mapping[str, Column] | None = None,
             trailing: Mapping[str, tuple[Column, int]] | None = None) -> DataFrame:
-    """Append state strictly before each row.
+    """Append state strictly before each row. Rows without key or order are
+    left out; they have no state.
 
     ``sums``      running total of the non-null values before the row (0 if none)
     ``lasts``     most recent non-null value before the row (null if none)
@@ -61,6 +62,11 @@ def running(df: DataFrame, keys: Sequence[str], order: Order,
                            **{f"_v_{n}": c for n, c in sums.items()},
                            **{f"_v_{n}": c for n, c in lasts.items()},
                            **{f"_v_{n}": c for n, (c, _) in trailing.items()}})
+    # Both branches below read this one exchange, so the input is computed and
+    # shuffled once.
+    for column in [*keys, *order.by[:2], "_coarse", "_fine"]:
+        rows = rows.where(F.col(column).isNotNull())
+    rows = rows.repartition(*[F.col(p) for p in parts])
     totals = [*sums, *trailing]
 
     def zero(name):
@@ -115,20 +121,24 @@ def position(df: DataFrame, keys: Sequence[str], order: Order, name: str = "pos"
         name, F.col(name) + 1)
 
 
-def last_n(df: DataFrame, keys: Sequence[str], pos: str, n: int,
-           aggregates: Mapping[str, Column], block: int = 4096) -> DataFrame:
-    """Aggregates over each row and the n-1 rows before it, by dense position.
+def last_n_before(df: DataFrame, keys: Sequence[str], count: str, n: int,
+                  means: Mapping[str, Column], block: int = 4096) -> DataFrame:
+    """Means of the last n non-null values strictly before each row.
 
-    Rows are grouped in blocks of positions. The last n-1 rows of a block are
-    also sent to the next one, so every frame is complete inside its block and
-    no task ever holds a whole key.
+    ``count`` holds how many values the key had before the row, so the values
+    wanted are those of rows whose count lies in [count - n, count - 1]. Rows
+    are grouped in blocks of counts, and the last n counts of a block are also
+    sent to the next one: every frame is complete inside its block, and no task
+    holds a whole key.
     """
     block = max(block, n)
-    own = F.floor((F.col(pos) - 1) / block).cast("bigint")
-    spill = (F.col(pos) - 1) % block >= block - (n - 1)
-    copies = df.withColumn("_own", own).withColumn(
+    own = F.expr(f"`{count}` div {block}")
+    spill = (F.col(count) % block >= block - n) & F.coalesce(
+        *[F.when(v.isNotNull(), True) for v in means.values()], F.lit(False))
+    copies = df.withColumns({"_own": own, **{f"_v_{k}": v for k, v in means.items()}}).withColumn(
         "_block", F.explode(F.when(spill, F.array(F.col("_own"), F.col("_own") + 1))
                             .otherwise(F.array(F.col("_own")))))
-    frame = W.partitionBy(*keys, "_block").orderBy(pos).rowsBetween(-(n - 1), 0)
-    return (copies.select("*", *[c.over(frame).alias(name) for name, c in aggregates.items()])
-            .where(F.col("_block") == F.col("_own")).drop("_own", "_block"))
+    frame = W.partitionBy(*keys, "_block").orderBy(count).rangeBetween(-n, -1)
+    return copies.select(*df.columns, "_own", "_block", *[
+        F.avg(f"_v_{k}").over(frame).alias(k) for k in means]).where(
+        F.col("_block") == F.col("_own")).drop("_own", "_block")

@@ -14,7 +14,7 @@ from fungo import config as C
 from fungo.functions import scalars as S
 from fungo.operators.dedup import keep_first
 from fungo.operators.elo import elo_ratings
-from fungo.operators.prefix import day_order, last_n, running
+from fungo.operators.prefix import day_order, last_n_before, running
 
 c = F.col
 ORDER = day_order("official_date", "game_pk")
@@ -41,24 +41,12 @@ def _sides(games: DataFrame) -> DataFrame:
         "game_pk", "official_date", "season", "played", "s.*")
 
 
-def rolling_before(rows: DataFrame, keys: list[str], done: Column, n: int,
-                   values: dict[str, Column], count: str) -> DataFrame:
-    """Mean of the last n finished values before each row; ``count`` already
-    holds how many were finished before it."""
-    facts = rows.where(done).select(*keys, (c(count) + 1).alias("_at"),
-                                    *[v.alias(f"_v_{k}") for k, v in values.items()])
-    means = last_n(facts, keys, "_at", n, {k: F.avg(f"_v_{k}") for k in values})
-    means = means.select(*[c(k).alias(f"_k_{k}") for k in keys], "_at", *values)
-    on = [c(k) == c(f"_k_{k}") for k in keys] + [c(count) == c("_at")]
-    return rows.join(means, on, "left").drop("_at", *[f"_k_{k}" for k in keys])
-
-
 def team_state(sides: DataFrame) -> DataFrame:
     done = c("played")
     rows = running(sides, ["team", "season"], ORDER, sums={
         "games": done.cast("int"), "runs_for": c("scored"), "runs_against": c("allowed")})
-    rows = rolling_before(rows, ["team", "season"], done, C.FORM_GAMES,
-                          {"recent_for": c("scored"), "recent_against": c("allowed")}, "games")
+    rows = last_n_before(rows, ["team", "season"], "games", C.FORM_GAMES,
+                         {"recent_for": c("scored"), "recent_against": c("allowed")})
     return rows.select(
         "game_pk", "side", "games",
         S.shrunk(c("runs_for"), c("games"), C.PRIOR_RUNS, C.PRIOR_TEAM_GAMES).alias("off"),
@@ -85,8 +73,7 @@ def starter_proxy(sides: DataFrame) -> DataFrame:
     rows = running(known, ["starter"], ORDER,
                    sums={"starts": c("played").cast("int"), "sp_allowed": c("allowed")},
                    lasts={"last_start": F.when(c("played"), c("official_date"))})
-    rows = rolling_before(rows, ["starter"], c("played"), C.STARTER_FORM,
-                          {"sp_recent": c("allowed")}, "starts")
+    rows = last_n_before(rows, ["starter"], "starts", C.STARTER_FORM, {"sp_recent": c("allowed")})
     return rows.select(
         "game_pk", "side", c("starts").alias("sp_starts"),
         S.shrunk(c("sp_allowed"), c("starts"), C.PRIOR_RUNS, C.PRIOR_STARTS).alias("sp_rate"),
