@@ -93,9 +93,10 @@ def _permutation_sql():
     steps = ["x0 AS (SELECT d, season, size, pos AS x, v FROM spots, range(1, %d) AS r(d))" % (PERM_DRAWS + 1)]
     for s in range(resample.ROUNDS):
         tick = f"(d * {resample.ROUNDS} + {s})"
-        steps.append(f"""y{s} AS (SELECT *, (({rng.mix_sql(tick, '1', 5)}) % size - x + size) % size AS z FROM x{s}),
-  w{s} AS (SELECT d, season, size, x, z, v, greatest(x, z) AS top FROM y{s}),
-  x{s + 1} AS (SELECT d, season, size, CASE WHEN {rng.mix_sql('top', tick, 6)} % 2 = 1 THEN z ELSE x END AS x, v FROM w{s})""")
+        steps.append(f"""y{s} AS (SELECT *, (({rng.mix_sql(tick, '1', 5)}) % size - x + size) % size AS z,
+    {rng.mix_sql(tick, '2', 6)} AS key FROM x{s}),
+  w{s} AS (SELECT d, season, size, x, z, v, key, greatest(x, z) AS top FROM y{s}),
+  x{s + 1} AS (SELECT d, season, size, CASE WHEN {rng.coin_sql('top', 'key')} = 1 THEN z ELSE x END AS x, v FROM w{s})""")
     return ",\n  ".join(steps)
 
 

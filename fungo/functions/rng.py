@@ -42,3 +42,23 @@ def mix_sql(a: str, b: str, seed: int) -> str:
     x = f"(({x}) * {A3} + ({a}) % {M}) % {M}"
     x = f"(({x}) * ({x}) + {seed + 12345}) % {M}"
     return f"((({x}) * {A1} + 11) % {M})"
+
+
+def _fold(x):
+    """Congruent modulo M and below 2**32, for non-negative x."""
+    return (x & M) + (x >> 31)
+
+
+def coin_np(x, key: int):
+    """A fair bit per counter for one key: the parity of
+    ``(((x + key) * A1) ** 2 * A3 + key) mod M``. This is the innermost step of
+    a shuffle, so the remainders are taken by folding, as M is 2**31 - 1."""
+    y = _fold(_fold((x + key) * A1))
+    y = _fold(_fold(y * y))
+    y = _fold(_fold(y * A3 + key))
+    return (y + ((y + 1) >> 31)) & 1
+
+
+def coin_sql(x: str, key: str) -> str:
+    y = f"((({x}) + {key}) * {A1} % {M})"
+    return f"((({y}) * ({y}) % {M} * {A3} + {key}) % {M} % 2)"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fungo import config as C
 from fungo.functions import scalars as S
-from fungo.operators.resample import cluster_bootstrap
+from fungo.operators.resample import cluster_parts, interval
 
 
 def log_loss(p: Column, y: Column) -> Column:
@@ -18,12 +18,6 @@ def brier(p: Column, y: Column) -> Column:
     return F.avg(F.pow(p - y, F.lit(2.0)))
 
 
-def constant_log_loss(y: Column) -> Column:
-    """Log loss of always forecasting the base rate, from the rate alone."""
-    rate = S.clip(F.avg(y), 1e-9, 1 - 1e-9)
-    return -(F.avg(y) * F.log(rate) + (1.0 - F.avg(y)) * F.log(1.0 - rate))
-
-
 def roi(won: Column, price: Column) -> Column:
     return F.avg(won / price) - 1.0
 
@@ -62,20 +56,22 @@ def by_market(scored: DataFrame, outcomes: DataFrame, runline: float = -1.5,
                                      F.col("prob").alias("p"), y.cast("double").alias("y"))
 
 
-def evaluate(scored: DataFrame) -> DataFrame:
+def evaluate(scored: DataFrame, draws: int = 4000, seed: int = 11) -> DataFrame:
     """Per market: rate, losses, baseline, calibration error, season interval."""
-    core = scored.groupBy("market").agg(
-        F.count(F.lit(1)).alias("games"), F.round(F.avg("y"), 5).alias("rate"),
-        F.round(log_loss(F.col("p"), F.col("y")), 5).alias("log_loss"),
-        F.round(constant_log_loss(F.col("y")), 5).alias("log_loss_baseline"),
-        F.round(brier(F.col("p"), F.col("y")), 5).alias("brier"))
+    p, y = F.col("p"), F.col("y")
+    parts = cluster_parts(scored.withColumn("_t", S.log_loss_term(p, y)), ["market"], "season", "_t",
+                          sums={"_y": y, "_b": F.pow(p - y, F.lit(2.0))})
+    n, rate = F.sum("_n"), F.sum("_y") / F.sum("_n")
+    r = S.clip(rate, 1e-9, 1 - 1e-9)
+    core = parts.groupBy("market").agg(
+        n.alias("games"), F.round(rate, 5).alias("rate"), F.round(F.sum("_s") / n, 5).alias("log_loss"),
+        F.round(-(rate * F.log(r) + (1.0 - rate) * F.log(1.0 - r)), 5).alias("log_loss_baseline"),
+        F.round(F.sum("_b") / n, 5).alias("brier"))
     error = calibration_error(calibration_table(scored, ["market"]), ["market"])
-    interval = cluster_bootstrap(
-        scored.withColumn("_t", S.log_loss_term(F.col("p"), F.col("y"))), ["market"], "season",
-        "_t", draws=4000, min_clusters=2)
+    ends = interval(parts, ["market"], False, draws, seed, min_clusters=2)
     return (core.join(error, "market", "left")
-            .join(interval.select("market", F.col("low").alias("log_loss_low"),
-                                  F.col("high").alias("log_loss_high")), "market", "left"))
+            .join(ends.select("market", F.col("low").alias("log_loss_low"),
+                              F.col("high").alias("log_loss_high")), "market", "left"))
 
 
 def expected_run_accuracy(expected: DataFrame) -> DataFrame:
@@ -93,22 +89,24 @@ def compare(frame: DataFrame, draws: int = 2000, seed: int = 11, floor: int = 50
 
     ``frame`` has market, official_date, model, price and y, without nulls.
     """
-    gap = S.log_loss_term(F.col("model"), F.col("y")) - S.log_loss_term(F.col("price"), F.col("y"))
-    frame = frame.withColumn("_gap", gap)
-    core = frame.groupBy("market").agg(
-        F.count(F.lit(1)).alias("games"),
-        log_loss(F.col("model"), F.col("y")).alias("_lm"),
-        log_loss(F.col("price"), F.col("y")).alias("_lp"),
-        (F.avg(F.abs(F.col("model") - F.col("price"))) * 100.0).alias("_dis"))
-    interval = cluster_bootstrap(frame, ["market"], "official_date", "_gap", outcome="y",
-                                 draws=draws, seed=seed, min_clusters=min_clusters)
+    model, price, y = F.col("model"), F.col("price"), F.col("y")
+    lm, lp = S.log_loss_term(model, y), S.log_loss_term(price, y)
+    # One pass over the rows; totals and resamples both start from the days.
+    parts = cluster_parts(frame.withColumn("_gap", lm - lp), ["market"], "official_date", "_gap", "y",
+                          {"_lm": lm, "_lp": lp, "_dis": F.abs(model - price)})
+    n = F.sum("_n")
+    core = parts.groupBy("market").agg(
+        n.alias("games"), (F.sum("_lm") / n).alias("_lm"), (F.sum("_lp") / n).alias("_lp"),
+        (F.sum("_dis") / n * 100.0).alias("_dis"))
+    ends = interval(parts, ["market"], True, draws, seed, min_clusters)
+
     enough = F.col("games") >= floor
 
     def shown(column, places):
         return F.when(enough, F.round(column, places))
 
     low, high = F.when(enough, F.col("low")), F.when(enough, F.col("high"))
-    return core.join(interval, "market", "left").select(
+    return core.join(ends, "market", "left").select(
         "market", "games",
         shown(F.col("_lm"), 5).alias("log_loss_model"),
         shown(F.col("_lp"), 5).alias("log_loss_market"),

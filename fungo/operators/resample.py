@@ -6,38 +6,43 @@ on partitioning and a recomputed task reproduces them.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fungo import config as C
 from fungo.functions import rng
 from fungo.operators.prefix import id_order, position
+from fungo.session import cut_lineage, parallel_parts, spread
 
 ROUNDS = 24
-CHUNK = 65536
+CHUNK = 16384
 
 
-def cluster_bootstrap(df: DataFrame, keys: Sequence[str], cluster: str, value: str,
-                      outcome: str | None = None, draws: int = 2000, seed: int = 11,
-                      min_clusters: int = 10, min_usable: int = 100) -> DataFrame:
-    """90 per cent interval of the mean of ``value``, resampling whole clusters.
+def cluster_parts(df: DataFrame, keys: Sequence[str], cluster: str, value: str,
+                  outcome: str | None = None, sums: Mapping[str, Column] | None = None) -> DataFrame:
+    """One row per cluster: sum and count of ``value``, the range of outcomes,
+    and further sums. Written out, as every later step starts from it."""
+    y = F.col(outcome) if outcome else F.lit(0.0)
+    return cut_lineage(df.groupBy(*keys, F.col(cluster).alias("_cluster")).agg(
+        F.sum(value).alias("_s"), F.count(value).alias("_n"), F.min(y).alias("_lo"), F.max(y).alias("_hi"),
+        *[F.sum(v).alias(k) for k, v in (sums or {}).items()]))
 
-    A mean over a resample needs only each cluster's sum and count, so the rows
-    are reduced to one per cluster first and the cost is draws x clusters. With
-    ``outcome``, a resample holding one outcome only is skipped.
+
+def interval(parts: DataFrame, keys: Sequence[str], skip_constant: bool, draws: int = 2000,
+             seed: int = 11, min_clusters: int = 10, min_usable: int = 100) -> DataFrame:
+    """90 per cent interval of a mean over resampled clusters.
+
+    A mean over a resample needs only each cluster's sum and count, so the cost
+    is draws x clusters whatever the number of rows.
     """
     keys = list(keys)
-    y = F.col(outcome) if outcome else F.lit(0.0)
-    parts = df.groupBy(*keys, cluster).agg(
-        F.sum(value).alias("_s"), F.count(value).alias("_n"),
-        F.min(y).alias("_lo"), F.max(y).alias("_hi"))
     by = W.partitionBy(*keys)
-    parts = parts.withColumns({"_i": F.row_number().over(by.orderBy(cluster)) - 1,
+    parts = parts.withColumns({"_i": F.row_number().over(by.orderBy("_cluster")) - 1,
                                "_c": F.count(F.lit(1)).over(by)})
     slots = (parts.where(F.col("_c") >= min_clusters)
              .select(*keys, "_c", "_i", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_d"))
@@ -46,7 +51,7 @@ def cluster_bootstrap(df: DataFrame, keys: Sequence[str], cluster: str, value: s
     drawn = slots.join(parts.select(*keys, "_i", "_s", "_n", "_lo", "_hi"), [*keys, "_i"])
     means = drawn.groupBy(*keys, "_d").agg(
         (F.sum("_s") / F.sum("_n")).alias("_m"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
-    if outcome:
+    if skip_constant:
         means = means.where(F.col("_lo") < F.col("_hi"))
     ends = means.groupBy(*keys).agg(
         F.count("_m").alias("usable_draws"),
@@ -56,6 +61,15 @@ def cluster_bootstrap(df: DataFrame, keys: Sequence[str], cluster: str, value: s
         F.round(F.col("_p")[1], 5).alias("high"))
 
 
+def cluster_bootstrap(df: DataFrame, keys: Sequence[str], cluster: str, value: str,
+                      outcome: str | None = None, draws: int = 2000, seed: int = 11,
+                      min_clusters: int = 10, min_usable: int = 100) -> DataFrame:
+    """Interval of the mean of ``value``; with ``outcome``, a resample holding a
+    single outcome is skipped."""
+    return interval(cluster_parts(df, keys, cluster, value, outcome), keys, outcome is not None,
+                    draws, seed, min_clusters, min_usable)
+
+
 def search_correction(frame: DataFrame, ident: str, draws: int = 5000, seed: int = 3,
                       cuts: Sequence[int] = C.SEARCH_CUTS, min_rows: int = 5) -> DataFrame:
     """Price a search over thresholds when the price is right.
@@ -65,8 +79,11 @@ def search_correction(frame: DataFrame, ident: str, draws: int = 5000, seed: int
     """
     cuts = sorted(cuts)
     band = sum((F.col("gap_pts") >= c).cast("int") for c in cuts)
-    rows = frame.withColumn("_b", band).where(F.col("_b") > 0)
-    rows = rows.select("_b", F.col(ident).cast("bigint").alias("_id"), "won", "market_prob")
+    rows = frame.withColumn("_b", band).where(F.col("_b") > 0).select(
+        "_b", F.col(ident).cast("bigint").alias("_id"), "won", "market_prob")
+    # Simulating costs draws times the rows, so they are narrowed, evened out
+    # and written once.
+    rows = cut_lineage(spread(rows, "_id"))
 
     def at_or_above(df, key, columns):
         above = W.partitionBy(*key).orderBy(F.col("_b").desc()).rowsBetween(W.unboundedPreceding, 0)
@@ -74,22 +91,21 @@ def search_correction(frame: DataFrame, ident: str, draws: int = 5000, seed: int
 
     # A cut between two occupied bands selects the same rows as the next
     # occupied one, so reading the occupied bands covers every usable cut.
-    seen = at_or_above(rows.groupBy("_b").agg(F.count(F.lit(1)).alias("n"),
-                                              F.sum(F.col("won") / F.col("market_prob")).alias("w")),
-                       [F.lit(0)], ["n", "w"]).where(F.col("n") >= min_rows)
-    sim = (rows.select("_b", "_id", "market_prob",
-                       F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_d"))
+    # There are at most as many bands as cuts.
+    whole = W.partitionBy(F.lit(0))
+    bands = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("n"),
+                                   F.sum(F.col("won") / F.col("market_prob")).alias("w"))
+    usable = at_or_above(bands, [F.lit(0)], ["n", "w"]).where(F.col("n") >= min_rows).select(
+        "_b", "n", F.max(F.col("w") / F.col("n") - 1.0).over(whole).alias("obs"), F.max("_b").over(whole).alias("top"))
+    sim = (rows.select("_b", "_id", "market_prob", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_d"))
            .where(rng.uniform(F.col("_id"), F.col("_d"), seed) < F.col("market_prob"))
            .groupBy("_d", "_b").agg(F.sum(1.0 / F.col("market_prob")).alias("w")))
     # Bands without a simulated winner still count, with zero.
-    grid = rows.groupBy("_b").agg(F.lit(0.0).alias("w")).select(
-        F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_d"), "_b", "w")
-    sim = sim.unionByName(grid).groupBy("_d", "_b").agg(F.sum("w").alias("w"))
-    sim = at_or_above(sim, ["_d"], ["w"]).join(seen.select("_b", "n"), "_b")
-    best = sim.groupBy("_d").agg(F.max(F.col("w") / F.col("n") - 1.0).alias("best"))
-    observed = seen.agg(F.max(F.col("w") / F.col("n") - 1.0).alias("o")).scalar()
-    usable = seen.agg(F.max("_b").alias("u")).scalar()
-    return best.withColumns({"obs": observed, "top": usable}).groupBy("obs", "top").agg(
+    empty = bands.select(F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_d"), "_b", F.lit(0.0).alias("w"))
+    sim = sim.unionByName(empty).groupBy("_d", "_b").agg(F.sum("w").alias("w"))
+    sim = at_or_above(sim, ["_d"], ["w"]).join(usable, "_b")
+    best = sim.groupBy("_d", "obs", "top").agg(F.max(F.col("w") / F.col("n") - 1.0).alias("best"))
+    return best.groupBy("obs", "top").agg(
         F.avg((F.col("best") >= F.col("obs")).cast("double")).alias("p"),
         F.avg("best").alias("m"), F.avg((F.col("best") > 0.30).cast("double")).alias("s")).select(
         F.element_at(F.array(*[F.lit(c) for c in cuts]), F.col("top")).alias("widest_usable_cut"),
@@ -132,9 +148,10 @@ def permutation_test(df: DataFrame, keys: Sequence[str], stratum: str, group: st
     """
     keys = list(keys)
     block = [*keys, stratum]
-    base = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(
+    # Four columns, read by every step below: written out once.
+    base = cut_lineage(df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(
         *block, F.col(group).alias("_g"), F.col(value).cast("double").alias("_v"),
-        F.col(ident).cast("bigint").alias("_id"))
+        F.col(ident).cast("bigint").alias("_id")))
     sizes = base.groupBy(*block, "_g").agg(F.count(F.lit(1)).alias("_n"))
     w = W.partitionBy(*block).orderBy("_g")
     sizes = sizes.withColumns({
@@ -157,6 +174,8 @@ def permutation_test(df: DataFrame, keys: Sequence[str], stratum: str, group: st
     spots = (spots.join(mean, keys) if keys else spots.withColumn("_mean", mean.scalar())).select(
         *block, "_chunk", "_pos", (F.col("_v") - F.col("_mean")).alias("_v"))
 
+    # A fixed number of tasks: a chunk costs draws times its bytes.
+    spots = spots.repartition(parallel_parts(base.sparkSession), *block, "_chunk")
     kernel = _shuffled_sums(keys, draws, seed)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}"
                        for f in base.select(*keys, "_g").schema.fields)
@@ -193,13 +212,18 @@ def permutation_test(df: DataFrame, keys: Sequence[str], stratum: str, group: st
 
 
 def permuted(pos: np.ndarray, size: int, draw: int, seed: int) -> np.ndarray:
-    """Where each position goes in one draw; a bijection on 0..size-1."""
+    """Where each position goes in one draw; a bijection on 0..size-1.
+
+    Each round pairs every position with its mirror around a random centre and
+    swaps the pair on a coin that both ends share.
+    """
     x = pos.astype(np.int64)
     for step in range(ROUNDS):
         tick = np.int64(draw * ROUNDS + step)
-        partner = (int(rng.mix_np(tick, np.int64(1), seed)) % size - x) % size
-        coin = rng.mix_np(np.maximum(x, partner), tick, seed + 1) & 1
-        x = np.where(coin == 1, partner, x)
+        partner = int(rng.mix_np(tick, np.int64(1), seed)) % size - x
+        partner += (partner < 0) * size
+        coin = rng.coin_np(np.maximum(x, partner), int(rng.mix_np(tick, np.int64(2), seed + 1)))
+        x += coin * (partner - x)
     return x
 
 
@@ -211,13 +235,15 @@ def _shuffled_sums(keys, draws, seed):
         ends, labels = bounds["_to"].to_numpy(), bounds["_label"].to_numpy()
         size = int(bounds["_size"].iloc[0])
         pos, v = rows["_pos"].to_numpy(), rows["_v"].to_numpy()
-        out = []
+        label, when, total = [], [], []
         for draw in range(1, draws + 1):
             at = np.searchsorted(ends, permuted(pos, size, draw, seed), side="right")
-            sums = np.bincount(at, weights=v, minlength=len(labels))
             hit = np.flatnonzero(np.bincount(at, minlength=len(labels)))
-            out.append(pd.DataFrame({"_g": labels[hit], "_d": draw, "_s": sums[hit]}))
-        done = pd.concat(out, ignore_index=True)
+            label.append(labels[hit])
+            total.append(np.bincount(at, weights=v, minlength=len(labels))[hit])
+            when.append(np.full(len(hit), draw, dtype=np.int32))
+        done = pd.DataFrame({"_g": np.concatenate(label), "_d": np.concatenate(when),
+                             "_s": np.concatenate(total)})
         for k in keys:
             done[k] = rows[k].iloc[0]
         return done[[*keys, "_g", "_d", "_s"]]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -46,3 +47,16 @@ def checkpoint_ready(spark: SparkSession) -> None:
 def cut_lineage(df: DataFrame) -> DataFrame:
     checkpoint_ready(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def parallel_parts(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Even out rows that cost far more to compute on than to move.
+
+    Hashing on columns keeps a recomputed task's rows the same; the extra hash
+    keeps the split from being merged with an equal one made for a join, which
+    would be sized by bytes."""
+    return df.repartition(parallel_parts(df.sparkSession), F.xxhash64(*columns))
