@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fungo import config as C
@@ -13,19 +14,30 @@ STATE = ["late", "is_top", "outs_before", "diff"]
 
 
 def state_before(plays: DataFrame, keys: list[str], turn: str, half: list[str],
-                 outs: str, scores: dict[str, str]) -> DataFrame:
+                 outs: str, scores: dict[str, str], bounded: bool = False) -> DataFrame:
     """State before each play: scores of the previous play, and the last
-    non-zero out count since the half changed, at most two."""
+    non-zero out count since the half changed, at most two.
+
+    ``bounded`` says that a key's plays came out of one document, so plain
+    windows over the key are safe and need a single shuffle.
+    """
     order = id_order(turn, chunk=64)
-    marked = plays.withColumn("_half", F.struct(*half))
-    marked = running(marked, keys, order, lasts={
+
+    def before(df, over, sums=None, lasts=None):
+        if not bounded:
+            return running(df, over, order, sums, lasts)
+        w = W.partitionBy(*over).orderBy(turn).rowsBetween(W.unboundedPreceding, -1)
+        return df.withColumns({
+            **{k: F.coalesce(F.sum(v).over(w), F.lit(0)) for k, v in (sums or {}).items()},
+            **{k: F.last(v, ignorenulls=True).over(w) for k, v in (lasts or {}).items()}})
+
+    marked = before(plays.withColumn("_half", F.struct(*half)), keys, lasts={
         "_was": F.col("_half"),
         **{name: F.coalesce(F.col(source), F.lit(0)) for name, source in scores.items()}})
     changed = F.coalesce(F.col("_half") != F.col("_was"), F.lit(True)).cast("int")
-    marked = running(marked.withColumn("_cut", changed), keys, order, sums={"_earlier": F.col("_cut")})
+    marked = before(marked.withColumn("_cut", changed), keys, sums={"_earlier": F.col("_cut")})
     marked = marked.withColumn("_stint", F.col("_earlier") + F.col("_cut"))
-    marked = running(marked, [*keys, "_stint"], order,
-                     lasts={"_outs": F.when(F.col(outs) != 0, F.col(outs))})
+    marked = before(marked, [*keys, "_stint"], lasts={"_outs": F.when(F.col(outs) != 0, F.col(outs))})
     return marked.withColumns({
         "outs_before": F.least(F.coalesce(F.col("_outs"), F.lit(0)), F.lit(2)).cast("int"),
         **{name: F.coalesce(F.col(name), F.lit(0)) for name in scores},

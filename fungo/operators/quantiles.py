@@ -78,7 +78,7 @@ def _narrowed(df, by, specs, extras):
         return wide
     more = df.groupBy(*by).agg(*[c.alias(n) for n, c in extras.items()])
     renamed = more.select(*[F.col(k).alias(f"_m_{k}") for k in by], *extras)
-    return wide.join(renamed, [F.col(k).eqNullSafe(F.col(f"_m_{k}")) for k in by])
+    return wide.join(renamed, [F.col(k).eqNullSafe(F.col(f"_m_{k}")) for k in by]).select(*by, *specs, *extras)
 
 
 def _inside(long, wanted, group):

@@ -20,7 +20,7 @@ from fungo.operators.prefix import id_order, position
 from fungo.session import cut_lineage, parallel_parts, spread
 
 ROUNDS = 24
-CHUNK = 16384
+CHUNK = 8192
 
 
 def cluster_parts(df: DataFrame, keys: Sequence[str], cluster: str, value: str,

@@ -63,5 +63,5 @@ LANDED = {
         credits_used int, credits_remaining int, fetched_at string,
         data array<struct<id: string, commence_time: string, home_team: string, away_team: string,
         bookmakers: array<struct<key: string, title: string, last_update: string, markets: array<struct<
-        key: string, outcomes: array<struct<name: string, price: double, point: double>>>>>>>""",
+        key: string, outcomes: array<struct<name: string, price: double, point: double>>>>>>>>""",
 }

@@ -102,7 +102,7 @@ def play_states(landed: DataFrame) -> DataFrame:
     p = p.withColumns({k: F.coalesce(F.last(k, ignorenulls=True).over(upto), F.lit(0))
                        for k in ("hs", "as")})
     out = state_before(p, ["game_pk"], "at", ["inning", "is_top"], "outs",
-                       {"home_score_before": "hs", "away_score_before": "as"})
+                       {"home_score_before": "hs", "away_score_before": "as"}, bounded=True)
     return out.select("game_pk", "official_date", "at", "inning", "is_top", "outs_before",
                       "home_score_before", "away_score_before", "pitcher_id")
 

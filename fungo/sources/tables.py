@@ -6,7 +6,9 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from fungo.functions.scalars import id_key
 from fungo.operators.dedup import keep_first, keyed_union
 from fungo.schemas import DDL, LOG_KEYS
 
@@ -23,12 +25,17 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
-    """Project to the table's schema; absent columns become null, unreadable cells too."""
-    fields = df.sparkSession.createDataFrame([], DDL[table]).schema.fields
-    have = set(df.columns)
-    return df.select(*[
-        (F.col(f.name).try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType))
-        .alias(f.name) for f in fields])
+    """Project to the table's schema; absent columns become null, unreadable
+    cells too. A whole number spelled "3313.0" is read as a whole number."""
+    have = dict(df.dtypes)
+
+    def cell(f):
+        if f.name not in have:
+            return F.lit(None).cast(f.dataType)
+        whole = have[f.name] == "string" and f.dataType.simpleString() in ("int", "bigint")
+        return (id_key(F.col(f.name)) if whole else F.col(f.name)).try_cast(f.dataType)
+
+    return df.select(*[cell(f).alias(f.name) for f in StructType.fromDDL(DDL[table]).fields])
 
 
 def read_or_empty(spark: SparkSession, table: str, path: str, fmt: str = "parquet") -> DataFrame:
