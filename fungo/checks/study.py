@@ -131,7 +131,7 @@ LEV = WE + """, sw AS (SELECT h.*, abs(coalesce(r.we, h.overall) - h.we) + abs(c
    LEFT JOIN we r ON r.late = h.late AND r.is_top = h.is_top AND r.outs_before = h.outs_before
         AND r.diff = greatest(least(h.diff + CASE WHEN h.is_top = 0 THEN 1 ELSE -1 END, 8), -8)
    LEFT JOIN we q ON q.late = h.late AND q.is_top = h.is_top AND q.outs_before = least(h.outs_before + 1, 2) AND q.diff = h.diff),
-  lev AS (SELECT late, is_top, outs_before, diff, n, we, swing / (SELECT sum(swing * n) / sum(n) FROM sw) AS leverage FROM sw)"""
+  lev AS (SELECT late, is_top, outs_before, diff, n, we, swing / coalesce(nullif((SELECT sum(swing * n) / sum(n) FROM sw), 0), 1e0) AS leverage FROM sw)"""
 
 
 def staged(spark, d):

@@ -12,7 +12,7 @@ from fungo.session import build_session  # noqa: E402
 def spark():
     session = build_session("local[8]", "tests", **{
         "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "8g",
-        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.bindAddress": "127.0.0.1"})
+        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
