@@ -167,6 +167,26 @@ def quote_to_model(spark, d):
         "game_pk", F.round(S.push_adjusted(c("prob"), c("push")), 6).alias("p"))
 
 
+@query("headline", f"""WITH {SETTLED} SELECT count(*) AS wagers, count(outcome) AS settled, CAST(count(outcome) AS DOUBLE) AS staked,
+  round(sum(profit), 4) AS profit, max(day) FILTER (outcome IS NOT NULL) AS latest_settled, (SELECT count(*) FROM card) AS board_rows,
+  (SELECT arg_max(user_id, ts) FROM events) AS credits_remaining FROM t""")
+def headline(spark, d):
+    credits = table(spark, d, "events").select(c("user_id").alias("credits_remaining"), c("ts").alias("fetched_at"))
+    report = table(spark, d, "region").select(c("r_name").alias("market"), F.lit(None).cast("double").alias("ci_high"))
+    return serving.headline(settled(spark, d), report, credits, card(spark, d)).select(
+        "wagers", "settled", "staked", F.round("profit", 4).alias("profit"), "latest_settled", "board_rows", "credits_remaining")
+
+
+@query("archive_coverage", """WITH p AS (SELECT o_orderkey AS game_pk FROM orders WHERE o_orderpriority <> '5-LOW'),
+  w AS (SELECT l_orderkey AS game_pk, min(l_returnflag) AS roof_category FROM lineitem WHERE l_quantity > 45 GROUP BY 1)
+SELECT roof_category, count(*) AS games, CAST(grouping(roof_category) AS INTEGER) AS is_total FROM p LEFT JOIN w USING (game_pk) GROUP BY ROLLUP (roof_category)""")
+def archive_coverage(spark, d):
+    o = table(spark, d, "orders").select(c("o_orderkey").alias("game_pk"), F.when(c("o_orderpriority") != "5-LOW", 1).alias("home_score"))
+    w = table(spark, d, "lineitem").where(c("l_quantity") > 45).groupBy(c("l_orderkey").alias("game_pk")).agg(
+        F.min("l_returnflag").alias("roof_category"))
+    return serving.archive_coverage(o, w).withColumn("is_total", c("is_total").cast("int"))
+
+
 # ------------------------------------------------------------------ models
 
 INPUTS = ("home_a", "away_a", "home_b", "away_b", "tilt")

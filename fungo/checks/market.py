@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fungo.checks.base import query, table
+from fungo import config as C
 from fungo.functions import rng, scalars as S
 from fungo.operators import match, metrics, quotes as Q
+from fungo.plans import comparison
+from fungo.sources.tables import capture_counts as capture
 
 c = F.col
 
@@ -272,6 +275,64 @@ def wide_disagreements(spark, d):
 SELECT core.market, CASE WHEN games >= 50 THEN delta END AS delta, CAST(coalesce(high < 0, false) AS INTEGER) AS beaten
 FROM core LEFT JOIN ends ON core.market = ends.market""")
 def verdict_summary(spark, d):
-    from fungo.plans.comparison import verdict_rows
     report = metrics.compare(forecasts(spark, d).withColumnRenamed("month", "official_date"))
-    return verdict_rows(report).select("market", "delta", "beaten")
+    return comparison.verdict_rows(report).select("market", "delta", "beaten")
+
+
+CHAIN = f"""o AS (SELECT o_orderkey AS id, o_custkey, CAST(o_orderdate AS DATE) AS official_date,
+    epoch_us(o_orderdate) + 5184000000000 + o_orderkey * 1000000 AS start, o_totalprice,
+    CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS home_win, CAST(floor(o_totalprice / 50000e0) AS INTEGER) - 4 AS run_diff,
+    CAST(floor(o_totalprice / 30000e0) AS INTEGER) AS total_runs FROM orders),
+  {QUOTES}, z AS (SELECT id, official_date, start, epoch_us(l_shipdate) AS taken, book, ph / (ph + pa) AS dv,
+    CASE market WHEN 'A' THEN 'h2h' WHEN 'N' THEN 'spreads' ELSE 'totals' END AS market FROM q JOIN o ON l_orderkey = id WHERE epoch_us(l_shipdate) < start),
+  last AS (SELECT id, max(taken) AS close_at FROM z GROUP BY id),
+  c AS (SELECT id, official_date, market, median(dv) AS price, count(DISTINCT book) AS books FROM z JOIN last USING (id)
+        WHERE taken = close_at GROUP BY id, official_date, market HAVING count(DISTINCT book) >= 1),
+  t AS (SELECT market, c.official_date, price, 0.1e0 + 0.8e0 * (o.o_custkey * 7919 % 1000) / 1000e0 AS model,
+          CAST(CASE market WHEN 'h2h' THEN home_win WHEN 'spreads' THEN CAST(run_diff > 1.5 AS INTEGER) ELSE CAST(total_runs > 8.5 AS INTEGER) END AS DOUBLE) AS y
+        FROM c JOIN o USING (id)),
+  t2 AS (SELECT *, ({LOSS.format('model')}) - ({LOSS.format('price')}) AS gap FROM t)"""
+
+
+@query("closing_line_report", f"""WITH {CHAIN},
+  {bootstrap_sql('t2', ['market'], 'official_date', 'gap', 'y', 200, 11, 10)},
+  core AS (SELECT market, count(*) AS games, avg({LOSS.format('model')}) AS lm, avg({LOSS.format('price')}) AS lp FROM t2 GROUP BY market)
+SELECT core.market, games, round(lm, 5) AS log_loss_model, round(lp, 5) AS log_loss_market, round(lm - lp, 5) AS delta,
+       low AS ci_low, high AS ci_high, CAST(lm < lp AS INTEGER) AS model_beats_market FROM core LEFT JOIN ends USING (market) WHERE games >= 50""")
+def closing_line_report(spark, d):
+    """Quotes of every line, matched to orders by names and start, closed, and
+    held against a forecast: the whole path from quote to verdict."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_totalprice")
+    start = F.timestamp_micros(F.unix_micros(c("o_orderdate").cast("timestamp")) + F.lit(5184000000000) + c("o_orderkey") * 1000000)
+    club = F.translate(F.concat(F.lit("club "), c("o_custkey").cast("string")), "0123456789", "abcdefghij")
+    games = o.select(
+        c("o_orderkey").alias("game_pk"), F.to_date("o_orderdate").alias("official_date"), start.alias("game_date_utc"),
+        club.alias("home_team_name"), F.lit("The Field").alias("away_team_name"),
+        (c("o_orderstatus") == "F").cast("int").alias("home_win"),
+        (F.floor(c("o_totalprice") / 50000.0) - 4).cast("int").alias("run_diff"),
+        F.floor(c("o_totalprice") / 30000.0).cast("int").alias("total_runs"))
+    market = F.when(c("market") == "A", "h2h").when(c("market") == "N", "spreads").otherwise("totals")
+    quotes = book_quotes(spark, d).join(games, c("l_orderkey") == c("game_pk")).select(
+        F.concat(F.lit("e"), c("l_orderkey").cast("string")).alias("event_id"), c("game_date_utc").alias("commence_time"),
+        c("l_shipdate").cast("timestamp").alias("fetched_at"), F.upper("home_team_name").alias("home_team"),
+        F.lit("the  field!").alias("away_team"), market.alias("market"),
+        F.when(c("market") == "N", -1.5).when(c("market") == "R", 8.5).alias("point"), "book_key", "devig_prob_home", "ordinal")
+    model = 0.1 + 0.8 * (c("o_custkey") * 7919 % 1000) / 1000.0
+    lines = F.array(*[F.struct(F.lit(m).alias("market"), F.lit(p).cast("double").alias("point"))
+                      for m, p in C.REFERENCE_LINES])
+    predictions = o.select(c("o_orderkey").alias("game_pk"), model.alias("prob"), F.explode(lines).alias("l")).select(
+        "game_pk", "prob", "l.*")
+    priced, _ = comparison.priced_games(quotes, games, min_books=1)
+    frame = comparison.comparison_frame(priced, predictions, games)
+    return metrics.compare(frame, draws=200).where(c("games") >= 50).select(
+        "market", "games", "log_loss_model", "log_loss_market", "delta", "ci_low", "ci_high", "model_beats_market")
+
+
+@query("capture_counts", f"""WITH {QUOTES} SELECT count(*) FILTER (region = 'us') AS priced_quotes,
+  count(*) FILTER (l_shipdate <= TIMESTAMP '1999-01-01') AS in_play, count(DISTINCT event_id) AS events,
+  (SELECT CAST(sum(l_linenumber) AS BIGINT) FROM lineitem) AS credits FROM q""")
+def capture_counts(spark, d):
+    quotes = book_quotes(spark, d).select("event_id", (c("region") == "us").cast("int").alias("priced"),
+                                          c("l_shipdate").cast("timestamp").alias("commence_time"))
+    spend = table(spark, d, "lineitem").select(c("l_linenumber").cast("string").alias("credits_used"))
+    return capture(quotes, F.lit("1999-01-01").cast("timestamp"), spend)

@@ -21,6 +21,7 @@ from fungo.session import cut_lineage, parallel_parts, spread
 
 ROUNDS = 24
 CHUNK = 8192
+MAX_LABELS = 20_000
 
 
 def cluster_parts(df: DataFrame, keys: Sequence[str], cluster: str, value: str,
@@ -172,16 +173,19 @@ def permutation_test(df: DataFrame, keys: Sequence[str], stratum: str, group: st
         .alias("_part"))
     mean = base.groupBy(*keys).agg(F.avg("_v").alias("_mean"))
     spots = (spots.join(mean, keys) if keys else spots.withColumn("_mean", mean.scalar())).select(
-        *block, "_chunk", "_pos", (F.col("_v") - F.col("_mean")).alias("_v"))
+        *block, "_chunk", "_pos", "_g", "_size", (F.col("_v") - F.col("_mean")).alias("_v"))
 
     # A fixed number of tasks: a chunk costs draws times its bytes.
     spots = spots.repartition(parallel_parts(base.sparkSession), *block, "_chunk")
-    kernel = _shuffled_sums(keys, draws, seed)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}"
                        for f in base.select(*keys, "_g").schema.fields)
-    null = (spots.groupBy(*block, "_chunk").cogroup(bounds.groupBy(*spot, "_part"))
-            .applyInPandas(kernel, f"{schema}, _d int, _s double")
-            .groupBy(*keys, "_g", "_d").agg(F.sum("_s").alias("_s")))
+    most = sizes.groupBy(*block).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= MAX_LABELS:
+        null = (spots.drop("_g", "_size").groupBy(*block, "_chunk").cogroup(bounds.groupBy(*spot, "_part"))
+                .applyInPandas(_shuffled_sums(keys, draws, seed), f"{schema}, _d int, _s double"))
+    else:
+        null = _looked_up(spots, spot, block, keys, draws, seed)
+    null = null.groupBy(*keys, "_g", "_d").agg(F.sum("_s").alias("_s"))
     kept = totals.where(F.col("_w") >= min_rows)
     null = null.join(kept, [*keys, "_g"])
     m = F.col("_s") / F.col("_w")
@@ -248,3 +252,23 @@ def _shuffled_sums(keys, draws, seed):
             done[k] = rows[k].iloc[0]
         return done[[*keys, "_g", "_d", "_s"]]
     return kernel
+
+
+def _looked_up(spots, spot, block, keys, draws, seed):
+    """Positions moved by every draw, joined to the label that lies there. One
+    row per position makes the join free of hot keys."""
+    kept = spots.select(*block, "_pos", "_size", "_v")
+    names = kept.schema.names
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields)
+
+    def move(batches):
+        for batch in batches:
+            for size, part in batch.groupby("_size"):
+                pos = part["_pos"].to_numpy()
+                for draw in range(1, draws + 1):
+                    yield part.assign(_pos=permuted(pos, int(size), draw, seed), _d=np.int32(draw))[[*names, "_d"]]
+
+    moved = kept.mapInPandas(move, f"{ddl}, _d int")
+    there = spots.select(*[F.col(k).alias(b) for k, b in zip(block, spot)], F.col("_pos").alias("_at"), "_g")
+    on = [F.col(k) == F.col(b) for k, b in zip(block, spot)] + [F.col("_pos") == F.col("_at")]
+    return moved.join(there, on).select(*keys, "_g", "_d", F.col("_v").alias("_s"))

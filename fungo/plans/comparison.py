@@ -9,6 +9,7 @@ from fungo import config as C
 from fungo.functions import scalars as S
 from fungo.operators import metrics, quotes as Q
 from fungo.operators.match import match_events, unmatched
+from fungo.session import cut_lineage
 
 c = F.col
 
@@ -56,7 +57,8 @@ def comparison_frame(priced: DataFrame, predictions: DataFrame, games: DataFrame
 def market_report(quotes: DataFrame, games: DataFrame, predictions: DataFrame,
                   draws: int = 2000) -> tuple[DataFrame, DataFrame]:
     """(coverage, verdict per price and market)."""
-    priced, missing = priced_games(quotes, games)
+    # A few rows per game, read four times below: written once.
+    priced, missing = (cut_lineage(df) for df in priced_games(quotes, games))
     cover = Q.coverage(quotes, missing, priced)
     parts = [metrics.compare(comparison_frame(priced, predictions, games, p), draws)
              .withColumn("price", F.lit(p)) for p in ("close_prob", "entry_prob")]
