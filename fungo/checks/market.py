@@ -10,6 +10,7 @@ from fungo import config as C
 from fungo.functions import rng, scalars as S
 from fungo.operators import match, metrics, quotes as Q
 from fungo.plans import comparison
+from fungo.session import cut_lineage
 from fungo.sources.tables import capture_counts as capture
 
 c = F.col
@@ -322,6 +323,8 @@ def closing_line_report(spark, d):
                       for m, p in C.REFERENCE_LINES])
     predictions = o.select(c("o_orderkey").alias("game_pk"), model.alias("prob"), F.explode(lines).alias("l")).select(
         "game_pk", "prob", "l.*")
+    # Stands for the stored quote log, which is a table in practice.
+    quotes = cut_lineage(quotes)
     priced, _ = comparison.priced_games(quotes, games, min_books=1)
     frame = comparison.comparison_frame(priced, predictions, games)
     return metrics.compare(frame, draws=200).where(c("games") >= 50).select(

@@ -9,6 +9,7 @@ from fungo import config as C
 from fungo.functions import scalars as S
 from fungo.operators.dedup import keep_best
 from fungo.operators.quantiles import HOT_ROWS, quantiles
+from fungo.session import cut_lineage
 
 
 def with_side(outcomes: DataFrame) -> DataFrame:
@@ -152,7 +153,9 @@ def entry_close(quotes: DataFrame, min_books: int = C.MIN_BOOKS,
     hit = at.join(instants, "event_id")
     entry = F.col("taken").eqNullSafe(F.col("entry_at"))
     close = F.col("taken") == F.col("close_at")
-    hit = hit.where(entry | close)
+    # Only the quotes of two instants per event are left; written once, as they
+    # are counted before they are ranked.
+    hit = cut_lineage(hit.where(entry | close))
     books = quantiles(
         hit, ["event_id", "line"],
         {"entry_prob": (F.when(entry, F.col("devig_prob_home")), "median"),
