@@ -9,6 +9,7 @@ only the games inside the limit, whatever the length of the stretch.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 
@@ -51,51 +52,88 @@ def match_events(events: DataFrame, games: DataFrame,
         _walker(limit), "event_id string, game_pk string, gap_hours double")
 
 
+class _Open:
+    """Unclaimed games of one stretch in start order, with skips over claimed
+    ones, so that the nearest free game is found without scanning."""
+
+    def __init__(self):
+        self.starts, self.ids, self.right, self.left = [], [], [], []
+
+    def add(self, start, ident):
+        at = len(self.starts)
+        self.starts.append(start)
+        self.ids.append(ident)
+        self.right.append(at)
+        self.left.append(at)
+
+    @staticmethod
+    def _seek(skip, at):
+        seen = []
+        while 0 <= at < len(skip) and skip[at] != at:
+            seen.append(at)
+            at = skip[at]
+        for k in seen:
+            skip[k] = at
+        return at if 0 <= at < len(skip) else None
+
+    def take_nearest(self, at, limit):
+        """(id, gap) of the nearest free game within ``limit``; on equal gaps the
+        earlier start, then the smaller id."""
+        cut = bisect_left(self.starts, at)
+        after = self._seek(self.right, cut)
+        before = self._seek(self.left, cut - 1)
+        if before is not None:
+            before = self._seek(self.right, bisect_left(self.starts, self.starts[before]))
+        picks = [(abs(self.starts[k] - at), k) for k in (before, after) if k is not None]
+        if not picks or min(picks)[0] > limit:
+            return None, None
+        gap, k = min(picks)
+        self.right[k], self.left[k] = k + 1, k - 1
+        return self.ids[k], gap
+
+    def forget(self, before):
+        """Drop games that no later event can reach, a large batch at a time."""
+        n = bisect_left(self.starts, before)
+        if n < 50_000:
+            return
+        self.starts, self.ids = self.starts[n:], self.ids[n:]
+        self.right = [max(k - n, 0) for k in self.right[n:]]
+        self.left = [max(k - n, -1) for k in self.left[n:]]
+
+
 def _walker(limit: int):
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, window, waiting = None, deque(), deque()
+        key, games, waiting = None, _Open(), deque()
+
+        def settle(now=None):
+            # An event is settled, in order, once no later game can reach it.
+            out = []
+            while waiting and (now is None or waiting[0][0] + limit < now):
+                at, event = waiting.popleft()
+                game, gap = games.take_nearest(at, limit)
+                out.append((event, game, None if gap is None else gap / 3.6e9))
+                games.forget(at - limit)
+            return out
+
         for batch in batches:
             out = []
             for row in zip(*[batch[c].tolist() for c in (*PAIR, "stretch", "at", "is_event", "id")]):
                 here, at, is_event, ident = row[:3], row[3], row[4], row[5]
                 if here != key:
-                    out += _decide(window, waiting, limit, None)
-                    key, window, waiting = here, deque(), deque()
-                # An event is settled once no later game can be within reach.
-                out += _decide(window, waiting, limit, at)
+                    out += settle()
+                    key, games = here, _Open()
+                out += settle(at)
                 if is_event:
                     waiting.append((at, ident))
                 else:
-                    window.append((at, ident))
+                    games.add(at, ident)
             if out:
                 yield pd.DataFrame(out, columns=["event_id", "game_pk", "gap_hours"])
-        last = _decide(window, waiting, limit, None)
+        last = settle()
         if last:
             yield pd.DataFrame(last, columns=["event_id", "game_pk", "gap_hours"])
     return walk
 
 
-def _decide(games: deque, waiting: deque, limit: int, now: int | None) -> list:
-    """Settle waiting events, in order, whose reach ended before ``now``."""
-    out = []
-    while waiting and (now is None or waiting[0][0] + limit < now):
-        at, event = waiting.popleft()
-        while games and games[0][0] < at - limit:
-            games.popleft()
-        best = None
-        for index, (start, _) in enumerate(games):
-            if start > at + limit:
-                break
-            if best is None or abs(start - at) < abs(games[best][0] - at):
-                best = index
-        if best is None:
-            out.append((event, None, None))
-        else:
-            start, game = games[best]
-            out.append((event, game, abs(start - at) / 3.6e9))
-            del games[best]
-    return out
-
-
 def unmatched(matches: DataFrame) -> DataFrame:
     return matches.where(F.col("game_pk").isNull()).select("event_id")

@@ -52,6 +52,20 @@ def test_same_as_walking_every_game(spark, seed, span):
     assert run(spark, events, games) == want
 
 
+def test_forgetting_changes_nothing():
+    from fungo.operators import match as M
+    rng = random.Random(8)
+    kept, cut = M._Open(), M._Open()
+    starts = sorted(rng.randint(0, 10**7) for _ in range(120_000))
+    for k, s in enumerate(starts):
+        kept.add(s, k)
+        cut.add(s, k)
+    for at in sorted(rng.randint(0, 10**7) for _ in range(60_000)):
+        assert kept.take_nearest(at, 500) == cut.take_nearest(at, 500)
+        cut.forget(at - 500)
+    assert len(cut.starts) < len(kept.starts)
+
+
 def test_names_meet_through_aliases(spark):
     quotes = spark.createDataFrame([("e", "Oakland Athletics", "Cleveland Indians", T0, 0)],
                                    "event_id string, home_team string, away_team string, commence timestamp, ordinal bigint")
