@@ -9,6 +9,7 @@ from fungo.checks.base import query, scratch, table
 from fungo.functions import scalars as S
 from fungo.operators import ledger as L
 from fungo.plans import modelling, serving
+from fungo.session import cut_lineage
 from fungo.streaming import quotes as stream
 
 c = F.col
@@ -219,7 +220,8 @@ def poisson_glm(spark, d):
 
 @query("walk_forward")
 def walk_forward(spark, d):
-    rows = two_sided_orders(spark, d)
+    # Stands for the stored feature table.
+    rows = cut_lineage(two_sided_orders(spark, d))
     seasons = [r[0] for r in rows.select("season").distinct().orderBy("season").collect()][-2:]
     out = modelling.walk_forward(rows.select("game_pk", "official_date", "season", *INPUTS), rows, seasons,
                                  columns=INPUTS, min_train=200)

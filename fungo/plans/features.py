@@ -15,6 +15,7 @@ from fungo.functions import scalars as S
 from fungo.operators.dedup import keep_first
 from fungo.operators.elo import elo_ratings
 from fungo.operators.prefix import day_order, last_n_before, running
+from fungo.session import cut_lineage
 
 c = F.col
 ORDER = day_order("official_date", "game_pk")
@@ -165,7 +166,7 @@ def build_features(games: DataFrame, parks: DataFrame, weather: DataFrame | None
             F.sum(F.when(c("is_starter") == 0, c("runs"))).alias("g_relief_runs"))
         relief = lines.where(c("is_starter") == 0).groupBy("game_pk", "team").agg(
             F.sum("outs").alias("relief_outs"), F.sum("runs").alias("relief_runs"))
-        own = starter_lines(sides, lines)
+        own = cut_lineage(starter_lines(sides, lines))
     else:
         nothing = "double"
         per_game = base.where(F.lit(False)).select("game_pk", *[
@@ -177,18 +178,20 @@ def build_features(games: DataFrame, parks: DataFrame, weather: DataFrame | None
             F.lit(None).cast(nothing).alias(f"sp_{k}") for k in LINE_SUMS],
             F.lit(None).cast("bigint").alias("sp_lines"))
 
+    # Each state is written out by itself: the plans stay small, and a lost
+    # executor costs one state rather than the whole frame.
     key = ["game_pk", "side"]
-    per_side = (team_state(sides).join(staff_state(sides, relief), key)
-                .join(starter_proxy(sides), key, "left").join(own, key, "left"))
+    per_side = (cut_lineage(team_state(sides)).join(cut_lineage(staff_state(sides, relief)), key)
+                .join(cut_lineage(starter_proxy(sides)), key, "left").join(own, key, "left"))
     fields = [f for f in per_side.columns if f not in key]
     wide = per_side.groupBy("game_pk").agg(*[
         F.max(F.when(c("side") == s, c(f))).alias(f"{s}_{f}") for s in ("home", "away") for f in fields])
-    out = out.join(wide, "game_pk").join(league_state(base, per_game), "game_pk")
+    out = out.join(wide, "game_pk").join(cut_lineage(league_state(base, per_game)), "game_pk")
 
     known = base.where(c("venue_id").isNotNull()).select(
         "game_pk", "venue_id", "official_date", "played", (c("home_score") + c("away_score")).alias("both"))
     venue = running(known, ["venue_id"], ORDER, sums={"pk_runs": c("both"), "pk_games": c("played").cast("int")})
-    out = out.join(venue.select("game_pk", "pk_runs", "pk_games"), "game_pk", "left")
+    out = out.join(cut_lineage(venue.select("game_pk", "pk_runs", "pk_games")), "game_pk", "left")
 
     if umpires is not None:
         worked = umpires.groupBy("game_pk").agg(F.first(S.id_key(c("hp_umpire_id"))).alias("ump"))
@@ -199,7 +202,8 @@ def build_features(games: DataFrame, parks: DataFrame, weather: DataFrame | None
             "um_runs": c("both"), "um_games": c("played").cast("int"),
             "um_ks": F.when(c("played"), c("g_ks")),
             "um_kgames": (c("played") & c("g_ks").isNotNull()).cast("int")})
-        out = out.join(seen.select("game_pk", "um_runs", "um_games", "um_ks", "um_kgames"), "game_pk", "left")
+        seen = cut_lineage(seen.select("game_pk", "um_runs", "um_games", "um_ks", "um_kgames"))
+        out = out.join(seen, "game_pk", "left")
     else:
         out = out.withColumns({k: F.lit(None).cast("double") for k in ("um_runs", "um_games", "um_ks", "um_kgames")})
 

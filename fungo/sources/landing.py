@@ -172,6 +172,26 @@ def servable(games: DataFrame, today: Column, archive: bool) -> Column:
     return F.coalesce(inside, F.lit(False))
 
 
+def weather_for_games(games: DataFrame, hourly: DataFrame, parks: DataFrame, today: Column,
+                      archive: bool = True, done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(weather rows, one row of counts) for games not done yet.
+
+    A forecast is never resumed: with ``archive`` false, ``done`` is ignored and
+    the caller replaces the whole forecast table.
+    """
+    known = parks.select("venue_id", F.lit(1).alias("_known"))
+    g = games.withColumn("_venue", S.id_key(c("venue_id"))).join(
+        known.withColumnRenamed("venue_id", "_venue"), "_venue", "left")
+    if archive and done is not None:
+        g = g.join(done.select("game_pk").distinct(), "game_pk", "left_anti")
+    inside = servable(g, today, archive)
+    rows = game_weather(g.where(c("_known").isNotNull() & inside), hourly, parks, archive)
+    counts = g.agg(F.count_if(c("_known").isNull()).alias("unknown_park"),
+                   F.count_if(c("_known").isNotNull() & ~inside).alias("outside_window"))
+    missing = rows.agg(F.count_if(c("found").isNull()).alias("v")).scalar()
+    return rows.where(c("found").isNotNull()).drop("found"), counts.withColumn("missing_hour", missing)
+
+
 def odds_outcomes(landed: DataFrame) -> DataFrame:
     """Nested odds to one row per quoted outcome, in document order."""
     b = landed.select(c("id").alias("event_id"), "commence_time", "home_team", "away_team", "region",

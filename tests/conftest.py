@@ -11,7 +11,7 @@ from fungo.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = build_session("local[8]", "tests", **{
-        "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "8g",
+        "spark.sql.shuffle.partitions": "2", "spark.default.parallelism": "2", "spark.driver.memory": "8g",
         "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -92,6 +92,12 @@ def test_hourly_weather_onto_games(spark, tmp_path):
     today = F.lit("2025-04-13").cast("date")
     assert [r.game_pk for r in games.where(L.servable(games, today, True)).orderBy("game_pk").collect()] == [1, 3]
     assert games.where(L.servable(games, today, False)).count() == 1
+    more = games.unionByName(spark.createDataFrame([(4, 77.0, dt.datetime(2025, 4, 11, 23), dt.date(2025, 4, 11))], games.schema))
+    rows, counts = L.weather_for_games(more, hourly, parks, F.lit("2025-04-20").cast("date"), True, games.where("game_pk = 3"))
+    assert [r.game_pk for r in rows.collect()] == [1]
+    assert tuple(counts.select("unknown_park", "outside_window", "missing_hour").first()) == (1, 0, 1)
+    late, counts = L.weather_for_games(more, hourly, parks, F.lit("2025-04-20").cast("date"), False)
+    assert late.count() == 0 and counts.first().outside_window == 3
 
 
 EVENT = {"id": "e1", "commence_time": "2025-04-17T23:00:00Z", "home_team": "H", "away_team": "A", "bookmakers": [
@@ -171,6 +177,9 @@ def test_replace_reads_its_own_target(spark, tmp_path):
 
 def test_missing_tables_and_credits(spark, tmp_path):
     assert T.read_or_empty(spark, "weather", f"{tmp_path}/none").count() == 0
+    T.replace_table(T.read_or_empty(spark, "card", f"{tmp_path}/none"), f"{tmp_path}/card")
+    empty = T.read_or_empty(spark, "card", f"{tmp_path}/card")
+    assert empty.count() == 0 and "disagreement" in empty.columns
     (tmp_path / "u.csv").write_text("game_pk,hp_umpire_id,official_date\n1,,2025-04-11\n2,9.0,\n")
     rows = {r.game_pk: r for r in T.read_or_empty(spark, "umpires", f"{tmp_path}/u.csv", "csv").collect()}
     assert rows[1].hp_umpire_id is None and rows[2].hp_umpire_id == 9 and rows[1].hp_umpire_name is None
