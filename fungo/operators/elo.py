@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from fungo import config as C
 from fungo.functions import scalars as S
 from fungo.operators.prefix import day_order, running
-from fungo.session import cut_lineage
+from fungo.session import cut_lineage, parallel_parts
 
 WALK_LIMIT = 5_000_000
 NEEDED = ["game_pk", "official_date", "season", "home_team_id", "away_team_id",
@@ -51,7 +51,7 @@ def walk(games: DataFrame) -> DataFrame:
     ordered = (games.withColumn("season", F.col("season").cast("int"))
                .withColumns({c: S.id_key(F.col(c)) for c in ("home_team_id", "away_team_id")})
                .withColumns({c: F.col(c).cast("double") for c in ("home_score", "away_score")})
-               .repartition("league")
+               .repartition(parallel_parts(games.sparkSession), "league")
                .sortWithinPartitions("league", "official_date", "game_pk")
                .select("league", *[c for c in NEEDED if c != "official_date"]))
     kind = games.schema["game_pk"].dataType.simpleString()

@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fungo import config as C
+from fungo.session import parallel_parts
 
 PAIR = ["home_key", "away_key"]
 
@@ -46,7 +47,7 @@ def match_events(events: DataFrame, games: DataFrame,
     cells = cells.withColumn("cut", F.when(gap, 1).otherwise(0)).withColumn(
         "stretch", F.sum("cut").over(w.rowsBetween(W.unboundedPreceding, 0)))
     walked = (tagged.join(cells.select(*PAIR, "cell", "stretch"), [*PAIR, "cell"])
-              .repartition(*PAIR, "stretch")
+              .repartition(parallel_parts(events.sparkSession), *PAIR, "stretch")
               .sortWithinPartitions(*PAIR, "stretch", "at", "is_event", F.length("id"), "id"))
     return walked.select(*PAIR, "stretch", "at", "is_event", "id").mapInPandas(
         _walker(limit), "event_id string, game_pk string, gap_hours double")
