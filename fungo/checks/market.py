@@ -320,7 +320,7 @@ def closing_line_report(spark, d):
         F.when(c("market") == "N", -1.5).when(c("market") == "R", 8.5).alias("point"), "book_key", "devig_prob_home", "ordinal")
     model = 0.1 + 0.8 * (c("o_custkey") * 7919 % 1000) / 1000.0
     lines = F.array(*[F.struct(F.lit(m).alias("market"), F.lit(p).cast("double").alias("point"))
-                      for m, p in C.REFERENCE_LINES])
+                      for m, p in C.USUAL_LINES])
     predictions = o.select(c("o_orderkey").alias("game_pk"), model.alias("prob"), F.explode(lines).alias("l")).select(
         "game_pk", "prob", "l.*")
     # Stands for the stored quote log, which is a table in practice.

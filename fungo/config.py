@@ -4,7 +4,7 @@
 MARKETS = ("h2h", "spreads", "totals")
 PRICED_REGIONS = ("us",)
 LEADER_BOOKS = ("pinnacle", "betonlineag", "lowvig", "circasports")
-MODEL_VERSION = "diamond-v0"
+MODEL_VERSION = "runs-v1"
 CONSENSUS_VERSION = "paired-book-devig-v1"
 STAKING_POLICY = "paper-flat-1u-daycap3-v1"
 MIN_BOOKS = 3
@@ -18,7 +18,7 @@ MIN_LOCK_MINUTES = 20
 MAX_LOCK_MINUTES = 240
 MIN_ENTRY_HOURS = 20
 MAX_START_DRIFT_HOURS = 12
-REFERENCE_LINES = (("h2h", None), ("spreads", -1.5), ("totals", 8.5))
+USUAL_LINES = (("h2h", None), ("spreads", -1.5), ("totals", 8.5))
 
 # Spellings of club names that denote the same franchise.
 TEAM_ALIASES = {

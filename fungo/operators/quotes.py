@@ -129,9 +129,9 @@ def first_per_event(quotes: DataFrame, columns: list[str], ordinal: str) -> Data
 
 
 def entry_close(quotes: DataFrame, min_books: int = C.MIN_BOOKS,
-                entry_hours: float = C.MIN_ENTRY_HOURS, lines=C.REFERENCE_LINES,
+                entry_hours: float = C.MIN_ENTRY_HOURS, lines=C.USUAL_LINES,
                 hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Entry and close consensus per event and reference line.
+    """Entry and close consensus per event and usual line.
 
     Entry is the earliest snapshot at least ``entry_hours`` before the start,
     close the latest before it. Only quotes struck at exactly those instants
@@ -147,7 +147,7 @@ def entry_close(quotes: DataFrame, min_books: int = C.MIN_BOOKS,
         F.when((F.col("market") == m) & (F.lit(True) if p is None else
                                          S.close_to(F.col("point"), F.lit(float(p)))), i)
         for i, (m, p) in enumerate(lines)])
-    # Filter to the reference lines first, so the join carries only what is used.
+    # Filter to the usual lines first, so the join carries only what is used.
     at = quotes.select("event_id", "taken", "book_key", "devig_prob_home",
                        line.alias("line")).where(F.col("line").isNotNull())
     hit = at.join(instants, "event_id")

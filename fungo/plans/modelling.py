@@ -102,7 +102,7 @@ class RunsModel:
             "game_pk", S.clip(c("mean"), 0.2, 20.0).alias("away_mean"))
         return home.join(away, "game_pk")
 
-    def price(self, features: DataFrame, games: DataFrame, points=C.REFERENCE_LINES) -> DataFrame:
+    def price(self, features: DataFrame, games: DataFrame, points=C.USUAL_LINES) -> DataFrame:
         lengths = games.select("game_pk", c("scheduled_innings").alias("innings"))
         return price_games(self.expected(features).join(lengths, "game_pk", "left"), self.width, points)
 
@@ -147,7 +147,7 @@ def fit_runs(features: DataFrame, games: DataFrame, kind: str = "glm",
 
 def walk_forward(features: DataFrame, games: DataFrame, seasons: Sequence[int], kind: str = "glm",
                  columns: Sequence[str] = C.FEATURE_COLUMNS, min_train: int = 1500,
-                 points=C.REFERENCE_LINES) -> DataFrame | None:
+                 points=C.USUAL_LINES) -> DataFrame | None:
     """Price each season by a model that saw only earlier ones. The loop runs
     over seasons, a handful; every step inside it is distributed."""
     sizes = {r["season"]: r["count"] for r in features.groupBy("season").count().collect()}

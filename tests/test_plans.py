@@ -43,7 +43,7 @@ def test_quotes_to_verdict(spark):
     games = spread_out(160)
     df = world.frame(spark, games, world.GAME_DDL)
     r = random.Random(1)
-    lines = [(g["game_pk"], m, p, r.uniform(0.3, 0.7), 0.0) for g in games for m, p in C.REFERENCE_LINES]
+    lines = [(g["game_pk"], m, p, r.uniform(0.3, 0.7), 0.0) for g in games for m, p in C.USUAL_LINES]
     predictions = spark.createDataFrame(lines, "game_pk bigint, market string, point double, prob double, push double")
     cover, report = comparison.market_report(market(spark, games), df, predictions, draws=200)
     row = cover.first()
