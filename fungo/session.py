@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +29,25 @@ def build_session(master: str | None = None, app: str = "fungo", **conf) -> Spar
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session, wherever the driver found it."""
+    context = spark.sparkContext
+    if getattr(context, "_fungo_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(prefix="fungo-"), "fungo.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent))
+    context.addPyFile(path)
+    context._fungo_shipped = True
+
+
+def is_local(master: str) -> bool:
+    """One machine, one process; a local cluster has executors of its own."""
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_ready(spark: SparkSession) -> None:
     """Make sure checkpoints go to a folder every executor can read.
 
@@ -38,7 +60,7 @@ def checkpoint_ready(spark: SparkSession) -> None:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         context.setCheckpointDir(named)
-    elif context.master.startswith("local"):
+    elif is_local(context.master):
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
