@@ -1,9 +1,11 @@
-"""Exact medians and order statistics per group, safe for very large groups.
+"""Exact medians and order statistics per group, whatever the size of a group.
 
 The built-in ``percentile`` keeps every distinct value of a group in one
-buffer. That is right for ordinary groups. A group beyond ``hot_rows`` is
-instead narrowed by counting: each pass counts the values falling in equal
-slices of the current interval and keeps the slice that holds the wanted rank.
+buffer. Here equal values are counted first (with map-side combining), the
+value axis is cut into slices of equal relative width, and counts are summed
+along it: first over the slices of a group, then over the values of the slices
+that hold a wanted rank. No window sees more than the slices of a group or the
+distinct values of a slice.
 """
 
 from __future__ import annotations
@@ -14,88 +16,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-HOT_ROWS = 2_000_000
-SLICES = 4096
+SLICES_PER_DOUBLING = 512
+
+
+def slice_of(v: Column) -> Column:
+    """A number that never decreases along the values; NaN is the largest value."""
+    step = F.floor(F.greatest(F.least(F.log2(F.abs(v)), F.lit(1100.0)), F.lit(-1100.0)) * SLICES_PER_DOUBLING)
+    far = F.lit(1101 * SLICES_PER_DOUBLING)
+    return (F.when(F.isnan(v), 3 * far).when(v == 0, F.lit(0)).otherwise(F.signum(v) * (step + far))).cast("bigint")
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], specs: Mapping[str, tuple[Column, str]],
-              extras: Mapping[str, Column] | None = None,
-              hot_rows: int = HOT_ROWS) -> DataFrame:
+              extras: Mapping[str, Column] | None = None) -> DataFrame:
     """``specs`` maps an output name to (value, "median" or "upper").
 
     "upper" is the larger of the two middle values. ``extras`` are ordinary
-    aggregates computed beside them. Null values are ignored.
+    aggregates computed beside them. Null values are ignored; a group of nulls
+    only has a null. Without keys there is one row, even of empty input.
     """
     keys, extras = list(keys), dict(extras or {})
-    df = df.withColumns({f"_q_{n}": v.cast("double") for n, (v, _) in specs.items()})
-    if not keys:
-        df = df.withColumn("_all", F.lit(0))
-    by = keys or ["_all"]
-    # At most rows / hot_rows groups can pass, so this table stays broadcastable.
-    hot = (df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-           .select(*[F.col(k).alias(f"_h_{k}") for k in by], F.lit(True).alias("_hot")))
-    same = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in by]
-    if not hot.head(1):
-        return _direct(df, by, specs, extras).select(*keys, *specs, *extras)
-    marked = df.join(F.broadcast(hot), same, "left").drop(*[f"_h_{k}" for k in by])
-    cold = _direct(marked.where(F.col("_hot").isNull()), by, specs, extras)
-    large = _narrowed(marked.where(F.col("_hot")), by, specs, extras)
-    return cold.unionByName(large).select(*keys, *specs, *extras)
-
-
-def _direct(df, by, specs, extras):
-    out = []
-    for name, (_, kind) in specs.items():
-        out.append(F.median(f"_q_{name}").alias(name) if kind == "median" else
-                   F.expr(f"percentile_disc(0.5) within group (order by `_q_{name}` desc)").alias(name))
-    return df.groupBy(*by).agg(*out, *[c.alias(n) for n, c in extras.items()])
-
-
-def _narrowed(df, by, specs, extras):
-    kinds = F.create_map(*[x for n, (_, k) in specs.items() for x in (F.lit(n), F.lit(k))])
-    long = (df.select(*by, F.explode(F.array(*[
-        F.struct(F.lit(n).alias("spec"), F.col(f"_q_{n}").alias("v")) for n in specs])).alias("s"))
-        .select(*by, "s.spec", "s.v").where(F.col("v").isNotNull()))
-    group = [*by, "spec"]
-    span = long.groupBy(*group).agg(F.count("v").alias("n"), F.min("v").alias("lo"),
-                                    F.max("v").alias("hi"))
-    low = F.when(kinds[F.col("spec")] == "upper", F.floor(F.col("n") / 2)).otherwise(
-        F.floor((F.col("n") - 1) / 2))
-    wanted = span.select(*group, "lo", "hi", F.explode(F.array_distinct(
-        F.array(low, F.floor(F.col("n") / 2)))).alias("rank"))
-    wanted = wanted.withColumn("target", F.col("rank"))
-    for _ in range(3):
-        wanted = _slice(long, wanted, group)
-    # Count the distinct values left in the interval and read the rank off.
-    left = (_inside(long, wanted, group).groupBy(*group, "target", "rank", "v")
-            .agg(F.count(F.lit(1)).alias("c")))
-    upto = F.sum("c").over(W.partitionBy(*group, "target").orderBy("v"))
-    picked = (left.withColumn("upto", upto)
-              .where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("c") <= F.col("rank"))))
-    wide = picked.groupBy(*by).agg(*[
-        F.avg(F.when(F.col("spec") == n, F.col("v"))).alias(n) for n in specs])
-    if not extras:
-        return wide
-    more = df.groupBy(*by).agg(*[c.alias(n) for n, c in extras.items()])
-    renamed = more.select(*[F.col(k).alias(f"_m_{k}") for k in by], *extras)
-    return wide.join(renamed, [F.col(k).eqNullSafe(F.col(f"_m_{k}")) for k in by]).select(*by, *specs, *extras)
-
-
-def _inside(long, wanted, group):
-    # One row per hot group, statistic and rank: bounded like the hot groups.
-    w = wanted.select(*[F.col(k).alias(f"_w_{k}") for k in group], "target", "rank", "lo", "hi")
-    same = [F.col(k).eqNullSafe(F.col(f"_w_{k}")) for k in group]
-    return long.join(F.broadcast(w), [*same, F.col("v").between(F.col("lo"), F.col("hi"))])
-
-
-def _slice(long, wanted, group):
-    width = F.col("hi") - F.col("lo")
-    cell = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / width * SLICES),
-                                     F.lit(SLICES - 1))).otherwise(F.lit(0))
-    counted = (_inside(long, wanted, group).groupBy(*group, "target", "rank", cell.alias("cell"))
-               .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")))
-    upto = F.sum("c").over(W.partitionBy(*group, "target").orderBy("cell"))
-    return (counted.withColumn("upto", upto)
-            .where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("c") <= F.col("rank")))
-            .select(*group, "lo", "hi", (F.col("rank") - (F.col("upto") - F.col("c"))).alias("rank"),
-                    "target"))
+    aside = {"_rows": F.count(F.lit(1)), **extras}
+    groups = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aside.items()])
+    long = (df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.explode(F.array(*[
+        F.struct(F.lit(n).alias("_spec"), v.cast("double").alias("_v")) for n, (v, _) in specs.items()])).alias("_s"))
+        .select(*[f"_k{i}" for i in range(len(keys))], "_s.*").where(F.col("_v").isNotNull()))
+    by = [f"_k{i}" for i in range(len(keys))]
+    group = [*by, "_spec"]
+    counted = (long.withColumn("_v", F.col("_v") + F.lit(0.0)).withColumn("_slice", slice_of(F.col("_v")))
+               .groupBy(*group, "_slice", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    slices = counted.groupBy(*group, "_slice").agg(F.sum("_c").alias("_c"))
+    whole = W.partitionBy(*group)
+    placed = slices.select(*group, "_slice", "_c", F.sum("_c").over(whole).alias("_n"),
+                           F.sum("_c").over(whole.orderBy("_slice")).alias("_upto"))
+    upper = [n for n, (_, kind) in specs.items() if kind == "upper"]
+    low = F.when(F.col("_spec").isin(upper), F.floor(F.col("_n") / 2)).otherwise(F.floor((F.col("_n") - 1) / 2))
+    ranks = placed.withColumn("_rank", F.explode(F.array_distinct(F.array(low, F.floor(F.col("_n") / 2))))).where(
+        (F.col("_upto") > F.col("_rank")) & (F.col("_upto") - F.col("_c") <= F.col("_rank")))
+    ranks = ranks.groupBy(*group, "_slice").agg(F.collect_set(F.col("_rank") - (F.col("_upto") - F.col("_c"))).alias("_ranks"))
+    spot = [f"_w{i}" for i in range(len(group))]
+    wanted = ranks.select(*[F.col(k).alias(s) for k, s in zip(group, spot)], F.col("_slice").alias("_at"), "_ranks")
+    same = [F.col(k).eqNullSafe(F.col(s)) for k, s in zip(group, spot)]
+    inside = counted.join(wanted, [*same, F.col("_slice") == F.col("_at")])
+    upto = F.sum("_c").over(W.partitionBy(*group, "_slice").orderBy("_v"))
+    picked = inside.select(*group, "_v", "_c", "_ranks", upto.alias("_to")).where(
+        F.exists("_ranks", lambda r: (r < F.col("_to")) & (r >= F.col("_to") - F.col("_c"))))
+    wide = picked.groupBy(*by).agg(*[F.avg(F.when(F.col("_spec") == n, F.col("_v"))).alias(n) for n in specs])
+    if keys:
+        out = groups.join(wide, [F.col(k).eqNullSafe(F.col(b)) for k, b in zip(keys, by)], "left")
+    else:
+        out = groups.join(wide, F.lit(True), "left")  # one row each
+    return out.select(*keys, *specs, *extras)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fungo import config as C
 from fungo.functions import scalars as S
 from fungo.operators.dedup import keep_best
-from fungo.operators.quantiles import HOT_ROWS, quantiles
+from fungo.operators.quantiles import quantiles
 from fungo.session import cut_lineage
 
 
@@ -81,8 +81,7 @@ def priced_quotes(paired: DataFrame) -> DataFrame:
 
 
 def consensus_lines(quotes: DataFrame, keys=("event_id", "market", "point"),
-                    ordinal: str = "ordinal", leaders=C.LEADER_BOOKS,
-                    hot_rows: int = HOT_ROWS) -> DataFrame:
+                    ordinal: str = "ordinal", leaders=C.LEADER_BOOKS) -> DataFrame:
     """One consensus row per (event, market, point) with at least one priced quote.
 
     Leaders are read from every region, followers from priced non-leaders.
@@ -111,7 +110,7 @@ def consensus_lines(quotes: DataFrame, keys=("event_id", "market", "point"),
         **best("home"), **best("away"),
         "leader_books": F.count_if(leader), "follower_books": F.count_if(follower),
     }
-    out = quantiles(quotes, list(keys), specs, extras, hot_rows).where(F.col("market_books") > 0)
+    out = quantiles(quotes, list(keys), specs, extras).where(F.col("market_books") > 0)
     rounded = ("consensus_prob_home", "market_spread", "leader_prob_home", "follower_prob_home")
     return out.withColumns({c: F.round(c, 8) for c in rounded})
 
@@ -129,8 +128,7 @@ def first_per_event(quotes: DataFrame, columns: list[str], ordinal: str) -> Data
 
 
 def entry_close(quotes: DataFrame, min_books: int = C.MIN_BOOKS,
-                entry_hours: float = C.MIN_ENTRY_HOURS, lines=C.USUAL_LINES,
-                hot_rows: int = HOT_ROWS) -> DataFrame:
+                entry_hours: float = C.MIN_ENTRY_HOURS, lines=C.USUAL_LINES) -> DataFrame:
     """Entry and close consensus per event and usual line.
 
     Entry is the earliest snapshot at least ``entry_hours`` before the start,
@@ -163,7 +161,7 @@ def entry_close(quotes: DataFrame, min_books: int = C.MIN_BOOKS,
         {"entry_books": F.countDistinct(F.when(entry, F.col("book_key"))),
          "close_books": F.countDistinct(F.when(close, F.col("book_key"))),
          "entry_lead_hours": F.round(F.first("entry_lead"), 2),
-         "close_lead_hours": F.round(F.first("close_lead"), 2)}, hot_rows)
+         "close_lead_hours": F.round(F.first("close_lead"), 2)})
     books = books.where((F.col("entry_books") >= min_books) | (F.col("close_books") >= min_books))
     markets = F.array(*[F.lit(m) for m, _ in lines])
     points = F.array(*[F.lit(p).cast("double") for _, p in lines])
@@ -177,14 +175,14 @@ def entry_close(quotes: DataFrame, min_books: int = C.MIN_BOOKS,
 
 
 def coverage(quotes: DataFrame, unmatched: DataFrame, priced: DataFrame,
-             min_books: int = C.MIN_BOOKS, hot_rows: int = HOT_ROWS) -> DataFrame:
+             min_books: int = C.MIN_BOOKS) -> DataFrame:
     """One row: events, unmatched events, priced lines, median leads."""
     leads = quantiles(priced, [], {
         "median_entry_lead_hours": (F.col("entry_lead_hours"), "median"),
         "median_close_lead_hours": (F.col("close_lead_hours"), "median")},
         {"priced_game_markets": F.count(F.lit(1)),
          "with_entry": F.count_if(F.col("entry_books") >= min_books),
-         "with_close": F.count_if(F.col("close_books") >= min_books)}, hot_rows)
+         "with_close": F.count_if(F.col("close_books") >= min_books)})
     events = quotes.agg(F.countDistinct("event_id").alias("v")).scalar()
     missing = unmatched.agg(F.count(F.lit(1)).alias("v")).scalar()
     return leads.select(
@@ -194,9 +192,9 @@ def coverage(quotes: DataFrame, unmatched: DataFrame, priced: DataFrame,
         F.round("median_close_lead_hours", 2).alias("median_close_lead_hours"))
 
 
-def overround(quotes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def overround(quotes: DataFrame) -> DataFrame:
     """Median of the two implied probabilities' excess over one, in per cent."""
     vig = (S.american_to_prob(F.col("price_home")) + S.american_to_prob(F.col("price_away")) - 1.0)
     out = quantiles(quotes.where(F.col("price_home").isNotNull() & F.col("price_away").isNotNull()),
-                    [], {"m": (vig, "median")}, {"quotes": F.count(F.lit(1))}, hot_rows)
+                    [], {"m": (vig, "median")}, {"quotes": F.count(F.lit(1))})
     return out.select("quotes", F.round(F.col("m") * 100.0, 2).alias("measured_overround_pct"))

@@ -90,21 +90,29 @@ def test_no_line_when_both_are_thin(spark):
     assert Q.entry_close(snapshots(spark, rows)).count() == 0
 
 
-def test_hot_groups_give_the_same_quantiles(spark):
+def test_quantiles_of_large_null_and_empty_groups(spark):
     rng = random.Random(4)
-    rows = [(k, rng.choice([rng.gauss(0, 1), rng.gauss(0, 1e6), 3.0, 3.0])) for k in ["hot"] * 3001 + ["warm"] * 400 + ["a", "a", "b"]]
-    rows += [("hot", None), (None, 1.0)]
+    rows = [(k, rng.choice([rng.gauss(0, 1), rng.gauss(0, 1e6), 3.0, 3.0, 0.0, -0.0, 1e-300])) for k in ["hot"] * 3001 + ["warm"] * 400 + ["a", "a", "b"]]
+    rows += [("hot", None), (None, 1.0), ("null", None), ("null", None)]
     df = spark.createDataFrame(rows, "k string, v double")
     specs = {"m": (F.col("v"), "median"), "u": (F.col("v"), "upper"), "half": (F.when(F.col("v") > 0, F.col("v")), "median")}
-    extra = {"n": F.count("v")}
-    for limit in (10**9, 100, 1000):
-        got = {r.k: r for r in quantiles(df, ["k"], specs, extra, limit).collect()}
-        for key in ("hot", "warm", "a", "b", None):
-            values = sorted(v for k, v in rows if k == key and v is not None)
-            assert got[key].m == pytest.approx(statistics.median(values))
-            assert got[key].u == values[len(values) // 2] and got[key].n == len(values)
-    whole = quantiles(df, [], {"m": (F.col("v"), "median")}, None, 100).first()
+    got = {r.k: r for r in quantiles(df, ["k"], specs, {"n": F.count("v")}).collect()}
+    assert got.keys() == {"hot", "warm", "a", "b", None, "null"}
+    assert (got["null"].m, got["null"].u, got["null"].half, got["null"].n) == (None, None, None, 0)
+    for key in ("hot", "warm", "a", "b", None):
+        values = sorted(v for k, v in rows if k == key and v is not None)
+        assert got[key].m == pytest.approx(statistics.median(values))
+        assert got[key].u == values[len(values) // 2] and got[key].n == len(values)
+    whole = quantiles(df, [], {"m": (F.col("v"), "median")}).first()
     assert whole.m == pytest.approx(statistics.median([v for _, v in rows if v is not None]))
+    empty = quantiles(df.limit(0), [], {"m": (F.col("v"), "median")}, {"n": F.count("v")}).collect()
+    assert [tuple(r) for r in empty] == [(None, 0)]
+    assert quantiles(df.limit(0), ["k"], specs).count() == 0
+
+
+def test_reports_have_a_row_for_empty_input(spark):
+    none = spark.createDataFrame([], "price_home double, price_away double")
+    assert tuple(Q.overround(none).first()) == (0, None)
 
 
 def test_overround(spark):
