@@ -105,7 +105,22 @@ def pit_actor_vs_scheduled(spark, d):
         (c("total") + C.LEAGUE_RATES["k"] * C.PRIOR_BATTERS) / (c("lines") + C.PRIOR_BATTERS), 6).alias("rate"))
 
 
-@query("elo_ratings")
+@query("elo_ratings", f"""WITH RECURSIVE l AS (SELECT l_orderkey, arg_min(l_suppkey, (l_extendedprice, l_linenumber, l_suppkey)) AS sup,
+    CAST(sum(l_quantity) AS INTEGER) AS hs, CAST(trunc(sum(l_discount * 400)) AS INTEGER) AS aws FROM lineitem GROUP BY 1),
+  g AS (SELECT o_orderkey AS game_pk, year(o_orderdate) AS season, o_custkey AS home, -sup - 1 AS away, hs, aws, s_nationkey AS league,
+          row_number() OVER (PARTITION BY s_nationkey ORDER BY CAST(o_orderdate AS DATE), o_orderkey) AS rk
+        FROM orders JOIN l ON l_orderkey = o_orderkey JOIN supplier ON sup = s_suppkey),
+  r AS (SELECT DISTINCT league, CAST(0 AS BIGINT) AS rk, CAST(NULL AS BIGINT) AS game_pk, CAST(NULL AS DOUBLE) AS rh, CAST(NULL AS DOUBLE) AS ra,
+          CAST(MAP([], []) AS MAP(BIGINT, STRUCT(r DOUBLE, s BIGINT))) AS m FROM g
+        UNION ALL
+        SELECT league, rk, game_pk, rh, ra, map_concat(m, MAP([home, away], [{{'r': rh + mv, 's': season}}, {{'r': ra - mv, 's': season}}])) FROM (
+          SELECT *, {C.ELO_K!r} * ln(1 + abs(hs - aws)) * (CAST(hs > aws AS DOUBLE) - 1e0 / (1e0 + pow(10e0, -(rh - ra + {C.ELO_HOME_EDGE!r}) / 400e0))) AS mv FROM (
+            SELECT g.*, m, CASE WHEN m[home] IS NULL THEN {C.ELO_START!r} WHEN m[home].s = season THEN m[home].r
+                     ELSE {C.ELO_START!r} + (m[home].r - {C.ELO_START!r}) * {C.ELO_CARRY!r} END AS rh,
+                   CASE WHEN m[away] IS NULL THEN {C.ELO_START!r} WHEN m[away].s = season THEN m[away].r
+                     ELSE {C.ELO_START!r} + (m[away].r - {C.ELO_START!r}) * {C.ELO_CARRY!r} END AS ra
+            FROM r JOIN g ON g.league = r.league AND g.rk = r.rk + 1)))
+SELECT game_pk, round(rh, 6) AS home_elo, round(ra, 6) AS away_elo FROM r WHERE game_pk IS NOT NULL""")
 def elo_ratings(spark, d):
     l = table(spark, d, "lineitem").groupBy("l_orderkey").agg(
         F.min_by("l_suppkey", F.struct("l_extendedprice", "l_linenumber", "l_suppkey")).alias("l_suppkey"),

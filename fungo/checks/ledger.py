@@ -90,7 +90,7 @@ def day_cap(spark, d):
 
 
 SETTLED = CARD + """, w AS (SELECT g4.*, CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE CAST(floor(o_totalprice / 40000e0) AS INTEGER) END AS hs,
-    CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE books + 2 END AS aws FROM g4 JOIN orders ON game_pk = o_orderkey WHERE price IS NOT NULL),
+    CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE books + 2 END AS aws FROM g4 JOIN orders ON game_pk = o_orderkey),
  s AS (SELECT *, CASE WHEN hs IS NULL THEN NULL ELSE (CASE market WHEN 'h2h' THEN (CASE WHEN hs > aws THEN 1 ELSE -1 END)
      WHEN 'spreads' THEN sign(hs - aws - 1.5e0) ELSE sign(hs + aws - 8e0) END) * (CASE side WHEN 'home' THEN 1 ELSE -1 END) END AS r FROM w),
  t AS (SELECT *, CASE WHEN r > 0 THEN 'win' WHEN r < 0 THEN 'loss' WHEN r = 0 THEN 'push' END AS outcome,
@@ -99,7 +99,7 @@ SETTLED = CARD + """, w AS (SELECT g4.*, CASE WHEN o_orderpriority = '5-LOW' THE
 
 def settled(spark, d):
     now = F.lit(NOW).cast("timestamp")
-    book = L.wagers(screened(spark, d).withColumn("gate", F.when(c("price").isNull(), "none")), now)
+    book = L.wagers(screened(spark, d).withColumn("gate", F.lit(None).cast("string")), now)
     o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
     played = c("o_orderpriority") != "5-LOW"
     results = o.select(
@@ -127,7 +127,7 @@ def staked_by_day(spark, d):
     return L.staked_by_day(settled(spark, d))
 
 
-@query("board_latest_gate", f"""WITH {SETTLED}, locked AS (SELECT * FROM g4 WHERE final IS NULL),
+@query("board_latest_gate", f"""WITH {SETTLED}, locked AS (SELECT game_pk, dis FROM g4 WHERE final IS NULL),
   gates AS (SELECT game_pk, market, final AS last_gate FROM g4 WHERE final IS NOT NULL)
 SELECT c.game_pk, c.market, CASE c.market WHEN 'h2h' THEN CASE c.side WHEN 'home' THEN 'Home ML' ELSE 'Away ML' END
     WHEN 'spreads' THEN CASE c.side WHEN 'home' THEN 'Home -1.5' ELSE 'Away +1.5' END ELSE CASE c.side WHEN 'home' THEN 'Over 8' ELSE 'Under 8' END END AS pick,
@@ -141,22 +141,27 @@ FROM g4 c LEFT JOIN locked l ON l.game_pk = c.game_pk LEFT JOIN gates g ON g.gam
 def board_latest_gate(spark, d):
     now = F.lit(NOW).cast("timestamp")
     seen = screened(spark, d)
-    rejected = L.rejections(seen, now).withColumn("at", F.lit(1))
-    board = serving.build_board(card(spark, d), L.wagers(seen, now), L.latest_gate(rejected, "at"))
+    rejected = L.rejections(seen, now).withColumn("at", F.lit(2))
+    # An earlier run rejected every line for another reason and struck the other side of each wager.
+    earlier = rejected.withColumns({"gate": F.lit("stale_quote"), "at": F.lit(1)})
+    struck = L.wagers(seen, now)
+    flipped = struck.withColumns({
+        "placed_at": now - F.expr("INTERVAL 1 DAY"), "side": F.when(c("side") == "home", "away").otherwise("home"),
+        "disagreement": F.lit(0.5), "wager_id": F.concat("wager_id", F.lit("~"))})
+    board = serving.build_board(card(spark, d), flipped.unionByName(struck), L.latest_gate(earlier.unionByName(rejected), "at"))
     return board.select("game_pk", "market", "pick", "market_label", "gap", "bet", "reason")
 
 
 @query("largest_gaps", f"WITH {CARD} SELECT game_pk, round(dis, 6) AS disagreement FROM g4 ORDER BY abs(dis) DESC, game_pk LIMIT 8")
 def largest_gaps(spark, d):
-    return card(spark, d).select("game_pk", "disagreement").orderBy(F.abs("disagreement").desc(), "game_pk").limit(8).withColumn(
-        "disagreement", F.round("disagreement", 6))
+    return serving.largest(card(spark, d)).select("game_pk", F.round("disagreement", 6).alias("disagreement"))
 
 
-@query("offered_points", """SELECT l_returnflag AS market, list(DISTINCT p ORDER BY p) AS points FROM (
-  SELECT l_returnflag, l_quantity / 2e0 AS p FROM lineitem) GROUP BY 1""")
+@query("offered_points", """SELECT market, list(DISTINCT p ORDER BY p) AS points FROM (
+  SELECT CASE l_returnflag WHEN 'A' THEN 'spreads' ELSE 'totals' END AS market, l_quantity / 2e0 AS p FROM lineitem WHERE l_returnflag <> 'R') GROUP BY 1""")
 def offered_points(spark, d):
-    return table(spark, d, "lineitem").groupBy(c("l_returnflag").alias("market")).agg(
-        F.sort_array(F.collect_set(c("l_quantity") / 2.0)).alias("points"))
+    market = F.when(c("l_returnflag") == "A", "spreads").when(c("l_returnflag") == "N", "totals").otherwise("h2h")
+    return serving.quoted_points(table(spark, d, "lineitem").select(market.alias("market"), (c("l_quantity") / 2.0).alias("point")))
 
 
 @query("quote_to_model", f"""WITH {CARD} SELECT c.game_pk, round(CASE WHEN push < 1 THEN prob / (1 - push) ELSE prob END, 6) AS p FROM g4 c JOIN (
@@ -170,20 +175,22 @@ def quote_to_model(spark, d):
 
 @query("headline", f"""WITH {SETTLED} SELECT count(*) AS wagers, count(outcome) AS settled, CAST(count(outcome) AS DOUBLE) AS staked,
   round(sum(profit), 4) AS profit, max(day) FILTER (outcome IS NOT NULL) AS latest_settled, (SELECT count(*) FROM card) AS board_rows,
-  (SELECT arg_max(user_id, ts) FROM events) AS credits_remaining FROM t""")
+  (SELECT arg_max(user_id, ts) FROM events) AS credits_remaining, (SELECT count(*) FROM region WHERE r_regionkey % 2 = 1) AS markets_beaten,
+  (SELECT max(TIMESTAMP '2001-08-02' - to_microseconds(CAST(trunc(age * 60e6) AS BIGINT))) FROM card) AS captured_at FROM t""")
 def headline(spark, d):
     credits = table(spark, d, "events").select(c("user_id").alias("credits_remaining"), c("ts").alias("fetched_at"))
-    report = table(spark, d, "region").select(c("r_name").alias("market"), F.lit(None).cast("double").alias("ci_high"))
+    report = table(spark, d, "region").select(c("r_name").alias("market"), (F.lit(0.5) - c("r_regionkey") % 2).alias("ci_high"))
     return serving.headline(settled(spark, d), report, credits, card(spark, d)).select(
-        "wagers", "settled", "staked", F.round("profit", 4).alias("profit"), "latest_settled", "board_rows", "credits_remaining")
+        "wagers", "settled", "staked", F.round("profit", 4).alias("profit"), "latest_settled", "board_rows", "credits_remaining",
+        "markets_beaten", "captured_at")
 
 
 @query("archive_coverage", """WITH p AS (SELECT o_orderkey AS game_pk FROM orders WHERE o_orderpriority <> '5-LOW'),
-  w AS (SELECT l_orderkey AS game_pk, min(l_returnflag) AS roof_category FROM lineitem WHERE l_quantity > 45 GROUP BY 1)
+  w AS (SELECT l_orderkey AS game_pk, min(l_returnflag) AS roof_category FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1)
 SELECT roof_category, count(*) AS games, CAST(grouping(roof_category) AS INTEGER) AS is_total FROM p LEFT JOIN w USING (game_pk) GROUP BY ROLLUP (roof_category)""")
 def archive_coverage(spark, d):
     o = table(spark, d, "orders").select(c("o_orderkey").alias("game_pk"), F.when(c("o_orderpriority") != "5-LOW", 1).alias("home_score"))
-    w = table(spark, d, "lineitem").where(c("l_quantity") > 45).groupBy(c("l_orderkey").alias("game_pk")).agg(
+    w = table(spark, d, "lineitem").where(c("l_linestatus") == "O").groupBy(c("l_orderkey").alias("game_pk")).agg(
         F.min("l_returnflag").alias("roof_category"))
     return serving.archive_coverage(o, w).withColumn("is_total", c("is_total").cast("int"))
 
@@ -222,7 +229,7 @@ def poisson_glm(spark, d):
 def walk_forward(spark, d):
     # Stands for the stored feature table.
     rows = cut_lineage(two_sided_orders(spark, d))
-    seasons = [r[0] for r in rows.select("season").distinct().orderBy("season").collect()][-2:]
+    seasons = [r[0] for r in rows.select("season").distinct().orderBy("season").collect()]
     out = modelling.walk_forward(rows.select("game_pk", "official_date", "season", *INPUTS), rows, seasons,
                                  columns=INPUTS, min_train=200)
     return out.withColumns({k: F.round(k, 4) for k in ("prob", "push", "expected_home", "expected_away")})
@@ -246,12 +253,13 @@ def event_stream(spark, d):
             .withColumn("ts", c("ts").cast("timestamp")))
 
 
-@query("stream_dedup", "SELECT event_id, user_id, event_type, strftime(ts, '%Y-%m') AS month FROM events WHERE value > 5")
+@query("stream_dedup", "SELECT event_id, user_id, event_type, strftime(ts, '%Y-%m') AS month FROM events")
 def stream_dedup(spark, d):
-    """Every event is fed twice; the log keeps one of each."""
+    """Two deliveries, each row in them twice; the second repeats the first and adds older events. The log keeps one of each."""
     home = scratch(spark)
-    twice = event_stream(spark, d).where(c("value") > 5).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
-    stream.log_quotes(twice, f"{home}/log", f"{home}/state", "event_id", "ts").awaitTermination()
+    twice = event_stream(spark, d).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
+    for delivery, rows in (("late", twice.where(F.dayofmonth("ts") > 10)), ("all", twice)):
+        stream.log_quotes(rows, f"{home}/log", f"{home}/{delivery}", "event_id", "ts").awaitTermination()
     return spark.read.parquet(f"{home}/log").select("event_id", "user_id", "event_type", "month")
 
 
@@ -260,7 +268,20 @@ def stream_board(spark, d):
     home = scratch(spark)
     rows = event_stream(spark, d).select("user_id", "event_type", "ts", "event_id")
     stream.keep_board(rows, f"{home}/board", f"{home}/state", ["user_id", "event_type"], "ts", "event_id").awaitTermination()
-    return spark.read.parquet(f"{home}/board").select("user_id", "event_type", "event_id")
+    return stream.read_board(spark, f"{home}/board").select("user_id", "event_type", "event_id")
+
+
+@query("stream_screen", f"""WITH {CARD.replace("seg = 'HOUSEHOLD' AND market = 'totals'", "false").replace("least(count(*), 2)", "0")}
+SELECT game_pk, market, coalesce(final, 'wager') AS gate, CASE WHEN final IS NULL THEN price END AS price FROM g4""")
+def stream_screen(spark, d):
+    """The card as a stream: what is struck and what is rejected are both kept."""
+    home = scratch(spark)
+    rows = card(spark, d)
+    rows.write.parquet(f"{home}/cards")
+    stream.screen_cards(spark.readStream.schema(rows.schema).parquet(f"{home}/cards"), f"{home}/ledger", f"{home}/rejected",
+                        f"{home}/state", lambda batch: F.lit(NOW).cast("timestamp")).awaitTermination()
+    struck = spark.read.parquet(f"{home}/ledger").select(c("game_pk").cast("bigint"), "market", F.lit("wager").alias("gate"), c("price").cast("double"))
+    return struck.unionByName(spark.read.parquet(f"{home}/rejected").select("game_pk", "market", "gate", F.lit(None).cast("double").alias("price")))
 
 
 @query("stream_workload", """WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL),

@@ -94,10 +94,10 @@ SELECT core.market, games, round(lm, 5) AS log_loss_model, round(lp, 5) AS log_l
             WHEN low > 0 THEN 'market better; interval excludes zero'
             WHEN high < 0 THEN 'model better; interval excludes zero'
             ELSE 'undecided; interval spans zero' END AS verdict
-FROM core LEFT JOIN ends ON core.market = ends.market WHERE games >= 50""")
+FROM core LEFT JOIN ends ON core.market = ends.market""")
 def market_verdict(spark, d):
     frame = forecasts(spark, d).withColumnRenamed("month", "official_date")
-    return metrics.compare(frame).where(c("games") >= 50)
+    return metrics.compare(frame)
 
 
 @query("consensus_lines", f"""WITH {QUOTES}, p AS (SELECT *, ph / (ph + pa) AS dv FROM q WHERE region = 'us'),
@@ -296,7 +296,7 @@ CHAIN = f"""o AS (SELECT o_orderkey AS id, o_custkey, CAST(o_orderdate AS DATE)
 
 
 @query("closing_line_report", f"""WITH {CHAIN},
-  {bootstrap_sql('t2', ['market'], 'official_date', 'gap', 'y', 200, 11, 10)},
+  {bootstrap_sql('t2', ['market'], 'official_date', 'gap', 'y', 2000, 11, 10)},
   core AS (SELECT market, count(*) AS games, avg({LOSS.format('model')}) AS lm, avg({LOSS.format('price')}) AS lp FROM t2 GROUP BY market)
 SELECT core.market, games, round(lm, 5) AS log_loss_model, round(lp, 5) AS log_loss_market, round(lm - lp, 5) AS delta,
        low AS ci_low, high AS ci_high, CAST(lm < lp AS INTEGER) AS model_beats_market FROM core LEFT JOIN ends USING (market) WHERE games >= 50""")
@@ -327,7 +327,7 @@ def closing_line_report(spark, d):
     quotes = cut_lineage(quotes)
     priced, _ = comparison.priced_games(quotes, games, min_books=1)
     frame = comparison.comparison_frame(priced, predictions, games)
-    return metrics.compare(frame, draws=200).where(c("games") >= 50).select(
+    return metrics.compare(frame).select(
         "market", "games", "log_loss_model", "log_loss_market", "delta", "ci_low", "ci_high", "model_beats_market")
 
 

@@ -51,17 +51,19 @@ def brier_logloss(spark, d):
     return metrics.evaluate(f.select("market", "season", c("model").alias("p"), "y"))
 
 
-SEARCH_DRAWS = 50
+SEARCH_DRAWS = 5000
 
 
 @query("search_correction", f"""WITH {ORIENTED}, cuts AS (SELECT cut FROM range(8, 21) AS r(cut)),
   usable AS (SELECT cut, count(*) AS n, sum(won / market_prob) AS w FROM g JOIN cuts ON gap_pts >= cut GROUP BY cut HAVING count(*) >= 5),
-  sim AS (SELECT d, cut, sum(CASE WHEN {rng.mix_sql('id', 'd', 3)} / {float(rng.M)!r} < market_prob THEN 1e0 / market_prob ELSE 0e0 END) / count(*) - 1 AS roi
-          FROM g JOIN usable ON gap_pts >= cut, range(1, {SEARCH_DRAWS + 1}) AS r(d) GROUP BY d, cut),
+  banded AS (SELECT least(CAST(floor(gap_pts) AS INTEGER), 20) AS band, d,
+               sum(CASE WHEN {rng.mix_sql('id', 'd', 3)} / {float(rng.M)!r} < market_prob THEN 1e0 / market_prob ELSE 0e0 END) AS w
+             FROM g, range(1, {SEARCH_DRAWS + 1}) AS r(d) WHERE gap_pts >= 8 GROUP BY 1, 2),
+  sim AS (SELECT d, cut, sum(b.w) / any_value(n) - 1 AS roi FROM banded b JOIN usable ON band >= cut GROUP BY d, cut),
   best AS (SELECT d, max(roi) AS best FROM sim GROUP BY d), o AS (SELECT max(w / n - 1) AS obs, max(cut) AS top FROM usable)
 SELECT CAST(any_value(top) AS INTEGER) AS widest_usable_cut, round(any_value(obs) * 100, 1) AS best_observed_roi_pct,
        round(avg(CAST(best >= obs AS DOUBLE)), 4) AS p_value_after_search, round(avg(best) * 100, 1) AS null_best_cut_mean_roi_pct,
-       round(avg(CAST(best > 0.3 AS DOUBLE)), 3) AS null_share_above_30pct FROM best, o""")
+       round(avg(CAST(best > 0.3 AS DOUBLE)), 3) AS null_share_above_30pct, 13 AS cuts_searched FROM best, o""")
 def search_correction(spark, d):
     return resample.search_correction(metrics.oriented_frame(forecasts(spark, d)), "id", SEARCH_DRAWS)
 
@@ -86,7 +88,7 @@ def group_spread(spark, d):
     return resample.group_spread(grouped(spark, d), ["season"], "grp", "v").withColumn("spread", F.round("spread", 5))
 
 
-PERM_DRAWS = 100
+PERM_DRAWS = 2000
 
 
 def _permutation_sql():

@@ -1,16 +1,10 @@
 """Ratings in which both sides of every match move together.
 
 A rating depends on every earlier match of both sides, so it has no window
-form. Two exact evaluations are offered and chosen by the size of a
-competition:
-
-``walk``    one ordered pass per competition, many competitions in parallel,
-            holding one number per side;
-``relax``   for a competition too long for one task: guess every match's rating
-            shift, rebuild all ratings from the guessed shifts with the
-            distributed running sum, recompute the shifts, repeat until nothing
-            moves. A match depends on earlier ones only, so the fixed point is
-            the sequential answer.
+form, and rounds of a distributed fixed point grow with the matches of a side.
+A competition is one ordered walk that holds one number per side; competitions
+are walked in parallel. Sides of different competitions never meet, so
+``league`` should name the competition.
 """
 
 from __future__ import annotations
@@ -20,31 +14,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fungo import config as C
 from fungo.functions import scalars as S
-from fungo.operators.prefix import day_order, running
-from fungo.session import cut_lineage, parallel_parts
+from fungo.session import parallel_parts
 
-WALK_LIMIT = 5_000_000
 NEEDED = ["game_pk", "official_date", "season", "home_team_id", "away_team_id",
           "home_score", "away_score"]
 
 
-def elo_ratings(games: DataFrame, league: str | None = None,
-                walk_limit: int = WALK_LIMIT) -> DataFrame:
+def elo_ratings(games: DataFrame, league: str | None = None) -> DataFrame:
     """(game_pk, home_elo, away_elo) as they stood before each match."""
-    tagged = games.select(*NEEDED, (F.col(league) if league else F.lit("all")).alias("league"))
-    # At most rows / walk_limit competitions can be this long.
-    long = (tagged.groupBy("league").agg(F.count(F.lit(1)).alias("n"))
-            .where(F.col("n") > walk_limit).select("league"))
-    if not long.head(1):
-        return walk(tagged)
-    short = tagged.join(F.broadcast(long), "league", "left_anti")
-    rest = tagged.join(F.broadcast(long), "league", "left_semi")
-    return walk(short).unionByName(relax(rest))
+    return walk(games.select(*NEEDED, (F.col(league) if league else F.lit("all")).alias("league")))
 
 
 def walk(games: DataFrame) -> DataFrame:
@@ -84,42 +66,3 @@ def _walk_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             state[home] = (state[home][0] + move, season)
             state[away] = (state[away][0] - move, season)
         yield pd.DataFrame({"game_pk": batch["game_pk"], "home_elo": homes, "away_elo": aways})
-
-
-def relax(games: DataFrame, tol: float = 1e-9, max_rounds: int = 10_000) -> DataFrame:
-    games = games.withColumns({c: S.id_key(F.col(c)) for c in ("home_team_id", "away_team_id")})
-    sides = games.select(
-        "league", "game_pk", "official_date", "season",
-        F.explode(F.array(
-            F.struct(F.col("home_team_id").alias("team"), F.lit(1).alias("sign")),
-            F.struct(F.col("away_team_id").alias("team"), F.lit(-1).alias("sign")))).alias("s"),
-    ).select("league", "game_pk", "official_date", "season", "s.team", "s.sign")
-    # How many season changes a side has been through; a handful per side.
-    seasons = sides.select("league", "team", "season").distinct().withColumn(
-        "age", F.row_number().over(W.partitionBy("league", "team").orderBy("season")) - 1)
-    sides = cut_lineage(sides.join(seasons, ["league", "team", "season"])
-                        .withColumn("keep", F.pow(F.lit(C.ELO_CARRY), F.col("age"))))
-    margin = F.log1p(F.abs(F.col("home_score") - F.col("away_score"))) * C.ELO_K
-    facts = cut_lineage(games.select(
-        "league", "game_pk", margin.alias("weight"),
-        (F.col("home_score") > F.col("away_score")).cast("double").alias("won")))
-    shift = facts.select("league", "game_pk", F.lit(0.0).alias("move"))
-    order = day_order("official_date", "game_pk")
-    for _ in range(max_rounds):
-        moved = running(
-            sides.join(shift, ["league", "game_pk"]), ["league", "team"], order,
-            sums={"drift": F.col("sign") * F.col("move") / F.col("keep")})
-        rating = F.lit(C.ELO_START) + F.col("drift") * F.col("keep")
-        table = moved.groupBy("league", "game_pk").agg(
-            F.max(F.when(F.col("sign") == 1, rating)).alias("home_elo"),
-            F.max(F.when(F.col("sign") == -1, rating)).alias("away_elo"))
-        gap = F.col("home_elo") - F.col("away_elo") + C.ELO_HOME_EDGE
-        new = F.coalesce(F.col("weight") * (F.col("won") - S.win_probability(gap)), F.lit(0.0))
-        step = cut_lineage(
-            table.join(facts, ["league", "game_pk"]).join(shift, ["league", "game_pk"])
-            .select("league", "game_pk", "home_elo", "away_elo",
-                    new.alias("new"), F.abs(new - F.col("move")).alias("change")))
-        shift = step.select("league", "game_pk", F.col("new").alias("move"))
-        if step.agg(F.max("change")).first()[0] < tol:
-            return step.select("game_pk", "home_elo", "away_elo")
-    raise RuntimeError("ratings did not settle")

@@ -17,11 +17,10 @@ from pyspark.sql import functions as F
 from fungo import config as C
 from fungo.functions import rng
 from fungo.operators.prefix import id_order, position
-from fungo.session import cut_lineage, parallel_parts, spread
+from fungo.session import cut_lineage, parallel_parts, spread, written
 
 ROUNDS = 24
 CHUNK = 8192
-MAX_LABELS = 20_000
 
 
 def cluster_parts(df: DataFrame, keys: Sequence[str], cluster: str, value: str,
@@ -29,7 +28,7 @@ def cluster_parts(df: DataFrame, keys: Sequence[str], cluster: str, value: str,
     """One row per cluster: sum and count of ``value``, the range of outcomes,
     and further sums. Written out, as every later step starts from it."""
     y = F.col(outcome) if outcome else F.lit(0.0)
-    return cut_lineage(df.groupBy(*keys, F.col(cluster).alias("_cluster")).agg(
+    return written(df.groupBy(*keys, F.col(cluster).alias("_cluster")).agg(
         F.sum(value).alias("_s"), F.count(value).alias("_n"), F.min(y).alias("_lo"), F.max(y).alias("_hi"),
         *[F.sum(v).alias(k) for k, v in (sums or {}).items()]))
 
@@ -39,7 +38,9 @@ def interval(parts: DataFrame, keys: Sequence[str], skip_constant: bool, draws:
     """90 per cent interval of a mean over resampled clusters.
 
     A mean over a resample needs only each cluster's sum and count, so the cost
-    is draws x clusters whatever the number of rows.
+    is draws x clusters whatever the number of rows. ``parts`` is a written
+    table, so it is broadcast where it is small and each task sums the draws it
+    made before anything is shuffled.
     """
     keys = list(keys)
     by = W.partitionBy(*keys)
@@ -98,9 +99,9 @@ def search_correction(frame: DataFrame, ident: str, draws: int = 5000, seed: int
                                    F.sum(F.col("won") / F.col("market_prob")).alias("w"))
     usable = at_or_above(bands, [F.lit(0)], ["n", "w"]).where(F.col("n") >= min_rows).select(
         "_b", "n", F.max(F.col("w") / F.col("n") - 1.0).over(whole).alias("obs"), F.max("_b").over(whole).alias("top"))
-    sim = (rows.select("_b", "_id", "market_prob", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_d"))
-           .where(rng.uniform(F.col("_id"), F.col("_d"), seed) < F.col("market_prob"))
-           .groupBy("_d", "_b").agg(F.sum(1.0 / F.col("market_prob")).alias("w")))
+    # A task returns one array of sums over draws per band.
+    sim = (rows.select("_b", "_id", "market_prob").mapInPandas(_simulated(len(cuts), draws, seed), "_b int, w array<double>")
+           .select("_b", F.posexplode("w").alias("_d", "w")).select((F.col("_d") + 1).alias("_d"), "_b", "w"))
     # Bands without a simulated winner still count, with zero.
     empty = bands.select(F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_d"), "_b", F.lit(0.0).alias("w"))
     sim = sim.unionByName(empty).groupBy("_d", "_b").agg(F.sum("w").alias("w"))
@@ -113,7 +114,23 @@ def search_correction(frame: DataFrame, ident: str, draws: int = 5000, seed: int
         F.round(F.col("obs") * 100, 1).alias("best_observed_roi_pct"),
         F.round("p", 4).alias("p_value_after_search"),
         F.round(F.col("m") * 100, 1).alias("null_best_cut_mean_roi_pct"),
-        F.round("s", 3).alias("null_share_above_30pct"))
+        F.round("s", 3).alias("null_share_above_30pct"), F.lit(len(cuts)).alias("cuts_searched"))
+
+
+def _simulated(bands: int, draws: int, seed: int):
+    def run(batches):
+        sums = np.zeros((bands + 1, draws))
+        when = np.arange(1, draws + 1, dtype=np.int64)
+        for batch in batches:
+            for start in range(0, len(batch), 256):
+                part = batch.iloc[start:start + 256]
+                price = part["market_prob"].to_numpy()
+                drawn = rng.mix_np(part["_id"].to_numpy()[:, None], when[None, :], seed) / float(rng.M)
+                np.add.at(sums, part["_b"].to_numpy(), np.where(drawn < price[:, None], 1.0 / price[:, None], 0.0))
+        held = np.flatnonzero(sums.any(axis=1))
+        if len(held):
+            yield pd.DataFrame({"_b": held.astype("int32"), "w": [sums[b] for b in held]})
+    return run
 
 
 def group_spread(df: DataFrame, keys: Sequence[str], group: str, value: str,
@@ -179,12 +196,11 @@ def permutation_test(df: DataFrame, keys: Sequence[str], stratum: str, group: st
     spots = spots.repartition(parallel_parts(base.sparkSession), *block, "_chunk")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}"
                        for f in base.select(*keys, "_g").schema.fields)
-    most = sizes.groupBy(*block).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if most <= MAX_LABELS:
-        null = (spots.drop("_g", "_size").groupBy(*block, "_chunk").cogroup(bounds.groupBy(*spot, "_part"))
-                .applyInPandas(_shuffled_sums(keys, draws, seed), f"{schema}, _d int, _s double"))
-    else:
-        null = _looked_up(spots, spot, block, keys, draws, seed)
+    # A chunk gets the bounds of its stratum's labels. That is less than sending
+    # the moved rows of every draw to their labels while a stratum has fewer
+    # than draws x CHUNK labels.
+    null = (spots.drop("_g", "_size").groupBy(*block, "_chunk").cogroup(bounds.groupBy(*spot, "_part"))
+            .applyInPandas(_shuffled_sums(keys, draws, seed), f"{schema}, _d int, _s double"))
     null = null.groupBy(*keys, "_g", "_d").agg(F.sum("_s").alias("_s"))
     kept = totals.where(F.col("_w") >= min_rows)
     null = null.join(kept, [*keys, "_g"])
@@ -252,23 +268,3 @@ def _shuffled_sums(keys, draws, seed):
             done[k] = rows[k].iloc[0]
         return done[[*keys, "_g", "_d", "_s"]]
     return kernel
-
-
-def _looked_up(spots, spot, block, keys, draws, seed):
-    """Positions moved by every draw, joined to the label that lies there. One
-    row per position makes the join free of hot keys."""
-    kept = spots.select(*block, "_pos", "_size", "_v")
-    names = kept.schema.names
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields)
-
-    def move(batches):
-        for batch in batches:
-            for size, part in batch.groupby("_size"):
-                pos = part["_pos"].to_numpy()
-                for draw in range(1, draws + 1):
-                    yield part.assign(_pos=permuted(pos, int(size), draw, seed), _d=np.int32(draw))[[*names, "_d"]]
-
-    moved = kept.mapInPandas(move, f"{ddl}, _d int")
-    there = spots.select(*[F.col(k).alias(b) for k, b in zip(block, spot)], F.col("_pos").alias("_at"), "_g")
-    on = [F.col(k) == F.col(b) for k, b in zip(block, spot)] + [F.col("_pos") == F.col("_at")]
-    return moved.join(there, on).select(*keys, "_g", "_d", F.col("_v").alias("_s"))

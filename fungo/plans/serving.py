@@ -13,20 +13,19 @@ from fungo.plans.comparison import matchable_events, matchable_games
 from fungo.plans.modelling import fit_runs
 
 c = F.col
-MAX_LINES = 1000
+
+
+def quoted_points(lines: DataFrame) -> DataFrame:
+    """(market, points): the distinct quoted lines of each market that has a line, in order."""
+    quoted = lines.where(c("market").isin("spreads", "totals") & c("point").isNotNull())
+    return quoted.groupBy("market").agg(F.sort_array(F.collect_set("point")).alias("points"))
 
 
 def offered_points(lines: DataFrame) -> list[tuple[str, float | None]]:
-    """Distinct quoted lines, with the usual ones where none is quoted. Lines
-    come in half steps over a short range; the count is checked."""
-    rows = (lines.where(c("market").isin("spreads", "totals") & c("point").isNotNull())
-            .select("market", "point").distinct().orderBy("market", "point").limit(MAX_LINES + 1).collect())
-    if len(rows) > MAX_LINES:
-        raise ValueError("more distinct lines than a board can carry")
-    out = [("h2h", None)]
-    for market, usual in (("spreads", -1.5), ("totals", 8.5)):
-        out += [(market, r["point"]) for r in rows if r["market"] == market] or [(market, usual)]
-    return out
+    """Distinct quoted lines, with the usual ones where none is quoted. A line
+    is a score in half steps, so there are few."""
+    found = {r["market"]: r["points"] for r in quoted_points(lines).collect()}
+    return [("h2h", None), *(("spreads", p) for p in found.get("spreads", [-1.5])), *(("totals", p) for p in found.get("totals", [8.5]))]
 
 
 def build_card(lines: DataFrame, games: DataFrame, features: DataFrame, now: Column,
@@ -63,7 +62,7 @@ def build_card(lines: DataFrame, games: DataFrame, features: DataFrame, now: Col
 
 
 def largest(card: DataFrame, n: int = 8) -> DataFrame:
-    return card.orderBy(F.abs("disagreement").desc()).limit(n)
+    return card.orderBy(F.abs("disagreement").desc(), "game_pk", "market", "point").limit(n)
 
 
 def board_lines(paired: DataFrame, fetched_at: Column) -> DataFrame:
@@ -81,8 +80,11 @@ def build_board(card: DataFrame, ledger: DataFrame, rejected: DataFrame) -> Data
     wager is shown as struck. ``rejected`` comes from ``latest_gate``."""
     keep = ("side", "model_prob", "market_prob", "disagreement", "price", "book", "market_books",
             "market_spread", "lead_minutes", "stake")
-    locked = ledger.select(c("game_pk").alias("_g"), c("market").alias("_m"), c("point").alias("_p"),
-                           F.lit(True).alias("_bet"), *[c(k).alias(f"w_{k}") for k in keep])
+    # The backed side may have changed between runs: the last wager struck on a
+    # line stands for it.
+    struck = F.max_by(F.struct(*keep), F.struct("placed_at", "wager_id")).alias("_w")
+    locked = ledger.groupBy(c("game_pk").alias("_g"), c("market").alias("_m"), c("point").alias("_p")).agg(struck).select(
+        "_g", "_m", "_p", F.lit(True).alias("_bet"), *[c(f"_w.{k}").alias(f"w_{k}") for k in keep])
     gates = rejected.select(c("game_pk").alias("_rg"), c("market").alias("_rm"), c("point").alias("_rp"), "last_gate")
     rows = card.where(c("model_prob_home").isNotNull() & c("market_prob_home").isNotNull())
     rows = rows.join(locked, (c("game_pk") == c("_g")) & (c("market") == c("_m"))

@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 from fungo.functions.scalars import id_key
 from fungo.operators.dedup import keep_first, keyed_union
 from fungo.schemas import DDL, LOG_KEYS
+from fungo.session import cut_lineage
 
 
 def _fs(spark: SparkSession, path: str):
@@ -58,16 +59,40 @@ def replace_table(df: DataFrame, path: str, partition_by: list[str] | None = Non
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(staging)
+    swap_in(spark, staging, path)
+
+
+def swap_in(spark: SparkSession, staging: str, path: str) -> None:
+    """Put what was written at ``staging`` in the place of ``path``. The old data
+    is deleted only after the new stands there, and put back if it does not."""
     fs, target = _fs(spark, path)
     _, fresh = _fs(spark, staging)
+    old = None
     if fs.exists(target):
-        _, old = _fs(spark, f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
-        fs.rename(target, old)
-        fs.rename(fresh, target)
-        fs.delete(old, True)
+        parent, _, name = path.rstrip("/").rpartition("/")
+        _, old = _fs(spark, f"{parent}/_old-{uuid.uuid4().hex}-{name}")
+        move(fs, target, old)
     else:
         fs.mkdirs(target.getParent())
-        fs.rename(fresh, target)
+    try:
+        move(fs, fresh, target)
+    except OSError:
+        if old is not None:
+            move(fs, old, target)
+        raise
+    if old is not None:
+        fs.delete(old, True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def move(fs, source, target) -> None:
+    """A rename that raises if it did not happen; a file system only says false."""
+    if not fs.rename(source, target) or fs.exists(source) or not fs.exists(target):
+        raise OSError(f"{source} could not be renamed to {target}")
 
 
 def append(df: DataFrame, table: str, path: str, partition_by: list[str] | None = None) -> None:
@@ -82,10 +107,19 @@ def append_quotes(batch: DataFrame, path: str) -> None:
     fresh = batch if "ordinal" in batch.columns else batch.withColumn("ordinal", F.lit(0))
     fresh = conform(keep_first(fresh, ["snapshot_id"], "ordinal"), "quotes").withColumn(
         "month", F.date_format("fetched_at", "yyyy-MM"))
+    append_unseen(fresh, path, "snapshot_id")
+
+
+def append_unseen(fresh: DataFrame, path: str, ident: str) -> None:
+    """Append rows whose id the log does not hold in their month, however old
+    they are. Ids are unique in ``fresh``; a batch appended twice adds nothing."""
+    spark = fresh.sparkSession
     if exists(spark, path):
+        fresh = cut_lineage(fresh)  # read for its months and again for its rows
         months = [r[0] for r in fresh.select("month").distinct().collect()]
-        known = spark.read.parquet(path).where(F.col("month").isin(*months)).select("month", "snapshot_id")
-        fresh = fresh.join(known, ["month", "snapshot_id"], "left_anti")
+        known = spark.read.schema(fresh.schema).parquet(path).where(
+            F.array_contains(F.lit(months), F.col("month")) if months else F.lit(False)).select("month", ident)
+        fresh = fresh.join(known, ["month", ident], "left_anti")
     fresh.write.mode("append").partitionBy("month").parquet(path)
 
 

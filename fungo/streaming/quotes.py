@@ -2,25 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fungo import config as C
 from fungo.functions import scalars as S
 from fungo.operators import ledger as L
-from fungo.sources.tables import append, exists, replace_table
+from fungo.session import cut_lineage
+from fungo.sources.tables import append, append_unseen, exists, remove, swap_in
 
 c = F.col
 
 
-def unseen(stream: DataFrame, ident: str, time: str, delay: str = f"{C.MAX_QUOTE_AGE_MINUTES} minutes") -> DataFrame:
-    """Each id once within the lateness bound; state older than it is dropped."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([ident])
-
-
 def not_started(stream: DataFrame, commence: str, captured: str) -> DataFrame:
     return stream.where(S.is_future(c(commence), c(captured)))
 
@@ -32,10 +29,14 @@ def fresh(stream: DataFrame, captured: str, now: Column,
 
 def log_quotes(stream: DataFrame, path: str, checkpoint: str, ident: str = "snapshot_id",
                time: str = "fetched_at") -> StreamingQuery:
-    """Exactly-once append to the log, partitioned by month."""
-    out = unseen(stream, ident, time).withColumn("month", S.month_of(c(time)))
-    return (out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-            .partitionBy("month").trigger(availableNow=True).start())
+    """Append each unseen id to the log, partitioned by month. The log itself is
+    the state, read only for the months of a batch: an id is new however late
+    it comes, and a batch replayed after a failure adds nothing."""
+    def add(batch: DataFrame, _: int) -> None:
+        fresh = batch.dropDuplicates([ident]).withColumn("month", S.month_of(c(time)))
+        append_unseen(fresh, path, ident)
+    return (stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
 
 
 def latest(rows: DataFrame, keys: list[str], time: str, ordinal: str) -> DataFrame:
@@ -45,29 +46,44 @@ def latest(rows: DataFrame, keys: list[str], time: str, ordinal: str) -> DataFra
 
 
 def keep_board(stream: DataFrame, path: str, checkpoint: str, keys: list[str], time: str,
-               ordinal: str) -> StreamingQuery:
-    """Latest row per key: each batch is folded into the stored board. Folding
-    a batch twice changes nothing, so a replay after a failure is safe."""
+               ordinal: str, buckets: int = 64) -> StreamingQuery:
+    """Latest row per key: each batch is folded into the stored board, which is
+    kept in ``buckets`` by hash of the key; only buckets that a batch touches
+    are read and replaced, each by a swap. Folding a batch twice changes
+    nothing, so a replay after a failure is safe. Read it with ``read_board``."""
     def fold(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        new = latest(batch, keys, time, ordinal)
-        if exists(spark, path):
-            new = latest(spark.read.schema(new.schema).parquet(path).unionByName(new), keys, time, ordinal)
-        replace_table(new, path)
+        new = cut_lineage(latest(batch, keys, time, ordinal).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
+        touched = sorted(r[0] for r in new.select("bucket").distinct().collect())
+        held = [f"{path}/bucket={b}" for b in touched if exists(spark, f"{path}/bucket={b}")]
+        if held:
+            old = spark.read.option("basePath", path).schema(new.schema).parquet(*held)
+            new = latest(old.unionByName(new), [*keys, "bucket"], time, ordinal)
+        staged = f"{path.rstrip('/')}.batch-{uuid.uuid4().hex}"
+        new.write.partitionBy("bucket").parquet(staged)
+        for b in touched:
+            swap_in(spark, f"{staged}/bucket={b}", f"{path}/bucket={b}")
+        remove(spark, staged)
     return (stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def screen_cards(stream: DataFrame, ledger_path: str, checkpoint: str,
+def read_board(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("bucket")
+
+
+def screen_cards(stream: DataFrame, ledger_path: str, rejected_path: str, checkpoint: str,
                  now: Callable[[DataFrame], Column]) -> StreamingQuery:
     """Screen each arriving card against the stored ledger, so the day cap and
-    the locked ids hold across runs. One writer; replays find their wagers
-    already locked."""
-    def step(batch: DataFrame, _: int) -> None:
+    the locked ids hold across runs; keep the wagers and the rejections. One
+    writer; replays find their wagers already locked. Rejections are kept per
+    batch, so a replay replaces its own."""
+    def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         at = now(batch)
         held = spark.read.parquet(ledger_path) if exists(spark, ledger_path) else None
-        seen = L.screen(batch, at, held, L.staked_by_day(held) if held is not None else None)
+        seen = cut_lineage(L.screen(batch, at, held, L.staked_by_day(held) if held is not None else None))
+        L.rejections(seen, at).write.mode("overwrite").parquet(f"{rejected_path}/batch={number}")
         append(L.wagers(seen, at), "ledger", ledger_path)
     return (stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -136,9 +136,40 @@ def test_stream_screening_holds_the_cap(spark, tmp_path):
     for i, ids in enumerate(([1, 2], [2, 3, 4, 5])):
         card(spark, *[dict(game_pk=k, disagreement=0.05 + k / 100) for k in ids]).write.parquet(f"{tmp_path}/in/{i}")
         rows = spark.readStream.schema(card(spark, {}).schema).parquet(f"{tmp_path}/in/*")
-        stream.screen_cards(rows, f"{tmp_path}/ledger", f"{tmp_path}/state", lambda b: F.lit(NOW).cast("timestamp")).awaitTermination()
+        stream.screen_cards(rows, f"{tmp_path}/ledger", f"{tmp_path}/no", f"{tmp_path}/state", lambda b: F.lit(NOW).cast("timestamp")).awaitTermination()
     got = read_or_empty(spark, "ledger", f"{tmp_path}/ledger")
     assert sorted(r.game_pk for r in got.collect()) == [1, 2, 5]
+    refused = {(r.batch, r.game_pk): r.gate for r in spark.read.parquet(f"{tmp_path}/no").collect()}
+    assert refused == {(1, 2): "already_locked", (1, 3): "day_cap", (1, 4): "day_cap"}
+
+
+def test_late_new_ids_are_logged(spark, tmp_path):
+    ddl = "snapshot_id string, fetched_at timestamp"
+    noon = dt.datetime(2025, 5, 2, 12)
+    for i, rows in enumerate(([("a", noon)], [("old", noon - dt.timedelta(days=40)), ("a", noon), ("b", noon), ("b", noon)])):
+        spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        live = spark.readStream.schema(ddl).parquet(f"{tmp_path}/in/*")
+        stream.log_quotes(live, f"{tmp_path}/log", f"{tmp_path}/s").awaitTermination()
+    assert sorted(r.snapshot_id for r in spark.read.parquet(f"{tmp_path}/log").collect()) == ["a", "b", "old"]
+
+
+def test_a_failed_rename_keeps_the_old_table(spark, tmp_path, monkeypatch):
+    from fungo.sources import tables
+    path = f"{tmp_path}/t"
+    tables.replace_table(spark.range(3).toDF("n"), path)
+    real = tables.move
+
+    def broken(fs, source, target):
+        if ".staging-" in source.toString():
+            raise OSError("no")
+        real(fs, source, target)
+    monkeypatch.setattr(tables, "move", broken)
+    with pytest.raises(OSError):
+        tables.replace_table(spark.range(9).toDF("n"), path)
+    assert spark.read.parquet(path).count() == 3
+    monkeypatch.setattr(tables, "move", real)
+    tables.replace_table(spark.range(9).toDF("n"), path)
+    assert spark.read.parquet(path).count() == 9
 
 
 def test_stream_filters_and_board(spark, tmp_path):
@@ -150,6 +181,6 @@ def test_stream_filters_and_board(spark, tmp_path):
         spark.createDataFrame(rows, ddl).write.parquet(f"{tmp_path}/in/{i}")
         live = stream.not_started(spark.readStream.schema(ddl).parquet(f"{tmp_path}/in/*"), "commence", "at")
         stream.keep_board(live, f"{tmp_path}/board", f"{tmp_path}/s", ["k"], "at", "n").awaitTermination()
-    assert [(r.k, r.n) for r in spark.read.parquet(f"{tmp_path}/board").collect()] == [("a", 4)]
+    assert [(r.k, r.n) for r in stream.read_board(spark, f"{tmp_path}/board").collect()] == [("a", 4)]
     fresh = stream.fresh(spark.createDataFrame(batches[1], ddl), "at", F.lit(str(t + dt.timedelta(hours=6))).cast("timestamp"))
     assert [r.n for r in fresh.collect()] == [4]

@@ -103,8 +103,6 @@ def test_many_chunks_equal_one(spark, monkeypatch):
     whole = R.permutation_test(umpired(spark, 0.5), [], "season", "ump", "v", "id", 120).first()
     monkeypatch.setattr(R, "CHUNK", 64)
     assert R.permutation_test(umpired(spark, 0.5), [], "season", "ump", "v", "id", 120).first() == whole
-    monkeypatch.setattr(R, "MAX_LABELS", 3)
-    assert R.permutation_test(umpired(spark, 0.5), [], "season", "ump", "v", "id", 120).first() == whole
 
 
 def test_calibration(spark):
