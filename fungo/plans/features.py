@@ -153,7 +153,10 @@ def build_features(games: DataFrame, parks: DataFrame, weather: DataFrame | None
                    league: str | None = None) -> DataFrame:
     """One row per game with the model's columns and the umpire environment.
 
-    ``games`` must hold one row per game_pk. Absent inputs give priors.
+    ``games`` must hold one row per game_pk. Absent inputs give priors, and so
+    does a side without an id or a game without a date: it has no earlier
+    state. Of several weather or umpire rows of a game the last one wins, by
+    ``ordinal`` where the input has it.
     """
     base = _narrow(games)
     sides = _sides(base)
@@ -181,12 +184,13 @@ def build_features(games: DataFrame, parks: DataFrame, weather: DataFrame | None
     # Each state is written out by itself: the plans stay small, and a lost
     # executor costs one state rather than the whole frame.
     key = ["game_pk", "side"]
-    per_side = (cut_lineage(team_state(sides)).join(cut_lineage(staff_state(sides, relief)), key)
+    per_side = (sides.select(*key).join(cut_lineage(team_state(sides)), key, "left")
+                .join(cut_lineage(staff_state(sides, relief)), key, "left")
                 .join(cut_lineage(starter_proxy(sides)), key, "left").join(own, key, "left"))
     fields = [f for f in per_side.columns if f not in key]
     wide = per_side.groupBy("game_pk").agg(*[
         F.max(F.when(c("side") == s, c(f))).alias(f"{s}_{f}") for s in ("home", "away") for f in fields])
-    out = out.join(wide, "game_pk").join(cut_lineage(league_state(base, per_game)), "game_pk")
+    out = out.join(wide, "game_pk", "left").join(cut_lineage(league_state(base, per_game)), "game_pk", "left")
 
     known = base.where(c("venue_id").isNotNull()).select(
         "game_pk", "venue_id", "official_date", "played", (c("home_score") + c("away_score")).alias("both"))
@@ -194,7 +198,7 @@ def build_features(games: DataFrame, parks: DataFrame, weather: DataFrame | None
     out = out.join(cut_lineage(venue.select("game_pk", "pk_runs", "pk_games")), "game_pk", "left")
 
     if umpires is not None:
-        worked = umpires.groupBy("game_pk").agg(F.first(S.id_key(c("hp_umpire_id"))).alias("ump"))
+        worked = last_row(umpires.withColumn("ump", S.id_key(c("hp_umpire_id"))), ["ump"])
         worked = (base.join(worked.where(c("ump").isNotNull()), "game_pk").join(per_game, "game_pk", "left")
                   .select("game_pk", "official_date", "played", "ump", "g_ks",
                           (c("home_score") + c("away_score")).alias("both")))
@@ -212,18 +216,34 @@ def build_features(games: DataFrame, parks: DataFrame, weather: DataFrame | None
     sky = ("temp_c", "pressure_hpa", "humidity_pct", "wind_out_to_center_ms", "wind_left_to_right_ms",
            "precip_mm", "roof_category")
     if weather is not None:
-        one = weather.groupBy("game_pk").agg(F.max(F.struct(*sky)).alias("w")).select("game_pk", "w.*")
-        out = out.join(one, "game_pk", "left")
+        out = out.join(last_row(weather, sky), "game_pk", "left")
     else:
         out = out.withColumns({k: F.lit(None).cast("string" if k == "roof_category" else "double") for k in sky})
 
     return _final(out.join(elo_ratings(games, league), "game_pk"))
 
 
+def last_row(df: DataFrame, columns) -> DataFrame:
+    """The columns of the last row of each game: of the greatest ordinal, ties and
+    tables without one by the greatest values."""
+    values = F.struct(*columns)
+    order = F.struct(c("ordinal"), values) if "ordinal" in df.columns else values
+    return df.groupBy("game_pk").agg(F.max_by(values, order).alias("_last")).select("game_pk", "_last.*")
+
+
 def _final(f: DataFrame) -> DataFrame:
     def or_(name, default):
         return F.coalesce(c(name), F.lit(default))
 
+    # What the states hold before the first game.
+    f = f.withColumns({
+        **{f"{side}_{k}": or_(f"{side}_{k}", v) for side in ("home", "away") for k, v in (
+            ("off", C.PRIOR_RUNS), ("def", C.PRIOR_RUNS), ("recent_off", C.PRIOR_RUNS), ("recent_def", C.PRIOR_RUNS),
+            ("games", 0), ("rest", 10))},
+        "lg_mean": or_("lg_mean", C.PRIOR_RUNS * 2), "lg_k": or_("lg_k", C.LEAGUE_RATES["k"]),
+        "lg_bb_rate": or_("lg_bb_rate", C.LEAGUE_RATES["bb"]), "lg_hr_rate": or_("lg_hr_rate", C.LEAGUE_RATES["hr"]),
+        "lg_kpg": or_("lg_kpg", C.LEAGUE_KS_PER_GAME), "lg_relief": or_("lg_relief", C.LEAGUE_RELIEF)})
+
     def lines(side):
         bf = or_(f"{side}_sp_batters", 0.0)
 

@@ -146,3 +146,21 @@ def test_elo_walk_equals_one_game_at_a_time(spark):
         d = 4 * np.log1p(abs(g["home_score"] - g["away_score"])) * ((g["home_score"] > g["away_score"]) - e)
         state[g["home_team_id"]] = (seen[0] + d, g["season"])
         state[g["away_team_id"]] = (seen[1] - d, g["season"])
+
+
+def test_games_without_date_or_team_keep_their_row(spark):
+    games = world.games(n=20)
+    games[3]["official_date"] = None
+    games[5]["home_team_id"] = None
+    got = world.collect(build_features(world.frame(spark, games, world.GAME_DDL),
+                                       spark.createDataFrame([], "venue_id string, elevation_m double")), "game_pk")
+    assert len(got) == 20
+    odd = got[got["game_pk"].isin([games[3]["game_pk"], games[5]["game_pk"]])]
+    assert not odd[["home_off", "away_def", "park_factor", "elo_diff", "home_rest"]].isna().any().any()
+
+
+def test_last_weather_and_umpire_win(spark):
+    rows = [(1, 0, 9.0), (1, 2, 3.0), (1, 1, 5.0), (2, None, 1.0)]
+    df = spark.createDataFrame(rows, "game_pk bigint, ordinal int, temp_c double")
+    from fungo.plans.features import last_row
+    assert {(r.game_pk, r.temp_c) for r in last_row(df, ["temp_c"]).collect()} == {(1, 3.0), (2, 1.0)}
