@@ -10,6 +10,7 @@ from fungo.functions import scalars as S
 from fungo.operators import dedup, elo
 from fungo.operators.prefix import day_order, last_n_before, position, running
 from fungo.plans import features
+from fungo.sources import landing
 
 c = F.col
 ORDER = day_order("day", "id")
@@ -183,14 +184,26 @@ def json_flatten(spark, d):
     return table(spark, d, "events").select("event_id", F.from_json("props", "k int, absent int").alias("p")).select("event_id", "p.*")
 
 
-@query("hourly_join", """WITH h AS (SELECT user_id, date_trunc('hour', ts) AS hour, avg(value) AS temp, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY ALL)
-SELECT event_id, round(temp, 6) AS temp, n FROM events e LEFT JOIN h ON e.user_id = h.user_id AND date_trunc('hour', e.ts) = h.hour WHERE e.event_type = 'click'""")
+@query("hourly_join", """WITH h AS (SELECT user_id, date_trunc('hour', ts) AS hour, avg(value) AS temp, max(value) AS speed, min(value) * 3e0 AS dir
+    FROM events WHERE event_type = 'view' GROUP BY ALL),
+  j AS (SELECT event_id, temp, speed, e.user_id % 3 AS roof, radians(fmod(dir + 180e0, 360e0) - e.user_id % 360) AS a
+    FROM events e LEFT JOIN h ON e.user_id = h.user_id AND date_trunc('hour', e.ts) = h.hour WHERE e.event_type = 'click' AND e.user_id % 7 <> 0)
+SELECT event_id AS game_pk, round(temp, 6) AS temp_c, CASE WHEN roof = 0 THEN 0e0 ELSE round(speed * cos(a), 3) + 0e0 END AS out_wind,
+  CASE WHEN roof = 0 THEN 0e0 ELSE round(speed * sin(a), 3) + 0e0 END AS cross_wind,
+  CASE roof WHEN 0 THEN 'dome' WHEN 1 THEN 'retractable' ELSE 'open' END AS roof_category, CASE WHEN temp IS NOT NULL THEN 1 END AS found FROM j""")
 def hourly_join(spark, d):
-    e = table(spark, d, "events").select("event_id", "user_id", "event_type", "value", S.utc_hour(c("ts")).alias("hour"))
-    readings = e.where(c("event_type") == "view").groupBy("user_id", "hour").agg(
-        F.avg("value").alias("temp"), F.count(F.lit(1)).alias("n"))
-    return e.where(c("event_type") == "click").join(readings, ["user_id", "hour"], "left").select(
-        "event_id", F.round("temp", 6).alias("temp"), "n")
+    """Clicks as games at the user's park, views as its hourly readings; one park in seven is unknown."""
+    e = table(spark, d, "events")
+    hourly = e.where(c("event_type") == "view").groupBy(S.id_key(c("user_id")).alias("venue_id"), S.utc_hour(c("ts")).alias("hour")).agg(
+        F.avg("value").alias("temperature_2m"), F.max("value").alias("wind_speed_10m"), (F.min("value") * 3.0).alias("wind_direction_10m"))
+    hourly = hourly.withColumns({k: F.lit(None).cast("double") for k in ("relative_humidity_2m", "surface_pressure", "precipitation")})
+    roof = F.when(c("user_id") % 3 == 0, "Dome").when(c("user_id") % 3 == 1, "Retractable").otherwise("Open")
+    parks = e.where(c("user_id") % 7 != 0).select("user_id").distinct().select(
+        S.id_key(c("user_id")).alias("venue_id"), (c("user_id") % 360).cast("double").alias("azimuth_angle"), roof.alias("roof_type"))
+    games = e.where(c("event_type") == "click").select(c("event_id").alias("game_pk"), c("user_id").alias("venue_id"), c("ts").alias("game_date_utc"))
+    return landing.game_weather(games, hourly, parks).select(
+        "game_pk", F.round("temp_c", 6).alias("temp_c"), (c("wind_out_to_center_ms") + 0.0).alias("out_wind"),
+        (c("wind_left_to_right_ms") + 0.0).alias("cross_wind"), "roof_category", "found")
 
 
 @query("scalars", """WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS speed, l_quantity * 7e0 AS dir, l_tax * 1000e0 AS az,

@@ -205,10 +205,8 @@ SELECT event_id, book, market, w[1] AS region, w[2] AS price_home, w[3] AS price
 def region_precedence(spark, d):
     q = book_quotes(spark, d).withColumn("priced", (c("region") == "us").cast("int")).select(
         "event_id", "book", "book_key", "market", "point", "region", "priced", "price_home", "price_away",
-        F.struct(c("ordinal"), c("price_home"), c("price_away")).alias("seq"))
-    best = F.max_by(F.struct("region", "price_home", "price_away"),
-                    F.struct("priced", *[(-c(f"seq.{k}")).alias(k) for k in ("ordinal", "price_home", "price_away")]))
-    return q.groupBy("event_id", "book", "market").agg(best.alias("w")).select("event_id", "book", "market", "w.*")
+        "ordinal")
+    return Q.merge_regions(q).select("event_id", "book", "market", "region", "price_home", "price_away")
 
 
 @query("overround", f"""WITH {QUOTES} SELECT count(*) AS quotes, round(median(ph + pa - 1e0) * 100e0, 2)

@@ -3,8 +3,9 @@
 Events of one team pair are taken in start order; each claims the nearest
 unclaimed game within the drift limit. Two starts further apart than the limit
 can never meet, so a pair's timeline is first cut wherever a whole time cell
-is empty. Each resulting stretch is then walked in order by a task that keeps
-only the games inside the limit, whatever the length of the stretch.
+is empty. Nearly all stretches hold one event and one game, or no game at all,
+and are settled by an aggregate. Only contested ones are walked in order, by a
+task that keeps the games inside the limit, whatever the length of the stretch.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fungo import config as C
-from fungo.session import parallel_parts
+from fungo.session import parallel_parts, written
 
 PAIR = ["home_key", "away_key"]
 
@@ -46,11 +47,26 @@ def match_events(events: DataFrame, games: DataFrame,
     gap = F.col("cell") - F.lag("cell").over(w) > 1
     cells = cells.withColumn("cut", F.when(gap, 1).otherwise(0)).withColumn(
         "stretch", F.sum("cut").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    walked = (tagged.join(cells.select(*PAIR, "cell", "stretch"), [*PAIR, "cell"])
-              .repartition(parallel_parts(events.sparkSession), *PAIR, "stretch")
-              .sortWithinPartitions(*PAIR, "stretch", "at", "is_event", F.length("id"), "id"))
-    return walked.select(*PAIR, "stretch", "at", "is_event", "id").mapInPandas(
-        _walker(limit), "event_id string, game_pk string, gap_hours double")
+    # Read for the counts and again for the rows: written once.
+    placed = written(tagged.join(cells.select(*PAIR, "cell", "stretch"), [*PAIR, "cell"])
+                     .select(*PAIR, "stretch", "at", "is_event", "id"))
+    stretch = [*PAIR, "stretch"]
+    event = F.col("is_event") == 1
+    held = placed.groupBy(*stretch).agg(
+        F.count_if(event).alias("events"), F.count_if(~event).alias("games"),
+        F.min(F.when(event, F.col("id"))).alias("event_id"), F.min(F.when(~event, F.col("id"))).alias("game_pk"),
+        (F.min(F.when(event, F.col("at"))) - F.min(F.when(~event, F.col("at")))).alias("apart"))
+    near = F.abs("apart") <= limit
+    plain = held.where("events = 1 and games = 1").select(
+        "event_id", F.when(near, F.col("game_pk")).alias("game_pk"), F.when(near, F.abs("apart") / 3.6e9).alias("gap_hours"))
+    alone = placed.where(event).join(held.where("games = 0").select(*stretch), stretch, "left_semi").select(
+        F.col("id").alias("event_id"), F.lit(None).cast("string").alias("game_pk"), F.lit(None).cast("double").alias("gap_hours"))
+    contested = held.where("events > 0 and games > 0 and events + games > 2").select(*stretch)
+    walked = (placed.join(contested, stretch, "left_semi")
+              .repartition(parallel_parts(events.sparkSession), *stretch)
+              .sortWithinPartitions(*stretch, "at", "is_event", F.length("id"), "id")
+              .mapInPandas(_walker(limit), "event_id string, game_pk string, gap_hours double"))
+    return plain.unionByName(alone).unionByName(walked)
 
 
 class _Open:
