@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from fungo import config as C
@@ -225,6 +226,22 @@ def poisson_glm(spark, d):
     return model.expected(rows).withColumns({k: F.round(k, 4) for k in ("home_mean", "away_mean")})
 
 
+@query("poisson_conditions", """SELECT name, 2 * (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey
+    WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)) AS rows, 0e0 AS gradient, 0e0 AS bias
+FROM (VALUES ('home_a'), ('away_a'), ('home_b'), ('away_b'), ('tilt')) AS t(name)""")
+def poisson_conditions(spark, d):
+    """What a penalised Poisson fit must satisfy: no slope is left along any column, and fitted and observed totals agree."""
+    train = modelling.both_dugouts(two_sided_orders(spark, d), INPUTS)
+    fit = modelling.fit_estimator(train, "glm", INPUTS)
+    seen = fit.transform(train).select("target", "mean", vector_to_array("x").alias("x"))
+    slopes = F.array(*[F.struct(
+        F.lit(name).alias("name"), (F.avg((c("mean") - c("target")) * c("x")[i]) + modelling.ALPHA * float(fit.stages[-1].coefficients[i])).alias("g"))
+        for i, name in enumerate(INPUTS)])
+    out = seen.agg(F.count(F.lit(1)).alias("rows"), (F.avg("mean") / F.avg("target") - 1).alias("bias"), slopes.alias("s"))
+    return out.select(F.explode("s").alias("s"), "rows", "bias").select(
+        "s.name", "rows", (F.round("s.g", 3) + 0.0).alias("gradient"), (F.round("bias", 4) + 0.0).alias("bias"))
+
+
 @query("walk_forward")
 def walk_forward(spark, d):
     # Stands for the stored feature table.

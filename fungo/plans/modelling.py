@@ -16,6 +16,7 @@ from fungo.functions import scalars as S
 from fungo.operators.pricing import (Width, calibrate_extra_innings, calibrate_walk_off, dispersion,
                                      fit_inning_shape, price_games)
 from fungo.operators.prefix import day_order, position
+from fungo.session import written
 
 c = F.col
 ALPHA = 1e-3
@@ -71,6 +72,8 @@ def fit_estimator(train: DataFrame, kind: str = "glm", columns: Sequence[str] =
     penalty. Spark's boosting has no Poisson loss: kind "gbm" is an approximate
     squared-error analogue.
     """
+    # Every pass of a solver reads the rows again: only the design is written, once.
+    train = written(train.select(*columns, "target"))
     assemble = VectorAssembler(inputCols=list(columns), outputCol="raw")
     if kind == "glm":
         level = train.agg(F.avg("target")).first()[0]
@@ -97,10 +100,10 @@ class RunsModel:
 
     def expected(self, features: DataFrame) -> DataFrame:
         """(game_pk, home_mean, away_mean), each within 0.2 and 20."""
-        home = self.raw(features).select("game_pk", S.clip(c("mean"), 0.2, 20.0).alias("home_mean"))
-        away = self.raw(mirror(features, self.columns)).select(
-            "game_pk", S.clip(c("mean"), 0.2, 20.0).alias("away_mean"))
-        return home.join(away, "game_pk")
+        row = features.withColumn("_row", F.struct(*features.columns))
+        home = self.raw(row).select("_row", S.clip(c("mean"), 0.2, 20.0).alias("_home"))
+        away = self.raw(mirror(home.select("_row.*", "_home"), self.columns))
+        return away.select("game_pk", c("_home").alias("home_mean"), S.clip(c("mean"), 0.2, 20.0).alias("away_mean"))
 
     def price(self, features: DataFrame, games: DataFrame, points=C.USUAL_LINES) -> DataFrame:
         lengths = games.select("game_pk", c("scheduled_innings").alias("innings"))
@@ -119,7 +122,7 @@ def holdout_width(merged: DataFrame, kind: str, columns=C.FEATURE_COLUMNS, seed:
     default = Width()
     if cut < floor or total - cut < floor:
         return default
-    placed = position(merged, [], day_order("official_date", "game_pk"), "_at")
+    placed = written(position(merged, [], day_order("official_date", "game_pk"), "_at"))
     train, held = placed.where(c("_at") <= cut), placed.where(c("_at") > cut)
     probe = RunsModel(fit_estimator(both_dugouts(train, columns), kind, columns, seed + 1),
                       default, kind, tuple(columns))
@@ -136,12 +139,11 @@ def holdout_width(merged: DataFrame, kind: str, columns=C.FEATURE_COLUMNS, seed:
 
 def fit_runs(features: DataFrame, games: DataFrame, kind: str = "glm",
              columns: Sequence[str] = C.FEATURE_COLUMNS, seed: int = 0) -> RunsModel:
-    merged = with_outcomes(features, games).persist()
+    merged = written(with_outcomes(features, games))
     estimator = fit_estimator(both_dugouts(merged, columns), kind, columns, seed)
     edge, extra = calibrate_extra_innings(merged)
     width = replace(holdout_width(merged, kind, columns, seed), home_edge=edge, extra_margins=extra,
                     walk_off_margins=calibrate_walk_off(merged))
-    merged.unpersist()
     return RunsModel(estimator, width, kind, tuple(columns))
 
 
