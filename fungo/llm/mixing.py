@@ -106,3 +106,27 @@ def mixed(docs: DataFrame) -> DataFrame:
     return (numbered(docs, name).join(taken.toDF(name, times), name)
             .withColumn(no, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))))
             .select(*(F.col(f"`{c}`") for c in docs.columns)))
+
+
+def sql() -> str:
+    """The same rows, with one window over each source."""
+    order = "source_size / weight, source IS NULL, source"
+    return rf"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size FROM documents),
+  s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+  w AS (SELECT *, {list(WEIGHTS)}[(row_number() OVER (ORDER BY source IS NULL, source) - 1) % {len(WEIGHTS)} + 1] AS weight,
+          sum(source_size) OVER ()::BIGINT AS total FROM s),
+  l AS (SELECT *, (total - {LIMIT} * coalesce(sum(source_size) OVER (ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT)
+          / (sum(weight) OVER (ORDER BY {order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS level FROM w),
+  t AS (SELECT source, source_size, coalesce(first_value(CASE WHEN level * weight <= {LIMIT} * source_size THEN level END IGNORE NULLS)
+          OVER (ORDER BY {order} ROWS UNBOUNDED PRECEDING) * weight, {LIMIT} * source_size)::DOUBLE AS target FROM l),
+  r AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0e0 END AS ratio,
+          row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id) AS n
+        FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+  k AS (SELECT source, k, ('0x' || substr(md5(coalesce(source, 'null:') || '#' || k), 1, 8))::BIGINT / {float(1 << 32)!r} AS start
+        FROM s, range({OFFSETS}) AS x(k)),
+  b AS (SELECT r.source, k, start, abs(sum((floor(ratio * n + start) - floor(ratio * (n - 1) + start))::BIGINT * size) - target) AS miss
+        FROM r JOIN k ON r.source IS NOT DISTINCT FROM k.source GROUP BY r.source, k, start, target),
+  best AS (SELECT source, arg_min(start, (miss, k)) AS start FROM b GROUP BY source)
+SELECT doc_id, size, source_size, target, (floor(ratio * n + start) - floor(ratio * (n - 1) + start))::BIGINT * size AS taken
+FROM r JOIN best ON r.source IS NOT DISTINCT FROM best.source"""

@@ -87,3 +87,4 @@ g as (select t, min(doc_id) as keep_id, count(*) as group_size from n group by t
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_sha256 from n join g using (t)"""
 
 SQL["op7_licenses"] = licenses.sql()
+SQL["op5_mixing"] = mixing.sql()
