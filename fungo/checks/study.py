@@ -92,13 +92,14 @@ PERM_DRAWS = 2000
 
 
 def _permutation_sql():
-    steps = ["x0 AS (SELECT d, season, size, pos AS x, v FROM spots, range(1, %d) AS r(d))" % (PERM_DRAWS + 1)]
+    """All rounds of all draws; what depends on the draw alone is computed once per draw."""
+    tick = f"(d * {resample.ROUNDS} + s)"
+    steps = [f"""keys AS (SELECT d, list({rng.mix_sql(tick, '1', 5)} ORDER BY s) AS centre, list({rng.mix_sql(tick, '2', 6)} ORDER BY s) AS coin
+    FROM range(1, {PERM_DRAWS + 1}) AS r(d), range({resample.ROUNDS}) AS q(s) GROUP BY d)""",
+             "x0 AS (SELECT d, centre, coin, season, size, pos AS x, v FROM spots, keys)"]
     for s in range(resample.ROUNDS):
-        tick = f"(d * {resample.ROUNDS} + {s})"
-        steps.append(f"""y{s} AS (SELECT *, (({rng.mix_sql(tick, '1', 5)}) % size - x + size) % size AS z,
-    {rng.mix_sql(tick, '2', 6)} AS key FROM x{s}),
-  w{s} AS (SELECT d, season, size, x, z, v, key, greatest(x, z) AS top FROM y{s}),
-  x{s + 1} AS (SELECT d, season, size, CASE WHEN {rng.coin_sql('top', 'key')} = 1 THEN z ELSE x END AS x, v FROM w{s})""")
+        steps.append(f"""y{s} AS (SELECT *, (centre[{s + 1}] % size - x + size) % size AS z FROM x{s}),
+  x{s + 1} AS (SELECT d, centre, coin, season, size, CASE WHEN {rng.coin_sql('greatest(x, z)', f'coin[{s + 1}]')} = 1 THEN z ELSE x END AS x, v FROM y{s})""")
     return ",\n  ".join(steps)
 
 
