@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from fungo.llm.common import numbered, small_batches, stored
 
-WINDOW, ANCHOR, LIMIT = 35, 8, 256
+WINDOW, ANCHOR, LIMIT = 35, 8, 2048
 SHARD_WORDS = 50_000
 STEP = 1 << 16
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -241,7 +241,7 @@ def repeated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, limit:
         _words, "anchor long, crowded boolean, times long, row_id long, first int, words binary"))
     by_automaton = (parts.where("not crowded").repartition("anchor").sortWithinPartitions("anchor")
                     .mapInArrow(_match(window), "row_id long, start int, stop int"))
-    windows = parts.where("crowded").mapInArrow(_windows(window), "w1 long, w2 long, times long, row_id long, first int")
+    windows = stored(parts.where("crowded").mapInArrow(_windows(window), "w1 long, w2 long, times long, row_id long, first int"))
     twice = stored(windows.groupBy("w1", "w2").agg(F.sum("times").alias("places")).where("places > 1").select("w1", "w2"))
     by_count = windows.where("times = 1").join(twice, ["w1", "w2"]).select(
         "row_id", F.col("first").alias("start"), (F.col("first") + window).alias("stop"))
