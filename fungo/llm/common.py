@@ -1,15 +1,18 @@
 """What the corpus operators share.
 
 Row numbers: operators that must come back to a row number it by
-``numbered`` on each pass. The number depends on the place of the row in its
-input, so the input must be a stable table (files, a checkpoint), not a query
-whose row order may change between two runs of it.
+``numbered`` on each pass. In files the number is that of the file and of the
+row in it, so it does not depend on how a scan is split, which changes with the
+number of live cores. The input must be such a table (files, or columns and
+rows chosen from files), or a checkpoint, whose partitions stay as they are; not
+a query whose rows may change between two runs of it.
 """
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,8 +44,24 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Row numbers of one file.
+FILE_ROWS = 1 << 40
+
+
 def numbered(docs: DataFrame, name: str = "row_id") -> DataFrame:
-    return docs.withColumn(name, F.monotonically_increasing_id())
+    try:
+        paths = docs.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("at"))
+        paths.schema  # names are resolved here
+    except AnalysisException:
+        return docs.withColumn(name, F.monotonically_increasing_id())
+    files = sorted(r.path for r in paths.select("path").distinct().collect())
+    if not files:
+        return docs.withColumn(name, F.lit(0).cast("long"))
+    path, at, no = (free_name(docs, n) for n in ("file_path", "file_row", "file_no"))
+    listed = docs.sparkSession.range(1).select(F.posexplode(F.split(F.lit("\n".join(files)), "\n")).alias(no, path))
+    rows = docs.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(at))
+    return (rows.join(F.broadcast(listed), path).withColumn(name, F.col(no).cast("long") * FILE_ROWS + F.col(at))
+            .drop(path, at, no))
 
 
 def free_name(docs: DataFrame, name: str) -> str:

@@ -42,3 +42,22 @@ def test_near_copies_at_a_word_similarity_of_eight_tenths_go(spark, near_texts,
     assert {r.doc_id for r in simhash.drop_near(docs).collect()} == set(root)
     monkeypatch.setattr(simhash, "SLICE", (2, 3))  # every component is cut
     assert {r.doc_id for r in simhash.drop_near(docs).collect()} == set(root)
+
+
+def test_row_numbers_do_not_depend_on_the_split_of_a_scan(spark, tmp_path):
+    """An executor that is lost or joins between two passes changes the size of splits."""
+    path = str(tmp_path / "docs")
+    spark.range(40_000).selectExpr("id as doc_id", "repeat(sha2(string(id), 256), 4) as text").repartition(3).write.option(
+        "parquet.block.size", 1 << 16).parquet(path)
+    docs = spark.read.parquet(path)
+    found = []
+    for most in ("1g", "200k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            found.append({r.doc_id: r.row_id for r in common.numbered(docs).select("doc_id", "row_id").collect()})
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(set(found[0].values())) == 40_000
+    assert found[0] == found[1]
