@@ -2,8 +2,9 @@
 
 Base rules count words, symbols, repeated lines and repeated word windows. Of
 texts that pass them, a public vocabulary with byte fallback measures
-characters per token, the share of byte tokens and the token entropy (divided by
-that of tokens all different). Each measure has a band per language (per script
+characters per token, the share of byte tokens and the token entropy (the mean of
+consecutive windows of a fixed number of tokens, divided by that of tokens all
+different, so that it does not fall with length). Each measure has a band per language (per script
 where the language is null): the quartiles of all measured documents of the
 language, widened by ``reach`` interquartile ranges. A text outside a band is
 rejected.
@@ -31,6 +32,8 @@ from fungo.llm.tokens import vocabulary_path
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEATED = 50, 50
 GRID = 500
+#: Tokens of a window of the entropy; a shorter text is one window.
+WINDOW = 256
 #: Measure: least interquartile range, so that a language of few or equal texts keeps a band.
 MEASURES = {"chars_per_token": 0.08, "byte_share": 0.02, "entropy": 0.02}
 REACH = 2.5
@@ -77,6 +80,22 @@ def counts(text: str) -> tuple[int, int, int, int, int]:
             len(lines) - len(set(lines)), repeated_words(words))
 
 
+def entropy(ids: np.ndarray, window: int = WINDOW) -> float:
+    """Mean token entropy of consecutive windows over that of tokens all different. The last window ends with the text."""
+    n = min(window, len(ids))
+    if n < 2:
+        return 0.0
+    whole = len(ids) // n
+    rows = ids[: whole * n].reshape(whole, n)
+    if len(ids) % n:
+        rows = np.concatenate([rows, ids[None, -n:]])
+    rows = np.sort(rows, axis=1)
+    starts = np.ones(rows.shape, bool)
+    starts[:, 1:] = rows[:, 1:] != rows[:, :-1]
+    runs = np.diff(np.append(np.flatnonzero(starts), rows.size))
+    return float(1 - (runs * np.log2(runs)).sum() / (rows.size * np.log2(n)))
+
+
 def _measure(path: str):
     @F.pandas_udf("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
                   "language string, chars_per_token double, byte_share double, entropy double")
@@ -95,10 +114,7 @@ def _measure(path: str):
                     rows.append((*base, True, None, None, None, None))
                     continue
                 ids = np.array(coder.encode(text.encode("utf-8", "replace").decode()), np.int64)
-                share = np.bincount(ids)
-                share = share[share > 0] / len(ids)
-                rows.append((*base, False, lang or script(text), len(text) / len(ids), float(is_byte[ids].mean()),
-                             float(-(share * np.log2(share)).sum() / np.log2(max(len(ids), 2)))))
+                rows.append((*base, False, lang or script(text), len(text) / len(ids), float(is_byte[ids].mean()), entropy(ids)))
             out = pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                                               "base_failed", "language", *MEASURES])
             yield out.astype({m: "float64" for m in MEASURES})

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from fungo.llm import common, simhash
+from fungo.llm import common, fertility, simhash
 from fungo.session import ship_package
 from tests.llm.test_first import low
 
@@ -61,3 +61,29 @@ def test_row_numbers_do_not_depend_on_the_split_of_a_scan(spark, tmp_path):
             spark.conf.unset("spark.sql.files.openCostInBytes")
     assert len(set(found[0].values())) == 40_000
     assert found[0] == found[1]
+
+
+def test_a_clean_text_of_megabytes_passes(spark):
+    """Clean English documents joined end to end are as good as each of them."""
+    ship_package(spark)
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
+    clean = fertility.judged(docs).where("kept").join(docs, "doc_id").where("lang = 'en'").select("doc_id", "text").orderBy("doc_id")
+    texts = list(dict.fromkeys(r.text for r in clean.collect()))
+    whole = "\n".join(texts)
+    whole = "\n".join([whole] + [" ".join(reversed(t.split())) for t in texts] * (len(whole) < 3_000_000))
+    judged = fertility.judged(common.stored(docs.unionByName(spark.createDataFrame([(-1, whole, "en")], "doc_id long, text string, lang string"))))
+    row = judged.where("doc_id = -1").first()
+    assert len(whole) > 2_000_000 and not row.base_failed and row.kept
+
+
+def test_entropy_of_windows():
+    ids = np.random.default_rng(0).integers(40, size=1000)
+    for n in (1, 2, 100, 256, 257, 512, 1000):
+        parts = [ids[:n][at:at + 256] for at in range(0, n - n % 256, 256)] or [ids[:n]]
+        parts += [ids[:n][-256:]] if n > 256 and n % 256 else []
+        want = []
+        for part in parts:
+            share = np.unique(part, return_counts=True)[1] / len(part)
+            want.append(-(share * np.log2(share)).sum() / np.log2(max(len(part), 2)))
+        assert abs(fertility.entropy(ids[:n]) - np.mean(want)) < 1e-9
