@@ -1,11 +1,9 @@
 """What the corpus operators share.
 
-Row numbers: operators that must come back to a row number it by
-``numbered`` on each pass. In files the number is that of the file and of the
-row in it, so it does not depend on how a scan is split, which changes with the
-number of live cores. The input must be such a table (files, or columns and
-rows chosen from files), or a checkpoint, whose partitions stay as they are; not
-a query whose rows may change between two runs of it.
+Row numbers: operators that must come back to a row number it by ``numbered``
+on each pass: by its file and its row in that file, which no split of a scan
+changes. ``landed`` makes sure that there are files: a table that does not come
+from files is written once, beside the checkpoints.
 """
 
 from __future__ import annotations
@@ -15,21 +13,23 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fungo.session import checkpoint_ready
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BATCH_ROWS = 1000
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what a Python worker holds at once: texts are long, so few rows go in a batch."""
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Bound what a Python worker holds at once, by rows and by bytes: texts are long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -44,24 +44,45 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Row numbers of one file.
-FILE_ROWS = 1 << 40
+#: Row numbers of one file; hashes of this many paths are broadcast at most (16 bytes each).
+FILE_ROWS, BROADCAST_FILES = 1 << 40, 2_000_000
 
 
-def numbered(docs: DataFrame, name: str = "row_id") -> DataFrame:
+def file_rows(docs: DataFrame) -> DataFrame | None:
+    """All columns of docs, the path of each row's file and the row's place in it; None where rows do not come from files."""
+    path, at = free_name(docs, "file_path"), free_name(docs, "file_row")
     try:
-        paths = docs.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("at"))
-        paths.schema  # names are resolved here
+        meta = docs.metadataColumn("_metadata")
+        rows = docs.select("*", meta["file_path"].alias(path), meta["row_index"].alias(at))
+        rows.schema  # names are resolved here
     except AnalysisException:
-        return docs.withColumn(name, F.monotonically_increasing_id())
-    files = sorted(r.path for r in paths.select("path").distinct().collect())
-    if not files:
-        return docs.withColumn(name, F.lit(0).cast("long"))
-    path, at, no = (free_name(docs, n) for n in ("file_path", "file_row", "file_no"))
-    listed = docs.sparkSession.range(1).select(F.posexplode(F.split(F.lit("\n".join(files)), "\n")).alias(no, path))
-    rows = docs.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(at))
-    return (rows.join(F.broadcast(listed), path).withColumn(name, F.col(no).cast("long") * FILE_ROWS + F.col(at))
-            .drop(path, at, no))
+        return None
+    return rows
+
+
+def landed(docs: DataFrame) -> DataFrame:
+    """docs as rows of files: as they are, or written once."""
+    return docs if file_rows(docs) is not None else stored(docs)
+
+
+def numbered(docs: DataFrame, name: str = "row_id") -> DataFrame:
+    """docs, which must be rows of files (see ``landed``), with a number of each row.
+
+    Files are numbered in a written table of path hashes; it is joined as the
+    planner sees fit, and broadcast by hint only up to a stated size."""
+    rows = file_rows(docs)
+    if rows is None:
+        raise ValueError("rows that do not come from files have no lasting number; write them first (landed)")
+    path, at, no, mark = (free_name(docs, n) for n in ("file_path", "file_row", "file_no", "file_mark"))
+    marks = stored(
+        rows.select(path).groupBy(F.xxhash64(path).alias(mark)).agg((F.min(path) != F.max(path)).alias("clash"))
+        .select(mark, "clash", (F.row_number().over(Window.orderBy(mark)) - 1).cast("long").alias(no)))
+    n, clash = marks.agg(F.count("*"), F.max("clash")).first()
+    if clash:
+        raise ValueError("two files of one path hash")
+    marks = marks.select(mark, no)
+    return (rows.withColumn(mark, F.xxhash64(path)).join(F.broadcast(marks) if n <= BROADCAST_FILES else marks, mark)
+            .withColumn(name, F.col(no) * FILE_ROWS + F.col(at)).drop(path, at, no, mark))
 
 
 def free_name(docs: DataFrame, name: str) -> str:

@@ -9,8 +9,7 @@ chunk against chunk; a text that differs forms its own group.
 
 Null counts as an empty text. Of equal texts the smallest id stays (null ids
 last, then the first row). An empty table gives an empty result. Other columns
-pass through ``drop_copies`` unchanged. The input must be a stable table (see
-``common``).
+pass through ``drop_copies`` unchanged.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fungo.llm.common import free_name, numbered, small_batches, stored
+from fungo.llm.common import free_name, landed, numbered, small_batches, stored
 from fungo.session import parallel_parts
 
 PRIME = (1 << 31) - 1
@@ -116,6 +115,7 @@ def _chunks(texts: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, piece: int = PIECE) -> DataFrame:
     """row_id, doc_id, keep_id, group_size, kept, sha: one row per row of docs."""
+    docs = landed(docs)
     found = fingerprints(docs, piece)
     alike = stored(found.groupBy("size", *HASHES).agg(_keeper(), F.count("*").alias("n")))
     member = stored(found.join(alike.withColumnRenamed("keeper", "k"), ["size", *HASHES])
@@ -137,6 +137,7 @@ def groups(docs: DataFrame, piece: int = PIECE) -> DataFrame:
 
 def drop_copies(docs: DataFrame, piece: int = PIECE) -> DataFrame:
     """The rows of docs that stay, with all columns."""
+    docs = landed(docs)
     gone = stored(groups(docs, piece).where("not kept").select("row_id"))
     name = free_name(docs, "row_id")
     return (numbered(docs, name).join(gone.withColumnRenamed("row_id", name), name, "left_anti")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fungo.llm.common import free_name, numbered, small_batches, stored
+from fungo.llm.common import free_name, landed, numbered, small_batches, stored
 from fungo.llm.tokens import vocabulary_path
 
 SYMBOLS = "#*$%&|<>"
@@ -153,6 +153,7 @@ def kept() -> Column:
 
 def judged(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", reach: float = REACH) -> DataFrame:
     """row_id, doc_id, the counts, the measures and kept, one row per row of docs."""
+    docs = landed(docs)
     found = stored(numbered(docs).select("row_id", "doc_id", measured(docs, vocabulary).alias("m")).select("row_id", "doc_id", "m.*"))
     limits = stored(bands(found, reach))
     return found.join(limits, "language", "left").withColumn("kept", kept())
@@ -160,6 +161,7 @@ def judged(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", reach: floa
 
 def passing(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", reach: float = REACH) -> DataFrame:
     """The rows of docs that all rules keep."""
+    docs = landed(docs)
     rows = stored(judged(docs, vocabulary, reach).where("not kept").select("row_id"))
     name = free_name(docs, "row_id")
     return (numbered(docs, name).join(rows.withColumnRenamed("row_id", name), name, "left_anti")

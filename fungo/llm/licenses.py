@@ -13,7 +13,7 @@ consecutively, are found in the word array of documents that hold the word
 
 Everything is built-in functions. Null text is empty: no words, no labels,
 score 0. Rows with equal ids are judged alike. An empty table gives an empty
-result. The input must be a stable table (see ``common``).
+result.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fungo.llm.common import ascii_lower, numbered, stored
+from fungo.llm.common import ascii_lower, landed, numbered, stored
 
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 THRESHOLD, LINES = 0.9, 3
@@ -83,7 +83,7 @@ def places(own: Column) -> Column:
 def scan(docs: DataFrame, threshold: float = THRESHOLD, lines: int = LINES) -> DataFrame:
     """row_id, doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score, one row per row of docs."""
     spark = docs.sparkSession
-    texts = numbered(docs.select("doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("text")))
+    texts = numbered(landed(docs).select("doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("text")))
     sets = [sorted(set(t.split())) for _, t in TEMPLATES]
     vocabulary = ordered(texts, sorted(set().union(*sets)))
     rank = {w: i for i, w in enumerate(vocabulary)}

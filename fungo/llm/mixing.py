@@ -15,8 +15,7 @@ place.
 
 Null text has no words, a null source is a source. Documents without words are
 never taken; a source without words has target 0. Rows with equal ids are
-documents of their own. An empty table gives an empty result. The input must be
-a stable table (see ``common``).
+documents of their own. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fungo.llm.common import WORD, free_name, numbered, stored
+from fungo.llm.common import WORD, free_name, landed, numbered, stored
 from fungo.session import parallel_parts
 
 LIMIT = 3
@@ -71,7 +70,7 @@ def copies(ratio: Column, rank: Column, start: Column) -> Column:
 def mix(docs: DataFrame) -> DataFrame:
     """row_id, doc_id, size, source, source_size, target, copies: one row per row of docs."""
     parts = parallel_parts(docs.sparkSession)
-    sized = stored(numbered(docs.select("doc_id", "source", words(F.col("text")).alias("size"))))
+    sized = stored(numbered(landed(docs).select("doc_id", "source", words(F.col("text")).alias("size"))))
     shares = stored(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))))
     ranged = stored(sized.repartitionByRange(parts, "source", "size", "doc_id", "row_id")
                     .withColumn("part", F.spark_partition_id()))
@@ -101,6 +100,7 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken."""
+    docs = landed(docs)
     taken = stored(mix(docs).where("copies > 0 and size > 0").select("row_id", "copies"))
     name, times, no = (free_name(docs, n) for n in ("row_id", "mix_copies", "mix_no"))
     return (numbered(docs, name).join(taken.toDF(name, times), name)

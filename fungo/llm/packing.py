@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fungo.llm.common import numbered, small_batches, stored
+from fungo.llm.common import landed, numbered, small_batches, stored
 from fungo.llm.tokens import WordTokens, vocabulary_path
 from fungo.session import parallel_parts
 
@@ -140,7 +140,7 @@ def pack(docs: DataFrame, length: int = 2048, vocabulary: str = "word_bpe_49k.js
     small_batches(spark)
     path = vocabulary_path(vocabulary)
     coded = stored(
-        numbered(docs.select(F.col("doc_id").cast("long"), "text"))
+        numbered(landed(docs).select(F.col("doc_id").cast("long"), "text"))
         .withColumn("t", _tokens(path, end_id)(F.coalesce("text", F.lit(""))))
         .select("row_id", "doc_id", "t.*"))
     line = stored(

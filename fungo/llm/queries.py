@@ -7,7 +7,8 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fungo.llm import exact, fertility, langid, licenses, mixing, packing, pii, ranking, simhash, substrings
+from fungo.llm import (divergence, exact, fertility, langid, licenses, mixing, packing, pii, ranking, repeats, simhash,
+                       substrings, whitening)
 from fungo.llm.common import documents
 from fungo.session import ship_package
 
@@ -81,6 +82,22 @@ def op10_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.rank(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+@query
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 SQL["op8_exact"] = r"""
 with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents),
 g as (select t, min(doc_id) as keep_id, count(*) as group_size from n group by t)
@@ -88,3 +105,4 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_
 
 SQL["op7_licenses"] = licenses.sql()
 SQL["op5_mixing"] = mixing.sql()
+SQL["op12_divergence"] = divergence.sql()

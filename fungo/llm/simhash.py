@@ -14,8 +14,7 @@ is one group, so no task holds more than two slices, and no link is lost.
 
 A text of fewer words than a shingle is one shingle; null text and a text
 without words have fingerprint zero and link like any other. An empty table
-gives an empty result. Rows with equal ids are documents of their own. The
-input must be a stable table (see ``common``).
+gives an empty result. Rows with equal ids are documents of their own.
 
 ``drop_near`` removes copies by word similarity (Jaccard of the sets of
 shingles). Fingerprints within ``distance`` bits, and texts that agree on a band
@@ -35,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fungo.llm.common import LOWER, UPPER, components, free_name, numbered, small_batches, stored
+from fungo.llm.common import LOWER, UPPER, components, free_name, landed, numbered, small_batches, stored
 
 SEED = 42
 BUCKET = 50_000
@@ -161,6 +160,7 @@ def links(distinct: DataFrame, distance: int, shared: int, bucket: int = BUCKET)
 def near_groups(docs: DataFrame, width: int = 4, distance: int = 4, shared: int = 3, bucket: int = BUCKET) -> DataFrame:
     """row_id, doc_id, fp, component_id (smallest doc_id reachable) and keeper (its row), one row per row of docs."""
     small_batches(docs.sparkSession)
+    docs = landed(docs)
     marked = stored(numbered(docs.select("doc_id", "text")).select("row_id", "doc_id", _fingerprints(width)("text").alias("fp")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row_id")).alias("first")
     distinct = stored(marked.groupBy("fp").agg(first))
@@ -285,6 +285,7 @@ def verified(docs: DataFrame, coarse: DataFrame, width: int, share: float) -> Da
 def near_rows(docs: DataFrame, width: int = 5, distance: int = 6, shared: int = 3, share: float = SHARE) -> DataFrame:
     """row_id and keeper (the row that stays of its component), one row per row of docs; null and wordless texts are alike."""
     small_batches(docs.sparkSession)
+    docs = landed(docs)
     marked = stored(numbered(docs.select("doc_id", "text")).select("row_id", "doc_id", _sketches(width)("text").alias("s"))
                     .select("row_id", "doc_id", "s.*"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row_id")).alias("first")
@@ -303,6 +304,7 @@ def drop_near(docs: DataFrame, width: int = 5, distance: int = 6, shared: int =
     """One document of each group stays: the one with the smallest id. All columns pass unchanged.
 
     A group is a component of the pairs whose sets of shingles have a Jaccard similarity of ``share`` or more."""
+    docs = landed(docs)
     gone = stored(near_rows(docs, width, distance, shared, share).where("row_id <> keeper").select("row_id"))
     name = free_name(docs, "row_id")
     return (numbered(docs, name).join(gone.withColumnRenamed("row_id", name), name, "left_anti")

@@ -19,7 +19,7 @@ windows are counted by hash instead, which is exact too.
 Words are compared by 64-bit hashes. Windows are judged on the input. Null text
 has no words. Equal rows are copies of each other, so all their windows repeat.
 A text shorter than the window stays whole. An empty table gives an empty
-result. The input must be a stable table (see ``common``).
+result.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fungo.llm.common import numbered, small_batches, stored
+from fungo.llm.common import landed, numbered, small_batches, stored
 
 WINDOW, ANCHOR, LIMIT = 35, 8, 2048
 SHARD_WORDS = 50_000
@@ -270,6 +270,7 @@ def _cut():
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, limit: int = LIMIT) -> DataFrame:
     """row_id, doc_id, n_words, n_removed and kept (the words left, joined by one space), one row per row of docs."""
+    docs = landed(docs)
     spans = repeated(docs, window, anchor, limit).groupBy("row_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     joined = numbered(docs.select("doc_id", "text")).join(spans, "row_id", "left")
     return joined.select("row_id", "doc_id", _cut()("text", "spans").alias("c")).select("row_id", "doc_id", "c.*")
