@@ -9,7 +9,7 @@ from fungo.checks.base import query, table
 from fungo.plans import features
 
 c = F.col
-SHOWN = [k for k in (*C.FEATURE_COLUMNS, "ump_run_rate", "ump_k_rate") if k not in ("home_elo", "away_elo", "elo_diff")]
+SHOWN = [*C.FEATURE_COLUMNS, "ump_run_rate", "ump_k_rate"]
 
 GAMES = """g AS (SELECT o_orderkey AS game_pk, CAST(o_orderdate AS DATE) AS day, year(o_orderdate) AS season, o_custkey % 12 AS home,
     (o_custkey % 12 + 1 + o_orderkey % 11) % 12 AS away, o_custkey % 12 * 10 + o_orderkey % 5 AS home_sp,
@@ -49,7 +49,19 @@ def side_sql(h: str) -> str:
   (b_{h}.runs + lg_relief * (300e0 / 27e0)) / (b_{h}.outs + 300e0) * 27e0 AS {h}_bp_rate, b_{h}.work AS {h}_bp_workload"""
 
 
-SQL = f"""WITH {GAMES},
+ELO = f"""e0 AS (SELECT *, row_number() OVER (PARTITION BY season ORDER BY day, game_pk) AS rk FROM g),
+  e AS (SELECT DISTINCT season, CAST(0 AS BIGINT) AS rk, CAST(NULL AS BIGINT) AS game_pk, CAST(NULL AS DOUBLE) AS rh, CAST(NULL AS DOUBLE) AS ra,
+          CAST(MAP([], []) AS MAP(BIGINT, DOUBLE)) AS m FROM g
+        UNION ALL
+        SELECT season, rk, game_pk, rh, ra, map_concat(m, MAP([home, away], [rh + mv, ra - mv])) FROM (
+          SELECT *, coalesce({C.ELO_K!r} * ln(1 + abs(hs - aws)) * (CAST(hs > aws AS DOUBLE)
+                      - 1e0 / (1e0 + pow(10e0, -(rh - ra + {C.ELO_HOME_EDGE!r}) / 400e0))), 0e0) AS mv FROM (
+            SELECT e0.*, m, coalesce(m[home], {C.ELO_START!r}) AS rh, coalesce(m[away], {C.ELO_START!r}) AS ra
+            FROM e JOIN e0 ON e0.season = e.season AND e0.rk = e.rk + 1)))"""
+
+
+SQL = f"""WITH RECURSIVE {GAMES},
+  {ELO},
   t0 AS (SELECT *, count(*) FILTER (played) OVER w AS games, coalesce(sum(scored) OVER w, 0) AS rf, coalesce(sum(allowed) OVER w, 0) AS ra
          FROM s WINDOW w AS {before('team, season')}),
   form AS ({recent('team, season', 'avg(scored) @ AS ro, avg(allowed) @ AS rd', C.FORM_GAMES)}),
@@ -97,13 +109,14 @@ SQL = f"""WITH {GAMES},
     coalesce(q, 0e0) AS wind_out_to_center_ms, coalesce(-q, 0e0) AS wind_left_to_right_ms, coalesce(q / 10e0, 0e0) AS precip_mm,
     CAST(coalesce(flag = 'retractable', false) AS INTEGER) AS roof_retractable, CAST(coalesce(flag = 'dome', false) AS INTEGER) AS roof_dome,
     (coalesce(u.runs, 0) + lg_mean * 60e0) / (coalesce(u.games, 0) + 60e0) - lg_mean AS ump_run_rate,
-    (coalesce(u.ks, 0) + lg_kpg * 60e0) / (coalesce(u.kg, 0) + 60e0) - lg_kpg AS ump_k_rate
-  FROM g {" ".join(f"JOIN {a} {a}_{h} ON {a}_{h}.game_pk = g.game_pk AND {a}_{h}.side = '{h}'" if a in "tb" else f"LEFT JOIN {a} {a}_{h} ON {a}_{h}.game_pk = g.game_pk AND {a}_{h}.side = '{h}'" for h in ("home", "away") for a in "tbrl")}
+    (coalesce(u.ks, 0) + lg_kpg * 60e0) / (coalesce(u.kg, 0) + 60e0) - lg_kpg AS ump_k_rate,
+    e.rh AS home_elo, e.ra AS away_elo, e.rh - e.ra + {C.ELO_HOME_EDGE!r} AS elo_diff
+  FROM g JOIN e ON e.game_pk = g.game_pk {" ".join(f"JOIN {a} {a}_{h} ON {a}_{h}.game_pk = g.game_pk AND {a}_{h}.side = '{h}'" if a in "tb" else f"LEFT JOIN {a} {a}_{h} ON {a}_{h}.game_pk = g.game_pk AND {a}_{h}.side = '{h}'" for h in ("home", "away") for a in "tbrl")}
   JOIN lg ON lg.game_pk = g.game_pk JOIN v ON v.game_pk = g.game_pk LEFT JOIN u ON u.game_pk = g.game_pk LEFT JOIN y ON y.game_pk = g.game_pk
   LEFT JOIN customer ON c_custkey = venue AND c_custkey % 4 <> 0),
   z AS (SELECT *, home_rest - away_rest AS rest_diff, home_off * away_def / 4.5e0 * park_factor AS expected_home_runs_prior,
     away_off * home_def / 4.5e0 * park_factor AS expected_away_runs_prior FROM f)
-SELECT game_pk, {", ".join(f"round({k} * 1e0, 5) + 0e0 AS {k}" for k in SHOWN)} FROM z"""
+SELECT game_pk, {", ".join(f"floor({k} * 1e5 + 0.5e0) / 1e5 AS {k}" for k in SHOWN)} FROM z"""
 
 
 @query("feature_frame", SQL)
@@ -134,4 +147,4 @@ def feature_frame(spark, d):
         (c("l_tax") * 1000.0).alias("humidity_pct"), q.alias("wind_out_to_center_ms"), (-q).alias("wind_left_to_right_ms"),
         (q / 10.0).alias("precip_mm"), F.when(c("l_returnflag") == "A", "retractable").when(c("l_returnflag") == "N", "dome").otherwise("open").alias("roof_category"))
     frame = features.build_features(games, parks, weather, pitching, umpires, "season")
-    return frame.select("game_pk", *[(F.round(c(k).cast("double"), 5) + 0.0).alias(k) for k in SHOWN])
+    return frame.select("game_pk", *[(F.floor(c(k).cast("double") * 1e5 + 0.5) / 1e5).alias(k) for k in SHOWN])

@@ -15,7 +15,7 @@ from fungo.functions import scalars as S
 from fungo.operators.dedup import keep_first
 from fungo.operators.elo import elo_ratings
 from fungo.operators.prefix import day_order, last_n_before, running
-from fungo.session import cut_lineage
+from fungo.session import written
 
 c = F.col
 ORDER = day_order("official_date", "game_pk")
@@ -158,18 +158,20 @@ def build_features(games: DataFrame, parks: DataFrame, weather: DataFrame | None
     state. Of several weather or umpire rows of a game the last one wins, by
     ``ordinal`` where the input has it.
     """
-    base = _narrow(games)
-    sides = _sides(base)
-    lines = pitching_lines(pitching, base) if pitching is not None else None
+    # Every state reads these, so they are computed once.
+    base = written(_narrow(games))
+    sides = written(_sides(base))
+    lines = written(pitching_lines(pitching, base)) if pitching is not None else None
     out = base
     if lines is not None:
         per_game = lines.groupBy("game_pk").agg(
             *[F.sum(k).alias(f"g_{k}") for k in ("batters", "ks", "walks", "homers")],
             F.sum(F.when(c("is_starter") == 0, c("outs"))).alias("g_relief_outs"),
             F.sum(F.when(c("is_starter") == 0, c("runs"))).alias("g_relief_runs"))
+        per_game = written(per_game)
         relief = lines.where(c("is_starter") == 0).groupBy("game_pk", "team").agg(
             F.sum("outs").alias("relief_outs"), F.sum("runs").alias("relief_runs"))
-        own = cut_lineage(starter_lines(sides, lines))
+        own = written(starter_lines(sides, lines))
     else:
         nothing = "double"
         per_game = base.where(F.lit(False)).select("game_pk", *[
@@ -184,18 +186,18 @@ def build_features(games: DataFrame, parks: DataFrame, weather: DataFrame | None
     # Each state is written out by itself: the plans stay small, and a lost
     # executor costs one state rather than the whole frame.
     key = ["game_pk", "side"]
-    per_side = (sides.select(*key).join(cut_lineage(team_state(sides)), key, "left")
-                .join(cut_lineage(staff_state(sides, relief)), key, "left")
-                .join(cut_lineage(starter_proxy(sides)), key, "left").join(own, key, "left"))
+    per_side = (sides.select(*key).join(written(team_state(sides)), key, "left")
+                .join(written(staff_state(sides, relief)), key, "left")
+                .join(written(starter_proxy(sides)), key, "left").join(own, key, "left"))
     fields = [f for f in per_side.columns if f not in key]
     wide = per_side.groupBy("game_pk").agg(*[
         F.max(F.when(c("side") == s, c(f))).alias(f"{s}_{f}") for s in ("home", "away") for f in fields])
-    out = out.join(wide, "game_pk", "left").join(cut_lineage(league_state(base, per_game)), "game_pk", "left")
+    out = out.join(wide, "game_pk", "left").join(written(league_state(base, per_game)), "game_pk", "left")
 
     known = base.where(c("venue_id").isNotNull()).select(
         "game_pk", "venue_id", "official_date", "played", (c("home_score") + c("away_score")).alias("both"))
     venue = running(known, ["venue_id"], ORDER, sums={"pk_runs": c("both"), "pk_games": c("played").cast("int")})
-    out = out.join(cut_lineage(venue.select("game_pk", "pk_runs", "pk_games")), "game_pk", "left")
+    out = out.join(written(venue.select("game_pk", "pk_runs", "pk_games")), "game_pk", "left")
 
     if umpires is not None:
         worked = last_row(umpires.withColumn("ump", S.id_key(c("hp_umpire_id"))), ["ump"])
@@ -206,7 +208,7 @@ def build_features(games: DataFrame, parks: DataFrame, weather: DataFrame | None
             "um_runs": c("both"), "um_games": c("played").cast("int"),
             "um_ks": F.when(c("played"), c("g_ks")),
             "um_kgames": (c("played") & c("g_ks").isNotNull()).cast("int")})
-        seen = cut_lineage(seen.select("game_pk", "um_runs", "um_games", "um_ks", "um_kgames"))
+        seen = written(seen.select("game_pk", "um_runs", "um_games", "um_ks", "um_kgames"))
         out = out.join(seen, "game_pk", "left")
     else:
         out = out.withColumns({k: F.lit(None).cast("double") for k in ("um_runs", "um_games", "um_ks", "um_kgames")})
