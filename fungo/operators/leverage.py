@@ -21,7 +21,7 @@ def state_before(plays: DataFrame, keys: list[str], turn: str, half: list[str],
     ``bounded`` says that a key's plays came out of one document, so plain
     windows over the key are safe and need a single shuffle.
     """
-    order = id_order(turn, chunk=64)
+    order = id_order(turn)
 
     def before(df, over, sums=None, lasts=None):
         if not bounded:

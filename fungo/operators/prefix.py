@@ -1,11 +1,12 @@
 """State strictly before each row, without one task per key.
 
 A plain running window puts a whole key in one task. Here each key is cut
-along its own order into ``coarse`` parts (days) and ``fine`` parts inside
-them. Rows are only windowed inside a fine part; what came earlier is added
-from the totals of earlier fine and coarse parts. A key holding a third of the
-table is therefore spread over as many tasks as it has parts, and the only
-windows that see a whole key run over one row per coarse part.
+along its own order into ``coarse`` parts (days), and a day of a key with more
+than ``PART_ROWS`` rows into ranges of its rows, whose ends Spark samples, so
+ids may be sparse or hashed. Rows are only windowed inside a range; what came
+earlier is added from the totals of earlier ranges and days. A key holding a
+third of the table is therefore spread over as many tasks as it has ranges, and
+the only windows that see a whole key run over one row per day or range.
 """
 
 from __future__ import annotations
@@ -17,34 +18,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-DAY_CHUNK = 4096
+from fungo.session import parallel_parts, written
+
+PART_ROWS = 1 << 18
 
 
 @dataclass(frozen=True)
 class Order:
-    """A total order and two SQL expressions that never decrease along it."""
+    """A total order, and an SQL expression of whole numbers that never decreases along it."""
 
     by: Sequence[str]
-    coarse: str
-    fine: str
+    coarse: str = "0"
+
+
+def day_order(date: str, ident: str, *ties: str) -> Order:
+    """Order by day, then id; parts are days."""
+    return Order((date, ident, *ties), f"datediff(`{date}`, DATE'1970-01-01')")
 
 
-def day_order(date: str, ident: str, *ties: str, chunk: int = DAY_CHUNK) -> Order:
-    """Order by day, then id; parts are days and id ranges inside a day."""
-    return Order((date, ident, *ties), f"datediff(`{date}`, DATE'1970-01-01')",
-                 f"`{ident}` div {chunk}")
+def id_order(ident: str, *ties: str) -> Order:
+    """Order by an id alone."""
+    return Order((ident, *ties))
 
 
-def id_order(ident: str, *ties: str, chunk: int = DAY_CHUNK) -> Order:
-    """Order by a non-negative id alone; parts are wide and narrow id ranges."""
-    return Order((ident, *ties), f"`{ident}` div {chunk * 64}",
-                 f"`{ident}` div {chunk}")
+def ranged(rows: DataFrame, group: Sequence[str], by: Sequence[str], part_rows: int, name: str) -> DataFrame:
+    """``rows`` with the range that a row falls in: 0 for groups of up to ``part_rows`` rows.
+
+    Large groups are sorted into sampled ranges and written once, so that every
+    reader sees the same ranges. Ranges rise along the order and rows that tie
+    in it stay together."""
+    large = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > part_rows)
+    large = written(large)
+    total = large.agg(F.sum("_rows")).first()[0]
+    if not total:
+        return rows.withColumn(name, F.lit(0))
+    of = large.select(*group)
+    parts = max(parallel_parts(rows.sparkSession), -(-total // part_rows))
+    cut = written(rows.join(of, [*group], "left_semi").repartitionByRange(parts, *group, *by)
+                  .withColumn(name, F.spark_partition_id()))
+    return rows.join(of, [*group], "left_anti").withColumn(name, F.lit(0)).unionByName(cut)
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Order,
             sums: Mapping[str, Column] | None = None,
             lasts: Mapping[str, Column] | None = None,
-            trailing: Mapping[str, tuple[Column, int]] | None = None) -> DataFrame:
+            trailing: Mapping[str, tuple[Column, int]] | None = None,
+            part_rows: int = PART_ROWS) -> DataFrame:
     """Append state strictly before each row. Rows without key or order are
     left out; they have no state.
 
@@ -58,14 +77,15 @@ def running(df: DataFrame, keys: Sequence[str], order: Order,
     parts = [*keys, "_coarse", "_fine"]
     order_at = F.struct(*[F.col(c) for c in order.by])
 
-    rows = df.withColumns({"_coarse": F.expr(order.coarse), "_fine": F.expr(order.fine),
+    rows = df.withColumns({"_coarse": F.expr(order.coarse),
                            **{f"_v_{n}": c for n, c in sums.items()},
                            **{f"_v_{n}": c for n, c in lasts.items()},
                            **{f"_v_{n}": c for n, (c, _) in trailing.items()}})
+    for column in [*keys, *order.by[:2], "_coarse"]:
+        rows = rows.where(F.col(column).isNotNull())
+    rows = ranged(rows, [*keys, "_coarse"], order.by, part_rows, "_fine")
     # Both branches below read this one exchange, so the input is computed and
     # shuffled once.
-    for column in [*keys, *order.by[:2], "_coarse", "_fine"]:
-        rows = rows.where(F.col(column).isNotNull())
     rows = rows.repartition(*[F.col(p) for p in parts])
     totals = [*sums, *trailing]
 
@@ -115,9 +135,9 @@ def zero_over(name: str, window) -> Column:
     return F.coalesce(F.sum(name).over(window), F.lit(0))
 
 
-def position(df: DataFrame, keys: Sequence[str], order: Order, name: str = "pos") -> DataFrame:
+def position(df: DataFrame, keys: Sequence[str], order: Order, name: str = "pos", part_rows: int = PART_ROWS) -> DataFrame:
     """1-based position of each row inside its key."""
-    return running(df, keys, order, sums={name: F.lit(1).cast("bigint")}).withColumn(
+    return running(df, keys, order, sums={name: F.lit(1).cast("bigint")}, part_rows=part_rows).withColumn(
         name, F.col(name) + 1)
 
 

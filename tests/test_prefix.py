@@ -4,9 +4,10 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fungo.operators.prefix import day_order, id_order, last_n_before, position, running
+from fungo.operators.prefix import day_order, id_order, last_n_before, position, ranged, running
 from fungo.operators.resample import group_spread
 
 DDL = "k string, day date, id bigint, v int, note string"
@@ -29,7 +30,7 @@ def test_running_over_tiny_parts(spark, keys):
     data = rows()
     df = spark.createDataFrame(data + [(None, data[0][1], 999, 1, None)] * bool(keys), DDL)
     got = {r.id: r for r in running(
-        df, keys, day_order("day", "id", chunk=3), sums={"total": F.col("v"), "n": F.col("v").isNotNull().cast("int")},
+        df, keys, day_order("day", "id"), part_rows=3, sums={"total": F.col("v"), "n": F.col("v").isNotNull().cast("int")},
         lasts={"last_v": F.col("v"), "last_note": F.col("note")}, trailing={"recent": (F.col("v"), 3)}).collect()}
     assert len(got) == len(data)
     for row in data:
@@ -45,7 +46,7 @@ def test_running_over_tiny_parts(spark, keys):
 @pytest.mark.parametrize("block", [7, 20])
 def test_last_n_across_blocks(spark, block):
     data = rows(3, 300)
-    df = running(spark.createDataFrame(data, DDL), ["k"], day_order("day", "id", chunk=5),
+    df = running(spark.createDataFrame(data, DDL), ["k"], day_order("day", "id"), part_rows=5,
                  sums={"n": F.col("v").isNotNull().cast("int")})
     got = last_n_before(df, ["k"], "n", 7, {"m": F.col("v")}, block=block)
     assert got.count() == len(data)
@@ -54,14 +55,30 @@ def test_last_n_across_blocks(spark, block):
         assert (r.m is None) if not values else r.m == pytest.approx(sum(values) / len(values))
 
 
-def test_positions_are_dense(spark):
+@pytest.mark.parametrize("part", [2, 1000])
+def test_positions_are_dense(spark, part):
     data = rows(5, 200)
-    got = position(spark.createDataFrame(data, DDL), ["k"], id_order("id", chunk=2)).collect()
+    got = position(spark.createDataFrame(data, DDL), ["k"], id_order("id"), part_rows=part).collect()
     for key in {r.k for r in got}:
         mine = sorted((r.id, r.pos) for r in got if r.k == key)
         assert [p for _, p in mine] == list(range(1, len(mine) + 1))
 
 
+def test_hashed_ids_are_cut_into_ranges_of_rows(spark):
+    """Ids spread over 64 bits: no part holds one row, none a whole key, and a hot day is spread."""
+    n, part = 60_000, 4_000
+    df = spark.range(n).select(F.when(F.col("id") % 3 != 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 500)).alias("k"),
+                               F.date_add(F.lit(dt.date(2024, 1, 1)), F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 7).cast("int")).alias("day"),
+                               F.xxhash64("id").alias("id"), (F.col("id") % 9).cast("int").alias("v"))
+    cut = ranged(df, ["k", "day"], ["day", "id"], part, "part")
+    sizes = cut.groupBy("k", "day", "part").count().agg(F.max("count"), F.count(F.lit(1))).first()
+    assert sizes[0] < 2 * part and sizes[1] < 4_000
+    got = running(df, ["k"], day_order("day", "id"), {"total": F.col("v")}, {"last": F.col("v")}, part_rows=part)
+    frame = W.partitionBy("k").orderBy("day", "id").rowsBetween(W.unboundedPreceding, -1)
+    want = df.select("*", F.coalesce(F.sum("v").over(frame), F.lit(0)).alias("total"), F.last("v").over(frame).alias("last"))
+    assert got.count() == n and got.exceptAll(want.select(got.columns)).count() == 0
+
+
 def test_group_spread(spark):
     data = [(g, float(g)) for g in range(6) for _ in range(20)] + [(9, 100.0)] * 3
     df = spark.createDataFrame(data, "g int, v double")
