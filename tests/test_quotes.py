@@ -1,6 +1,7 @@
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +120,23 @@ def test_overround(spark):
     df = spark.createDataFrame([(-110.0, -110.0), (-110.0, -110.0), (None, -110.0)], "price_home double, price_away double")
     row = Q.overround(df).first()
     assert row.quotes == 2 and row.measured_overround_pct == pytest.approx(4.76)
+
+
+@pytest.mark.parametrize("large,few", [(1000, 20), (10, 5), (10**9, 1)])
+def test_quantiles_of_narrow_ranges_are_refined(spark, large, few):
+    """Nearly all values of a group lie within a millionth: one slice of the first level holds them."""
+    rng = np.random.default_rng(3)
+    groups = {1: 0.5 + rng.random(4001) * 1e-6, 2: np.concatenate([rng.random(3000), [np.inf, -np.inf, 0.0, -0.0, 1e-320, -1e300]]),
+              3: np.concatenate([rng.random(40), [np.nan] * 3000]), 4: np.array([0.25] * 1200 + [0.75] * 1200), 5: np.array([1.0, 2.0, 4.0]),
+              None: 1 + rng.integers(0, 3, 2000) * 2.0**-52}
+    df = spark.createDataFrame([(k, float(v), i) for k, vs in groups.items() for i, v in enumerate(vs)], "k int, v double, i int")
+    specs = {"m": (F.col("v"), "median"), "u": (F.col("v"), "upper"), "x": (F.when(F.col("i") % 2 == 0, F.col("v")), "upper")}
+    got = {r.k: r for r in quantiles(df, ["k"], specs, {"n": F.count(F.lit(1))}, large, few).collect()}
+    assert set(got) == set(groups)
+    for k, vs in groups.items():
+        o, x = np.sort(vs), np.sort(vs[::2])
+        want = ((o[(len(o) - 1) // 2] + o[len(o) // 2]) / 2, o[len(o) // 2], x[len(x) // 2])
+        assert got[k].n == len(vs) and np.array_equal([got[k].m, got[k].u, got[k].x], want, equal_nan=True)
+    whole = quantiles(df, [], {"u": (F.col("v"), "upper")}, {}, large, few).first()
+    every = np.sort(np.concatenate(list(groups.values())))
+    assert whole.u == every[len(every) // 2]
