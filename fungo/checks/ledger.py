@@ -288,15 +288,20 @@ def stream_board(spark, d):
     return stream.read_board(spark, f"{home}/board").select("user_id", "event_type", "event_id")
 
 
-@query("stream_screen", f"""WITH {CARD.replace("seg = 'HOUSEHOLD' AND market = 'totals'", "false").replace("least(count(*), 2)", "0")}
-SELECT game_pk, market, coalesce(final, 'wager') AS gate, CASE WHEN final IS NULL THEN price END AS price FROM g4""")
+@query("stream_screen", f"""WITH {CARD.replace("seg = 'HOUSEHOLD' AND market = 'totals'", "false").replace("least(count(*), 2)", "0")},
+  r AS (SELECT *, day(day) % 2 = 0 AS early FROM g4)
+SELECT game_pk, market, coalesce(final, 'wager') AS gate, CASE WHEN final IS NULL THEN price END AS price FROM r
+UNION ALL SELECT game_pk, market, coalesce(final, 'already_locked'), NULL FROM r WHERE early""")
 def stream_screen(spark, d):
-    """The card as a stream: what is struck and what is rejected are both kept."""
+    """The card as a stream of two batches: games of even days, then all games. What is struck and what is rejected are both
+    kept; the second batch finds the wagers of the first locked and their days full."""
     home = scratch(spark)
     rows = card(spark, d)
-    rows.write.parquet(f"{home}/cards")
-    stream.screen_cards(spark.readStream.schema(rows.schema).parquet(f"{home}/cards"), f"{home}/ledger", f"{home}/rejected",
-                        f"{home}/state", lambda batch: F.lit(NOW).cast("timestamp")).awaitTermination()
+    early = F.dayofmonth("official_date") % 2 == 0
+    for part in (rows.where(early), rows):
+        part.write.mode("append").parquet(f"{home}/cards")
+        stream.screen_cards(spark.readStream.schema(rows.schema).parquet(f"{home}/cards"), f"{home}/ledger", f"{home}/rejected",
+                            f"{home}/state", lambda batch: F.lit(NOW).cast("timestamp")).awaitTermination()
     struck = spark.read.parquet(f"{home}/ledger").select(c("game_pk").cast("bigint"), "market", F.lit("wager").alias("gate"), c("price").cast("double"))
     return struck.unionByName(spark.read.parquet(f"{home}/rejected").select("game_pk", "market", "gate", F.lit(None).cast("double").alias("price")))
 

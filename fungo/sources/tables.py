@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,41 +48,77 @@ def read_or_empty(spark: SparkSession, table: str, path: str, fmt: str = "parque
         text = spark.read.option("header", True).csv(path)
         return conform(text, table)
     reader = spark.read.schema(DDL[table])
-    return reader.json(path) if fmt == "json" else reader.parquet(path)
+    folders = [f"{path}/{DATA}/{f}" for f in current(spark, path)[1]] or [path]
+    return reader.json(path) if fmt == "json" else reader.parquet(*folders)
+
+
+COMMITS, DATA = "_commits", "_data"
+#: Seconds after which a half-written commit counts as given up.
+ABANDONED = 600
+
+
+def commits(spark: SparkSession, path: str) -> list[tuple[int, list[str]]]:
+    """The commits of a replaceable table, newest first: number and folders. A
+    commit whose list is not written to its end is none yet."""
+    fs, folder = _fs(spark, f"{path}/{COMMITS}")
+    if not fs.exists(folder):
+        return []
+    read = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString
+    found = []
+    for status in fs.listStatus(folder):
+        at = status.getPath()
+        if at.getName().isdigit():
+            stream = fs.open(at)
+            lines = read(stream, "UTF-8").split("\n")
+            stream.close()
+            if lines[-1] == "end":
+                found.append((int(at.getName()), lines[:-1]))
+    return sorted(found, reverse=True)
+
+
+def current(spark: SparkSession, path: str) -> tuple[int, list[str]]:
+    """Number and folders of the newest commit; -1 and none if there is no table."""
+    return next(iter(commits(spark, path)), (-1, []))
+
+
+def commit(spark: SparkSession, path: str, base: int, folders: list[str], keep: int = 2) -> None:
+    """Make ``folders`` the table, if ``base`` is still its newest commit: one
+    file is created, which fails if another writer was first. Readers see the
+    old list or the new one. Data that only older commits than the last
+    ``keep`` list is deleted, so a job may read the table it replaces."""
+    fs, at = _fs(spark, f"{path}/{COMMITS}/{base + 1:020d}")
+    if fs.exists(at) and current(spark, path)[0] == base and (
+            fs.getFileStatus(at).getModificationTime() < (time.time() - ABANDONED) * 1000):
+        fs.delete(at, False)  # broke off while it was written, long ago
+    out = fs.create(at, False)
+    out.writeBytes("\n".join([*folders, "end"]))
+    out.close()
+    known = commits(spark, path)
+    wanted = {f for _, listed in known[:keep] for f in listed}
+    for number, listed in known[keep:]:
+        for f in set(listed) - wanted:
+            remove(spark, f"{path}/{DATA}/{f}")
+        remove(spark, f"{path}/{COMMITS}/{number:020d}")
 
 
 def replace_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Write beside the target, then swap by rename. Readers of the old files
-    are never overwritten, so a job may read the table it replaces."""
+    """Write beside the old data, then point to the new. Read it with ``read_table``."""
     spark = df.sparkSession
-    staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    base, _ = current(spark, path)
+    folder = uuid.uuid4().hex
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(staging)
-    swap_in(spark, staging, path)
-
-
-def swap_in(spark: SparkSession, staging: str, path: str) -> None:
-    """Put what was written at ``staging`` in the place of ``path``. The old data
-    is deleted only after the new stands there, and put back if it does not."""
-    fs, target = _fs(spark, path)
-    _, fresh = _fs(spark, staging)
-    old = None
-    if fs.exists(target):
-        parent, _, name = path.rstrip("/").rpartition("/")
-        _, old = _fs(spark, f"{parent}/_old-{uuid.uuid4().hex}-{name}")
-        move(fs, target, old)
-    else:
-        fs.mkdirs(target.getParent())
-    try:
-        move(fs, fresh, target)
-    except OSError:
-        if old is not None:
-            move(fs, old, target)
-        raise
-    if old is not None:
-        fs.delete(old, True)
+    writer.parquet(f"{path}/{DATA}/{folder}")
+    commit(spark, path, base, [folder])
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table as of its newest commit."""
+    _, folders = current(spark, path)
+    if not folders:
+        raise FileNotFoundError(f"no table at {path}")
+    return spark.read.parquet(*[f"{path}/{DATA}/{f}" for f in folders])
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -89,12 +126,6 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def move(fs, source, target) -> None:
-    """A rename that raises if it did not happen; a file system only says false."""
-    if not fs.rename(source, target) or fs.exists(source) or not fs.exists(target):
-        raise OSError(f"{source} could not be renamed to {target}")
-
-
 def append(df: DataFrame, table: str, path: str, partition_by: list[str] | None = None) -> None:
     writer = conform(df, table).write.mode("append")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)

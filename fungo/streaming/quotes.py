@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -13,7 +14,7 @@ from fungo import config as C
 from fungo.functions import scalars as S
 from fungo.operators import ledger as L
 from fungo.session import cut_lineage
-from fungo.sources.tables import append, append_unseen, exists, remove, swap_in
+from fungo.sources.tables import DATA, append_unseen, commit, conform, current, exists, read_table
 
 c = F.col
 
@@ -48,43 +49,52 @@ def latest(rows: DataFrame, keys: list[str], time: str, ordinal: str) -> DataFra
 def keep_board(stream: DataFrame, path: str, checkpoint: str, keys: list[str], time: str,
                ordinal: str, buckets: int = 64) -> StreamingQuery:
     """Latest row per key: each batch is folded into the stored board, which is
-    kept in ``buckets`` by hash of the key; only buckets that a batch touches
-    are read and replaced, each by a swap. Folding a batch twice changes
+    kept in ``buckets`` by hash of the key. Only buckets that a batch touches are
+    read and written anew; all of them become current by one commit, so a reader
+    sees the board before the batch or after it. Folding a batch twice changes
     nothing, so a replay after a failure is safe. Read it with ``read_board``."""
     def fold(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         new = cut_lineage(latest(batch, keys, time, ordinal).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
-        touched = sorted(r[0] for r in new.select("bucket").distinct().collect())
-        held = [f"{path}/bucket={b}" for b in touched if exists(spark, f"{path}/bucket={b}")]
-        if held:
-            old = spark.read.option("basePath", path).schema(new.schema).parquet(*held)
-            new = latest(old.unionByName(new), [*keys, "bucket"], time, ordinal)
-        staged = f"{path.rstrip('/')}.batch-{uuid.uuid4().hex}"
-        new.write.partitionBy("bucket").parquet(staged)
-        for b in touched:
-            swap_in(spark, f"{staged}/bucket={b}", f"{path}/bucket={b}")
-        remove(spark, staged)
+        touched = {f"bucket={r[0]}" for r in new.select("bucket").distinct().collect()}
+        base, folders = current(spark, path)
+        held = {f.rpartition("/")[2]: f for f in folders}
+        mine = [f"{path}/{DATA}/{held[b]}" for b in sorted(touched & held.keys())]
+        plain = new.drop("bucket")
+        if mine:
+            old = spark.read.schema(plain.schema).parquet(*mine)
+            plain = latest(old.unionByName(plain), keys, time, ordinal)
+        home = uuid.uuid4().hex
+        (plain.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+         .write.partitionBy("bucket").parquet(f"{path}/{DATA}/{home}"))
+        commit(spark, path, base, sorted(({**held, **{b: f"{home}/{b}" for b in touched}}).values()))
     return (stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
 def read_board(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("bucket")
+    return read_table(spark, path)
 
 
 def screen_cards(stream: DataFrame, ledger_path: str, rejected_path: str, checkpoint: str,
                  now: Callable[[DataFrame], Column]) -> StreamingQuery:
     """Screen each arriving card against the stored ledger, so the day cap and
-    the locked ids hold across runs; keep the wagers and the rejections. One
-    writer; replays find their wagers already locked. Rejections are kept per
-    batch, so a replay replaces its own."""
+    the locked ids hold across runs; keep the wagers and the rejections.
+
+    Both are kept by writer (the checkpoint) and batch, and the batch's own
+    wagers are not part of the ledger it is screened against: a batch replayed
+    after a failure anywhere decides the same and replaces its own rows."""
+    writer = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        at = now(batch)
-        held = spark.read.parquet(ledger_path) if exists(spark, ledger_path) else None
+        at, part = now(batch), f"writer={writer}/batch={number}"
+        held = None
+        if exists(spark, ledger_path):
+            held = spark.read.parquet(ledger_path).where((c("writer") != writer) | (c("batch") != number))
         seen = cut_lineage(L.screen(batch, at, held, L.staked_by_day(held) if held is not None else None))
-        L.rejections(seen, at).write.mode("overwrite").parquet(f"{rejected_path}/batch={number}")
-        append(L.wagers(seen, at), "ledger", ledger_path)
+        conform(L.wagers(seen, at), "ledger").write.mode("overwrite").parquet(f"{ledger_path}/{part}")
+        L.rejections(seen, at).write.mode("overwrite").parquet(f"{rejected_path}/{part}")
     return (stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 

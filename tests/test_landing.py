@@ -171,8 +171,8 @@ def test_quote_log_is_idempotent(spark, tmp_path):
 def test_replace_reads_its_own_target(spark, tmp_path):
     path = f"{tmp_path}/t"
     T.replace_table(spark.range(3).toDF("k"), path)
-    T.replace_table(spark.read.parquet(path).selectExpr("k + 10 as k"), path)
-    assert sorted(r.k for r in spark.read.parquet(path).collect()) == [10, 11, 12]
+    T.replace_table(T.read_table(spark, path).selectExpr("k + 10 as k"), path)
+    assert sorted(r.k for r in T.read_table(spark, path).collect()) == [10, 11, 12]
 
 
 def test_missing_tables_and_credits(spark, tmp_path):

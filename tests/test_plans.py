@@ -153,23 +153,49 @@ def test_late_new_ids_are_logged(spark, tmp_path):
     assert sorted(r.snapshot_id for r in spark.read.parquet(f"{tmp_path}/log").collect()) == ["a", "b", "old"]
 
 
-def test_a_failed_rename_keeps_the_old_table(spark, tmp_path, monkeypatch):
+def test_a_replayed_screening_batch_decides_the_same(spark, tmp_path):
+    """The stream forgets that its last batch was done, as after a failure between the sinks and the commit."""
+    from tests.test_ledger import NOW, card
+    at = lambda b: F.lit(NOW).cast("timestamp")
+    for i, ids in enumerate(([1, 2], [2, 3, 4, 5])):
+        card(spark, *[dict(game_pk=k, disagreement=0.05 + k / 100) for k in ids]).write.parquet(f"{tmp_path}/in/{i}")
+        rows = spark.readStream.schema(card(spark, {}).schema).parquet(f"{tmp_path}/in/*")
+        stream.screen_cards(rows, f"{tmp_path}/ledger", f"{tmp_path}/no", f"{tmp_path}/state", at).awaitTermination()
+
+    def kept():
+        return [sorted((r.batch, r.game_pk, getattr(r, "gate", "")) for r in spark.read.parquet(f"{tmp_path}/{t}").collect()) for t in ("ledger", "no")]
+    before = kept()
+    for f in ("1", ".1.crc"):
+        (tmp_path / "state" / "commits" / f).unlink(missing_ok=True)
+    stream.screen_cards(rows, f"{tmp_path}/ledger", f"{tmp_path}/no", f"{tmp_path}/state", at).awaitTermination()
+    assert kept() == before and len(before[0]) == 3 and len(before[1]) == 3
+
+
+def test_a_reader_in_between_and_a_failed_commit_see_the_old_table(spark, tmp_path, monkeypatch):
     from fungo.sources import tables
     path = f"{tmp_path}/t"
     tables.replace_table(spark.range(3).toDF("n"), path)
-    real = tables.move
-
-    def broken(fs, source, target):
-        if ".staging-" in source.toString():
-            raise OSError("no")
-        real(fs, source, target)
-    monkeypatch.setattr(tables, "move", broken)
-    with pytest.raises(OSError):
-        tables.replace_table(spark.range(9).toDF("n"), path)
-    assert spark.read.parquet(path).count() == 3
-    monkeypatch.setattr(tables, "move", real)
+    old = tables.read_table(spark, path)
     tables.replace_table(spark.range(9).toDF("n"), path)
-    assert spark.read.parquet(path).count() == 9
+    assert old.count() == 3 and tables.read_table(spark, path).count() == 9
+    # Two writers start from one commit: the second fails, and its data is not seen.
+    base, _ = tables.current(spark, path)
+    spark.range(5).toDF("n").write.parquet(f"{path}/{tables.DATA}/late")
+    tables.replace_table(spark.range(4).toDF("n"), path)
+    with pytest.raises(Exception, match="exists"):
+        tables.commit(spark, path, base, ["late"])
+    assert tables.read_table(spark, path).count() == 4
+    # A commit that broke off while it was written is none.
+    (tmp_path / "t" / tables.COMMITS / f"{base + 2:020d}").write_text("late")
+    assert tables.read_table(spark, path).count() == 4
+    with pytest.raises(Exception, match="exists"):
+        tables.replace_table(spark.range(6).toDF("n"), path)
+    monkeypatch.setattr(tables, "ABANDONED", -10)
+    tables.replace_table(spark.range(6).toDF("n"), path)
+    assert tables.read_table(spark, path).count() == 6
+    assert len(list((tmp_path / "t" / tables.DATA).iterdir())) == 4  # two commits and two stray ones
+    with pytest.raises(FileNotFoundError):
+        tables.read_table(spark, f"{tmp_path}/none")
 
 
 def test_stream_filters_and_board(spark, tmp_path):
