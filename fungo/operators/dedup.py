@@ -58,6 +58,23 @@ def prefer_first(frames: Sequence[DataFrame], keys: Sequence[str],
     return keep_best(out, keys, [F.col("_p")], ordinal).drop("_p")
 
 
+#: Seasons of an archive; a century and a half of play fits.
+MOST_SEASONS = 1000
+
+
+def finished(games: DataFrame, seasons: DataFrame | None = None) -> DataFrame:
+    """Finished games, of the given seasons only. Seasons are few (at most
+    ``MOST_SEASONS``), so they become a plain filter: where the games are stored
+    by season, folders of other seasons are not read."""
+    out = games.where(F.col("status") == "Final")
+    if seasons is None:
+        return out
+    wanted = [r[0] for r in seasons.select("season").distinct().limit(MOST_SEASONS + 1).collect()]
+    if len(wanted) > MOST_SEASONS:
+        raise ValueError(f"more than {MOST_SEASONS} seasons")
+    return out.where(F.col("season").isin(wanted)) if wanted else out.where(F.lit(False))
+
+
 def pending(requested: DataFrame, done: DataFrame, keys: Sequence[str],
             order: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:
     """Work not yet recorded, in order, optionally only the next ``limit``."""

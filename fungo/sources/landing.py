@@ -5,18 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fungo import config as C
 from fungo.functions import scalars as S
 from fungo.operators.leverage import state_before
 from fungo.operators.quotes import paired_book_quotes
 from fungo.schemas import LANDED
+from fungo.sources.tables import exists
 
 c = F.col
 
 
-def read_landed(spark: SparkSession, kind: str, path: str) -> DataFrame:
-    return spark.read.schema(LANDED[kind]).option("multiLine", True).json(path)
+def landed_documents(spark: SparkSession, kind: str, path: str, lines: bool = False) -> DataFrame:
+    """The fields of each document, its file, and ``broken``: the text of a
+    document that is no JSON of its kind, else null. A file is one document, or
+    with ``lines`` each line is one, so that a large file is read by many tasks."""
+    text = spark.read.text(path, wholetext=not lines).select("value", c("_metadata.file_path").alias("source_file"))
+    schema = StructType.fromDDL(LANDED[kind]).add("_broken", "string")
+    read = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    rows = text.where(F.trim("value") != "").withColumn("d", read)
+    broken = F.when(c("d").isNull() | c("d._broken").isNotNull(), c("value"))
+    return rows.select(*[c(f"d.{f.name}") for f in schema.fields[:-1]], "source_file", broken.alias("broken"))
+
+
+def read_landed(spark: SparkSession, kind: str, path: str, quarantine: str | None = None, lines: bool = False) -> DataFrame:
+    """Documents that can be read; the others are added to ``quarantine``, once
+    each, where they can be looked at and landed again."""
+    rows = landed_documents(spark, kind, path, lines)
+    if quarantine is not None:
+        bad = rows.where(c("broken").isNotNull()).select(F.lit(kind).alias("kind"), "source_file", "broken")
+        if exists(spark, quarantine):
+            bad = bad.join(spark.read.parquet(quarantine), ["kind", "source_file", "broken"], "left_anti")
+        bad.write.mode("append").parquet(quarantine)
+    return rows.where(c("broken").isNull()).drop("source_file", "broken")
 
 
 def schedule_games(landed: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -205,3 +206,35 @@ def test_capture_counts(spark, tmp_path, started, n):
     spend = spark.createDataFrame([("3",), ("4",)], "credits_used string")
     row = T.capture_counts(quotes, F.lit(started).cast("timestamp"), spend).first()
     assert (row.priced_quotes, row.in_play, row.events, row.credits) == (2, n, 1, 7)
+
+
+@pytest.mark.parametrize("lines", [False, True])
+def test_broken_documents_go_to_quarantine(spark, tmp_path, lines):
+    good = json.dumps({"venue_id": "1", "hourly": {"time": ["2025-04-11T23:00"], "temperature_2m": [20.5]}})
+    torn, other, shape = good[:40], "not json", json.dumps({"venue_id": "2", "hourly": {"time": ["x"], "temperature_2m": ["warm"]}})
+    texts = [good, torn, other, good.replace('"1"', '"3"'), shape, "  "]
+    (tmp_path / "in").mkdir()
+    if lines:
+        (tmp_path / "in" / "all.jsonl").write_text("\n".join(texts) + "\n\n")
+    else:
+        for i, t in enumerate(texts):
+            (tmp_path / "in" / f"{i}.json").write_text(t)
+    for _ in range(2):
+        rows = L.read_landed(spark, "hourly", f"{tmp_path}/in", f"{tmp_path}/bad", lines)
+    assert rows.columns == ["venue_id", "hourly"] and sorted(r.venue_id for r in rows.collect()) == ["1", "3"]
+    assert sorted((r.kind, r.broken) for r in spark.read.parquet(f"{tmp_path}/bad").collect()) == sorted(("hourly", t) for t in (torn, other, shape))
+    assert L.hourly_rows(rows).count() == 2
+
+
+def test_other_seasons_are_not_read(spark, tmp_path):
+    from fungo.operators.dedup import finished
+    spark.range(400).selectExpr("id as game_pk", "2000 + id % 20 as season", "if(id % 3 = 0, 'Final', 'Live') as status").write.partitionBy(
+        "season").parquet(f"{tmp_path}/games")
+    spark.createDataFrame([(2001,), (2001,), (2007,)], "season int").write.parquet(f"{tmp_path}/wanted")
+    games, wanted = spark.read.parquet(f"{tmp_path}/games"), spark.read.parquet(f"{tmp_path}/wanted")
+    got = finished(games, wanted)
+    assert {r.game_pk for r in got.collect()} == {k for k in range(400) if k % 20 in (1, 7) and k % 3 == 0}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*season#\d+ IN \(2001,2007\)", plan)
+    assert finished(games, wanted.limit(0)).count() == 0
+    assert finished(games).count() == 134
