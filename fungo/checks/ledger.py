@@ -306,15 +306,16 @@ def stream_screen(spark, d):
     return struck.unionByName(spark.read.parquet(f"{home}/rejected").select("game_pk", "market", "gate", F.lit(None).cast("double").alias("price")))
 
 
-@query("stream_workload", """WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL),
-  w AS (SELECT user_id, CAST(day - off AS DATE) AS start_day, sum(n) AS n FROM e, (SELECT unnest([0, 1, 2])::INTEGER AS off) GROUP BY ALL)
-SELECT user_id, start_day, CAST(n AS BIGINT) AS n FROM w WHERE start_day + 3 <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
+@query("stream_workload", """WITH w AS (SELECT user_id, CAST(CAST(ts AS DATE) - off AS DATE) AS start_day, value FROM events, (SELECT unnest([0, 1, 2])::INTEGER AS off))
+SELECT user_id, start_day, count(*) AS n, floor(sum(value) * 1e4 + 0.5e0) / 1e4 AS workload FROM w GROUP BY ALL""")
 def stream_workload(spark, d):
-    """Windows that closed behind the watermark, as the file sink emits them."""
+    """Every window, closed or open, of events delivered in two halves by time."""
     home = scratch(spark)
-    out = stream.trailing_workload(event_stream(spark, d), "user_id", "ts", c("value"))
-    # Two triggers: the watermark of the first closes windows in the second.
-    (out.select("user_id", F.to_date("w.start").alias("start_day"), "n").writeStream.format("parquet")
-     .option("path", f"{home}/out").option("checkpointLocation", f"{home}/state").trigger(availableNow=True)
-     .start().awaitTermination())
-    return spark.read.schema("user_id bigint, start_day date, n bigint").parquet(f"{home}/out")
+    events = table(spark, d, "events").withColumn("ts", c("ts").cast("timestamp"))
+    span = events.agg(F.expr("min(ts) + (max(ts) - min(ts)) / 2").alias("t")).first().t
+    for part in (events.where(c("ts") < span), events.where(c("ts") >= span)):
+        part.coalesce(1).write.mode("append").parquet(f"{home}/in")
+        rows = spark.readStream.schema(events.schema).parquet(f"{home}/in")
+        stream.keep_workload(rows, f"{home}/board", f"{home}/state", "user_id", "ts", c("value")).awaitTermination()
+    return stream.read_board(spark, f"{home}/board").select(
+        "user_id", F.to_date("start").alias("start_day"), "n", (F.floor(c("workload") * 1e4 + 0.5) / 1e4).alias("workload"))

@@ -46,30 +46,32 @@ def latest(rows: DataFrame, keys: list[str], time: str, ordinal: str) -> DataFra
         *keys, "r.*")
 
 
+def fold(batch: DataFrame, path: str, keys: list[str], time: str, ordinal: str, buckets: int = 64) -> None:
+    """Fold rows into a board: the latest row per key, kept in ``buckets`` by
+    hash of the key. Only buckets that the rows touch are read and written anew;
+    all of them become current by one commit, so a reader sees the board before
+    or after. Folding the same rows twice changes nothing."""
+    spark = batch.sparkSession
+    new = cut_lineage(latest(batch, keys, time, ordinal).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
+    touched = {f"bucket={r[0]}" for r in new.select("bucket").distinct().collect()}
+    base, folders = current(spark, path)
+    held = {f.rpartition("/")[2]: f for f in folders}
+    mine = [f"{path}/{DATA}/{held[b]}" for b in sorted(touched & held.keys())]
+    plain = new.drop("bucket")
+    if mine:
+        old = spark.read.schema(plain.schema).parquet(*mine)
+        plain = latest(old.unionByName(plain), keys, time, ordinal)
+    home = uuid.uuid4().hex
+    (plain.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+     .write.partitionBy("bucket").parquet(f"{path}/{DATA}/{home}"))
+    commit(spark, path, base, sorted(({**held, **{b: f"{home}/{b}" for b in touched}}).values()))
+
+
 def keep_board(stream: DataFrame, path: str, checkpoint: str, keys: list[str], time: str,
                ordinal: str, buckets: int = 64) -> StreamingQuery:
-    """Latest row per key: each batch is folded into the stored board, which is
-    kept in ``buckets`` by hash of the key. Only buckets that a batch touches are
-    read and written anew; all of them become current by one commit, so a reader
-    sees the board before the batch or after it. Folding a batch twice changes
-    nothing, so a replay after a failure is safe. Read it with ``read_board``."""
-    def fold(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        new = cut_lineage(latest(batch, keys, time, ordinal).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
-        touched = {f"bucket={r[0]}" for r in new.select("bucket").distinct().collect()}
-        base, folders = current(spark, path)
-        held = {f.rpartition("/")[2]: f for f in folders}
-        mine = [f"{path}/{DATA}/{held[b]}" for b in sorted(touched & held.keys())]
-        plain = new.drop("bucket")
-        if mine:
-            old = spark.read.schema(plain.schema).parquet(*mine)
-            plain = latest(old.unionByName(plain), keys, time, ordinal)
-        home = uuid.uuid4().hex
-        (plain.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-         .write.partitionBy("bucket").parquet(f"{path}/{DATA}/{home}"))
-        commit(spark, path, base, sorted(({**held, **{b: f"{home}/{b}" for b in touched}}).values()))
-    return (stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    """Latest row per key of a stream; a batch replayed after a failure changes nothing. Read it with ``read_board``."""
+    return (stream.writeStream.foreachBatch(lambda batch, _: fold(batch, path, keys, time, ordinal, buckets))
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def read_board(spark: SparkSession, path: str) -> DataFrame:
@@ -105,3 +107,17 @@ def trailing_workload(stream: DataFrame, key: str, time: str, amount: Column,
     return (stream.withWatermark(time, delay)
             .groupBy(key, F.window(time, f"{days} days", "1 day").alias("w"))
             .agg(F.sum(amount).alias("workload"), F.count(F.lit(1)).alias("n")))
+
+
+def keep_workload(stream: DataFrame, path: str, checkpoint: str, key: str, time: str, amount: Column,
+                  days: int = C.WORKLOAD_DAYS, delay: str = "1 day") -> StreamingQuery:
+    """The windows of ``trailing_workload`` as a board: each batch brings the new
+    totals of the windows it changed, so open windows are there with what they
+    hold so far, and a window stays as it was when the watermark closed it."""
+    totals = trailing_workload(stream, key, time, amount, days, delay).select(
+        key, c("w.start").alias("start"), c("w.end").alias("end"), "workload", "n")
+
+    def add(batch: DataFrame, number: int) -> None:
+        fold(batch.withColumn("batch", F.lit(number)), path, [key, "start"], "batch", "batch")
+    return (totals.writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
