@@ -4,8 +4,16 @@ Events of one team pair are taken in start order; each claims the nearest
 unclaimed game within the drift limit. Two starts further apart than the limit
 can never meet, so a pair's timeline is first cut wherever a whole time cell
 is empty. Nearly all stretches hold one event and one game, or no game at all,
-and are settled by an aggregate. Only contested ones are walked in order, by a
-task that keeps the games inside the limit, whatever the length of the stretch.
+and are settled by an aggregate. Contested ones are walked in order, by a task
+that keeps the games inside the limit.
+
+A contested stretch of more than ``block`` rows is cut into blocks of sampled
+ranges, which are walked at the same time, each with the games of the blocks
+around it, less those that earlier blocks claimed the round before. Rounds go
+on until no claim changes. The first block is right after one round and each
+block once those before it are, so the end is what a single walk gives; a
+difference at a block's start dies out after a few games, so rounds are few. An
+event whose nearest free game may lie outside the blocks seen widens the view.
 """
 
 from __future__ import annotations
@@ -22,11 +30,13 @@ from pyspark.sql import functions as F
 from fungo import config as C
 from fungo.session import parallel_parts, written
 
+c = F.col
 PAIR = ["home_key", "away_key"]
+BLOCK = 50_000
 
 
 def match_events(events: DataFrame, games: DataFrame,
-                 drift_hours: float = C.MAX_START_DRIFT_HOURS) -> DataFrame:
+                 drift_hours: float = C.MAX_START_DRIFT_HOURS, block: int = BLOCK) -> DataFrame:
     """events(event_id, home_key, away_key, commence) and games(game_pk,
     home_key, away_key, start) to (event_id, game_pk, gap_hours), one row per
     event, game_pk null when no game is left for it."""
@@ -61,12 +71,51 @@ def match_events(events: DataFrame, games: DataFrame,
         "event_id", F.when(near, F.col("game_pk")).alias("game_pk"), F.when(near, F.abs("apart") / 3.6e9).alias("gap_hours"))
     alone = placed.where(event).join(held.where("games = 0").select(*stretch), stretch, "left_semi").select(
         F.col("id").alias("event_id"), F.lit(None).cast("string").alias("game_pk"), F.lit(None).cast("double").alias("gap_hours"))
-    contested = held.where("events > 0 and games > 0 and events + games > 2").select(*stretch)
-    walked = (placed.join(contested, stretch, "left_semi")
-              .repartition(parallel_parts(events.sparkSession), *stretch)
-              .sortWithinPartitions(*stretch, "at", "is_event", F.length("id"), "id")
-              .mapInPandas(_walker(limit), "event_id string, game_pk string, gap_hours double"))
-    return plain.unionByName(alone).unionByName(walked)
+    contested = held.where("events > 0 and games > 0 and events + games > 2")
+    short = contested.where(F.col("events") + F.col("games") <= block).select(*stretch)
+    walked = walk(placed.join(short, stretch, "left_semi"), stretch, limit)
+    long = written(contested.where(F.col("events") + F.col("games") > block).select(*stretch))
+    out = plain.unionByName(alone).unionByName(walked)
+    return out if long.isEmpty() else out.unionByName(in_blocks(placed.join(long, stretch, "left_semi"), stretch, limit, block))
+
+
+def walk(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """(event_id, game_pk, gap_hours) of the events of each key, taken in order."""
+    of = F.struct(*keys).alias("key")
+    return (rows.select(of, "at", "is_event", "id").repartition(parallel_parts(rows.sparkSession), "key")
+            .sortWithinPartitions("key", "at", "is_event", F.length("id"), "id")
+            .select(F.xxhash64("key").alias("mark"), F.to_json("key").alias("key"), "at", "is_event", "id")
+            .mapInPandas(_walker(limit), "event_id string, game_pk string, gap_hours double"))
+
+
+def in_blocks(rows: DataFrame, stretch: list[str], limit: int, block: int) -> DataFrame:
+    """``walk`` over long stretches, block by block until nothing changes."""
+    parts = max(parallel_parts(rows.sparkSession), -(-rows.count() // block))
+    cut = written(rows.withColumn("_len", F.length("id"))
+                  .repartitionByRange(parts, *stretch, "at", "is_event", "_len", "id").withColumn("block", F.spark_partition_id()))
+    blocks = written(cut.groupBy(*stretch, "block").agg(F.min("at").alias("low"), F.max("at").alias("high")))
+    events, games = cut.where("is_event = 1"), cut.where("is_event = 0")
+    claims, view = None, 1
+    while True:
+        # The blocks of a stretch have consecutive numbers.
+        seen = games.withColumn("to", F.explode(F.sequence(F.col("block") - view, F.col("block") + view))).join(
+            blocks.select(*stretch, F.col("block").alias("to")), [*stretch, "to"]).select(*stretch, F.col("to").alias("block"), "at", "is_event", "id")
+        if claims is not None:
+            earlier = claims.where(c("game_pk").isNotNull()).select(
+                *[c(k).alias(f"_{k}") for k in stretch], c("block").alias("_by"), c("game_pk").alias("_game"))
+            seen = seen.join(earlier, [c(k) == c(f"_{k}") for k in stretch] + [c("id") == c("_game"), c("_by") < c("block")], "left_anti")
+        found = walk(events.select(seen.columns).unionByName(seen), [*stretch, "block"], limit)
+        now = written(events.select(*stretch, "block", "at", c("id").alias("event_id")).join(found, "event_id"))
+        low = blocks.select(*stretch, (c("block") + view).alias("block"), c("low").alias("from"))
+        high = blocks.select(*stretch, (c("block") - view).alias("block"), c("high").alias("upto"))
+        # What lies outside the view is no nearer than its ends.
+        edge = F.least(c("at") - F.coalesce("from", F.lit(-(1 << 61))), F.coalesce("upto", F.lit(1 << 61)) - c("at"))
+        reach = F.coalesce(c("gap_hours") * 3.6e9, F.lit(float(limit)))
+        narrow = now.join(low, [*stretch, "block"], "left").join(high, [*stretch, "block"], "left").where(reach >= edge)
+        tight = not narrow.isEmpty()
+        if not tight and claims is not None and now.exceptAll(claims).isEmpty():
+            return now.select("event_id", "game_pk", "gap_hours")
+        view, claims = view * 2 if tight else view, now
 
 
 class _Open:
@@ -134,8 +183,7 @@ def _walker(limit: int):
 
         for batch in batches:
             out = []
-            for row in zip(*[batch[c].tolist() for c in (*PAIR, "stretch", "at", "is_event", "id")]):
-                here, at, is_event, ident = row[:3], row[3], row[4], row[5]
+            for *here, at, is_event, ident in zip(*[batch[k].tolist() for k in ("mark", "key", "at", "is_event", "id")]):
                 if here != key:
                     out += settle()
                     key, games = here, _Open()

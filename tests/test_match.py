@@ -11,8 +11,8 @@ GM = "game_pk bigint, home_key string, away_key string, start timestamp"
 T0 = dt.datetime(2025, 4, 17, 2, 10)
 
 
-def run(spark, events, games):
-    got = match_events(spark.createDataFrame(events, EV), spark.createDataFrame(games, GM))
+def run(spark, events, games, **kw):
+    got = match_events(spark.createDataFrame(events, EV), spark.createDataFrame(games, GM), **kw)
     return {r.event_id: (int(r.game_pk) if r.game_pk else None) for r in got.collect()}
 
 
@@ -52,6 +52,18 @@ def test_same_as_walking_every_game(spark, seed, span):
     assert run(spark, events, games) == want
 
 
+@pytest.mark.parametrize("seed,minutes,block", [(1, 600, 60), (2, 60, 60), (3, 3000, 40)])
+def test_a_dense_stretch_in_blocks_is_the_same_walk(spark, seed, minutes, block):
+    """As many events as games, all within reach of each other or nearly: claims run over block ends and are passed on."""
+    rng = random.Random(seed)
+
+    def when():
+        return T0 + dt.timedelta(seconds=rng.randint(0, minutes * 60))
+    events = [(str(i), "x", "a", when()) for i in range(400)] + [(f"z{i}", "y", "a", when()) for i in range(90)]
+    games = [(i, "x", "a", when()) for i in range(390)] + [(1000 + i, "y", "a", when()) for i in range(120)]
+    assert run(spark, events, games, block=block) == run(spark, events, games)
+
+
 def test_forgetting_changes_nothing():
     from fungo.operators import match as M
     rng = random.Random(8)
