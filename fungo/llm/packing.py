@@ -27,21 +27,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fungo.llm.common import landed, numbered, small_batches, stored
-from fungo.llm.tokens import WordTokens, vocabulary_path
+from fungo.llm.tokens import vocabulary_path, word_tokens
 from fungo.session import parallel_parts
 
-DIMENSIONS, BITS = 4, 12
+DIMENSIONS, BITS, LANE = 4, 12, 16
 PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
                    ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
 def signs(ids: np.ndarray) -> np.ndarray:
-    """A hashed vector of -1 and 1 for each id."""
+    """A hashed vector of signs for each id: four lanes of 16 bits, 1 for plus."""
     h = ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
     h ^= h >> np.uint64(31)
-    return np.stack([((h >> np.uint64(d)) & np.uint64(1)) for d in range(DIMENSIONS)], 1).astype(np.float32) * 2 - 1
+    return sum(((h >> np.uint64(d)) & np.uint64(1)) << np.uint64(LANE * d) for d in range(DIMENSIONS))
+
+
+def point(ids: np.ndarray, table: np.ndarray) -> list[int]:
+    """The share of plus signs in each dimension, on the grid of the curve. Whole numbers throughout, for texts of any length."""
+    plus = [0] * DIMENSIONS
+    for at in range(0, len(ids), (1 << LANE) - 1):  # a lane cannot overflow
+        lanes = int(table[ids[at:at + (1 << LANE) - 1]].sum())
+        plus = [p + (lanes >> LANE * d & (1 << LANE) - 1) for d, p in enumerate(plus)]
+    return [min((p << BITS) // len(ids), (1 << BITS) - 1) for p in plus]
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -75,17 +84,12 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 def _tokens(path: str, end_id: int):
     @F.pandas_udf("ids binary, n long, curve long")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        coder = WordTokens(path)
+        coder = word_tokens(path)
         end, table = np.array([end_id], coder.kind).tobytes(), signs(np.arange(len(coder.last)))
         for texts in batches:
             ids = [x + end for x in coder.encode(texts.tolist())]
             n = np.array([len(x) // coder.kind.itemsize for x in ids], np.int64)
-            points = np.zeros((len(ids), DIMENSIONS), np.int64)
-            for i, x in enumerate(ids):
-                counts = np.bincount(np.frombuffer(x, coder.kind)) if n[i] > 50_000 else None
-                mean = (counts @ table[: len(counts)] / n[i] if counts is not None
-                        else table[np.frombuffer(x, coder.kind)].mean(0))
-                points[i] = np.clip((mean + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1)
+            points = np.array([point(np.frombuffer(x, coder.kind), table) for x in ids], np.int64).reshape(-1, DIMENSIONS)
             yield pd.DataFrame({"ids": ids, "n": n, "curve": hilbert(points)})
     return tokens
 

@@ -15,12 +15,14 @@ tokens, so such pairs never stand side by side (tests check every entry).
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 
 import numpy as np
 
-CACHE = 400_000
+#: Chunks whose ids a worker keeps.
+CACHE = 600_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -68,19 +70,30 @@ class WordTokens:
         return [np.array(e.ids, self.kind).tobytes() for e in self.exact.encode_batch(texts, add_special_tokens=False)]
 
     def learn(self, chunks: list[str]) -> None:
-        plain, other = [], []
-        for c in chunks:
-            (plain if self.plain.fullmatch(c) and "<|" not in c else other).append(c)
-        self.cache.update(zip(other, self.exactly(other)))
-        if not plain:
-            return
-        split = [self.parts.findall(c.lower()) for c in plain]
-        pieces = list({p for s in split for p in s})
+        whole = "\0".join(chunks)
+        if self.plain.fullmatch(whole.replace("\0", "")) and "<|" not in whole:
+            plain = chunks
+        else:
+            plain, other = [], []
+            for c in chunks:
+                (plain if self.plain.fullmatch(c) and "<|" not in c else other).append(c)
+            self.cache.update(zip(other, self.exactly(other)))
+            if not plain:
+                return
+            whole = "\0".join(plain)
+        low = whole.lower().split("\0")
+        mixed = [i for i, c in enumerate(low) if not c.isalpha()]
+        split = [self.parts.findall(low[i]) for i in mixed]
+        words = dict(zip(plain, low))  # letters alone are one part
+        for i in mixed:
+            del words[plain[i]]
+        pieces = list(set(words.values()).union(*split))
         ids = np.array(self.fast.encode_ordinary("\0".join(pieces) + "\0"), self.kind)
         stops = (np.flatnonzero(self.last[ids]) + 1) * self.kind.itemsize
         raw, starts = ids.tobytes(), [0, *stops[:-1].tolist()]
         known = {p: raw[a:b] for p, a, b in zip(pieces, starts, stops.tolist(), strict=True)}
-        self.cache.update((c, b"".join([known[p] for p in s])) for c, s in zip(plain, split))
+        self.cache.update(zip(words, map(known.__getitem__, words.values())))
+        self.cache.update((plain[i], b"".join([known[p] for p in s])) for i, s in zip(mixed, split))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian integers of ``kind``."""
@@ -99,3 +112,9 @@ class WordTokens:
             self.learn(list(new))
         get = self.cache.__getitem__
         return [b"".join(map(get, c)) if o is None else o for o, c in zip(out, chunks)]
+
+
+@functools.lru_cache(2)
+def word_tokens(path: str) -> WordTokens:
+    """One coder per worker process, which keeps what it learned from task to task."""
+    return WordTokens(path)
