@@ -2,9 +2,10 @@
 
 Base rules count words, symbols, repeated lines and repeated word windows. Of
 texts that pass them, a public vocabulary with byte fallback measures
-characters per token, the share of byte tokens and the token entropy (the mean of
+characters per token, the share of byte tokens and the token entropy: the mean of
 consecutive windows of a fixed number of tokens, divided by that of tokens all
-different, so that it does not fall with length). Each measure has a band per language (per script
+different. A window is no longer than the least number of words that pass, so
+every measured text has one and texts of all lengths are compared alike. Each measure has a band per language (per script
 where the language is null): the quartiles of all measured documents of the
 language, widened by ``reach`` interquartile ranges. A text outside a band is
 rejected.
@@ -32,8 +33,8 @@ from fungo.llm.tokens import vocabulary_path
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEATED = 50, 50
 GRID = 500
-#: Tokens of a window of the entropy; a shorter text is one window.
-WINDOW = 256
+#: Tokens of a window of the entropy: under MIN_WORDS, as a word is at least one token.
+WINDOW = 48
 #: Measure: least interquartile range, so that a language of few or equal texts keeps a band.
 MEASURES = {"chars_per_token": 0.08, "byte_share": 0.02, "entropy": 0.02}
 REACH = 2.5
