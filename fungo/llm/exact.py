@@ -90,9 +90,7 @@ def fingerprints(docs: DataFrame, piece: int = PIECE) -> DataFrame:
     whole = whole.select("row_id", "doc_id", "sha", "h.size", *(f"h.{c}" for c in HASHES))
     pieces = (
         base.where(F.length("text") > piece)
-        .select("row_id", "doc_id", "sha", "text",
-                F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / piece).cast("int"))).alias("no"))
-        .select("row_id", "doc_id", "sha", "no", F.substring("text", F.col("no") * piece + 1, F.lit(piece)).alias("text"))
+        .select("row_id", "doc_id", "sha", F.posexplode(cut(F.col("text"), piece)).alias("no", "text"))
         .repartition(parallel_parts(spark), "row_id", "no")
         .withColumn("h", piece_hash(F.col("text")))
         .groupBy("row_id", "doc_id", "sha")
@@ -103,14 +101,17 @@ def fingerprints(docs: DataFrame, piece: int = PIECE) -> DataFrame:
     return stored(whole.unionByName(joined))
 
 
+def cut(text: Column, size: int) -> Column:
+    """A text in pieces of ``size`` characters, in one pass over it; an empty text is one piece."""
+    return F.when(F.length(text) == 0, F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)))
+
+
 def _keeper() -> Column:
     return F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row_id")).alias("keeper")
 
 
 def _chunks(texts: DataFrame) -> DataFrame:
-    count = F.greatest(F.ceil(F.length("text") / COMPARED), F.lit(1)).cast("int")
-    return (texts.select("row_id", "group_id", "text", F.explode(F.sequence(F.lit(0), count - 1)).alias("no"))
-            .select("row_id", "group_id", "no", F.substring("text", F.col("no") * COMPARED + 1, F.lit(COMPARED)).alias("chunk")))
+    return texts.select("row_id", "group_id", F.posexplode(cut(F.col("text"), COMPARED)).alias("no", "chunk"))
 
 
 def groups(docs: DataFrame, piece: int = PIECE) -> DataFrame:
@@ -122,9 +123,11 @@ def groups(docs: DataFrame, piece: int = PIECE) -> DataFrame:
                     .select("row_id", "doc_id", "sha", "n", F.col("k.row_id").alias("group_id")))
     several = member.where("n > 1").select("row_id", "group_id")
     texts = (numbered(docs.select("text")).select("row_id", normalised(F.col("text")).alias("text"))
-             .join(several, "row_id"))
-    stays = _chunks(texts.where("row_id = group_id")).select("group_id", "no", F.col("chunk").alias("kept_chunk"))
-    other = _chunks(texts.where("row_id <> group_id"))
+             # The list of copies grows with the corpus, so it is merged at every size.
+             .join(several.hint("merge"), "row_id"))
+    chunks = stored(_chunks(texts))
+    stays = chunks.where("row_id = group_id").select("group_id", "no", F.col("chunk").alias("kept_chunk"))
+    other = chunks.where("row_id <> group_id")
     differs = stored(other.join(stays, ["group_id", "no"], "left")
                      .where("kept_chunk is null or chunk <> kept_chunk").select("row_id").distinct())
     classed = member.join(differs.withColumn("differs", F.lit(True)), "row_id", "left").withColumn(
