@@ -81,7 +81,7 @@ def counts(text: str) -> tuple[int, int, int, int, int]:
             len(lines) - len(set(lines)), repeated_words(words))
 
 
-def entropy(ids: np.ndarray, window: int = WINDOW) -> float:
+def entropy(ids: np.ndarray, window: int = 256) -> float:
     """Mean token entropy of consecutive windows over that of tokens all different. The last window ends with the text."""
     n = min(window, len(ids))
     if n < 2:
@@ -115,7 +115,7 @@ def _measure(path: str):
                     rows.append((*base, True, None, None, None, None))
                     continue
                 ids = np.array(coder.encode(text.encode("utf-8", "replace").decode()), np.int64)
-                rows.append((*base, False, lang or script(text), len(text) / len(ids), float(is_byte[ids].mean()), entropy(ids)))
+                rows.append((*base, False, lang or script(text), len(text) / len(ids), float(is_byte[ids].mean()), entropy(ids, WINDOW)))
             out = pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                                               "base_failed", "language", *MEASURES])
             yield out.astype({m: "float64" for m in MEASURES})
