@@ -103,7 +103,8 @@ def mixed(docs: DataFrame) -> DataFrame:
     docs = landed(docs)
     taken = stored(mix(docs).where("copies > 0 and size > 0").select("row_id", "copies"))
     name, times, no = (free_name(docs, n) for n in ("row_id", "mix_copies", "mix_no"))
-    return (numbered(docs, name).join(taken.toDF(name, times), name)
+    # The list of what is taken grows with the corpus, so it is merged at every size.
+    return (numbered(docs, name).join(taken.toDF(name, times).hint("merge"), name)
             .withColumn(no, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))))
             .select(*(F.col(f"`{c}`") for c in docs.columns)))
 
