@@ -1,6 +1,9 @@
 """License notices by exact set-similarity join of text blocks and templates.
 
-A block is a few consecutive lines; it matches a template if it holds at least
+A block is a run of consecutive words, whatever the lines are: templates are
+put in classes by their number of words, and for a class of up to L words there
+is a block of 2 L words at every L-th word, so every run of L words lies whole
+in a block. A block matches a template of its class if it holds at least
 ``threshold`` of the template's distinct words (containment). Words are ordered
 by how often they occur in all documents, rare ones first. A block that
 matches must hold one of the first ``size - need + 1`` words of the template
@@ -28,7 +31,9 @@ from pyspark.sql import functions as F
 from fungo.llm.common import ascii_lower, landed, numbered, stored
 
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-THRESHOLD, LINES = 0.9, 3
+THRESHOLD = 0.9
+#: Most words of the templates of each class.
+CLASSES = (12, 32)
 #: Phrases whose places count, with their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 #: Customary notices of public licences.
@@ -80,7 +85,11 @@ def places(own: Column) -> Column:
     return F.concat(*(F.transform(F.filter(starts, stands(phrase.split())), named(label)) for phrase, label in PHRASES))
 
 
-def scan(docs: DataFrame, threshold: float = THRESHOLD, lines: int = LINES) -> DataFrame:
+def class_of(template: str) -> int:
+    return next(i for i, most in enumerate(CLASSES) if len(template.split()) <= most)
+
+
+def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """row_id, doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score, one row per row of docs."""
     spark = docs.sparkSession
     texts = numbered(landed(docs).select("doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("text")))
@@ -88,16 +97,20 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, lines: int = LINES) -> D
     vocabulary = ordered(texts, sorted(set().union(*sets)))
     rank = {w: i for i, w in enumerate(vocabulary)}
     index = []
-    for no, ((label, _), own) in enumerate(zip(TEMPLATES, sets)):
+    for no, ((label, text), own) in enumerate(zip(TEMPLATES, sets)):
         own = sorted(own, key=rank.__getitem__)
         need = math.ceil(threshold * len(own) - 1e-9)
-        index += [(word, no, label, i, need, own) for i, word in enumerate(own[: len(own) - need + 1])]
+        index += [(word, no, label, i, need, own, class_of(text)) for i, word in enumerate(own[: len(own) - need + 1])]
     prefix = strings(sorted({row[0] for row in index}))
 
-    block_lines = F.split("text", "\n")
-    blocks = F.transform(F.sequence(F.lit(1), F.size(block_lines)), lambda i: F.array_intersect(
-        strings(vocabulary), words(F.array_join(F.slice(block_lines, i, lines), " "))))
-    blocks = F.filter(blocks, lambda b: F.arrays_overlap(b, prefix))
+    def of_class(k: int) -> Column:
+        """The template words of each block of a class, rare ones first; blocks without a prefix word of the class are left out."""
+        own, first = strings(vocabulary), strings(sorted({row[0] for row in index if row[6] == k}))
+        held = F.transform(F.sequence(F.lit(1), F.size("words"), F.lit(CLASSES[k])),
+                           lambda i: F.array_intersect(own, F.slice("words", i, 2 * CLASSES[k])))
+        return F.transform(F.filter(held, lambda b: F.arrays_overlap(b, first)), lambda b: F.struct(F.lit(k).alias("class"), b.alias("held")))
+
+    blocks = F.concat(*map(of_class, range(len(CLASSES))))
     none = F.array().cast("array<struct<word: bigint, label: string>>")
     base = stored(
         texts.withColumn("words", words(F.col("text"))).select(
@@ -107,11 +120,12 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, lines: int = LINES) -> D
 
     templates = spark.range(1).select(F.explode(F.array(*(
         F.struct(F.lit(w).alias("word"), F.lit(no).alias("template"), F.lit(label).alias("label"), F.lit(i).alias("i"),
-                 F.lit(need).alias("need"), strings(own).alias("own")) for w, no, label, i, need, own in index))).alias("t")).select("t.*")
+                 F.lit(need).alias("need"), strings(own).alias("own"), F.lit(k).alias("class"))
+        for w, no, label, i, need, own, k in index))).alias("t")).select("t.*")
     candidates = (
-        base.select("row_id", F.posexplode("blocks").alias("block", "held"))
-        .select("row_id", "block", "held", F.posexplode("held").alias("j", "word"))
-        .join(F.broadcast(templates), "word")
+        base.select("row_id", F.explode("blocks").alias("b")).select("row_id", "b.*")
+        .select("row_id", "class", "held", F.posexplode("held").alias("j", "word"))
+        .join(F.broadcast(templates), ["class", "word"])
         .where("size(held) >= need and 1 + least(size(own) - i, size(held) - j) - 1 >= need"))
     matched = (candidates.withColumn("score", F.size(F.array_intersect("held", "own")) / F.size("own"))
                .where(F.size(F.array_intersect("held", "own")) >= F.col("need"))
@@ -127,7 +141,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, lines: int = LINES) -> D
 
 def sql() -> str:
     """The same rows by comparing each block with each template."""
-    listed = ", ".join("({}, [{}], '{}')".format(no, ", ".join(f"'{w}'" for w in sorted(set(t.split()))), label)
+    listed = ", ".join("({}, [{}], '{}', {})".format(no, ", ".join(f"'{w}'" for w in sorted(set(t.split()))), label, CLASSES[class_of(t)])
                        for no, (label, t) in enumerate(TEMPLATES))
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     stands = " union all ".join(
@@ -139,10 +153,10 @@ with n as (select doc_id, translate(coalesce(text, ''), '{upper}', '{lower}') as
 p as ({stands}),
 b as (select doc_id, count(*) as n_base, min(i) as first_word, max(i) as last_word,
              string_agg(distinct label, ',' order by label) as base_labels from p group by doc_id),
-l as (select doc_id, string_split(t, chr(10)) as ls from n where t like '%under%' or t like '%permi%' or t like '%license%' or t like '%free%'),
-k as (select doc_id, list_distinct(regexp_extract_all(array_to_string(ls[i:i + {LINES - 1}], ' '), '{word}')) as ws
-      from l, range(1, len(ls) + 1) as r(i)),
-m as (select doc_id, label, len(list_intersect(ws, own)) / len(own) as c from k, (values {listed}) as v(no, own, label)
+k as (select doc_id, w, own, label, most from n, (values {listed}) as v(no, own, label, most)
+      where len(list_intersect(list_distinct(w), own)) >= {THRESHOLD} * len(own) - 1e-9),
+h as (select doc_id, own, label, list_distinct(w[i + 1:i + 2 * most]) as ws from k, range(0, len(w), most) as r(i)),
+m as (select doc_id, label, len(list_intersect(ws, own)) / len(own) as c from h
       where len(list_intersect(ws, own)) >= {THRESHOLD} * len(own) - 1e-9),
 f as (select doc_id, max(c) as best from m group by doc_id),
 a as (select doc_id, string_agg(distinct label, ',' order by label) as labels
