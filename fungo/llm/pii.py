@@ -8,20 +8,29 @@ its format and its context; a proposal is added if its calibrated score reaches
 the threshold of its kind and no base span or better proposal overlaps it.
 
 The trees are fitted on a bounded sample of documents that hold a digit or an
-at sign (``sample`` documents of the least hash, at most ``most`` proposals):
-a proposal that is a base span is positive, one that touches none is negative.
-On a third of the sample held out, scores are calibrated by a logistic fit and
-each kind gets the least threshold at which its precision is ``precision``; a
-kind that never gets there adds nothing.
+at sign (``sample`` documents of the least hash, at most ``most`` examples).
+Positive are base spans, and rewrites of them in their own place: spelled-out
+addresses, IPv6, numbers without a plus, other separators; these are what can
+be added. Negative are numbers set at other places of the same documents
+(dates, amounts, versions, counters), and proposals that meet no base span,
+unless a word before them announces personal data or, of cards, their digits
+pass Luhn: of those the truth is not known, and they are left out. On a third
+of the sample held out, scores are calibrated by a logistic fit and each kind
+gets the least threshold at which its precision over spans that can be added
+is ``precision``; a kind that never gets there adds nothing.
 
 Null text is empty and has no spans, as an empty table has no rows. Rows with
-equal ids are judged alike. Offsets are code points, ends exclusive.
+equal ids are judged alike. Offsets are code points, ends exclusive. Of equal scores
+the first proposal wins. A very long text is searched once per pattern, and
+overlaps are found in order of place. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,13 +88,85 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+MAY_SPELL = re.compile(r"@|\bat\b")
+
+
 def proposals(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    if "@" not in text and not DIGIT.search(text) and "[at]" not in text and "(at)" not in text:
-        return []
-    found = {(m.start(), KINDS.index(kind), m.end()) for kind, pattern in LOOSE for m in pattern.finditer(text)}
+    """Loose and base spans. A generator is passed over only where it cannot match."""
+    digit = DIGIT.search(text) is not None
+    may = {"email": MAY_SPELL.search(text) is not None, "ip": ":" in text, "card": digit, "phone": digit}
+    found = {(m.start(), KINDS.index(kind), m.end()) for kind, pattern in LOOSE if may[kind] for m in pattern.finditer(text)}
     return sorted(found.union(base))
 
 
+#: Ways to write what the base patterns do not take; {a} the part before, {b} the part behind the sign.
+SPELLED = ("{a} [at] {b}", "{a} (at) {b}", "{a} at {b}", "{a}[at]{b}")
+DOTS = (".", " dot ", " [dot] ", " (dot) ")
+MARKS = (".", "/", "_", "-", " ", "")
+
+
+def rewritten(kind: int, body: str, draw: np.random.Generator) -> str:
+    """A base span in a form of the same kind that the base pattern does not take whole."""
+    pick = lambda values: values[int(draw.integers(len(values)))]
+    if kind == 0:
+        local, _, domain = body.partition("@")
+        return pick(SPELLED).format(a=local, b=domain.replace(".", pick(DOTS)))
+    digits = re.sub("[^0-9]", "", body)
+    if kind == 1:
+        groups = ["%x" % int(draw.integers(1, 1 << 16)) for _ in range(int(draw.integers(4, 9)))]
+        return ":".join(groups)
+    if kind == 2:
+        mark = pick(MARKS[:3])
+        return mark.join(digits[i:i + 4] for i in range(0, len(digits), 4))
+    mark = pick((" ", "-", ".", "/"))
+    parts = [digits[:2], *(digits[i:i + 3] for i in range(2, len(digits), 3))]
+    return pick(("00", "(0", "0")) + mark.join(parts) if draw.random() < 0.5 else mark.join(parts)
+
+
+def plain(draw: np.random.Generator) -> str:
+    """A number that is no personal data."""
+    n = lambda low, high: int(draw.integers(low, high))
+    forms = (f"{n(1900, 2100)}-{n(1, 13):02d}-{n(1, 29):02d} {n(0, 24):02d}:{n(0, 60):02d}:{n(0, 60):02d}", f"{n(1, 10**9)}.{n(0, 100):02d}",
+             f"v{n(0, 20)}.{n(0, 50)}.{n(0, 999)}.{n(0, 9999)}", f"#{n(10**6, 10**12)}", f"{n(1, 10**4)} {n(1, 10**4)} {n(1, 10**4)}",
+             f"{n(1000, 10**4)}/{n(1000, 10**4)}/{n(10, 10**4)}", f"{n(10**7, 10**15)}", f"{n(0, 24):02d}:{n(0, 60):02d}:{n(0, 60):02d}:{n(0, 99):02d}")
+    return forms[n(0, len(forms))]
+
+
+#: Characters of context kept around an example; rewrites of a base span, and plain numbers set in a document.
+AROUND, REWRITES, PLAIN = 64, 8, 4
+
+
+def examples(key: int, text: str) -> list[tuple[list[float], float, bool]]:
+    """Features, truth and whether the span could be added, of the examples of a document."""
+    draw, base, out = np.random.default_rng(key % (1 << 63)), base_spans(text), []
+    own, meets = set(base), Meeting(base)
+
+    def inside(left: str, body: str, right: str, kind: int | None) -> None:
+        """Proposals in a text with ``body`` set between two others: right if they are the body whole, wrong if it is no personal data."""
+        near = left[-AROUND:] + body + right[:AROUND]
+        start = len(left[-AROUND:])
+        for s in proposals(near, []):
+            if kind is None and s[0] < start + len(body) and s[2] > start:
+                out.append((features(near, s), 0.0, True))
+            elif kind is not None and (s[0], s[2]) == (start, start + len(body)):
+                out.append((features(near, s), float(s[1] == kind), True))
+
+    for s in proposals(text, base):
+        if s in own:
+            out.append((features(text, s), 1.0, False))
+            for _ in range(REWRITES):
+                inside(text[:s[0]], rewritten(s[1], text[s[0]:s[2]], draw), text[s[2]:], s[1])
+        elif not meets(s):
+            x = features(text, s)
+            digits = re.sub("[^0-9]", "", text[s[0]:s[2]])
+            if not x[-1] and not (s[1] == 2 and luhn(digits)) and s[1] in (2, 3):
+                out.append((x, 0.0, True))
+    gaps = [m.start() for m in re.finditer(" ", text[:20_000])]
+    for at in sorted(draw.choice(gaps, min(PLAIN, len(gaps)), replace=False).tolist()) if gaps else ():
+        inside(text[:at + 1], plain(draw), text[at:], None)
+    return out
+
+
 def features(text: str, span: tuple[int, int, int]) -> list[float]:
     start, kind, end = span
     body, before, after = text[start:end], text[max(0, start - 24):start], text[end:end + 24]
@@ -100,19 +181,33 @@ def features(text: str, span: tuple[int, int, int]) -> list[float]:
             float(any(w in CUES[KINDS[kind]] for w in words))]
 
 
-def meets(a: tuple[int, int, int], spans: list[tuple[int, int, int]]) -> bool:
-    return any(a[0] < s[2] and s[0] < a[2] for s in spans)
+class Meeting:
+    """Whether a span overlaps any of some others, which are kept in order of place."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.starts = [s[0] for s in sorted(spans)]
+        self.ends = list(itertools.accumulate((s[2] for s in sorted(spans)), max))  # the furthest end so far
+
+    def __call__(self, span: tuple[int, int, int]) -> bool:
+        before = bisect_left(self.starts, span[2])
+        return before > 0 and self.ends[before - 1] > span[0]
 
 
 class Model:
     """Trees, their calibration and the threshold of each kind."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, held: np.ndarray, precision: float):
+    def __init__(self, x: np.ndarray, y: np.ndarray, held: np.ndarray, precision: float, free: np.ndarray | None = None):
+        """``free`` marks the examples that could be added; thresholds are read off those alone."""
+        free = np.ones(len(y), bool) if free is None else free
         self.slope, self.shift, self.least = 1.0, 0.0, [2.0] * len(KINDS)
         self.trees = None
         if min(y[~held].sum(), (1 - y[~held]).sum(), held.sum()) < 1:
             return
         self.trees = Boosted().fit(x[~held], y[~held])
+        held = held & free
+        if not held.any():
+            self.trees = None
+            return
         raw, truth = self.trees.score(x[held]), y[held]
         for _ in range(50):  # Newton steps of a logistic fit of truth on the raw score
             p = sigmoid(self.slope * raw + self.shift)
@@ -133,36 +228,37 @@ class Model:
         return sigmoid(self.slope * self.trees.score(x) + self.shift)
 
     def added(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        found = [s for s in proposals(text, base) if not meets(s, base)] if self.trees else []
+        meets = Meeting(base)
+        found = [s for s in proposals(text, base) if not meets(s)] if self.trees else []
         if not found:
             return []
         score = self.probability(np.array([features(text, s) for s in found]))
         out: list[tuple[int, int, int]] = []
-        for i in np.argsort(-score, kind="stable"):
-            if score[i] >= self.least[found[i][1]] and not meets(found[i], out):
-                out.append(found[i])
+        for i in np.argsort(-score, kind="stable").tolist():
+            s = found[i]
+            if score[i] < self.least[s[1]]:
+                continue
+            at = bisect_left(out, s)  # those kept so far do not overlap
+            if (at == 0 or out[at - 1][2] <= s[0]) and (at == len(out) or out[at][0] >= s[2]):
+                out.insert(at, s)
         return out
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, most: int = MOST, precision: float = PRECISION) -> Model:
-    @F.pandas_udf("array<struct<x: array<double>, y: double, held: boolean>>")
-    def examples(ids: pd.Series, texts: pd.Series) -> pd.Series:
-        out = []
-        for key, text in zip(ids, texts):
-            base = base_spans(text)
-            own = set(base)
-            out.append([{"x": features(text, s), "y": float(s in own), "held": key % 3 == 0} for s in proposals(text, base)
-                        if s in own or not meets(s, base)])
-        return pd.Series(out)
+    @F.pandas_udf("array<struct<x: array<double>, y: double, held: boolean, free: boolean>>")
+    def listed(ids: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"x": x, "y": y, "held": key % 3 == 0, "free": free} for x, y, free in examples(key, text)]
+                          for key, text in zip(ids, texts)])
 
     key = F.xxhash64(F.col("doc_id").cast("string"), "text")
     marked = docs.where("text rlike '[@0-9]'").select(key.alias("key"))
     chosen = marked.distinct().orderBy("key").limit(sample)  # a documented bound, so it can be broadcast
     rows = (docs.select(key.alias("key"), "text").join(F.broadcast(chosen), "key", "left_semi")
-            .select("key", F.explode(examples("key", "text")).alias("e")).select("key", "e.*").orderBy("key", "x", "y").limit(most).collect())
+            .select("key", F.explode(listed("key", "text")).alias("e")).select("key", "e.*").orderBy("key", "x", "y").limit(most).collect())
     width = len(features("0", (0, 0, 1)))
     x = np.array([r.x for r in rows], float).reshape(-1, width)
-    return Model(x, np.array([r.y for r in rows], float), np.array([r.held for r in rows], bool), precision)
+    return Model(x, np.array([r.y for r in rows], float), np.array([r.held for r in rows], bool), precision,
+                 np.array([r.free for r in rows], bool))
 
 
 def said(spans: list[tuple[int, int, int]]) -> str:
