@@ -1,13 +1,15 @@
-"""Brute-force versions of whitening, divergence audit and suffix-array deduplication, and of row numbers."""
+"""Brute-force versions of whitening, divergence audit and suffix-array deduplication; row numbers, word blocks, spans that can be added."""
 
 import random
+import textwrap
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from fungo.llm import bidiagonal, common, divergence, repeats, whitening
+from fungo.llm import bidiagonal, common, divergence, exact, fertility, licenses, packing, pii, repeats, tokens, whitening
 from fungo.llm.queries import QUERIES
 from fungo.session import ship_package
 
@@ -227,3 +229,102 @@ def test_row_numbers_need_files(spark, odd):
     files = common.stored(odd)
     assert common.landed(files) is files and common.numbered(files.select("_metadata", "text")).select("row_id").distinct().count() == len(ODD)
     assert common.numbered(common.landed(odd.limit(0))).count() == 0
+
+
+def test_neighbours_on_the_curve_are_nearer_than_random_pairs(spark):
+    ship_package(spark)
+    coder = tokens.word_tokens(tokens.vocabulary_path("word_bpe_49k.json"))
+    table = packing.signs(np.arange(len(coder.last)))
+    texts = [r.text for r in common.documents(spark, "/root/testdata/sf0.01").collect() if len(r.text or "") > 3000]
+    points = np.array([packing.point(np.frombuffer(x, coder.kind), table) for x in coder.encode(texts)])
+    line = points[np.argsort(packing.hilbert(points), kind="stable")]
+    near = np.abs(np.diff(line, axis=0)).sum(1).mean()
+    draws = np.random.default_rng(1).permutation(points)
+    assert near < 0.5 * np.abs(np.diff(draws, axis=0)).sum(1).mean()
+
+
+def test_curve_points_of_texts_of_any_length():
+    table = packing.signs(np.arange(500))
+    lanes = np.stack([(table >> np.uint64(packing.LANE * d)) & np.uint64(1) for d in range(packing.DIMENSIONS)], 1)
+    for n in (1, 7, 65_535, 65_536, 200_001):
+        ids = np.random.default_rng(n).integers(0, 500, n)
+        plus = lanes[ids].sum(0).astype(int)
+        assert packing.point(ids, table) == [min(int(p) * 4096 // n, 4095) for p in plus]
+    assert packing.point(np.zeros(100_000, int), table) == packing.point(np.zeros(1, int), table)
+
+
+def test_entropy_compares_texts_of_all_lengths_alike(spark):
+    got = QUERIES["op6_fertility"](spark, "/root/testdata/sf0.01").join(
+        spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("not base_failed and quality = 1").collect()
+    short, long = ([r for r in got if low <= r.n_words < high] for low, high in ((50, 121), (250, 10**9)))
+    assert len(short) > 30 and sum(r.kept for r in short) / len(short) > 0.95
+    assert abs(np.mean([r.entropy for r in short]) - np.mean([r.entropy for r in long])) < 0.01
+    draw = np.random.default_rng(2)
+    ids = draw.zipf(1.3, 300_000) % 5000
+    whole = fertility.entropy(ids, fertility.WINDOW)
+    assert all(abs(np.mean([fertility.entropy(ids[i:i + n], fertility.WINDOW) for i in range(0, 100 * n, n)]) - whole) < 0.02 for n in (48, 60, 130, 500, 3000))
+
+
+MIT = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+       "(the \"Software\"), to deal in the Software without restriction")
+APACHE = ("you may not use this file except in compliance with the License.\n\nYou may obtain a copy of the License at\n\n"
+          "    http://www.apache.org/licenses/LICENSE-2.0")
+BSD = "Redistribution and use in source and binary forms, with or without modification, are allowed provided that the following conditions are met"
+
+
+def test_licences_by_word_blocks(spark):
+    ship_package(spark)
+    filler = "lorem ipsum dolor sit amet " * 9
+    scattered = " ".join(f"{w} " + "sunt " * 60 for w in MIT.split())
+    texts = {1: textwrap.fill(MIT, 40), 2: "\n".join(f" * {x}" for x in textwrap.wrap(MIT, 30)), 3: APACHE, 4: scattered, 5: filler + MIT + filler,
+             6: BSD, 7: "\n\n".join(f"# {x}" for x in textwrap.wrap(f"{filler} {APACHE}", 35)), 8: " ".join(MIT.split()[:14]), 9: filler * 40}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(docs).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: "mit", 2: "mit", 3: "apache", 4: "", 5: "mit", 6: "bsd", 7: "apache", 8: "", 9: ""}
+    db = duckdb.connect()
+    db.register("documents", docs.toPandas())
+    want = {r["doc_id"]: (r["labels"], r["score"]) for r in db.sql(licenses.sql()).df().to_dict("records")}
+    assert got == want
+
+
+def test_personal_data_that_can_be_added_is_learned(spark):
+    """Rewrites of the base spans of whole documents, drawn anew: found, while plain numbers are left alone."""
+    ship_package(spark)
+    docs = common.documents(spark, "/root/testdata/sf0.01")
+    model = pii.train(docs)
+    draw, hits, spans, false, numbers = np.random.default_rng(11), 0, 0, 0, 0
+    for text in (r.text or "" for r in docs.select("text").collect()):
+        for start, kind, end in pii.base_spans(text):
+            body = pii.rewritten(kind, text[start:end], draw)
+            changed = text[:start] + body + text[end:]
+            hits += any(a < start + len(body) and z > start for a, _, z in model.added(changed, pii.base_spans(changed)))
+            spans += 1
+        at = text.find(" ", len(text) // 2)
+        if at > 0:
+            body = pii.plain(draw)
+            changed = text[:at + 1] + body + text[at:]
+            false += any(a < at + 1 + len(body) and z > at + 1 for a, _, z in model.added(changed, pii.base_spans(changed)))
+            numbers += 1
+    assert spans > 50 and hits / spans > 0.85 and numbers > 500 and false / numbers < 0.02
+
+
+def test_personal_data_odd_rows(spark, odd):
+    assert pii.proposals("jane at example dot com", []) == [(0, 0, 23)]
+    got = pii.find(odd).collect()
+    assert len(got) == len(ODD) and all(r.spans == "" and r.n_email == 0 for r in got)
+    twice = spark.createDataFrame([(1, "mail a@b.cd now", "x")] * 2 + [(None, None, None)], "doc_id long, text string, spans string")
+    assert sorted((r.spans, r.n_email) for r in pii.find(twice).collect()) == [("", 0), ("email:5:11", 1), ("email:5:11", 1)]
+    long = " ".join(f"u{i}@m{i % 7}.org 10.0.{i % 250}.1 {i * 7919 % 10**9:09d}" for i in range(60_000))
+    model = pii.Model(np.zeros((0, 26)), np.zeros(0), np.zeros(0, bool), 0.98)
+    base = pii.base_spans(long)
+    meets = pii.Meeting(base)
+    assert len(base) == 120_000 and model.added(long, base) == [] and sum(meets(s) for s in pii.proposals(long, base)) >= 120_000
+    for spans in ([], [(5, 0, 9)], [(0, 1, 30), (2, 0, 4), (40, 2, 41)]):
+        overlap = pii.Meeting(spans)
+        assert all(overlap((a, 0, z)) == any(a < s[2] and s[0] < z for s in spans) for a in range(45) for z in range(a + 1, 46))
+
+
+def test_a_text_is_cut_once(spark):
+    text = "aé日𝄞\n\r" * 40_000
+    got = spark.createDataFrame([(text,), ("",)], "t string").select(exact.cut(F.col("t"), 1000).alias("p")).collect()
+    assert "".join(got[0].p) == text and {len(p) for p in got[0].p} == {1000} and got[1].p == [""]
