@@ -9,12 +9,14 @@ The references are all documents, which no executor can hold, so shards are
 dealt by content instead of broadcast. Each window of words has an anchor, its
 run of ``anchor`` words with the least hash, so equal windows have equal
 anchors; consecutive windows of one anchor form a segment. An anchor seen once
-holds nothing repeated. If all segments of an anchor are equal they are removed
-whole. Segments that differ go, each distinct one once with its number, to the
-shard of their anchor; a window belongs to exactly one segment, so places are
-not counted twice. An anchor with more than ``limit`` distinct segments (the
-edge of a passage in very many documents) would make an unbounded shard; its
-windows are counted by hash instead, which is exact too.
+holds nothing repeated. Of the others each distinct segment goes once, with its
+number of places, to the shard of its anchor; a window belongs to exactly one
+segment, so places are not counted twice. What a shard finds in a segment goes
+back to all its places by a join. An anchor with more than ``limit`` distinct
+segments (the edge of a passage in very many documents) would make an unbounded
+shard: its segments are cut into blocks of ``BLOCK`` windows, and a block goes
+to the shard of the words that all windows of its full block share. Equal
+windows share those, so this is exact too.
 
 Words are compared by 64-bit hashes. Windows are judged on the input. Null text
 has no words. Equal rows are copies of each other, so all their windows repeat.
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from fungo.llm.common import landed, numbered, small_batches, stored
 
-WINDOW, ANCHOR, LIMIT = 35, 8, 2048
+WINDOW, ANCHOR, LIMIT, BLOCK = 35, 8, 2048, 4
 SHARD_WORDS = 50_000
 STEP = 1 << 16
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -98,19 +100,18 @@ def _segments(window: int, anchor: int):
     return run
 
 
-PART = pa.schema([("anchor", pa.int64()), ("crowded", pa.bool_()), ("times", pa.int64()), ("row_id", pa.int64()), ("first", pa.int32()),
-                  ("words", pa.binary())])
+PART = pa.schema([("anchor", pa.int64()), ("digest", pa.int64()), ("times", pa.int64()), ("crowded", pa.bool_()), ("words", pa.binary())])
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The hashed words of the listed segments of each text."""
     for b in batches:
         rows = []
-        for row, text, listed in zip(*(b.column(c).to_pylist() for c in ("row_id", "text", "listed"))):
+        for text, listed in zip(*(b.column(c).to_pylist() for c in ("text", "listed"))):
             words = words_of(text)
             for s in listed:
                 part = hashed(words[s["first"]:s["first"] + s["n"]]).tobytes()
-                rows.append((s["anchor"], s["crowded"], s["times"], row, s["first"], part))
+                rows.append((s["anchor"], s["digest"], s["times"], s["crowded"], part))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), PART.types)], schema=PART)
 
@@ -178,77 +179,93 @@ class Automaton:
         return out
 
 
-SPAN = pa.schema([("row_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
+SPAN = pa.schema([("anchor", pa.int64()), ("digest", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
 
 
 def _match(window: int):
     """Rows come sorted by anchor; whole anchors fill a shard."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def matched(shard):
-            sequences = [(np.frombuffer(w, np.uint64).tolist(), times) for _, times, _, _, w in shard]
+            sequences = [(np.frombuffer(w, np.uint64).tolist(), times) for _, _, times, w in shard]
             automaton = Automaton(sequences)
-            rows = [(row, first + a, first + z) for (_, times, row, first, _), (words, _) in zip(shard, sequences) if times == 1
+            rows = [(anchor, digest, a, z) for (anchor, digest, _, _), (words, _) in zip(shard, sequences)
                     for a, z in automaton.spans(words, window)]
             return [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), SPAN.types)], schema=SPAN)] if rows else []
 
         shard, size, anchor = [], 0, None
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("anchor", "times", "row_id", "first", "words"))):
+            for row in zip(*(b.column(c).to_pylist() for c in ("anchor", "digest", "times", "words"))):
                 if row[0] != anchor and size >= SHARD_WORDS:
                     yield from matched(shard)
                     shard, size = [], 0
                 anchor = row[0]
                 shard.append(row)
-                size += len(row[4]) // 8
+                size += len(row[3]) // 8
         if shard:
             yield from matched(shard)
     return run
 
 
-def _windows(window: int):
-    """Each window of a segment: two hashes, its number of copies, its row and first word."""
-    schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("times", pa.int64()), ("row_id", pa.int64()), ("first", pa.int32())])
+def by_automaton(parts: DataFrame, window: int) -> DataFrame:
+    """(anchor, digest, start, stop): what goes of each distinct sequence (anchor, digest, times, words)."""
+    return (parts.select("anchor", "digest", "times", "words").repartition("anchor").sortWithinPartitions("anchor")
+            .mapInArrow(_match(window), "anchor long, digest long, start int, stop int"))
 
+
+BLOCKS = pa.schema([("owner", pa.int64()), ("owner_digest", pa.int64()), ("shift", pa.int32()), ("anchor", pa.int64()),
+                    ("digest", pa.int64()), ("times", pa.int64()), ("words", pa.binary())])
+
+
+def _blocks(window: int, anchor_words: int):
+    """Blocks of windows of each segment, keyed by the words that the windows of a full block share."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        def mark(words: np.ndarray, seed: int = 0) -> int:
+            return int(np.uint64(xxhash.xxh3_64_intdigest(words.tobytes(), seed)).view(np.int64))
+
         for b in batches:
-            parts = []
-            for times, row, first, words in zip(*(b.column(c).to_pylist() for c in ("times", "row_id", "first", "words"))):
-                h = np.frombuffer(words, np.uint64)
-                w1, w2 = rolled(h, window), rolled(mixed(h + FACTOR), window)
-                parts.append((w1.view(np.int64), w2.view(np.int64), np.full(len(w1), times), np.full(len(w1), row),
-                              first + np.arange(len(w1))))
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*parts), schema.types)], schema=schema)
+            rows = []
+            for anchor, digest, times, raw in zip(*(b.column(c).to_pylist() for c in ("anchor", "digest", "times", "words"))):
+                h = np.frombuffer(raw, np.uint64)
+                place, final = int(rolled(h[:window], anchor_words).argmin()), len(h) - window
+                for block in range((place - min(place, final)) // BLOCK, place // BLOCK + 1):
+                    top = place - block * BLOCK
+                    low, high = max(top - BLOCK + 1, 0), min(top, final)
+                    part = h[low:high + window]
+                    rows.append((anchor, digest, low, mark(h[top:top - BLOCK + 1 + window], (anchor + block) % (1 << 64)), mark(part), times,
+                                 part.tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), BLOCKS.types)], schema=BLOCKS)
     return run
 
 
 def repeated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, limit: int = LIMIT) -> DataFrame:
-    """(row_id, start, stop): spans of words to remove; they may overlap."""
+    """(row_id, start, stop): spans of words to remove; they may overlap. ``docs`` are rows of files."""
     small_batches(docs.sparkSession)
     texts = numbered(docs.select("text"))
     found = texts.mapInArrow(_segments(window, anchor), "row_id long, anchor long, digest long, first int, n int")
-    shared = stored(found.groupBy("anchor").agg(F.count("*").alias("times"), F.min("digest").alias("a"), F.max("digest").alias("b"))
-                    .where("times > 1").select("anchor", (F.col("a") == F.col("b")).alias("same")))
+    shared = stored(found.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"))
     places = stored(found.join(shared, "anchor"))
-    distinct = stored(places.where("not same").groupBy("anchor", "digest").agg(
+    distinct = stored(places.groupBy("anchor", "digest").agg(
         F.count("*").alias("times"), F.min(F.struct("row_id", "first", "n")).alias("one")))
-    crowded = stored(distinct.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > limit).select("anchor"))
-    listed = (distinct.join(crowded.withColumn("crowded", F.lit(True)), "anchor", "left")
-              .select("one.row_id", F.struct("anchor", "times", F.coalesce("crowded", F.lit(False)).alias("crowded"),
+    crowded = stored(distinct.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > limit)
+                     .select("anchor", F.lit(True).alias("crowded")))
+    listed = (distinct.join(crowded, "anchor", "left")
+              .select("one.row_id", F.struct("anchor", "digest", "times", F.coalesce("crowded", F.lit(False)).alias("crowded"),
                                              "one.first", "one.n").alias("segment"))
               .groupBy("row_id").agg(F.collect_list("segment").alias("listed")))
     parts = stored(texts.join(listed, "row_id").mapInArrow(
-        _words, "anchor long, crowded boolean, times long, row_id long, first int, words binary"))
-    by_automaton = (parts.where("not crowded").repartition("anchor").sortWithinPartitions("anchor")
-                    .mapInArrow(_match(window), "row_id long, start int, stop int"))
-    windows = stored(parts.where("crowded").mapInArrow(_windows(window), "w1 long, w2 long, times long, row_id long, first int"))
-    twice = stored(windows.groupBy("w1", "w2").agg(F.sum("times").alias("places")).where("places > 1").select("w1", "w2"))
-    by_count = windows.where("times = 1").join(twice, ["w1", "w2"]).select(
-        "row_id", F.col("first").alias("start"), (F.col("first") + window).alias("stop"))
-    copied = distinct.where("times > 1").select("anchor", "digest")
-    whole = places.where("same").unionByName(places.where("not same").join(copied, ["anchor", "digest"]).select(places.columns))
-    whole = whole.select("row_id", F.col("first").alias("start"), (F.col("first") + F.col("n")).cast("int").alias("stop"))
-    return whole.unionByName(by_automaton).unionByName(by_count)
+        _words, "anchor long, digest long, times long, crowded boolean, words binary"))
+    blocks = stored(parts.where("crowded").mapInArrow(
+        _blocks(window, anchor), "owner long, owner_digest long, shift int, anchor long, digest long, times long, words binary"))
+    apart = blocks.groupBy("anchor", "digest").agg(F.sum("times").alias("times"), F.min("words").alias("words"))
+    back = (blocks.select("owner", "owner_digest", "shift", "anchor", "digest").join(stored(by_automaton(apart, window)), ["anchor", "digest"])
+            .select(F.col("owner").alias("anchor"), F.col("owner_digest").alias("digest"),
+                    (F.col("start") + F.col("shift")).alias("start"), (F.col("stop") + F.col("shift")).alias("stop")))
+    gone = stored(by_automaton(parts.where("not crowded"), window).unionByName(back))
+    return places.join(gone, ["anchor", "digest"]).select(
+        "row_id", (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("stop")).alias("stop"))
 
 
 def _cut():
