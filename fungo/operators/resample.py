@@ -21,6 +21,7 @@ from fungo.session import cut_lineage, parallel_parts, spread, written
 
 ROUNDS = 24
 CHUNK = 8192
+FEW = 200_000
 
 
 def cluster_parts(df: DataFrame, keys: Sequence[str], cluster: str, value: str,
@@ -38,19 +39,22 @@ def interval(parts: DataFrame, keys: Sequence[str], skip_constant: bool, draws:
     """90 per cent interval of a mean over resampled clusters.
 
     A mean over a resample needs only each cluster's sum and count, so the cost
-    is draws x clusters whatever the number of rows. ``parts`` is a written
-    table, so it is broadcast where it is small and each task sums the draws it
-    made before anything is shuffled.
+    is draws x clusters whatever the number of rows. Up to ``FEW`` clusters are
+    broadcast and each task sums the draws it made before anything is shuffled;
+    more are joined by merge. The planner does not choose, as it takes the draws,
+    which are exploded, for smaller than the clusters.
     """
     keys = list(keys)
+    few = parts.count() <= FEW
     by = W.partitionBy(*keys)
     parts = parts.withColumns({"_i": F.row_number().over(by.orderBy("_cluster")) - 1,
                                "_c": F.count(F.lit(1)).over(by)})
-    slots = (parts.where(F.col("_c") >= min_clusters)
+    slots = (spread(parts.where(F.col("_c") >= min_clusters).select(*keys, "_c", "_i"), *keys, "_i")
              .select(*keys, "_c", "_i", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_d"))
              .select(*keys, "_d", (rng.mix(F.col("_d").cast("bigint"), F.col("_i").cast("bigint"), seed)
                                    % F.col("_c")).cast("int").alias("_i")))
-    drawn = slots.join(parts.select(*keys, "_i", "_s", "_n", "_lo", "_hi"), [*keys, "_i"])
+    clusters = parts.select(*keys, "_i", "_s", "_n", "_lo", "_hi")
+    drawn = slots.join(F.broadcast(clusters) if few else clusters.hint("merge"), [*keys, "_i"])
     means = drawn.groupBy(*keys, "_d").agg(
         (F.sum("_s") / F.sum("_n")).alias("_m"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
     if skip_constant:

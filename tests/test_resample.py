@@ -63,6 +63,22 @@ def test_clear_and_thin_samples(spark):
     assert few.ci_low is None and few.verdict.startswith("insufficient sample for")
 
 
+def test_draws_are_never_broadcast(spark, monkeypatch):
+    parts = R.cluster_parts(frame(spark, 600)[0].withColumn("gap", F.col("model") - F.col("price")), ["market"], "official_date", "gap", "y")
+    seen = []
+    for few in (R.FEW, 0):
+        monkeypatch.setattr(R, "FEW", few)
+        df = R.interval(parts, ["market"], True, 200)
+        plan = df._jdf.queryExecution().executedPlan().toString().split("\n")
+        at = [k for k, line in enumerate(plan) if "BroadcastExchange" in line]
+        deep = [len(line) - len(line.lstrip(" :+-")) for line in plan]
+        for k in at:
+            below = next((j for j in range(k + 1, len(plan)) if deep[j] <= deep[k]), len(plan))
+            assert not any("Generate" in line for line in plan[k:below])
+        seen.append((bool(at), df.collect()))
+    assert seen[0][0] and not seen[1][0] and seen[0][1] == seen[1][1]
+
+
 def test_bands_do_not_overlap(spark):
     rows = [(13.5, 0.5, 0.4, 0.0)] * 10 + [(14.5, 0.5, 0.4, 1.0)] * 10 + [(14.0, 0.5, 0.4, 1.0)]
     got = {r.band: r for r in metrics.band_table(spark.createDataFrame(rows, "gap_pts double, model_prob double, market_prob double, won double")).collect()}
