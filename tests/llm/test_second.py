@@ -262,3 +262,22 @@ def test_pipeline_takes_clashing_columns_and_empty_tables(spark, odd):
             step = common.stored(stage(spark, step, ""))
             assert step.columns == odd.columns
         corpus_pipeline.pack(spark, step, "").count()
+
+
+def test_quality_learns_from_every_label(spark):
+    """Weights and threshold are those of all labelled documents, also where one label has far more of them."""
+    docs = spark.createDataFrame([(i, "plain words " * (60 + i % 7) if i % 11 else "bad * # | " * (3 + i % 5)) for i in range(2600)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 11 != 0).cast("int").alias("quality"))
+    seen = spark.createDataFrame([(r.doc_id, [float(v) for v in ranking.features(r.text)]) for r in docs.collect()], "doc_id long, x array<double>")
+    learn = labels.where(ranking.fold(4) != 2).join(seen, "doc_id").withColumnRenamed("quality", "label")
+    counts = {r.label: r["count"] for r in learn.groupBy("label").count().collect()}
+    assert counts[1] > 1000 > counts[0]
+    assert ranking.pairs(learn, counts, 2).count() == 2 * counts[1]
+    ranker = ranking.train(seen, labels, 2)
+    rows = learn.collect()
+    x = np.array([r.x for r in rows])
+    assert np.allclose(ranker.centre, x.mean(0)) and np.allclose(ranker.scale, x.std(0) + 1e-6)
+    raw = np.sort(ranker.raw(x))
+    k = counts[0]
+    assert np.isclose(np.log(0.7 / 0.3) - ranker.shift, (raw[k - 1] + raw[k]) / 2)
+    assert (ranker.score(x) >= 0.7).sum() == counts[1]
