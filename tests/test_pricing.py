@@ -158,3 +158,25 @@ def test_boosting_runs(spark):
     fit = M.fit_estimator(M.both_dugouts(df, COLUMNS), "gbm", COLUMNS)
     model = M.RunsModel(fit, P.Width(), "gbm", COLUMNS)
     assert model.expected(df).where("home_mean between 0.2 and 20").count() == 300
+
+
+def test_found_games_leave_the_search(monkeypatch):
+    """A few hard games, or means no finish reaches, do not keep the others in the search."""
+    r = np.random.default_rng(3)
+    target, away = np.append(r.uniform(3.0, 9.0, 400), [0.2, 30.0]), np.append(r.uniform(1.0, 9.0, 400), [0.2, 2.0])
+    lanes, plain = [], P.implied_home_mean
+
+    def counted(mean, *rest):
+        lanes.append(len(mean))
+        return plain(mean, *rest)
+    monkeypatch.setattr(P, "implied_home_mean", counted)
+    w = P.Width()
+    full = P.uncensored_home(target, away, w)
+    assert sum(lanes) < 14 * len(target)
+    off = plain(full, P.pieces(away, w.dispersion_away, w.shape, 9).whole, w, 9) - target
+    assert np.abs(off[:400]).max() <= 1e-10 * 9.0
+    pmf = r.dirichlet(np.ones(31), 5)
+    for k in (1, 2, 7, 9):
+        both = P.sums_of(pmf, k)
+        want = np.array([np.convolve(p, q)[:31] for p, q in zip(both[1], pmf)])
+        assert np.allclose(both[0], want, atol=1e-14) and np.allclose(both[0], P.repeated_sum(pmf, k), atol=1e-14)
