@@ -6,6 +6,7 @@ the same numbers. All products stay below 2**63.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,12 +28,48 @@ def uniform(a: Column, b: Column, seed: int) -> Column:
     return mix(a.cast("bigint"), b.cast("bigint"), seed) / F.lit(float(M))
 
 
+def _fold(x):
+    """Congruent modulo M and below 2**32, for non-negative x."""
+    return (x & M) + (x >> 31)
+
+
+def _folded(x):
+    """Congruent modulo M and at most 2**31, for non-negative x."""
+    return _fold(_fold(x))
+
+
 def mix_np(a, b, seed: int):
-    x = ((a % M) * A1 + (b % M) * A2 + seed * 40692 + 7) % M
-    x = (x * x + b % M) % M
-    x = (x * A3 + a % M) % M
-    x = (x * x + seed + 12345) % M
-    return (x * A1 + 11) % M
+    """``mix``; remainders between steps are taken by folding, as M is 2**31 - 1."""
+    a, b = a % M, b % M
+    x = _folded(a * A1 + b * A2 + (seed * 40692 + 7))
+    x = _folded(x * x + b)
+    x = _folded(x * A3 + a)
+    x = _folded(x * x + (seed + 12345))
+    x = _folded(x * A1 + 11)
+    return x - M * (x >= M)
+
+
+def mix_grid(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
+    """``mix`` of every ``a`` with every ``b``. In unsigned words one fold a step
+    is enough to keep the next product below 2**64, and all steps are in place."""
+    a, b = (a % M).astype(np.uint64)[:, None], (b % M).astype(np.uint64)[None, :]
+    mask, bits = np.uint64(M), np.uint64(31)
+    x = (a * np.uint64(A1) % mask) + (b * np.uint64(A2) + np.uint64(seed * 40692 + 7)) % mask
+    high = np.empty_like(x)
+
+    def fold():
+        np.right_shift(x, bits, out=high)
+        np.bitwise_and(x, mask, out=x)
+        np.add(x, high, out=x)
+
+    for left, right in ((None, b), (np.uint64(A3), a), (None, np.uint64(seed + 12345)), (np.uint64(A1), np.uint64(11))):
+        np.multiply(x, x if left is None else left, out=x)
+        np.add(x, right, out=x)
+        fold()
+    # Below 2 M: one more than the remainder is folded, so that M itself becomes 0.
+    np.add(x, np.uint64(1), out=x)
+    fold()
+    return np.subtract(x, np.uint64(1), out=x)
 
 
 def mix_sql(a: str, b: str, seed: int) -> str:
@@ -44,11 +81,6 @@ def mix_sql(a: str, b: str, seed: int) -> str:
     return f"((({x}) * {A1} + 11) % {M})"
 
 
-def _fold(x):
-    """Congruent modulo M and below 2**32, for non-negative x."""
-    return (x & M) + (x >> 31)
-
-
 def coin_np(x, key: int):
     """A fair bit per counter for one key: the parity of
     ``(((x + key) * A1) ** 2 * A3 + key) mod M``. This is the innermost step of

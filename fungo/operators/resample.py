@@ -126,17 +126,30 @@ def _simulated(bands: int, draws: int, seed: int):
         sums = np.zeros((bands + 1, draws))
         when = np.arange(1, draws + 1, dtype=np.int64)
         for batch in batches:
-            for start in range(0, len(batch), 256):
-                part = batch.iloc[start:start + 256]
-                price = part["market_prob"].to_numpy()
-                drawn = rng.mix_np(part["_id"].to_numpy()[:, None], when[None, :], seed) / float(rng.M)
-                np.add.at(sums, part["_b"].to_numpy(), np.where(drawn < price[:, None], 1.0 / price[:, None], 0.0))
+            ids, bands_of, price = (batch[k].to_numpy() for k in ("_id", "_b", "market_prob"))
+            least = below(price).astype(np.uint64)[:, None]
+            # Blocks of rows and draws that stay in a core's cache.
+            for start in range(0, len(batch), 128):
+                rows = slice(start, start + 128)
+                paid = np.zeros((bands + 1, len(ids[rows])))
+                paid[bands_of[rows], np.arange(len(ids[rows]))] = 1.0 / price[rows]
+                for first in range(0, draws, 128):
+                    cut = slice(first, first + 128)
+                    sums[:, cut] += paid @ (rng.mix_grid(ids[rows], when[cut], seed) < least[rows]).astype(float)
         held = np.flatnonzero(sums.any(axis=1))
         if len(held):
             yield pd.DataFrame({"_b": held.astype("int32"), "w": [sums[b] for b in held]})
     return run
 
 
+def below(price: np.ndarray) -> np.ndarray:
+    """The least whole number that, divided by ``rng.M``, is not below the price."""
+    m = float(rng.M)
+    least = np.ceil(price * m)
+    least = np.where((least - 1.0) / m >= price, least - 1.0, least)
+    return np.where(least / m < price, least + 1.0, least).astype(np.int64)
+
+
 def group_spread(df: DataFrame, keys: Sequence[str], group: str, value: str,
                  min_rows: int = 15, min_groups: int = 5) -> DataFrame:
     """Row-weighted standard deviation of group means; null with few groups."""

@@ -20,6 +20,23 @@ def test_generator_agrees_everywhere(spark):
     assert [r[0] for r in rows] == want.tolist() and [r[1] for r in rows] == rng.coin_np(a, 77).tolist()
 
 
+def test_grid_of_draws():
+    a = np.array([0, 1, rng.M - 1, rng.M, rng.M + 1, 10 ** 12 + 7] + list(range(5, 5000, 7)), dtype=np.int64)
+    b = np.array([0, 1, 2, 4999, rng.M - 1, rng.M], dtype=np.int64)
+    by_hand = [[rng_by_hand(int(x), int(y), 3) for y in b] for x in a]
+    assert rng.mix_grid(a, b, 3).tolist() == by_hand and rng.mix_np(a[:, None], b[None, :], 3).tolist() == by_hand
+    marks = np.random.default_rng(0).integers(1, rng.M, 5000)
+    price = np.append(marks / float(rng.M), np.random.default_rng(1).uniform(0.1, 0.9, 5000))
+    least = R.below(price)
+    assert (least / float(rng.M) >= price).all() and ((least - 1) / float(rng.M) < price).all()
+
+
+def rng_by_hand(a, b, seed):
+    x = ((a % rng.M) * rng.A1 + (b % rng.M) * rng.A2 + seed * 40692 + 7) % rng.M
+    x = ((x * x + b % rng.M) % rng.M * rng.A3 + a % rng.M) % rng.M
+    return ((x * x + seed + 12345) % rng.M * rng.A1 + 11) % rng.M
+
+
 @pytest.mark.parametrize("n", [1, 2, 17, 1000])
 def test_shuffle_is_a_bijection(n):
     seen = [R.permuted(np.arange(n), n, d, 5) for d in range(1, 8)]
