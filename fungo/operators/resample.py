@@ -254,14 +254,71 @@ def permuted(pos: np.ndarray, size: int, draw: int, seed: int) -> np.ndarray:
     Each round pairs every position with its mirror around a random centre and
     swaps the pair on a coin that both ends share.
     """
-    x = pos.astype(np.int64)
+    return permuted_grid(pos, size, np.array([draw]), seed)[0]
+
+
+def permuted_grid(pos: np.ndarray, size: int, draws: np.ndarray, seed: int) -> np.ndarray:
+    """``permuted`` of every position in every draw, a row for each draw.
+
+    The coin of ``rng.coin_np`` is the parity of a polynomial in the greater end,
+    ``a x**2 + b x + g`` mod M, where only b and g depend on the round. All steps
+    are in place, in unsigned words."""
+    tick = draws.astype(np.int64)[:, None] * ROUNDS + np.arange(ROUNDS)
+    centres = (rng.mix_np(tick, np.int64(1), seed) % size).astype(np.uint64)
+    key = rng.mix_np(tick, np.int64(2), seed + 1)
+    square = rng.A1 * rng.A1 % rng.M * rng.A3 % rng.M
+    linear = (key * 2 % rng.M * square % rng.M).astype(np.uint64)
+    # One more than the constant: see the parity below.
+    constant = ((key * key % rng.M * square % rng.M + key) % rng.M + 1).astype(np.uint64)
+    wide, mask, bits, one, square = (np.array(k, dtype=np.uint64) for k in (size, rng.M, 31, 1, square))
+    x = np.repeat(pos.astype(np.uint64)[None, :], len(draws), axis=0)
+    other, high, y = np.empty_like(x), np.empty_like(x), np.empty_like(x)
+    folded = np.empty_like(x)
+
+    def fold():
+        np.right_shift(y, bits, out=folded)
+        np.bitwise_and(y, mask, out=y)
+        np.add(y, folded, out=y)
+
     for step in range(ROUNDS):
-        tick = np.int64(draw * ROUNDS + step)
-        partner = int(rng.mix_np(tick, np.int64(1), seed)) % size - x
-        partner += (partner < 0) * size
-        coin = rng.coin_np(np.maximum(x, partner), int(rng.mix_np(tick, np.int64(2), seed + 1)))
-        x += coin * (partner - x)
-    return x
+        # Below zero is a very large word, which ``size`` brings back.
+        np.subtract(centres[:, step:step + 1], x, out=other)
+        np.add(other, wide, out=high)
+        np.minimum(other, high, out=other)
+        np.maximum(x, other, out=high)
+        np.multiply(high, square, out=y)
+        np.add(y, linear[:, step:step + 1], out=y)
+        fold()
+        np.multiply(y, high, out=y)
+        np.add(y, constant[:, step:step + 1], out=y)
+        fold()
+        if size > 1 << 24:  # else already below 2 M
+            fold()
+        # y is 1 to 2 M, one above the remainder or M more than that: the bit is
+        # set where the coin is not.
+        np.right_shift(y, bits, out=folded)
+        np.add(y, folded, out=y)
+        np.bitwise_and(y, one, out=y)
+        np.subtract(x, other, out=x)
+        np.multiply(x, y, out=x)
+        np.add(x, other, out=x)
+    return x.view(np.int64)
+
+
+def _label_of(ends: np.ndarray, size: int):
+    """Index of the label at a position. A table of at most 2**16 stretches of
+    positions answers for those that hold one label; others are searched."""
+    shift = max(0, int(size - 1).bit_length() - 16)
+    first = np.arange(0, size, 1 << shift)
+    label = np.searchsorted(ends, first, side="right")
+    label[label != np.searchsorted(ends, np.minimum(first + (1 << shift), size) - 1, side="right")] = -1
+
+    def find(x: np.ndarray) -> np.ndarray:
+        at = label[x >> shift]
+        mixed = np.flatnonzero(at < 0)
+        at[mixed] = np.searchsorted(ends, x[mixed], side="right")
+        return at
+    return find
 
 
 def _shuffled_sums(keys, draws, seed):
@@ -272,13 +329,18 @@ def _shuffled_sums(keys, draws, seed):
         ends, labels = bounds["_to"].to_numpy(), bounds["_label"].to_numpy()
         size = int(bounds["_size"].iloc[0])
         pos, v = rows["_pos"].to_numpy(), rows["_v"].to_numpy()
+        find = _label_of(ends, size)
         label, when, total = [], [], []
-        for draw in range(1, draws + 1):
-            at = np.searchsorted(ends, permuted(pos, size, draw, seed), side="right")
-            hit = np.flatnonzero(np.bincount(at, minlength=len(labels)))
-            label.append(labels[hit])
-            total.append(np.bincount(at, weights=v, minlength=len(labels))[hit])
-            when.append(np.full(len(hit), draw, dtype=np.int32))
+        # As many draws at a time as stay in a core's cache.
+        some = max(1, 4 * CHUNK // len(pos))
+        for first in range(1, draws + 1, some):
+            block = np.arange(first, min(first + some, draws + 1))
+            for draw, x in zip(block, permuted_grid(pos, size, block, seed)):
+                at = find(x)
+                hit = np.flatnonzero(np.bincount(at, minlength=len(labels)))
+                label.append(labels[hit])
+                total.append(np.bincount(at, weights=v, minlength=len(labels))[hit])
+                when.append(np.full(len(hit), draw, dtype=np.int32))
         done = pd.DataFrame({"_g": np.concatenate(label), "_d": np.concatenate(when),
                              "_s": np.concatenate(total)})
         for k in keys:

@@ -143,3 +143,25 @@ def test_calibration(spark):
     table = metrics.calibration_table(spark.createDataFrame(rows, "k string, p double, y double"), ["k"])
     assert [(r.bin, r.n, r.error) for r in table.collect()] == [(1, 20, 0.05)]
     assert metrics.calibration_error(table, ["k"]).first().calibration_error == 0.05
+
+
+@pytest.mark.parametrize("size", [1, 2, 17, 9000, 1 << 24, (1 << 24) + 1, 2**31 - 2])
+def test_permuted_grid_is_the_network_of_the_coins(size):
+    pos = np.unique(np.r_[0, size - 1, np.random.default_rng(1).integers(0, size, 500)])
+    draws = np.array([1, 6, 2000])
+    for draw, seen in zip(draws.tolist(), R.permuted_grid(pos, size, draws, 5)):
+        x = pos.copy()
+        for step in range(R.ROUNDS):
+            tick = np.int64(draw * R.ROUNDS + step)
+            other = (int(rng.mix_np(tick, np.int64(1), 5)) % size - x) % size
+            coin = rng.coin_np(np.maximum(x, other), int(rng.mix_np(tick, np.int64(2), 6)))
+            x = np.where(coin == 1, other, x)
+        assert (seen == x).all()
+
+
+@pytest.mark.parametrize("size,labels", [(5, 5), (70_000, 3), (1_000_000, 40), (300_000, 90_000)])
+def test_label_table_agrees_with_a_search(size, labels):
+    draw = np.random.default_rng(2)
+    ends = np.r_[np.sort(draw.choice(size - 1, labels - 1, replace=False) + 1), size]
+    x = np.r_[0, ends - 1, ends[:-1], draw.integers(0, size, 1000)]
+    assert (R._label_of(ends, size)(x) == np.searchsorted(ends, x, side="right")).all()
