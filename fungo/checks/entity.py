@@ -10,6 +10,7 @@ from fungo.functions import scalars as S
 from fungo.operators import dedup, elo
 from fungo.operators.prefix import day_order, last_n_before, position, running
 from fungo.plans import features
+from fungo.session import dealt
 from fungo.sources import landing
 
 c = F.col
@@ -97,7 +98,8 @@ def pit_actor_vs_scheduled(spark, d):
     l = table(spark, d, "lineitem").select(c("l_orderkey").alias("id"), c("l_suppkey").alias("who"),
                                            c("l_quantity").cast("bigint").alias("q"), "l_extendedprice", "l_linenumber")
     days = table(spark, d, "orders").select(c("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("day"))
-    l = l.join(days, "id")
+    n = l.count()
+    l = dealt(l, n, "id").join(dealt(days, n, "id"), "id")
     asks = l.groupBy("id", "day").agg(F.min_by("who", F.struct("l_extendedprice", "l_linenumber", "who")).alias("who"))
     facts = l.groupBy("who", "id", "day").agg(F.sum("q").alias("q"), F.count(F.lit(1)).alias("n"), F.lit(1).alias("kind"))
     both = asks.withColumn("kind", F.lit(0)).unionByName(facts, allowMissingColumns=True)

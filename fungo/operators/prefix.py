@@ -14,11 +14,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fungo.session import parallel_parts, written
+from fungo.session import dealt, parallel_parts, written
 
 PART_ROWS = 1 << 18
 
@@ -47,16 +47,24 @@ def ranged(rows: DataFrame, group: Sequence[str], by: Sequence[str], part_rows:
     Large groups are sorted into sampled ranges and written once, so that every
     reader sees the same ranges. Ranges rise along the order and rows that tie
     in it stay together."""
-    large = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > part_rows)
+    return _ranged(rows, group, by, part_rows, name)[0]
+
+
+def _ranged(rows: DataFrame, group: Sequence[str], by: Sequence[str], part_rows: int, name: str) -> tuple[DataFrame, int]:
+    """The same, and the number of rows."""
+    seen = Observation()
+    large = (rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"))
+             .observe(seen, F.sum("_rows").alias("rows")).where(F.col("_rows") > part_rows))
     large = written(large)
+    count = seen.get["rows"] or 0
     total = large.agg(F.sum("_rows")).first()[0]
     if not total:
-        return rows.withColumn(name, F.lit(0))
+        return rows.withColumn(name, F.lit(0)), count
     of = large.select(*group)
     parts = max(parallel_parts(rows.sparkSession), -(-total // part_rows))
     cut = written(rows.join(of, [*group], "left_semi").repartitionByRange(parts, *group, *by)
                   .withColumn(name, F.spark_partition_id()))
-    return rows.join(of, [*group], "left_anti").withColumn(name, F.lit(0)).unionByName(cut)
+    return rows.join(of, [*group], "left_anti").withColumn(name, F.lit(0)).unionByName(cut), count
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Order,
@@ -83,42 +91,37 @@ def running(df: DataFrame, keys: Sequence[str], order: Order,
                            **{f"_v_{n}": c for n, (c, _) in trailing.items()}})
     for column in [*keys, *order.by[:2], "_coarse"]:
         rows = rows.where(F.col(column).isNotNull())
-    rows = ranged(rows, [*keys, "_coarse"], order.by, part_rows, "_fine")
+    rows, count = _ranged(rows, [*keys, "_coarse"], order.by, part_rows, "_fine")
     # Both branches below read this one exchange, so the input is computed and
     # shuffled once.
-    rows = rows.repartition(*[F.col(p) for p in parts])
+    rows = dealt(rows, count, *parts)
     totals = [*sums, *trailing]
 
-    def zero(name):
-        return F.coalesce(F.col(name), F.lit(0))
-
+    # One row per range. What came earlier in its day and in earlier days of its
+    # key are windows over these rows, which one exchange by key serves.
     fine = rows.groupBy(*parts).agg(
         F.lit(1).alias("_one"),
         *[F.sum(f"_v_{n}").alias(f"_p_{n}") for n in totals],
         *[F.max_by(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), order_at))
           .alias(f"_p_{n}") for n in lasts])
-    coarse = fine.groupBy(*keys, "_coarse").agg(
-        F.lit(1).alias("_one"),
-        *[F.sum(f"_p_{n}").alias(f"_p_{n}") for n in totals],
-        *[F.max_by(F.col(f"_p_{n}"), F.when(F.col(f"_p_{n}").isNotNull(), F.col("_fine")))
-          .alias(f"_p_{n}") for n in lasts])
+    if keys:
+        fine = dealt(fine, count, *keys)
+    inside = W.partitionBy(*keys, "_coarse").orderBy("_fine").rowsBetween(W.unboundedPreceding, -1)
+    days = W.partitionBy(*keys, *([] if keys else [F.lit(0)])).orderBy("_coarse")
+    before = days.rangeBetween(W.unboundedPreceding, -1)
 
-    by_key = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    over_coarse = by_key.orderBy("_coarse")
-    before = over_coarse.rowsBetween(W.unboundedPreceding, -1)
-    coarse = coarse.select(
-        *keys, "_coarse",
-        *[zero_over(f"_p_{n}", before).alias(f"_c_{n}") for n in sums],
-        *[F.last(f"_p_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in lasts],
-        *[zero_over(f"_p_{n}", over_coarse.rangeBetween(-(k - 1), -1)).alias(f"_c_{n}")
-          for n, (_, k) in trailing.items()])
+    def latest(name):
+        held = F.col(f"_p_{name}").isNotNull()
+        return F.max_by(F.col(f"_p_{name}"), F.when(held, F.struct("_coarse", "_fine")))
 
-    inside = W.partitionBy(*keys, "_coarse").orderBy("_fine").rowsBetween(W.unboundedPreceding, -1)
-    fine = fine.select(
+    offsets = fine.select(
         *parts,
         *[zero_over(f"_p_{n}", inside).alias(f"_f_{n}") for n in totals],
-        *[F.last(f"_p_{n}", ignorenulls=True).over(inside).alias(f"_f_{n}") for n in lasts])
-    offsets = fine.join(coarse, [*keys, "_coarse"])
+        *[F.last(f"_p_{n}", ignorenulls=True).over(inside).alias(f"_f_{n}") for n in lasts],
+        *[zero_over(f"_p_{n}", before).alias(f"_c_{n}") for n in sums],
+        *[latest(n).over(before).alias(f"_c_{n}") for n in lasts],
+        *[zero_over(f"_p_{n}", days.rangeBetween(-(k - 1), -1)).alias(f"_c_{n}")
+          for n, (_, k) in trailing.items()])
 
     local = W.partitionBy(*parts).orderBy(*order.by).rowsBetween(W.unboundedPreceding, -1)
     rows = rows.select(

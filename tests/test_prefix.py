@@ -85,3 +85,21 @@ def test_group_spread(spark):
     row = group_spread(df, [], "g", "v").first()
     assert row.groups == 6 and row.spread == pytest.approx((35 / 12) ** 0.5)
     assert group_spread(df.where("g < 4"), [], "g", "v").first().spread is None
+
+
+def test_tasks_grow_with_the_rows(spark, monkeypatch):
+    from fungo import session
+    monkeypatch.setattr(session, "TASK_ROWS", 40)
+    wanted = 4000 // 40
+    assert wanted > session.parallel_parts(spark)
+    assert session.dealt(spark.range(10), 4000, "id").rdd.getNumPartitions() == wanted
+    df = spark.range(4000).selectExpr("id", "id % 900 as k", "date_add(DATE'2020-01-01', cast(id div 10 as int)) as day", "id % 7 as v")
+    out = running(df, ["k"], day_order("day", "id"), sums={"s": F.col("v")}, lasts={"last": F.col("v")},
+                  trailing={"t": (F.col("v"), 91)})
+    # A fixed number of tasks would make each of them larger with the table.
+    assert out.rdd.getNumPartitions() == wanted
+    got = {r["id"]: (r["s"], r["last"], r["t"]) for r in out.collect()}
+    for i in range(4000):
+        past = list(range(i % 900, i, 900))
+        assert got[i] == (sum(j % 7 for j in past), past[-1] % 7 if past else None,
+                          sum(j % 7 for j in past if i // 10 - j // 10 < 91))
