@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fungo.checks.base import query, scratch, table
 from fungo.checks.landed import named
 from fungo.operators.dedup import finished, pending
+from fungo.session import dealt
 from fungo.sources import landing
 
 c = F.col
@@ -74,12 +75,14 @@ def landed_plays(spark, d):
     play = named(about=named(inning=F.floor((c("at") + 4) / 4).cast("int"), isTopInning=(c("at") % 4).isin(0, 1)),
                  result=named(homeScore=F.when(known, c("x.l_linenumber") * 2).cast("int"), awayScore=F.when(known, c("x.l_linenumber")).cast("int")),
                  count=named(outs=(c("x.l_partkey") % 4).cast("int")), matchup=named(pitcher=named(id=c("x.l_suppkey"))))
-    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("xs"))
+    n = table(spark, d, "lineitem").count()
+    lines = dealt(table(spark, d, "lineitem"), n, "l_orderkey").groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("xs"))
     plays = lines.select("l_orderkey", F.posexplode("xs").alias("at", "x")).select("l_orderkey", "at", play.alias("p"))
     docs = plays.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "p"))), lambda y: y["p"]).alias("allPlays")).select(
         c("l_orderkey").alias("key"), c("l_orderkey").alias("game_pk"), F.lit("2025-04-11").alias("official_date"), "allPlays")
     good, _ = landed(spark, "playbyplay", docs, "key")
-    return landing.play_states(good).drop("official_date").withColumnRenamed("at", "spot")
+    return landing.play_states(good, n).drop("official_date").withColumnRenamed("at", "spot")
 
 
 @query("landed_hourly", f"""WITH h AS (SELECT o_custkey AS venue, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, o_totalprice

@@ -12,6 +12,7 @@ from fungo.functions import scalars as S
 from fungo.operators.leverage import state_before
 from fungo.operators.quotes import paired_book_quotes
 from fungo.schemas import LANDED
+from fungo.session import dealt
 from fungo.sources.tables import exists
 
 c = F.col
@@ -24,7 +25,9 @@ def landed_documents(spark: SparkSession, kind: str, path: str, lines: bool = Fa
     text = spark.read.text(path, wholetext=not lines).select("value", c("_metadata.file_path").alias("source_file"))
     schema = StructType.fromDDL(LANDED[kind]).add("_broken", "string")
     read = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
-    rows = text.where(F.trim("value") != "").withColumn("d", read)
+    # A row of a generator: filters on the fields stay above it, where as a plain
+    # column the document would be parsed again in each of them.
+    rows = text.where(F.trim("value") != "").select("*", F.explode(F.array(read)).alias("d"))
     broken = F.when(c("d").isNull() | c("d._broken").isNotNull(), c("value"))
     return rows.select(*[c(f"d.{f.name}") for f in schema.fields[:-1]], "source_file", broken.alias("broken"))
 
@@ -108,8 +111,9 @@ def boxscore_umpires(landed: DataFrame) -> DataFrame:
         "game_pk", "official_date", c("u.id").alias("hp_umpire_id"), c("u.fullName").alias("hp_umpire_name"))
 
 
-def play_states(landed: DataFrame) -> DataFrame:
-    """State before each usable plate appearance."""
+def play_states(landed: DataFrame, plays: int = 0) -> DataFrame:
+    """State before each usable plate appearance. ``plays`` is about how many there
+    are, if that is known, and sets the number of tasks."""
     p = landed.select("game_pk", "official_date", F.posexplode("allPlays").alias("at", "p"))
     usable = c("p.about.inning").isNotNull() & (F.coalesce(c("p.matchup.pitcher.id"), F.lit(0)) != 0)
     p = p.where(usable).select(
@@ -120,6 +124,7 @@ def play_states(landed: DataFrame) -> DataFrame:
         c("p.matchup.pitcher.id").alias("pitcher_id"))
     # A play without a score repeats the last one known; one document holds a
     # whole game, so this window is bounded by the document.
+    p = dealt(p, plays, "game_pk")
     upto = W.partitionBy("game_pk").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
     p = p.withColumns({k: F.coalesce(F.last(k, ignorenulls=True).over(upto), F.lit(0))
                        for k in ("hs", "as")})

@@ -238,3 +238,22 @@ def test_other_seasons_are_not_read(spark, tmp_path):
     assert re.search(r"PartitionFilters: \[[^]]*season#\d+ IN \(2001,2007\)", plan)
     assert finished(games, wanted.limit(0)).count() == 0
     assert finished(games).count() == 134
+
+
+def test_a_landed_document_is_parsed_once(spark, tmp_path):
+    (tmp_path / "d.json").write_text('{"game_pk": 1}\n{"game_pk": \n')
+    rows = L.read_landed(spark, "boxscore", str(tmp_path / "d.json"), lines=True)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and [r["game_pk"] for r in rows.collect()] == [1]
+
+
+def test_plays_are_dealt_by_their_number(spark, monkeypatch):
+    from fungo import session
+    monkeypatch.setattr(session, "TASK_ROWS", 4)
+    wanted = session.parallel_parts(spark) + 5
+    docs = spark.sql("""SELECT id AS game_pk, DATE'2025-04-11' AS official_date, transform(sequence(1, 3), i -> named_struct(
+        'about', named_struct('inning', i, 'isTopInning', true), 'result', named_struct('homeScore', i, 'awayScore', 0),
+        'count', named_struct('outs', 1), 'matchup', named_struct('pitcher', named_struct('id', 5L)))) AS allPlays FROM range(20)""")
+    out = L.play_states(docs, wanted * 4)
+    assert out.rdd.getNumPartitions() == wanted
+    assert sorted((r["at"], r["home_score_before"]) for r in out.collect()) == sorted((i, i) for i in range(3) for _ in range(20))
