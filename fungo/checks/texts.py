@@ -40,17 +40,18 @@ def landed_pitching(spark, d):
     lines = table(spark, d, "lineitem").select(
         "l_orderkey", (c("l_linenumber") % 2).alias("team"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("o"),
         c("l_suppkey").alias("player"), named(stats=stats).alias("line"))
-    last = lines.groupBy("l_orderkey", "team", "player").agg(F.max_by("line", "o").alias("line"))
-    sides = lines.groupBy("l_orderkey", "team").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "player"))), lambda x: x["player"]).alias("pitchers"))
-    players = last.groupBy("l_orderkey", "team").agg(F.map_from_entries(F.collect_list(F.struct(
-        F.concat(F.lit("ID"), c("player").cast("string")), "line"))).alias("players"))
+    # One exchange by order serves the three groupings.
+    lines = dealt(lines, table(spark, d, "lineitem").count(), "l_orderkey")
+    last = lines.groupBy("l_orderkey", "team", "player").agg(
+        F.max_by("line", "o").alias("line"), F.collect_list(F.struct("o", "player")).alias("seen"))
+    sides = last.groupBy("l_orderkey", "team").agg(
+        F.transform(F.array_sort(F.flatten(F.collect_list("seen"))), lambda x: x["player"]).alias("pitchers"),
+        F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("ID"), c("player").cast("string")), "line"))).alias("players"))
     side = named(team=named(id=c("team")), pitchers=c("pitchers"), players=c("players"))
-    games = sides.join(players, ["l_orderkey", "team"]).groupBy("l_orderkey").agg(
-        F.max(F.when(c("team") == 1, F.to_json(side))).alias("h"), F.max(F.when(c("team") == 0, F.to_json(side))).alias("a"))
-    ddl = ("team struct<id: bigint>, pitchers array<bigint>, players map<string, struct<stats: struct<pitching: "
-           "struct<outs: int, battersFaced: int, strikeOuts: int>>>>")
+    games = sides.groupBy("l_orderkey").agg(*[
+        F.max_by(side, F.when(c("team") == at, 1)).alias(name) for name, at in (("h", 1), ("a", 0))])
     docs = games.select(c("l_orderkey").alias("key"), c("l_orderkey").alias("game_pk"), F.lit("2025-04-11").alias("official_date"),
-                        named(home=F.from_json("h", ddl), away=F.from_json("a", ddl)).alias("teams"))
+                        named(home=c("h"), away=c("a")).alias("teams"))
     good, bad = landed(spark, "boxscore", docs, "key")
     rows = landing.boxscore_pitching(good).select("game_pk", "team_id", "player_id", "is_starter", "outs", "strike_outs")
     kinds = dict(rows.dtypes)

@@ -87,10 +87,11 @@ def boxscore_pitching(landed: DataFrame) -> DataFrame:
     """One row per pitcher with a line; the first to appear is the starter."""
     sides = landed.select("game_pk", "official_date",
                           F.explode(F.array("teams.home", "teams.away")).alias("t"))
+    # The line is looked up beside the list, so that no row carries all players.
+    thrown = F.transform("t.pitchers", lambda p: F.struct(p.alias("player_id"), F.try_element_at(
+        c("t.players"), F.concat(F.lit("ID"), p.cast("string")))["stats"]["pitching"].alias("s")))
     seen = sides.select("game_pk", "official_date", c("t.team.id").alias("team_id"),
-                        c("t.players").alias("players"), F.posexplode("t.pitchers").alias("at", "player_id"))
-    line = F.try_element_at("players", F.concat(F.lit("ID"), c("player_id").cast("string")))
-    seen = seen.withColumn("s", line["stats"]["pitching"])
+                        F.posexplode(thrown).alias("at", "p")).select("*", "p.player_id", "p.s").drop("p")
     # An empty pitching object and an absent one both mean no appearance.
     fields = ("outs", "battersFaced", "hits", "runs", "earnedRuns", "homeRuns", "baseOnBalls",
               "hitByPitch", "strikeOuts", "numberOfPitches", "strikes")
