@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fungo import config as C
 from fungo.checks.base import query, table
 from fungo.plans import features
+from fungo.session import dealt
 
 c = F.col
 SHOWN = [*C.FEATURE_COLUMNS, "ump_run_rate", "ump_k_rate"]
@@ -122,6 +123,7 @@ SELECT game_pk, {", ".join(f"floor({k} * 1e5 + 0.5e0) / 1e5 AS {k}" for k in SHO
 @query("feature_frame", SQL)
 def feature_frame(spark, d):
     o = table(spark, d, "orders")
+    rows = table(spark, d, "lineitem").count()
     played = c("o_orderpriority") != "5-LOW"
     home = (c("o_custkey") % 12)
     away = (home + 1 + c("o_orderkey") % 11) % 12
@@ -133,7 +135,7 @@ def feature_frame(spark, d):
         hs.alias("home_score"), aws.alias("away_score"))
     line = c("l_linenumber")
     player = (F.when(line == 1, c("home_sp_id")).when(line == 2, c("away_team_id") * 10 + c("game_pk") % 4).otherwise(900 + line))
-    pitching = table(spark, d, "lineitem").join(games, c("l_orderkey") == c("game_pk")).select(
+    pitching = dealt(table(spark, d, "lineitem"), rows, "l_orderkey").join(games, c("l_orderkey") == c("game_pk")).select(
         "game_pk", F.when(line % 2 == 1, c("home_team_id")).otherwise(c("away_team_id")).alias("team_id"), player.alias("player_id"),
         (line <= 2).cast("int").alias("is_starter"), c("l_quantity").cast("int").alias("batters_faced"), (c("l_partkey") % 10).alias("strike_outs"),
         (c("l_suppkey") % 4).alias("walks"), F.lit(0).alias("hit_batsmen"), (c("l_partkey") % 3).alias("home_runs"),
@@ -142,7 +144,7 @@ def feature_frame(spark, d):
     umpires = table(spark, d, "events").select(
         c("event_id").alias("game_pk"), (c("user_id") % 40).alias("hp_umpire_id"), F.struct("ts", "event_id").alias("ordinal"))
     q = c("l_quantity")
-    weather = table(spark, d, "lineitem").where(c("l_orderkey") % 3 != 0).select(
+    weather = dealt(table(spark, d, "lineitem").where(c("l_orderkey") % 3 != 0), rows, "l_orderkey").select(
         c("l_orderkey").alias("game_pk"), line.alias("ordinal"), (c("l_discount") * 300.0).alias("temp_c"), (q + 950.0).alias("pressure_hpa"),
         (c("l_tax") * 1000.0).alias("humidity_pct"), q.alias("wind_out_to_center_ms"), (-q).alias("wind_left_to_right_ms"),
         (q / 10.0).alias("precip_mm"), F.when(c("l_returnflag") == "A", "retractable").when(c("l_returnflag") == "N", "dome").otherwise("open").alias("roof_category"))

@@ -15,7 +15,7 @@ from fungo.functions import scalars as S
 from fungo.operators.dedup import keep_first
 from fungo.operators.elo import elo_ratings
 from fungo.operators.prefix import day_order, last_n_before, running
-from fungo.session import written
+from fungo.session import dealt, written
 
 c = F.col
 ORDER = day_order("official_date", "game_pk")
@@ -160,9 +160,11 @@ def build_features(games: DataFrame, parks: DataFrame, weather: DataFrame | None
     """
     # Every state reads these, so they are computed once.
     base = written(_narrow(games))
+    number = base.count()
     sides = written(_sides(base))
     lines = written(pitching_lines(pitching, base)) if pitching is not None else None
-    out = base
+    # The first table of a chain of joins sets the number of their tasks.
+    out = dealt(base, number, "game_pk")
     if lines is not None:
         per_game = lines.groupBy("game_pk").agg(
             *[F.sum(k).alias(f"g_{k}") for k in ("batters", "ks", "walks", "homers")],
@@ -186,11 +188,11 @@ def build_features(games: DataFrame, parks: DataFrame, weather: DataFrame | None
     # Each state is written out by itself: the plans stay small, and a lost
     # executor costs one state rather than the whole frame.
     key = ["game_pk", "side"]
-    per_side = (sides.select(*key).join(written(team_state(sides)), key, "left")
+    per_side = (dealt(sides.select(*key), 2 * number, *key).join(written(team_state(sides)), key, "left")
                 .join(written(staff_state(sides, relief)), key, "left")
                 .join(written(starter_proxy(sides)), key, "left").join(own, key, "left"))
     fields = [f for f in per_side.columns if f not in key]
-    wide = per_side.groupBy("game_pk").agg(*[
+    wide = dealt(per_side, 2 * number, "game_pk").groupBy("game_pk").agg(*[
         F.max(F.when(c("side") == s, c(f))).alias(f"{s}_{f}") for s in ("home", "away") for f in fields])
     out = out.join(wide, "game_pk", "left").join(written(league_state(base, per_game)), "game_pk", "left")
 
