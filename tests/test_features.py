@@ -164,3 +164,16 @@ def test_last_weather_and_umpire_win(spark):
     df = spark.createDataFrame(rows, "game_pk bigint, ordinal int, temp_c double")
     from fungo.plans.features import last_row
     assert {(r.game_pk, r.temp_c) for r in last_row(df, ["temp_c"]).collect()} == {(1, 3.0), (2, 1.0)}
+
+
+def test_frame_is_dealt_by_the_number_of_games(spark, monkeypatch):
+    from fungo import session
+    parts = session.parallel_parts(spark)
+    games = world.games(n=4 * (parts + 3))
+    parks = spark.createDataFrame([("1", 10.0)], "venue_id string, elevation_m double")
+    table = world.frame(spark, games, DDL["games"])
+    plain = {r["game_pk"]: r for r in build_features(table, parks).collect()}
+    monkeypatch.setattr(session, "TASK_ROWS", 4)
+    out = build_features(table, parks)
+    assert {r["game_pk"]: r for r in out.collect()} == plain
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
