@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from fungo import config as C
@@ -10,7 +9,7 @@ from fungo.checks.base import query, scratch, table
 from fungo.functions import scalars as S
 from fungo.operators import ledger as L
 from fungo.plans import modelling, serving
-from fungo.session import cut_lineage
+from fungo.session import written
 from fungo.streaming import quotes as stream
 
 c = F.col
@@ -233,9 +232,9 @@ def poisson_conditions(spark, d):
     """What a penalised Poisson fit must satisfy: no slope is left along any column, and fitted and observed totals agree."""
     train = modelling.both_dugouts(two_sided_orders(spark, d), INPUTS)
     fit = modelling.fit_estimator(train, "glm", INPUTS)
-    seen = fit.transform(train).select("target", "mean", vector_to_array("x").alias("x"))
+    seen = fit.transform(train).select("target", "mean", F.array(*fit.standardised()).alias("x"))
     slopes = F.array(*[F.struct(
-        F.lit(name).alias("name"), (F.avg((c("mean") - c("target")) * c("x")[i]) + modelling.ALPHA * float(fit.stages[-1].coefficients[i])).alias("g"))
+        F.lit(name).alias("name"), (F.avg((c("mean") - c("target")) * c("x")[i]) + modelling.ALPHA * fit.coefficients[i]).alias("g"))
         for i, name in enumerate(INPUTS)])
     out = seen.agg(F.count(F.lit(1)).alias("rows"), (F.avg("mean") / F.avg("target") - 1).alias("bias"), slopes.alias("s"))
     return out.select(F.explode("s").alias("s"), "rows", "bias").select(
@@ -245,7 +244,7 @@ def poisson_conditions(spark, d):
 @query("walk_forward")
 def walk_forward(spark, d):
     # Stands for the stored feature table.
-    rows = cut_lineage(two_sided_orders(spark, d))
+    rows = written(two_sided_orders(spark, d))
     seasons = [r[0] for r in rows.select("season").distinct().orderBy("season").collect()]
     out = modelling.walk_forward(rows.select("game_pk", "official_date", "season", *INPUTS), rows, seasons,
                                  columns=INPUTS, min_train=200)

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fungo.operators import pricing as P
 from fungo.plans import modelling as M
@@ -180,3 +181,106 @@ def test_found_games_leave_the_search(monkeypatch):
         both = P.sums_of(pmf, k)
         want = np.array([np.convolve(p, q)[:31] for p, q in zip(both[1], pmf)])
         assert np.allclose(both[0], want, atol=1e-14) and np.allclose(both[0], P.repeated_sum(pmf, k), atol=1e-14)
+
+
+def test_seasons_are_fitted_side_by_side(spark, monkeypatch):
+    """The same models as one by one, with as many tables and passes for many seasons as for few."""
+    df = league(spark, 1800).withColumn("season", F.expr("season * 10 + game_pk % 2")).localCheckpoint()
+    features = df.select("game_pk", "official_date", "season", *COLUMNS)
+    seasons = [20211, 20220, 20221, 20230, 20231]
+    calls = {"written": 0, "fits": 0}
+
+    def counted(name, plain):
+        def run(*args, **kwargs):
+            calls[name] += 1
+            return plain(*args, **kwargs)
+        return run
+    monkeypatch.setattr(M, "written", counted("written", M.written))
+    monkeypatch.setattr(M, "fit_poisson", counted("fits", M.fit_poisson))
+    made = []
+    for some in (seasons[3:], seasons):
+        calls.update(written=0, fits=0)
+        out = M.walk_forward(features, df, some, columns=COLUMNS, min_train=300).toPandas()
+        made.append(dict(calls))
+        assert set(out.season) == set(some) and len(out) == 3 * out.game_pk.nunique()
+    assert made[0] == made[1] and made[1]["fits"] == 1
+    for season in (20220, 20231):
+        model = M.fit_runs(features.where(F.col("season") < season), df, columns=COLUMNS)
+        want = model.price(features.where(F.col("season") == season), df).toPandas()
+        mine = out[out.season == season]
+        key = ["game_pk", "market"]
+        for name in ("prob", "push", "expected_home", "expected_away"):
+            assert np.allclose(mine.sort_values(key)[name], want.sort_values(key)[name], atol=1e-9)
+        assert mine.dispersion_home.iloc[0] == pytest.approx(model.width.dispersion_home, abs=1e-9)
+        assert (mine.inning_scoreless.iloc[0], mine.inning_tail.iloc[0]) == model.width.shape
+
+
+def test_marks_cut_the_latest_quarter(spark):
+    """Days are counted, then one day is ordered: the same games as by ordering all, undated ones in neither."""
+    rows = [(i * 7919 % 1000, None if i % 50 == 0 else dt.date(2021, 4, 1 + i % 3), 2021 + i % 2) for i in range(1000)]
+    df = spark.createDataFrame(rows, "game_pk bigint, official_date date, _part int")
+    marks = M.quarter_marks(df, [2022, 2023, 2021], 4, 100)
+    assert marks[2] is None
+    for bound, mark in ((2022, marks[0]), (2023, marks[1])):
+        mine = [r for r in rows if r[2] < bound]
+        dated = sorted((r[1], r[0]) for r in mine if r[1])
+        assert mark == dated[len(mine) * 3 // 4 - 1]
+        held = M.staged(df.where(F.col("_part") < bound), [mark]).where("_stage > 0")
+        assert held.count() == len(dated) - len(mine) * 3 // 4
+    assert M.staged(df, sorted(marks[:2])).where("_stage is null").count() == 20
+
+
+def test_poisson_fits_leave_no_slope(spark):
+    """Far starts, a constant column and one that is the sum of two others; each span has its own rows."""
+    g = np.random.default_rng(4)
+    x = g.normal(50.0, [3.0, 0.02], (3000, 2))
+    y = g.poisson(np.exp(0.3 + (x[:, 0] - 50) / 3 + 30 * (x[:, 1] - 50) * 2))
+    part = g.integers(0, 3, 3000)
+    df = spark.createDataFrame([(*map(float, r), float(r.sum()), 0.1, float(t), int(k), 0) for r, t, k in zip(x, y, part)],
+                               "a double, b double, c double, d double, target double, _part int, _stage int")
+    columns = ["a", "b", "c", "d"]
+    for bound, fit in zip((1, 3), M.fit_poisson(df, columns, [M.Span(1), M.Span(3)])):
+        mine = part < bound
+        z = (np.c_[x, x.sum(1)] - fit.centre[:3]) * fit.scale[:3]
+        assert np.allclose(z[mine].std(axis=0, ddof=1), 1) and fit.scale[3] == 0 and fit.coefficients[3] == 0
+        mean = np.exp(fit.intercept + z @ fit.coefficients[:3])
+        off = (mean - y)[mine]
+        assert abs(off.mean()) < 1e-9 and np.abs(off @ z[mine] / mine.sum() + M.ALPHA * np.array(fit.coefficients[:3])).max() < 1e-9
+
+
+@pytest.mark.parametrize("shape,innings", [(None, 9), ((0.747, 2.25), 9), ((0.5, 1.2), 7), ((0.79, 0.5), 1)])
+def test_board_equals_the_table(shape, innings):
+    """Prices by sums along each side are those of the whole table, and hard targets are found in few steps."""
+    r = np.random.default_rng(5)
+    w, points = P.Width(30.0, 5.0, shape), (("h2h", None), ("spreads", -1.5), ("spreads", 2.0), ("totals", 8.5), ("totals", 9.0))
+    home, away = r.uniform(1.0, 12.0, (2, 200)) * innings / 9
+    full = P.uncensored_home(home, away, w, innings)
+    cells = P.joint(full, away, w, innings).reshape(200, -1)
+    prob, push = P.Board(w, innings, points).prices(home, away)
+    cover, level = P.readout(points)
+    assert np.allclose(prob, cells @ cover, atol=1e-12) and np.allclose(push, cells @ level, atol=1e-12)
+
+
+def test_targets_near_the_cut_are_found(monkeypatch):
+    w, lanes, plain = P.Width(30.0, 5.0), [], P.implied_home_mean
+
+    def counted(mean, *rest):
+        lanes.append(len(mean))
+        return plain(mean, *rest)
+    target, away = np.array([14.872807623469866, 15.078668910824266, 2.6]), np.array([8.816068953060842, 13.159415575989815, 2.0])
+    monkeypatch.setattr(P, "implied_home_mean", counted)
+    full = P.uncensored_home(target, away, w)
+    off = plain(full, P.pieces(away, w.dispersion_away, w.shape, 9).whole, w, 9) - target
+    assert np.abs(off).max() < 1e-8 and sum(lanes) < 5 * len(target)
+
+
+def test_targets_just_above_the_least_mean_are_found():
+    """By innings the finished mean is flat up to a home mean and rises from there."""
+    w = P.Width(50.0, 50.0, (0.7925, 0.5), walk_off_margins=(0.453, 0.296, 0.150, 0.101))
+    away = np.full(40, 2.02)
+    away_pmf = P.pieces(away, w.dispersion_away, w.shape, 9).whole
+    least = P.implied_home_mean(np.full(40, 1e-3), away_pmf, w, 9)
+    target = least + np.geomspace(1e-8, 1e-3, 40)
+    assert np.abs(P.implied_home_mean(P.uncensored_home(target, away, w), away_pmf, w, 9) - target).max() < 1e-9
+    low = P.uncensored_home(least - np.geomspace(1e-8, 1.0, 40), away, w)
+    assert np.allclose(P.implied_home_mean(low, away_pmf, w, 9), least, atol=1e-12)
