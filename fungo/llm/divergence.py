@@ -3,8 +3,10 @@
 Method: length-bucketed packing. A term of up to 8 bytes is one 64-bit word, one
 of up to 16 bytes two; a task sorts the words of many terms by radix (16 bits at
 a time, stable) and counts runs. Longer terms go to buckets by width (powers of
-two) of fixed-width byte strings that are sorted as such. What leaves a task is
-one row per source and term; counts then add up by map-side combining.
+two) of fixed-width byte strings that are sorted as such. A task counts a few
+megabytes of text at a time and merges these counts, so it holds distinct terms
+and not occurrences. It lets go of them, one row per source and term, when they
+fill its memory or it ends; counts then add up by map-side combining.
 
 Shares ``p`` are whole numbers of billionths, smoothed by two occurrences, and
 the divergence of two shares is ``(p - q)**2 / (p + q)``, rounded down. Part
@@ -20,7 +22,8 @@ once for all terms.
 Null text, lang and source are ''. A group without terms has its pairs, and no
 rows of part ``term``. A language of no kept terms has value 0 in all pairs.
 Equal rows count as often as they occur; ids are not looked at. A very long text
-is held whole by one task, a very long term is one row of its bucket.
+is held whole by one task and counted in pieces, cut between terms, that merge to
+one document; a very long term is one row of its bucket.
 Equal values are ranked by item. An empty table gives an empty result.
 """
 
@@ -38,8 +41,8 @@ from pyspark.sql.window import Window
 from fungo.llm.common import small_batches, stored
 
 DOCS, TOP, UNIT = 10, 10, 1_000_000_000
-#: Bytes of text a task holds before it sorts and counts.
-BUFFER = 16 << 20
+#: Bytes of text a task sorts and counts at once, and bytes of distinct terms and counts it holds.
+PIECE, HELD = 4 << 20, 48 << 20
 SOURCES, TERMS = 256, 4096
 
 LETTER = np.zeros(256, bool)
@@ -90,8 +93,25 @@ def runs(group: np.ndarray, doc: np.ndarray, same: np.ndarray) -> tuple[np.ndarr
     return first, np.diff(np.append(first, len(group))), np.add.reduceat(other.astype(np.int64), first)
 
 
+def ordered(group: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order by term and group, and which of its rows have the key of the row before."""
+    if terms.dtype.itemsize > 16:
+        keys = [group, terms]
+        order = np.lexsort(keys)
+    else:
+        words = terms.view(">u8").reshape(len(terms), -1)
+        keys = [group, *(words[:, i].astype(np.uint64) for i in reversed(range(words.shape[1])))]
+        order = radix_order(keys)
+    same = np.ones(len(order), bool)
+    same[:1] = False
+    for key in keys:
+        key = key[order]
+        same[1:] &= key[1:] == key[:-1]
+    return order, same
+
+
 def counted(data: np.ndarray, start: np.ndarray, size: np.ndarray, group: np.ndarray, doc: np.ndarray) -> Iterator[tuple]:
-    """Group, terms (bytes), occurrences and documents of each group and term, one bucket of lengths at a time."""
+    """Group, terms (padded bytes), occurrences and documents of each group and term, one bucket of lengths at a time."""
     padded = np.append(data, np.zeros(16, np.uint8))
     words = np.ndarray((len(padded) - 7,), ">u8", padded.data, strides=(1,))
 
@@ -106,63 +126,122 @@ def counted(data: np.ndarray, start: np.ndarray, size: np.ndarray, group: np.nda
         if not len(own):
             continue
         at, length, g, d = start[own], size[own], group[own], doc[own]
-        keys = [packed(at + 8 * i, length - 8 * i) for i in range(width // 8)]
-        order = radix_order([g, *reversed(keys)])
-        g, d, keys = g[order], d[order], [k[order] for k in keys]
-        same = np.append(False, (g[1:] == g[:-1]) & np.logical_and.reduce([k[1:] == k[:-1] for k in keys]))
-        first, times, docs = runs(g, d, same)
-        raw = np.stack([k[first] for k in keys], 1).astype(">u8").view(f"S{width}")[:, 0]
-        yield g[first], raw.tolist(), times, docs
+        terms = np.stack([packed(at + 8 * i, length - 8 * i) for i in range(width // 8)], 1).astype(">u8").view(f"S{width}")[:, 0]
+        yield _bucket(g, terms, d)
     width = 32
     while (size > width // 2).any():
         own = np.flatnonzero((size > max(width // 2, 16)) & (size <= width))
         if len(own):
             terms = np.array([data[a:a + n].tobytes() for a, n in zip(start[own].tolist(), size[own].tolist())], f"S{width}")
-            order = np.lexsort((group[own], terms))
-            g, d, terms = group[own][order], doc[own][order], terms[order]
-            first, times, docs = runs(g, d, np.append(False, (g[1:] == g[:-1]) & (terms[1:] == terms[:-1])))
-            yield g[first], terms[first].tolist(), times, docs
+            yield _bucket(group[own], terms, doc[own])
         width *= 2
 
 
+def _bucket(group: np.ndarray, terms: np.ndarray, doc: np.ndarray) -> tuple:
+    order, same = ordered(group, terms)
+    first, times, docs = runs(group, doc[order], same)
+    return group[order[first]], terms[order[first]], times, docs
+
+
+class Tally:
+    """Counts by bucket of lengths; equal groups and terms are added up whenever what is held has grown to ``limit`` bytes and doubled."""
+
+    def __init__(self, limit: int):
+        self.limit = self.next = limit
+        self.parts: dict[int, list[tuple]] = {}
+        self.size = 0
+
+    def add(self, found: Iterator[tuple]) -> None:
+        for part in found:
+            self.parts.setdefault(part[1].dtype.itemsize, []).append(part)
+            self.size += sum(c.nbytes for c in part)
+            if self.size >= self.next:
+                for _ in self.merged():
+                    pass
+                self.size = sum(c.nbytes for parts in self.parts.values() for part in parts for c in part)
+                self.next = max(self.limit, 2 * self.size)
+
+    def merged(self) -> Iterator[tuple]:
+        for width, parts in self.parts.items():
+            if len(parts) > 1:
+                group, terms, times, docs = (np.concatenate(c) for c in zip(*parts))
+                parts.clear()
+                order, same = ordered(group, terms)
+                first = np.flatnonzero(~same)
+                parts.append((group[order[first]], terms[order[first]], np.add.reduceat(times[order], first), np.add.reduceat(docs[order], first)))
+            yield parts[0]
+
+
+def stretches(length: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """First row and end of stretches of at most ``most`` bytes, or of one longer row."""
+    edges = np.append(0, np.cumsum(length))
+    a = 0
+    while a < len(length):
+        b = max(int(np.searchsorted(edges, edges[a] + most, "right")) - 1, a + 1)
+        yield a, b
+        a = b
+
+
+def pieces(data: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Data that ends with another byte than a term's, cut behind such bytes: at most ``most`` bytes, or up to the end of a longer term."""
+    a = 0
+    while a < len(data):
+        b = a + most
+        if b < len(data):
+            other = np.flatnonzero(~LETTER[data[a:b]])
+            if len(other):
+                b = a + int(other[-1]) + 1
+            else:
+                while LETTER[data[b:b + most]].all():
+                    b += most
+                b += int(np.argmin(LETTER[data[b:b + most]])) + 1
+        yield data[a:b]
+        a = b
+
+
 COUNT = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("n", pa.int64()), ("docs", pa.int64())])
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a buffer of texts at a time. A row without a term marks a group."""
-    def flushed(held):
-        names: dict[tuple[str, str], int] = {}
-        parts, base, text = [], 0, 0
-        for b in held:
-            groups = [names.setdefault(k, len(names)) for k in zip(*(
-                pc.fill_null(b.column(c), "").to_pylist() for c in ("lang", "source")))]
-            data, edges = flat(b.column("text"))
-            start, size = spans(data)
-            doc = np.searchsorted(edges, start, "right") - 1
-            parts.append((data, start + base, size, np.array(groups, np.uint32)[doc], doc + text))
-            base, text = base + len(data), text + b.num_rows
+def _counts(batches: Iterator[pa.RecordBatch], piece: int = PIECE, limit: int = HELD) -> Iterator[pa.RecordBatch]:
+    """Counts of as many texts as have ``limit`` bytes of distinct terms and groups. A row without a term marks a group."""
+    def emptied():
         langs, sources = (np.array(c, object) for c in zip(*names))
-        none = pa.nulls(len(langs), pa.binary())
-        zero = np.zeros(len(langs), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(sources, pa.string()), none, pa.array(zero), pa.array(zero)],
-                                         schema=COUNT)
-        for group, terms, times, docs in counted(*(np.concatenate(c) for c in zip(*parts))):
+        for a in range(0, len(langs), 50_000):
+            n = len(langs[a:a + 50_000])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(langs[a:a + n], pa.string()), pa.array(sources[a:a + n], pa.string()), pa.nulls(n, pa.binary()),
+                *[pa.array(np.zeros(n, np.int64))] * 2], schema=COUNT)
+        for group, terms, times, docs in held.merged():
             for a in range(0, len(group), 50_000):
                 g = group[a:a + 50_000]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(langs[g], pa.string()), pa.array(sources[g], pa.string()), pa.array(terms[a:a + 50_000], pa.binary()),
                     pa.array(times[a:a + 50_000]), pa.array(docs[a:a + 50_000])], schema=COUNT)
 
-    held, size = [], 0
+    names: dict[tuple[str, str], int] = {}
+    held, named = Tally(limit), 0
     for b in batches:
-        if b.num_rows:
-            held.append(b)
-            size += b.nbytes
-        if size >= BUFFER:
-            yield from flushed(held)
-            held, size = [], 0
-    if held:
-        yield from flushed(held)
+        lang, source, text = (pc.fill_null(b.column(c), "") for c in ("lang", "source", "text"))
+        for first, end in stretches(pc.binary_length(text).to_numpy().astype(np.int64), piece):
+            keys = list(zip(lang[first:end].to_pylist(), source[first:end].to_pylist()))
+            named += sum(200 + len(k[0]) + len(k[1]) for k in set(keys) - names.keys())
+            groups = np.array([names.setdefault(k, len(names)) for k in keys], np.uint32)
+            data, edges = flat(text[first:end])
+            if end - first > 1:
+                start, size = spans(data)
+                doc = np.searchsorted(edges, start, "right") - 1
+                held.add(counted(data, start, size, groups[doc], doc))
+            else:
+                long = Tally(limit)
+                for part in pieces(data, piece):
+                    start, size = spans(part)
+                    long.add(counted(part, start, size, np.repeat(groups, len(start)), np.zeros(len(start), np.int64)))
+                held.add((g, terms, times, np.minimum(docs, 1)) for g, terms, times, docs in long.merged())
+            if held.next > limit or named > limit // 2:  # a merge left more than half
+                yield from emptied()
+                names, held, named = {}, Tally(limit), 0
+    if names:
+        yield from emptied()
 
 
 def whole(column: str) -> Column:

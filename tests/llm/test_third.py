@@ -1,11 +1,14 @@
 """Brute-force versions of whitening, divergence audit and suffix-array deduplication; row numbers, word blocks, spans that can be added."""
 
 import random
+import re
 import textwrap
+import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +144,44 @@ def test_terms_of_all_lengths_are_counted():
     assert (divergence.radix_order([key]) == np.argsort(key, kind="stable")).all()
 
 
+def batches_of(rows, n):
+    schema = pa.schema([(c, pa.string()) for c in ("lang", "source", "text")])
+    return (pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows[i:i + n]], schema) for i in range(0, len(rows), n))
+
+
+@pytest.mark.parametrize("piece,limit", [(16, 1), (100, 2000), (4096, 20_000), (divergence.PIECE, divergence.HELD)])
+def test_counts_in_pieces_are_those_of_whole_texts(piece, limit):
+    draw = random.Random(piece)
+    words = ["".join(draw.choice("abC\u00e9") for _ in range(draw.choice([1, 2, 3, 7, 9, 15, 17, 40, 90]))) for _ in range(60)]
+    rows = [(draw.choice([None, "en", "de"]), draw.choice("abc"), draw.choice(" 7\n").join(draw.choices(words, k=draw.choice([0, 1, 5, 60])))) for _ in range(150)]
+    rows += [("en", "a", None), ("en", "a", "x" * 5000 + " y"), ("en", "a", "one two " * 3000), ("fr", None, "z" * 300), ("fr", None, "")]
+    n, docs = Counter(), Counter()
+    for lang, source, text in rows:
+        found = Counter(re.findall(rb"[a-z\x80-\xff]+", (text or "").encode().lower()))
+        n.update({(lang or "", source or "", t): k for t, k in found.items()})
+        docs.update((lang or "", source or "", t) for t in found)
+    got = [r for b in divergence._counts(batches_of(rows, 40), piece, limit) for r in b.to_pylist()]
+    for column, want in (("n", n), ("docs", docs)):
+        total = Counter()
+        for r in got:
+            if r["term"] is not None:
+                total[r["lang"], r["source"], r["term"]] += r[column]
+        assert total == want
+    assert {(r["lang"], r["source"]) for r in got if r["term"] is None} == {(lang or "", source or "") for lang, source, _ in rows}
+
+
+def test_counting_holds_distinct_terms_and_not_occurrences():
+    draw = np.random.default_rng(5)
+    words = np.array(["".join(map(chr, draw.integers(97, 123, n))) for n in draw.integers(2, 9, 2000)])
+    rows = [("en", "abc"[i % 3], " ".join(words[draw.integers(0, 2000, 500)])) for i in range(8000)]
+    held = list(batches_of([*rows, ("en", "a", " ".join(r[2] for r in rows[:4000]))], 1000))
+    tracemalloc.start()
+    size = sum(b.num_rows for b in divergence._counts(iter(held)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert size == 6003 - 3 * (2000 - len(set(words))) and peak < 150e6
+
+
 MATRICES = {
     "plain": lambda r: r.standard_normal((200, 24)), "graded": lambda r: r.standard_normal((200, 24)) * 10.0 ** -np.arange(0, 8, 1 / 3),
     "equal": lambda r: np.linalg.qr(r.standard_normal((60, 24)))[0], "near": lambda r: np.diag(1 + np.arange(24) * 1e-11),
