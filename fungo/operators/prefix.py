@@ -50,8 +50,8 @@ def ranged(rows: DataFrame, group: Sequence[str], by: Sequence[str], part_rows:
     return _ranged(rows, group, by, part_rows, name)[0]
 
 
-def _ranged(rows: DataFrame, group: Sequence[str], by: Sequence[str], part_rows: int, name: str) -> tuple[DataFrame, int]:
-    """The same, and the number of rows."""
+def _ranged(rows: DataFrame, group: Sequence[str], by: Sequence[str], part_rows: int, name: str) -> tuple[DataFrame, int, bool]:
+    """The same, the number of rows, and whether any group was large."""
     seen = Observation()
     large = (rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"))
              .observe(seen, F.sum("_rows").alias("rows")).where(F.col("_rows") > part_rows))
@@ -59,12 +59,12 @@ def _ranged(rows: DataFrame, group: Sequence[str], by: Sequence[str], part_rows:
     count = seen.get["rows"] or 0
     total = large.agg(F.sum("_rows")).first()[0]
     if not total:
-        return rows.withColumn(name, F.lit(0)), count
+        return rows.withColumn(name, F.lit(0)), count, False
     of = large.select(*group)
     parts = max(parallel_parts(rows.sparkSession), -(-total // part_rows))
     cut = written(rows.join(of, [*group], "left_semi").repartitionByRange(parts, *group, *by)
                   .withColumn(name, F.spark_partition_id()))
-    return rows.join(of, [*group], "left_anti").withColumn(name, F.lit(0)).unionByName(cut), count
+    return rows.join(of, [*group], "left_anti").withColumn(name, F.lit(0)).unionByName(cut), count, True
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Order,
@@ -82,28 +82,31 @@ def running(df: DataFrame, keys: Sequence[str], order: Order,
     """
     sums, lasts, trailing = dict(sums or {}), dict(lasts or {}), dict(trailing or {})
     keys = list(keys)
-    parts = [*keys, "_coarse", "_fine"]
     order_at = F.struct(*[F.col(c) for c in order.by])
 
-    rows = df.withColumns({"_coarse": F.expr(order.coarse),
-                           **{f"_v_{n}": c for n, c in sums.items()},
-                           **{f"_v_{n}": c for n, c in lasts.items()},
-                           **{f"_v_{n}": c for n, (c, _) in trailing.items()}})
+    rows = df.withColumn("_coarse", F.expr(order.coarse))
     for column in [*keys, *order.by[:2], "_coarse"]:
         rows = rows.where(F.col(column).isNotNull())
-    rows, count = _ranged(rows, [*keys, "_coarse"], order.by, part_rows, "_fine")
-    # Both branches below read this one exchange, so the input is computed and
-    # shuffled once.
-    rows = dealt(rows, count, *parts)
+    rows, count, cut = _ranged(rows, [*keys, "_coarse"], order.by, part_rows, "_fine")
+    # Where no day is cut the range is a constant, which no join is by.
+    parts = [*keys, "_coarse", *(["_fine"] if cut else [])]
     totals = [*sums, *trailing]
 
+    def valued(rows):
+        return rows.withColumns({**{f"_v_{n}": c for n, c in sums.items()},
+                                 **{f"_v_{n}": c for n, c in lasts.items()},
+                                 **{f"_v_{n}": c for n, (c, _) in trailing.items()}})
+
     # One row per range. What came earlier in its day and in earlier days of its
     # key are windows over these rows, which one exchange by key serves.
-    fine = rows.groupBy(*parts).agg(
+    # The totals are summed before they are shuffled.
+    fine = valued(rows).groupBy(*parts).agg(
         F.lit(1).alias("_one"),
         *[F.sum(f"_v_{n}").alias(f"_p_{n}") for n in totals],
         *[F.max_by(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), order_at))
           .alias(f"_p_{n}") for n in lasts])
+    if not cut:
+        fine = fine.withColumn("_fine", F.lit(0))
     if keys:
         fine = dealt(fine, count, *keys)
     inside = W.partitionBy(*keys, "_coarse").orderBy("_fine").rowsBetween(W.unboundedPreceding, -1)
@@ -123,9 +126,11 @@ def running(df: DataFrame, keys: Sequence[str], order: Order,
         *[zero_over(f"_p_{n}", days.rangeBetween(-(k - 1), -1)).alias(f"_c_{n}")
           for n, (_, k) in trailing.items()])
 
+    # The rows are shuffled once, without what is computed from their columns: the
+    # windows and the join are by the columns that they are dealt by.
     local = W.partitionBy(*parts).orderBy(*order.by).rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.select(
-        *df.columns, "_coarse", "_fine",
+    rows = valued(dealt(rows, count, *parts)).select(
+        *df.columns, *[p for p in parts if p not in df.columns],
         *[zero_over(f"_v_{n}", local).alias(f"_r_{n}") for n in totals],
         *[F.last(f"_v_{n}", ignorenulls=True).over(local).alias(f"_r_{n}") for n in lasts])
     return rows.join(offsets, parts).select(

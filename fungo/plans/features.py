@@ -15,7 +15,7 @@ from fungo.functions import scalars as S
 from fungo.operators.dedup import keep_first
 from fungo.operators.elo import elo_ratings
 from fungo.operators.prefix import day_order, last_n_before, running
-from fungo.session import dealt, written
+from fungo.session import bucketed, erase, joined_parts, passing, written
 
 c = F.col
 ORDER = day_order("official_date", "game_pk")
@@ -36,7 +36,8 @@ def _sides(games: DataFrame) -> DataFrame:
     def side(us, them):
         return F.struct(F.lit(us).alias("side"), c(f"{us}_team_id").alias("team"),
                         c(f"{us}_sp_id").alias("starter"), c(f"{us}_score").alias("scored"),
-                        c(f"{them}_score").alias("allowed"))
+                        c(f"{them}_score").alias("allowed"), c(f"{us}_relief_outs").alias("relief_outs"),
+                        c(f"{us}_relief_runs").alias("relief_runs"))
     return games.select("game_pk", "official_date", "season", "played", F.explode(
         F.array(side("home", "away"), side("away", "home"))).alias("s")).select(
         "game_pk", "official_date", "season", "played", "s.*")
@@ -48,19 +49,14 @@ def team_state(sides: DataFrame) -> DataFrame:
         "games": done.cast("int"), "runs_for": c("scored"), "runs_against": c("allowed")})
     rows = last_n_before(rows, ["team", "season"], "games", C.FORM_GAMES,
                          {"recent_for": c("scored"), "recent_against": c("allowed")})
-    return rows.select(
-        "game_pk", "side", "games",
-        S.shrunk(c("runs_for"), c("games"), C.PRIOR_RUNS, C.PRIOR_TEAM_GAMES).alias("off"),
-        S.shrunk(c("runs_against"), c("games"), C.PRIOR_RUNS, C.PRIOR_TEAM_GAMES).alias("def"),
-        F.coalesce("recent_for", F.lit(C.PRIOR_RUNS)).alias("recent_off"),
-        F.coalesce("recent_against", F.lit(C.PRIOR_RUNS)).alias("recent_def"))
+    return rows.select("game_pk", "side", "games", "runs_for", "runs_against",
+                       c("recent_for").alias("recent_off"), c("recent_against").alias("recent_def"))
 
 
-def staff_state(sides: DataFrame, relief: DataFrame) -> DataFrame:
+def staff_state(sides: DataFrame) -> DataFrame:
     """Days of rest, relief record and relief outs of the last three days."""
-    rows = sides.join(relief, ["game_pk", "team"], "left")
     rows = running(
-        rows, ["team"], ORDER,
+        sides, ["team"], ORDER,
         sums={"bp_runs": F.when(c("played"), c("relief_runs")), "bp_outs": F.when(c("played"), c("relief_outs"))},
         lasts={"last_played": F.when(c("played"), c("official_date"))},
         trailing={"workload": (F.when(c("played"), c("relief_outs")), C.WORKLOAD_DAYS)})
@@ -76,9 +72,7 @@ def starter_proxy(sides: DataFrame) -> DataFrame:
                    lasts={"last_start": F.when(c("played"), c("official_date"))})
     rows = last_n_before(rows, ["starter"], "starts", C.STARTER_FORM, {"sp_recent": c("allowed")})
     return rows.select(
-        "game_pk", "side", c("starts").alias("sp_starts"),
-        S.shrunk(c("sp_allowed"), c("starts"), C.PRIOR_RUNS, C.PRIOR_STARTS).alias("sp_rate"),
-        F.coalesce("sp_recent", F.lit(C.PRIOR_RUNS)).alias("sp_recent"),
+        "game_pk", "side", c("starts").alias("sp_starts"), "sp_allowed", "sp_recent",
         S.rest_days(c("last_start"), c("official_date"), 15).alias("sp_rest"))
 
 
@@ -104,7 +98,7 @@ def starter_lines(sides: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def pitching_lines(pitching: DataFrame, games: DataFrame) -> DataFrame:
-    """Lines of finished games, numeric, one per (game, player)."""
+    """Lines of finished games, numeric, one per (game, player), and whose staff it is."""
     rows = pitching.select(
         "game_pk", S.id_key(c("team_id")).alias("team"), S.id_key(c("player_id")).alias("player"),
         F.coalesce(c("is_starter").try_cast("int"), F.lit(0)).alias("is_starter"),
@@ -112,15 +106,29 @@ def pitching_lines(pitching: DataFrame, games: DataFrame) -> DataFrame:
         (S.number_or_zero(c("walks")) + S.number_or_zero(c("hit_batsmen"))).alias("walks"),
         S.number_or_zero(c("home_runs")).alias("homers"), S.number_or_zero(c("outs")).alias("outs"),
         S.number_or_zero(c("runs")).alias("runs"))
-    return rows.join(games.where(c("played")).select("game_pk", "official_date"), "game_pk")
+    sides = {f"for_{side}": c("team") == c(f"{side}_team_id") for side in ("home", "away")}
+    return rows.join(games.where(c("played")).select("game_pk", "official_date", "home_team_id", "away_team_id"),
+                     "game_pk").withColumns(sides).drop("team", "home_team_id", "away_team_id")
+
+
+GAME_SUMS = ("g_batters", "g_ks", "g_walks", "g_homers", "g_relief_outs", "g_relief_runs",
+             "home_relief_outs", "home_relief_runs", "away_relief_outs", "away_relief_runs")
+
 
+def game_sums(lines: DataFrame) -> DataFrame:
+    """What all pitchers of a game add up to, and each side's relief."""
+    relief = c("is_starter") == 0
+    return lines.groupBy("game_pk").agg(
+        *[F.sum(k).alias(f"g_{k}") for k in ("batters", "ks", "walks", "homers")],
+        *[F.sum(F.when(relief, c(k))).alias(f"g_relief_{k}") for k in ("outs", "runs")],
+        *[F.sum(F.when(relief & c(f"for_{side}"), c(k))).alias(f"{side}_relief_{k}")
+          for side in ("home", "away") for k in ("outs", "runs")])
 
-def league_state(games: DataFrame, per_game: DataFrame) -> DataFrame:
+
+def league_state(games: DataFrame) -> DataFrame:
     """Running league rates, with evidence floors. The key is empty; only the
     day totals meet in one place."""
-    rows = games.select("game_pk", "official_date", "played", "home_score", "away_score").join(
-        per_game, "game_pk", "left")
-    rows = running(rows, [], ORDER, sums={
+    rows = running(games, [], ORDER, sums={
         "lg_runs": c("home_score") + c("away_score"), "lg_games": c("played").cast("int"),
         "lg_batters": c("g_batters"), "lg_ks": c("g_ks"), "lg_bb": c("g_walks"), "lg_hr": c("g_homers"),
         "lg_outs": c("g_relief_outs"), "lg_rruns": c("g_relief_runs"),
@@ -158,73 +166,79 @@ def build_features(games: DataFrame, parks: DataFrame, weather: DataFrame | None
     state. Of several weather or umpire rows of a game the last one wins, by
     ``ordinal`` where the input has it.
     """
-    # Every state reads these, so they are computed once.
-    base = written(_narrow(games))
-    number = base.count()
-    sides = written(_sides(base))
-    lines = written(pitching_lines(pitching, base)) if pitching is not None else None
-    # The first table of a chain of joins sets the number of their tasks.
-    out = dealt(base, number, "game_pk")
-    if lines is not None:
-        per_game = lines.groupBy("game_pk").agg(
-            *[F.sum(k).alias(f"g_{k}") for k in ("batters", "ks", "walks", "homers")],
-            F.sum(F.when(c("is_starter") == 0, c("outs"))).alias("g_relief_outs"),
-            F.sum(F.when(c("is_starter") == 0, c("runs"))).alias("g_relief_runs"))
-        per_game = written(per_game)
-        relief = lines.where(c("is_starter") == 0).groupBy("game_pk", "team").agg(
-            F.sum("outs").alias("relief_outs"), F.sum("runs").alias("relief_runs"))
-        own = written(starter_lines(sides, lines))
-    else:
-        nothing = "double"
-        per_game = base.where(F.lit(False)).select("game_pk", *[
-            F.lit(None).cast(nothing).alias(f"g_{k}") for k in (
-                "batters", "ks", "walks", "homers", "relief_outs", "relief_runs")])
-        relief = base.where(F.lit(False)).select("game_pk", c("home_team_id").alias("team"), *[
-            F.lit(None).cast(nothing).alias(k) for k in ("relief_outs", "relief_runs")])
-        own = sides.where(F.lit(False)).select("game_pk", "side", *[
-            F.lit(None).cast(nothing).alias(f"sp_{k}") for k in LINE_SUMS],
-            F.lit(None).cast("bigint").alias("sp_lines"))
+    spark = games.sparkSession
+    sky = ("temp_c", "pressure_hpa", "humidity_pct", "wind_out_to_center_ms", "wind_left_to_right_ms",
+           "precip_mm", "roof_category")
+    umps = ("um_runs", "um_games", "um_ks", "um_kgames")
+
+    def by_game(df: DataFrame) -> DataFrame:
+        return df.repartition(parts, "game_pk")
+
+    def state(of, *inputs) -> DataFrame:
+        with passing(spark):
+            rows = written(of(*inputs))
+            fields = [f for f in rows.columns if f not in ("game_pk", "side")]
+            rows = by_game(rows)
+            if "side" in rows.columns:
+                rows = rows.groupBy("game_pk").agg(*[
+                    F.max(F.when(c("side") == s, c(f))).alias(f"{s}_{f}") for s in ("home", "away") for f in fields])
+            return bucketed(rows, parts, "game_pk", stays=True)
 
     # Each state is written out by itself: the plans stay small, and a lost
-    # executor costs one state rather than the whole frame.
-    key = ["game_pk", "side"]
-    per_side = (dealt(sides.select(*key), 2 * number, *key).join(written(team_state(sides)), key, "left")
-                .join(written(staff_state(sides, relief)), key, "left")
-                .join(written(starter_proxy(sides)), key, "left").join(own, key, "left"))
-    fields = [f for f in per_side.columns if f not in key]
-    wide = dealt(per_side, 2 * number, "game_pk").groupBy("game_pk").agg(*[
-        F.max(F.when(c("side") == s, c(f))).alias(f"{s}_{f}") for s in ("home", "away") for f in fields])
-    out = out.join(wide, "game_pk", "left").join(written(league_state(base, per_game)), "game_pk", "left")
-
-    known = base.where(c("venue_id").isNotNull()).select(
+    # executor costs one state rather than the whole frame. All have the same
+    # buckets by game, so the frame joins them as they lie on disk. What a state
+    # is computed from is deleted as soon as nothing reads it, and what moves
+    # most comes while little is kept.
+    with passing(spark):
+        place = parks.select(S.id_key(c("venue_id")).alias("venue_id"), "elevation_m").dropDuplicates(["venue_id"])
+        base = written(_narrow(games).join(place, "venue_id", "left"), stays=True)
+        parts = joined_parts(spark, base.count())
+        full = base.withColumns({k: F.lit(None).cast("double") for k in GAME_SUMS})
+        lines, states = None, []
+        if pitching is not None:
+            # Every state of pitchers reads these, so they are computed once.
+            lines = bucketed(by_game(pitching_lines(pitching, base)), parts, "game_pk")
+            full = written(by_game(base).join(game_sums(lines).hint("merge"), "game_pk", "left"))
+        if weather is not None:
+            states.append(state(last_row, weather, sky))
+        ratings = state(elo_ratings, games, league)
+        states += [state(f, full) for f in (league_state, venue_state)]
+        if umpires is not None:
+            states.append(state(umpire_state, full, umpires))
+        sides = written(_sides(full))
+        if lines is not None:
+            erase(full)
+            states.append(state(starter_lines, sides, lines))
+            erase(lines)
+        states += [state(f, sides) for f in (starter_proxy, team_state, staff_state)]
+
+    # The first table of a chain of joins sets the number of their tasks.
+    out = by_game(base.select("game_pk", "official_date", "season", "elevation_m"))
+    for known in states:
+        out = out.join(known.hint("merge"), "game_pk", "left")
+    absent = {**{f"{side}_sp_{k}": "double" for side in ("home", "away") for k in LINE_SUMS},
+              **{f"{side}_sp_lines": "bigint" for side in ("home", "away")}, **dict.fromkeys((*umps, *sky), "double"),
+              "roof_category": "string"}
+    out = out.withColumns({k: F.lit(None).cast(t) for k, t in absent.items() if k not in out.columns})
+    return _final(out.join(ratings.hint("merge"), "game_pk"))
+
+
+def venue_state(games: DataFrame) -> DataFrame:
+    known = games.where(c("venue_id").isNotNull()).select(
         "game_pk", "venue_id", "official_date", "played", (c("home_score") + c("away_score")).alias("both"))
-    venue = running(known, ["venue_id"], ORDER, sums={"pk_runs": c("both"), "pk_games": c("played").cast("int")})
-    out = out.join(written(venue.select("game_pk", "pk_runs", "pk_games")), "game_pk", "left")
-
-    if umpires is not None:
-        worked = last_row(umpires.withColumn("ump", S.id_key(c("hp_umpire_id"))), ["ump"])
-        worked = (base.join(worked.where(c("ump").isNotNull()), "game_pk").join(per_game, "game_pk", "left")
-                  .select("game_pk", "official_date", "played", "ump", "g_ks",
-                          (c("home_score") + c("away_score")).alias("both")))
-        seen = running(worked, ["ump"], ORDER, sums={
-            "um_runs": c("both"), "um_games": c("played").cast("int"),
-            "um_ks": F.when(c("played"), c("g_ks")),
-            "um_kgames": (c("played") & c("g_ks").isNotNull()).cast("int")})
-        seen = written(seen.select("game_pk", "um_runs", "um_games", "um_ks", "um_kgames"))
-        out = out.join(seen, "game_pk", "left")
-    else:
-        out = out.withColumns({k: F.lit(None).cast("double") for k in ("um_runs", "um_games", "um_ks", "um_kgames")})
-
-    place = parks.select(S.id_key(c("venue_id")).alias("venue_id"), "elevation_m").dropDuplicates(["venue_id"])
-    out = out.join(place, "venue_id", "left")
-    sky = ("temp_c", "pressure_hpa", "humidity_pct", "wind_out_to_center_ms", "wind_left_to_right_ms",
-           "precip_mm", "roof_category")
-    if weather is not None:
-        out = out.join(last_row(weather, sky), "game_pk", "left")
-    else:
-        out = out.withColumns({k: F.lit(None).cast("string" if k == "roof_category" else "double") for k in sky})
+    return running(known, ["venue_id"], ORDER, sums={
+        "pk_runs": c("both"), "pk_games": c("played").cast("int")}).select("game_pk", "pk_runs", "pk_games")
 
-    return _final(out.join(elo_ratings(games, league), "game_pk"))
+
+def umpire_state(games: DataFrame, umpires: DataFrame) -> DataFrame:
+    worked = last_row(umpires.withColumn("ump", S.id_key(c("hp_umpire_id"))), ["ump"])
+    worked = written(games.join(worked.where(c("ump").isNotNull()), "game_pk").select(
+        "game_pk", "official_date", "played", "ump", "g_ks", (c("home_score") + c("away_score")).alias("both")))
+    return running(worked, ["ump"], ORDER, sums={
+        "um_runs": c("both"), "um_games": c("played").cast("int"),
+        "um_ks": F.when(c("played"), c("g_ks")),
+        "um_kgames": (c("played") & c("g_ks").isNotNull()).cast("int")}).select(
+        "game_pk", "um_runs", "um_games", "um_ks", "um_kgames")
 
 
 def last_row(df: DataFrame, columns) -> DataFrame:
@@ -239,10 +253,16 @@ def _final(f: DataFrame) -> DataFrame:
     def or_(name, default):
         return F.coalesce(c(name), F.lit(default))
 
-    # What the states hold before the first game.
+    # What the states hold before the first game. Totals are written out rather
+    # than means, which take twice the room.
+    f = f.withColumns({
+        **{f"{side}_{k}": S.shrunk(c(f"{side}_{total}"), c(f"{side}_{n}"), C.PRIOR_RUNS, weight)
+           for side in ("home", "away") for k, total, n, weight in (
+               ("off", "runs_for", "games", C.PRIOR_TEAM_GAMES), ("def", "runs_against", "games", C.PRIOR_TEAM_GAMES),
+               ("sp_rate", "sp_allowed", "sp_starts", C.PRIOR_STARTS))}})
     f = f.withColumns({
         **{f"{side}_{k}": or_(f"{side}_{k}", v) for side in ("home", "away") for k, v in (
-            ("off", C.PRIOR_RUNS), ("def", C.PRIOR_RUNS), ("recent_off", C.PRIOR_RUNS), ("recent_def", C.PRIOR_RUNS),
+            ("recent_off", C.PRIOR_RUNS), ("recent_def", C.PRIOR_RUNS),
             ("games", 0), ("rest", 10))},
         "lg_mean": or_("lg_mean", C.PRIOR_RUNS * 2), "lg_k": or_("lg_k", C.LEAGUE_RATES["k"]),
         "lg_bb_rate": or_("lg_bb_rate", C.LEAGUE_RATES["bb"]), "lg_hr_rate": or_("lg_hr_rate", C.LEAGUE_RATES["hr"]),
@@ -264,7 +284,6 @@ def _final(f: DataFrame) -> DataFrame:
             / (outs + C.PRIOR_RELIEF_OUTS) * 27.0,
             f"{side}_bp_workload": or_(f"{side}_bp_workload", 0.0),
             f"{side}_games_played": c(f"{side}_games"),
-            f"{side}_sp_rate": or_(f"{side}_sp_rate", C.PRIOR_RUNS),
             f"{side}_sp_recent": or_(f"{side}_sp_recent", C.PRIOR_RUNS),
             f"{side}_sp_starts": or_(f"{side}_sp_starts", 0), f"{side}_sp_rest": or_(f"{side}_sp_rest", 5),
         }

@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -177,3 +179,21 @@ def test_frame_is_dealt_by_the_number_of_games(spark, monkeypatch):
     out = build_features(table, parks)
     assert {r["game_pk"]: r for r in out.collect()} == plain
     assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_frame_keeps_only_what_it_joins_and_joins_it_as_it_lies(spark):
+    from fungo import session
+    games = world.games(n=40)
+    session.checkpoint_ready(spark)
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    setting = spark.conf.get(session.SHUFFLES_GO)
+    before = set(os.listdir(folder))
+    out = features(spark, games, world.pitching(games), world.umpires(games))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # Only the list of games is shuffled: the states lie in buckets by game.
+    assert plan.count("Exchange") == 1 and plan.count("Bucketed: true") == 8
+    # Of what the states are computed from nothing is left.
+    read = {os.path.basename(os.path.dirname(f)) for f in out.inputFiles()}
+    assert set(os.listdir(folder)) - before == read and len(read) == 9
+    assert spark.conf.get(session.SHUFFLES_GO) == setting and not spark.catalog.listTables()
+    assert out.count() == 40

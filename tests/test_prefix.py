@@ -103,3 +103,15 @@ def test_tasks_grow_with_the_rows(spark, monkeypatch):
         past = list(range(i % 900, i, 900))
         assert got[i] == (sum(j % 7 for j in past), past[-1] % 7 if past else None,
                           sum(j % 7 for j in past if i // 10 - j // 10 < 91))
+
+
+def test_rows_are_shuffled_once(spark):
+    df = spark.createDataFrame(rows(), DDL)
+    plan = running(df, ["k"], day_order("day", "id"), sums={"s": F.col("v")},
+                   lasts={"last": F.col("note")})._jdf.queryExecution().executedPlan().toString()
+    lines = [line.lstrip(" :+-") for line in plan.splitlines()]
+    moved = [i for i, line in enumerate(lines) if line.startswith("Exchange")]
+    # No exchange moves what another one has just dealt, and only one moves
+    # rows; the others move sums of a day.
+    assert moved and not any(i + 1 in moved for i in moved)
+    assert sum("Aggregate" not in "".join(lines[i + 1:i + 3]) and "Window" not in "".join(lines[i + 1:i + 3]) for i in moved) == 1
