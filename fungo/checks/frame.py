@@ -148,5 +148,6 @@ def feature_frame(spark, d):
         c("l_orderkey").alias("game_pk"), line.alias("ordinal"), (c("l_discount") * 300.0).alias("temp_c"), (q + 950.0).alias("pressure_hpa"),
         (c("l_tax") * 1000.0).alias("humidity_pct"), q.alias("wind_out_to_center_ms"), (-q).alias("wind_left_to_right_ms"),
         (q / 10.0).alias("precip_mm"), F.when(c("l_returnflag") == "A", "retractable").when(c("l_returnflag") == "N", "dome").otherwise("open").alias("roof_category"))
-    frame = features.build_features(games, parks, weather, pitching, umpires, "season")
-    return frame.select("game_pk", *[(F.floor(c(k).cast("double") * 1e5 + 0.5) / 1e5).alias(k) for k in SHOWN])
+    frame = features.build_features(games, parks, weather, pitching, umpires, "season",
+                                    lambda k: F.floor(k.cast("double") * 1e5 + 0.5) / 1e5)
+    return frame.select("game_pk", *SHOWN)

@@ -7,6 +7,8 @@ few columns a state needs before any shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,11 +24,17 @@ ORDER = day_order("official_date", "game_pk")
 PROBE_ORDER = day_order("official_date", "game_pk", "kind")
 
 
+def _id(df: DataFrame, name: str) -> Column:
+    """An id as text; what is a whole number already needs no cleaning."""
+    whole = dict(df.dtypes)[name] in ("tinyint", "smallint", "int", "bigint")
+    return c(name).cast("string") if whole else S.id_key(c(name))
+
+
 def _narrow(games: DataFrame) -> DataFrame:
     played = c("home_score").isNotNull() & c("away_score").isNotNull()
     return games.select(
         "game_pk", "official_date", c("season").cast("int").alias("season"),
-        *[S.id_key(c(k)).alias(k) for k in (
+        *[_id(games, k).alias(k) for k in (
             "home_team_id", "away_team_id", "home_sp_id", "away_sp_id", "venue_id")],
         *[F.when(played, c(k)).cast("double").alias(k) for k in ("home_score", "away_score")],
         played.alias("played"))
@@ -100,7 +108,7 @@ def starter_lines(sides: DataFrame, lines: DataFrame) -> DataFrame:
 def pitching_lines(pitching: DataFrame, games: DataFrame) -> DataFrame:
     """Lines of finished games, numeric, one per (game, player), and whose staff it is."""
     rows = pitching.select(
-        "game_pk", S.id_key(c("team_id")).alias("team"), S.id_key(c("player_id")).alias("player"),
+        "game_pk", _id(pitching, "team_id").alias("team"), _id(pitching, "player_id").alias("player"),
         F.coalesce(c("is_starter").try_cast("int"), F.lit(0)).alias("is_starter"),
         S.number_or_zero(c("batters_faced")).alias("batters"), S.number_or_zero(c("strike_outs")).alias("ks"),
         (S.number_or_zero(c("walks")) + S.number_or_zero(c("hit_batsmen"))).alias("walks"),
@@ -158,29 +166,29 @@ def park_factor(runs: Column, games: Column, league_mean: Column) -> Column:
 
 def build_features(games: DataFrame, parks: DataFrame, weather: DataFrame | None = None,
                    pitching: DataFrame | None = None, umpires: DataFrame | None = None,
-                   league: str | None = None) -> DataFrame:
+                   league: str | None = None, finish: Callable[[Column], Column] | None = None) -> DataFrame:
     """One row per game with the model's columns and the umpire environment.
 
     ``games`` must hold one row per game_pk. Absent inputs give priors, and so
     does a side without an id or a game without a date: it has no earlier
     state. Of several weather or umpire rows of a game the last one wins, by
-    ``ordinal`` where the input has it.
+    ``ordinal`` where the input has it. ``finish`` is what to make of each model
+    column, done as soon as the column is known.
     """
     spark = games.sparkSession
-    sky = ("temp_c", "pressure_hpa", "humidity_pct", "wind_out_to_center_ms", "wind_left_to_right_ms",
-           "precip_mm", "roof_category")
-    umps = ("um_runs", "um_games", "um_ks", "um_kgames")
 
     def by_game(df: DataFrame) -> DataFrame:
         return df.repartition(parts, "game_pk")
 
     def state(of, *inputs) -> DataFrame:
         with passing(spark):
-            rows = written(of(*inputs))
-            fields = [f for f in rows.columns if f not in ("game_pk", "side")]
-            rows = by_game(rows)
-            if "side" in rows.columns:
-                rows = rows.groupBy("game_pk").agg(*[
+            rows = of(*inputs)
+            if "side" not in rows.columns:
+                rows = by_game(rows)
+            else:
+                # Written first, so that its shuffles are gone when it is dealt by game.
+                fields = [f for f in rows.columns if f not in ("game_pk", "side")]
+                rows = by_game(written(rows)).groupBy("game_pk").agg(*[
                     F.max(F.when(c("side") == s, c(f))).alias(f"{s}_{f}") for s in ("home", "away") for f in fields])
             return bucketed(rows, parts, "game_pk", stays=True)
 
@@ -190,37 +198,41 @@ def build_features(games: DataFrame, parks: DataFrame, weather: DataFrame | None
     # is computed from is deleted as soon as nothing reads it, and what moves
     # most comes while little is kept.
     with passing(spark):
-        place = parks.select(S.id_key(c("venue_id")).alias("venue_id"), "elevation_m").dropDuplicates(["venue_id"])
+        place = parks.select(_id(parks, "venue_id").alias("venue_id"), "elevation_m").dropDuplicates(["venue_id"])
         base = written(_narrow(games).join(place, "venue_id", "left"), stays=True)
         parts = joined_parts(spark, base.count())
         full = base.withColumns({k: F.lit(None).cast("double") for k in GAME_SUMS})
-        lines, states = None, []
+        lines, states = None, {}
         if pitching is not None:
             # Every state of pitchers reads these, so they are computed once.
             lines = bucketed(by_game(pitching_lines(pitching, base)), parts, "game_pk")
             full = written(by_game(base).join(game_sums(lines).hint("merge"), "game_pk", "left"))
         if weather is not None:
-            states.append(state(last_row, weather, sky))
-        ratings = state(elo_ratings, games, league)
-        states += [state(f, full) for f in (league_state, venue_state)]
+            states[weather_columns] = state(last_row, weather, tuple(SKY))
+        states[elo_columns] = state(elo_ratings, games, league)
+        states |= {league_columns: state(league_state, full), venue_columns: state(venue_state, full)}
         if umpires is not None:
-            states.append(state(umpire_state, full, umpires))
+            states[umpire_columns] = state(umpire_state, full, umpires)
         sides = written(_sides(full))
         if lines is not None:
             erase(full)
-            states.append(state(starter_lines, sides, lines))
+            states[line_columns] = state(starter_lines, sides, lines)
             erase(lines)
-        states += [state(f, sides) for f in (starter_proxy, team_state, staff_state)]
+        states |= {starter_columns: state(starter_proxy, sides), team_columns: state(team_state, sides),
+                   staff_columns: state(staff_state, sides)}
 
     # The first table of a chain of joins sets the number of their tasks.
     out = by_game(base.select("game_pk", "official_date", "season", "elevation_m"))
-    for known in states:
-        out = out.join(known.hint("merge"), "game_pk", "left")
-    absent = {**{f"{side}_sp_{k}": "double" for side in ("home", "away") for k in LINE_SUMS},
-              **{f"{side}_sp_lines": "bigint" for side in ("home", "away")}, **dict.fromkeys((*umps, *sky), "double"),
-              "roof_category": "string"}
-    out = out.withColumns({k: F.lit(None).cast(t) for k, t in absent.items() if k not in out.columns})
-    return _final(out.join(ratings.hint("merge"), "game_pk"))
+    finished: set[str] = set()
+    for step in STEPS:
+        if step in states:
+            out = out.join(states[step].hint("merge"), "game_pk", "inner" if step is elo_columns else "left")
+        out = step(out)
+        if finish is not None:
+            known = [k for k in MODEL_COLUMNS if k in out.columns and k not in finished]
+            out = out.withColumns({k: finish(c(k)) for k in known})
+            finished.update(known)
+    return out.select("game_pk", "official_date", "season", *MODEL_COLUMNS)
 
 
 def venue_state(games: DataFrame) -> DataFrame:
@@ -231,7 +243,7 @@ def venue_state(games: DataFrame) -> DataFrame:
 
 
 def umpire_state(games: DataFrame, umpires: DataFrame) -> DataFrame:
-    worked = last_row(umpires.withColumn("ump", S.id_key(c("hp_umpire_id"))), ["ump"])
+    worked = last_row(umpires.withColumn("ump", _id(umpires, "hp_umpire_id")), ["ump"])
     worked = written(games.join(worked.where(c("ump").isNotNull()), "game_pk").select(
         "game_pk", "official_date", "played", "ump", "g_ks", (c("home_score") + c("away_score")).alias("both")))
     return running(worked, ["ump"], ORDER, sums={
@@ -249,63 +261,110 @@ def last_row(df: DataFrame, columns) -> DataFrame:
     return df.groupBy("game_pk").agg(F.max_by(values, order).alias("_last")).select("game_pk", "_last.*")
 
 
-def _final(f: DataFrame) -> DataFrame:
-    def or_(name, default):
-        return F.coalesce(c(name), F.lit(default))
-
-    # What the states hold before the first game. Totals are written out rather
-    # than means, which take twice the room.
-    f = f.withColumns({
-        **{f"{side}_{k}": S.shrunk(c(f"{side}_{total}"), c(f"{side}_{n}"), C.PRIOR_RUNS, weight)
-           for side in ("home", "away") for k, total, n, weight in (
-               ("off", "runs_for", "games", C.PRIOR_TEAM_GAMES), ("def", "runs_against", "games", C.PRIOR_TEAM_GAMES),
-               ("sp_rate", "sp_allowed", "sp_starts", C.PRIOR_STARTS))}})
-    f = f.withColumns({
-        **{f"{side}_{k}": or_(f"{side}_{k}", v) for side in ("home", "away") for k, v in (
-            ("recent_off", C.PRIOR_RUNS), ("recent_def", C.PRIOR_RUNS),
-            ("games", 0), ("rest", 10))},
+MODEL_COLUMNS = (*C.FEATURE_COLUMNS, "ump_run_rate", "ump_k_rate")
+
+
+def or_(name: str, default) -> Column:
+    return F.coalesce(c(name), F.lit(default))
+
+
+# What the states mean before the first game, and the columns they give. A step comes
+# right after the join that brings its state: one projection of all would be a
+# method too large for the JVM to compile, and rows would be wider in every join.
+def league_columns(f: DataFrame) -> DataFrame:
+    return f.withColumns({
         "lg_mean": or_("lg_mean", C.PRIOR_RUNS * 2), "lg_k": or_("lg_k", C.LEAGUE_RATES["k"]),
         "lg_bb_rate": or_("lg_bb_rate", C.LEAGUE_RATES["bb"]), "lg_hr_rate": or_("lg_hr_rate", C.LEAGUE_RATES["hr"]),
-        "lg_kpg": or_("lg_kpg", C.LEAGUE_KS_PER_GAME), "lg_relief": or_("lg_relief", C.LEAGUE_RELIEF)})
+        "lg_kpg": or_("lg_kpg", C.LEAGUE_KS_PER_GAME), "lg_relief": or_("lg_relief", C.LEAGUE_RELIEF),
+        "elevation_km": or_("elevation_m", 0.0) / 1000.0}).drop("elevation_m")
+
 
-    def lines(side):
-        bf = or_(f"{side}_sp_batters", 0.0)
+def line_columns(f: DataFrame) -> DataFrame:
+    f = _present(f, {f"{side}_sp_{k}": "bigint" if k == "lines" else "double"
+                     for side in ("home", "away") for k in (*LINE_SUMS, "lines")})
 
+    def rates(side):
         def rate(k, lg):
-            return (or_(f"{side}_sp_{k}", 0.0) + c(lg) * C.PRIOR_BATTERS) / (bf + C.PRIOR_BATTERS)
+            return (or_(f"{side}_sp_{k}", 0.0) + c(lg) * C.PRIOR_BATTERS) / (
+                or_(f"{side}_sp_batters", 0.0) + C.PRIOR_BATTERS)
 
         n = or_(f"{side}_sp_lines", 0)
-        outs = or_(f"{side}_bp_outs", 0.0)
-        return {
-            f"{side}_sp_k_rate": rate("ks", "lg_k"), f"{side}_sp_bb_rate": rate("walks", "lg_bb_rate"),
-            f"{side}_sp_hr_rate": rate("homers", "lg_hr_rate"),
-            f"{side}_sp_depth": F.when(n < 2, C.DEFAULT_DEPTH).otherwise(F.try_divide(c(f"{side}_sp_outs"), n)),
-            f"{side}_bp_rate": (or_(f"{side}_bp_runs", 0.0) + c("lg_relief") * (C.PRIOR_RELIEF_OUTS / 27.0))
-            / (outs + C.PRIOR_RELIEF_OUTS) * 27.0,
-            f"{side}_bp_workload": or_(f"{side}_bp_workload", 0.0),
-            f"{side}_games_played": c(f"{side}_games"),
-            f"{side}_sp_recent": or_(f"{side}_sp_recent", C.PRIOR_RUNS),
-            f"{side}_sp_starts": or_(f"{side}_sp_starts", 0), f"{side}_sp_rest": or_(f"{side}_sp_rest", 5),
-        }
+        return {f"{side}_sp_k_rate": rate("ks", "lg_k"), f"{side}_sp_bb_rate": rate("walks", "lg_bb_rate"),
+                f"{side}_sp_hr_rate": rate("homers", "lg_hr_rate"),
+                f"{side}_sp_depth": F.when(n < 2, C.DEFAULT_DEPTH).otherwise(F.try_divide(c(f"{side}_sp_outs"), n))}
 
-    density = S.air_density_index(c("temp_c"), c("pressure_hpa"), c("humidity_pct"))
-    f = f.withColumns({
-        **lines("home"), **lines("away"),
-        "park_factor": park_factor(or_("pk_runs", 0.0), or_("pk_games", 0), c("lg_mean")),
-        "elo_diff": c("home_elo") - c("away_elo") + C.ELO_HOME_EDGE,
-        "rest_diff": c("home_rest") - c("away_rest"),
-        "elevation_km": or_("elevation_m", 0.0) / 1000.0,
+    return f.withColumns({**rates("home"), **rates("away")}).drop(
+        "lg_k", "lg_bb_rate", "lg_hr_rate", *[f"{side}_sp_{k}" for side in ("home", "away") for k in (*LINE_SUMS, "lines")])
+
+
+def staff_columns(f: DataFrame) -> DataFrame:
+    f = f.withColumns({k: v for side in ("home", "away") for k, v in {
+        f"{side}_bp_rate": (or_(f"{side}_bp_runs", 0.0) + c("lg_relief") * (C.PRIOR_RELIEF_OUTS / 27.0))
+        / (or_(f"{side}_bp_outs", 0.0) + C.PRIOR_RELIEF_OUTS) * 27.0,
+        f"{side}_bp_workload": or_(f"{side}_bp_workload", 0.0), f"{side}_rest": or_(f"{side}_rest", 10)}.items()})
+    return f.withColumn("rest_diff", c("home_rest") - c("away_rest")).drop(
+        "lg_relief", "home_bp_runs", "away_bp_runs", "home_bp_outs", "away_bp_outs")
+
+
+def starter_columns(f: DataFrame) -> DataFrame:
+    return f.withColumns({k: v for side in ("home", "away") for k, v in {
+        f"{side}_sp_rate": S.shrunk(c(f"{side}_sp_allowed"), c(f"{side}_sp_starts"), C.PRIOR_RUNS, C.PRIOR_STARTS),
+        f"{side}_sp_recent": or_(f"{side}_sp_recent", C.PRIOR_RUNS),
+        f"{side}_sp_starts": or_(f"{side}_sp_starts", 0),
+        f"{side}_sp_rest": or_(f"{side}_sp_rest", 5)}.items()}).drop("home_sp_allowed", "away_sp_allowed")
+
+
+def venue_columns(f: DataFrame) -> DataFrame:
+    factor = park_factor(or_("pk_runs", 0.0), or_("pk_games", 0), c("lg_mean"))
+    return f.withColumns({"park_factor": factor, "_park": factor}).drop("pk_runs", "pk_games")
+
+
+def team_columns(f: DataFrame) -> DataFrame:
+    f = f.withColumns({k: v for side in ("home", "away") for k, v in {
+        f"{side}_off": S.shrunk(c(f"{side}_runs_for"), c(f"{side}_games"), C.PRIOR_RUNS, C.PRIOR_TEAM_GAMES),
+        f"{side}_def": S.shrunk(c(f"{side}_runs_against"), c(f"{side}_games"), C.PRIOR_RUNS, C.PRIOR_TEAM_GAMES),
+        f"{side}_recent_off": or_(f"{side}_recent_off", C.PRIOR_RUNS),
+        f"{side}_recent_def": or_(f"{side}_recent_def", C.PRIOR_RUNS),
+        f"{side}_games_played": or_(f"{side}_games", 0)}.items()})
+    return f.withColumns({
+        "expected_home_runs_prior": c("home_off") * c("away_def") / C.PRIOR_RUNS * c("_park"),
+        "expected_away_runs_prior": c("away_off") * c("home_def") / C.PRIOR_RUNS * c("_park")}).drop(
+        "_park", *[f"{side}_{k}" for side in ("home", "away") for k in ("runs_for", "runs_against", "games")])
+
+
+def umpire_columns(f: DataFrame) -> DataFrame:
+    f = _present(f, dict.fromkeys(("um_runs", "um_games", "um_ks", "um_kgames"), "double"))
+    return f.withColumns({
         "ump_run_rate": S.shrunk(c("um_runs"), c("um_games"), c("lg_mean"), C.PRIOR_UMPIRE_GAMES) - c("lg_mean"),
-        "ump_k_rate": S.shrunk(c("um_ks"), c("um_kgames"), c("lg_kpg"), C.PRIOR_UMPIRE_GAMES) - c("lg_kpg"),
-        "air_density_index": F.coalesce(density, F.lit(1.0)),
+        "ump_k_rate": S.shrunk(c("um_ks"), c("um_kgames"), c("lg_kpg"), C.PRIOR_UMPIRE_GAMES) - c("lg_kpg")}).drop(
+        "um_runs", "um_games", "um_ks", "um_kgames", "lg_mean", "lg_kpg")
+
+
+SKY = {**dict.fromkeys(("temp_c", "pressure_hpa", "humidity_pct", "wind_out_to_center_ms", "wind_left_to_right_ms",
+                        "precip_mm"), "double"), "roof_category": "string"}
+
+
+def weather_columns(f: DataFrame) -> DataFrame:
+    density = S.air_density_index(c("temp_c"), c("pressure_hpa"), c("humidity_pct"))
+    return _present(f, SKY).withColumns({
+        "temp_c": or_("temp_c", 20.0), "air_density_index": F.coalesce(density, F.lit(1.0)),
         **{k: or_(k, 0.0) for k in ("wind_out_to_center_ms", "wind_left_to_right_ms", "precip_mm")},
         "roof_retractable": F.coalesce(c("roof_category") == "retractable", F.lit(False)).cast("int"),
-        "roof_dome": F.coalesce(c("roof_category") == "dome", F.lit(False)).cast("int")})
-    f = f.withColumns({
-        "temp_c": or_("temp_c", 20.0),
-        "expected_home_runs_prior": c("home_off") * c("away_def") / C.PRIOR_RUNS * c("park_factor"),
-        "expected_away_runs_prior": c("away_off") * c("home_def") / C.PRIOR_RUNS * c("park_factor")})
-    return f.select("game_pk", "official_date", "season", *C.FEATURE_COLUMNS, "ump_run_rate", "ump_k_rate")
+        "roof_dome": F.coalesce(c("roof_category") == "dome", F.lit(False)).cast("int")}).drop(
+        "pressure_hpa", "humidity_pct", "roof_category")
+
+
+def elo_columns(f: DataFrame) -> DataFrame:
+    return f.withColumn("elo_diff", c("home_elo") - c("away_elo") + C.ELO_HOME_EDGE)
+
+
+STEPS = (league_columns, line_columns, staff_columns, starter_columns, venue_columns, team_columns, umpire_columns,
+         weather_columns, elo_columns)
+
+
+def _present(f: DataFrame, types: dict[str, str]) -> DataFrame:
+    """Columns of a state that was not given are null."""
+    return f.withColumns({k: F.lit(None).cast(t) for k, t in types.items() if k not in f.columns})
 
 
 def combined_weather(archive: DataFrame, forecast: DataFrame) -> DataFrame:

@@ -197,3 +197,15 @@ def test_frame_keeps_only_what_it_joins_and_joins_it_as_it_lies(spark):
     assert set(os.listdir(folder)) - before == read and len(read) == 9
     assert spark.conf.get(session.SHUFFLES_GO) == setting and not spark.catalog.listTables()
     assert out.count() == 40
+
+
+def test_columns_are_finished_between_the_joins(spark):
+    """All of them in one projection would make a method that the JVM does not compile."""
+    games = world.games(n=25)
+    table, parks = world.frame(spark, games, world.GAME_DDL), spark.createDataFrame([("1", 10.0)], "venue_id string, elevation_m double")
+    plain = world.collect(build_features(table, parks), "game_pk")
+    out = build_features(table, parks, finish=lambda k: k.cast("double") + 1.0)
+    columns = [*C.FEATURE_COLUMNS, "ump_run_rate", "ump_k_rate"]
+    assert (world.collect(out, "game_pk")[columns] == plain[columns].astype(float) + 1.0).all().all()
+    top = out._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
+    assert top.startswith("Project") and top.count("+ 1.0") < 15
